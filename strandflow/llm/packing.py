@@ -151,23 +151,23 @@ def pack(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...] = TIERS, e
                 at += n
             packer.pack()
             yield packer.drain()
-        yield batch_of([(d, s, len(i), zlib.crc32(i), n, None, None, None, i.astype("<u4").tobytes()) for d, s, i, n in packer.left()])
+        yield batch_of([(d, s, len(i), zlib.crc32(i), n, TaskContext.get().partitionId(), None, None, i.astype("<u4").tobytes()) for d, s, i, n in packer.left()])
 
     pieces = written(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(pack_task, f"{PIECE}, ids binary"), "packed")
 
     def pack_tails(tails):
         # Few ids of each of at most TAIL_TASKS tasks.
-        packer = Packer(-1, tiers)
-        table = pa.Table.from_batches(tails) if isinstance(tails, list) else tails
-        rows = table.select(["doc_id", "start", "doc_tokens", "ids", "group"]).to_pylist()
-        rows.sort(key=lambda r: (r["doc_id"] is not None, r["doc_id"], r["start"], r["ids"]))
-        packer.next = -(1 + (rows[0]["group"] << 32)) - (1 << 31)
+        packer = Packer(0, tiers)
+        rows = tails.select(["doc_id", "start", "doc_tokens", "ids", "sequence_id"]).to_pylist()
+        rows.sort(key=lambda r: (r["sequence_id"], r["start"], r["ids"]))
+        packer.next = (1 << 62) + (rows[0]["sequence_id"] // TAIL_TASKS << 32)
         for r in rows:
             packer.add(r["doc_id"], np.frombuffer(r["ids"], "<u4"), r["start"], r["doc_tokens"])
         packer.close()
         return pa.Table.from_batches([packer.drain().select(list(range(len(ARROW) - 1)))])
 
-    open_rows = pieces.where("ids is not null").withColumn("group", F.floor(F.spark_partition_id() / TAIL_TASKS).cast("long"))
+    # An open row has its task's number in place of a sequence's.
+    open_rows = pieces.where("ids is not null").withColumn("group", F.floor(F.col("sequence_id") / TAIL_TASKS))
     tails = open_rows.groupBy("group").applyInArrow(pack_tails, PIECE)
     whole = pieces.where("ids is null").drop("ids").unionByName(tails)
     return step_groups(whole, step_tokens)
