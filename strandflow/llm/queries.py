@@ -24,6 +24,14 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(written_out.cast("binary"), 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import fit, judged
+
+    docs = read_table(spark, sf_dir, "documents")
+    found = judged(docs, fit(docs, read_table(spark, sf_dir, "labels")))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -44,6 +52,7 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_quality_rules": op4_quality_rules,
     "op6_packing": op6_packing,
     "op8_token_store": op8_token_store,
     "op10_simhash": op10_simhash,
