@@ -14,6 +14,15 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .labelled import key_mod
+    from .langid import detect, learn
+
+    docs = read_table(spark, sf_dir, "documents")
+    found = detect(docs, learn(docs.where(key_mod("doc_id", 4) != 2)))
+    return found.select("doc_id", (key_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes; the digests are of the operator's ids and bytes."""
     from .bpe import decode, encode
@@ -51,6 +60,7 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_quality_rules": op4_quality_rules,
     "op6_packing": op6_packing,
