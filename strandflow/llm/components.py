@@ -41,6 +41,5 @@ def components(edges: DataFrame) -> DataFrame:
             left = left.join(up, end, "left").withColumn(end, F.coalesce("above", end)).drop("above")
         left = written(left.where("a <> b").select(a.alias("a"), b.alias("b")).distinct(), "edges")
     if total is None:
-        kind = edges.schema["a"].dataType.simpleString()
-        return edges.sparkSession.createDataFrame([], f"node {kind}, component {kind}")
+        return left.select(F.col("b").alias("node"), F.col("a").alias("component"))
     return total

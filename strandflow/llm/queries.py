@@ -41,6 +41,46 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability")
 
 
+#: The rules that op5 judges by.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judged
+
+    return judged(read_table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP5_SQL = r"""
+with recursive
+rules(verdict, rhost, rpath) as (values ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+p as (select page_id, url, coalesce(html, '') html, row_number() over () n,
+        translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
+        coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') path,
+        coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*[^?#]*([^#]*)', 1), '') query from pages),
+l as (select host, path, query, unnest([
+        regexp_extract(regexp_extract(html, '(?is)<link\s[^>]*\bcanonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
+        regexp_extract(regexp_extract(html, '(?is)<meta\s[^>]*\brefresh\b[^>]*>'), '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) link from p),
+t as (select host || path || query a,
+        case when contains(link, '://') then link when starts_with(link, '//') then 'http:' || link
+             when starts_with(link, '/') then 'http://' || host || link
+             else 'http://' || host || case when regexp_replace(path, '[^/]*$', '') = '' then '/' else regexp_replace(path, '[^/]*$', '') end || link end target
+      from l where link <> '' and host <> ''),
+u as (select a, translate(regexp_extract(target, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
+        regexp_extract(target, '(?s)^.*?://[^/?#]*([^?#]*)', 1) path, regexp_extract(target, '(?s)^.*?://[^/?#]*[^?#]*([^#]*)', 1) query from t),
+e as (select a, host || path || query b from u where host <> ''),
+s as (select a, b from e union select b, a from e),
+r(a, b) as (select a, a from s union select r.a, s.b from r join s on s.a = r.b),
+n as (select distinct a, regexp_extract(a, '^([^/?#]*)', 1) host, regexp_extract(a, '^[^/?#]*([^?#]*)', 1) path from s),
+nv as (select a, arg_max(verdict, length(rhost || rpath)) verdict from n join rules on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath) group by a),
+carried as (select r.a from r join nv on nv.a = r.b group by r.a having bool_or(verdict = 'block') and not bool_or(verdict = 'allow')),
+own as (select page_id, host, path, host || path || query address, arg_max(rhost || rpath, length(rhost || rpath)) rule, arg_max(verdict, length(rhost || rpath)) verdict
+        from p left join rules on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath)
+        group by n, page_id, host, path, query)
+select page_id, host, path, rule, case when verdict is not null then verdict when host <> '' and address in (select a from carried) then 'block' else 'allow' end verdict from own
+"""
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -63,9 +103,10 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_quality_rules": op4_quality_rules,
+    "op5_url_filter": op5_url_filter,
     "op6_packing": op6_packing,
     "op8_token_store": op8_token_store,
     "op10_simhash": op10_simhash,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op5_url_filter": OP5_SQL}
