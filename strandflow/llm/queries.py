@@ -93,6 +93,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op7_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .labelled import key_mod
+    from .rule_ensemble import fit, scored
+
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    found = scored(docs, fit(docs, labels.where(key_mod("doc_id", 5) != 0)))
+    return found.select("doc_id", (key_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_store import read_store, write_store
 
@@ -105,6 +114,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_url_filter": op5_url_filter,
     "op6_packing": op6_packing,
+    "op7_rule_ensemble": op7_rule_ensemble,
     "op8_token_store": op8_token_store,
     "op10_simhash": op10_simhash,
 }
