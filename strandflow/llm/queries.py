@@ -93,6 +93,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan
+
+    return scan(read_table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -123,6 +129,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_rule_ensemble": op7_rule_ensemble,
     "op8_token_store": op8_token_store,
+    "op9_license_scan": op9_license_scan,
     "op10_simhash": op10_simhash,
 }
 
