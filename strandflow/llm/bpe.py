@@ -40,8 +40,10 @@ RUN, ATTACHING, LONE, SHORT, LONG, FIRST = 3, 4, 5, 6, 7, 8
 #: attaching space; one or two letters of a contraction to come.
 FREE, IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_SPACE, ATTACHED, ONE_MORE, TWO_MORE = range(8)
 #: Pieces kept per worker before the table starts afresh.
-TABLE_PIECES = 1_000_000
-BLOCK = 1024
+TABLE_PIECES = 400_000
+BLOCK = 512
+#: Bytes of text worked on at once: some forty bytes of arrays stand for each.
+PART_BYTES = 1 << 20
 
 
 def step(state: int, kind: int) -> tuple[int, bool]:
@@ -253,7 +255,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
         for batch in batches:
             texts = batch.column(1)
             sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0), dtype=np.int64)
-            for a, b in slices(sizes):
+            for a, b in slices(sizes, PART_BYTES):
                 ids, counts = ranks.encode([t or "" for t in texts.slice(a, b - a).to_pylist()])
                 column = pa.ListArray.from_arrays(pa.array(offsets(counts), pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), column], names=["key", "ids"])
@@ -271,7 +273,7 @@ def decode(ids: DataFrame, path: str, key: str = "doc_id", column: str = "ids")
         for batch in batches:
             lists = batch.column(1)
             counts = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0), dtype=np.int64)
-            for a, b in slices(4 * counts):
+            for a, b in slices(4 * counts, PART_BYTES):
                 part = lists.slice(a, b - a)
                 flat = np.asarray(part.flatten())
                 own = offsets(ranks.token_lengths[flat])
