@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Texts are handled in slices of about this many bytes, whatever the size of an Arrow batch.
 SLICE_BYTES = 4 << 20
@@ -66,6 +67,27 @@ def text_slices(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iter
             yield batch.slice(a, b - a), texts.slice(a, b - a).to_pylist()
 
 
+class Carry:
+    """Columns of the input that an operator's rows keep. They travel as _0, _1, ... so that no name can clash."""
+
+    def __init__(self, docs: DataFrame, key: str, text: str, names: list[str]):
+        self.names = names
+        own = [F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names) if c != text]
+        self.rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *own)
+        # The text itself is not sent twice.
+        self.source = ["text" if c == text else f"_{i}" for i, c in enumerate(names)]
+        self.ddl = "".join(f", _{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names))
+
+    def columns(self) -> list:
+        return [F.col(f"_{i}").alias(c) for i, c in enumerate(self.names)]
+
+
+def with_kept(part: pa.RecordBatch, made: dict, source: list[str]) -> pa.RecordBatch:
+    """An operator's own columns, and then those of Carry.source."""
+    columns = made | {f"_{i}": part.column(part.schema.get_field_index(c)) for i, c in enumerate(source)}
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
 class Growing:
     """A numpy array that grows at its end."""
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Growing, Numbers, offsets, split_words, sums, text_slices
+from .common import Carry, Growing, Numbers, offsets, split_words, sums, text_slices, with_kept
 from .labelled import bounded_sample
 
 #: Labelled rows of each language that are learned from at most (expected number).
@@ -243,10 +243,14 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float = SWITCH, blo
     return states[inside]
 
 
-def detect(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text", penalty: float = SWITCH) -> DataFrame:
-    """doc_id, lang_pred, score (its share of the letters), and spans: array of (lang, first word, words) of every text."""
+def detect(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text", penalty: float = SWITCH, keep=None) -> DataFrame:
+    """doc_id, lang_pred, score (its share of the letters), and spans: array of (lang, first word, words) of every text.
+
+    With keep, a condition over these columns: the rows of docs where it holds."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample learned from
     languages = model["languages"]
+    carry = Carry(docs, key, text, docs.columns if keep is not None else [])
+    source = carry.source
     span = pa.struct([("lang", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64())])
 
     def run(batches):
@@ -282,7 +286,7 @@ def detect(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text"
             end = np.minimum(end, bounds[of_text[first] + 1])
             made = pa.StructArray.from_arrays([names.take(pa.array(states[first])), pa.array(first - bounds[of_text[first]]), pa.array(end - first)], fields=list(span))
             lists = pa.ListArray.from_arrays(pa.array(offsets(np.bincount(of_text[first], minlength=len(counts))), pa.int32()), made)
-            yield pa.RecordBatch.from_arrays([part.column(0), names.take(pa.array(pred)), pa.array(score, pa.float64()), lists], names=["doc_id", "lang_pred", "score", "spans"])
+            yield with_kept(part, {"doc_id": part.column(0), "lang_pred": names.take(pa.array(pred)), "score": pa.array(score, pa.float64()), "spans": lists}, source)
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, spans array<struct<lang: string, first_word: long, n_words: long>>")
+    found = carry.rows.mapInArrow(run, "doc_id long, lang_pred string, score double, spans array<struct<lang: string, first_word: long, n_words: long>>" + carry.ddl)
+    return found if keep is None else found.where(keep).select(*carry.columns())

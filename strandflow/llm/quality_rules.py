@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Growing, Numbers, offsets, split_words, spread, sums, text_slices
+from .common import Carry, Growing, Numbers, offsets, split_words, spread, sums, text_slices, with_kept
 from .labelled import bounded_sample, hash_share, logistic, platt, sigmoid
 
 #: Fixed limits.
@@ -170,11 +170,13 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return {"weights": (weights * SCALE).astype(np.float32), "bias": bias, "a": a, "b": b, "id": uuid.uuid4().hex}
 
 
-def judged(docs: DataFrame, model: dict | None, key: str = "doc_id", text: str = "text", least: float = LEAST_PROBABILITY) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, probability, kept of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES floats
-    schema = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), ("probability", pa.float64())])
+def judged(docs: DataFrame, model: dict | None, key: str = "doc_id", text: str = "text", least: float = LEAST_PROBABILITY, only_kept: bool = False) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, probability, kept of every row.
 
+    With only_kept: the rows of docs that are kept."""
+    carry = Carry(docs, key, text, docs.columns if only_kept else [])
+    source = carry.source
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES floats
     def run(batches):
         model = shared.value
         name = model["id"] if model else ""
@@ -194,8 +196,18 @@ def judged(docs: DataFrame, model: dict | None, key: str = "doc_id", text: str =
                 probability = sigmoid(model["a"] * (total / np.maximum(counts, 1) + model["bias"]) + model["b"])
             else:
                 probability = np.ones(len(counts))
-            yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, (counts, sums(known.chars.view()[numbers], bounds), sums(known.symbols.view()[numbers], bounds))), pa.array([repeated_lines(t) if t else 0 for t in texts], pa.int64()), pa.array(repeated_words(hashes, counts)), pa.array(probability)], schema=schema)
-
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, probability double")
+            made = {
+                "doc_id": part.column(0),
+                "n_words": pa.array(counts),
+                "word_chars": pa.array(sums(known.chars.view()[numbers], bounds)),
+                "n_symbols": pa.array(sums(known.symbols.view()[numbers], bounds)),
+                "n_dup_lines": pa.array([repeated_lines(t) if t else 0 for t in texts], pa.int64()),
+                "n_repeat_words": pa.array(repeated_words(hashes, counts)),
+                "probability": pa.array(probability),
+            }
+            yield with_kept(part, made, source)
+
+    rows = carry.rows.mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, probability double" + carry.ddl)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("probability") >= least))
+    found = rows.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("probability") >= least))
+    return found.where("kept").select(*carry.columns()) if only_kept else found
