@@ -9,14 +9,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from ..functions.records import FIELDS, UNMAPPED, blanked, full
 from ..functions.sequences import cigar_match_length
 from ..storage import numbered
 from .dispatch import unmapped_lines
 
-IN_READ = Window.partitionBy("read_id").orderBy("part", "ord")
+
+def in_read() -> WindowSpec:
+    return Window.partitionBy("read_id").orderBy("part", "ord")
 
 
 def fast(records: DataFrame) -> DataFrame:
@@ -27,7 +29,7 @@ def fast(records: DataFrame) -> DataFrame:
 def mem(records: DataFrame, reads: DataFrame, most: int = 5) -> DataFrame:
     """The first `most` mapped records of each read, blanked; else one unmapped line. reads: read_id, name."""
     mapped = records.where(F.col("flag") != UNMAPPED)
-    kept = mapped.withColumn("rank", F.row_number().over(IN_READ)).where(F.col("rank") <= most)
+    kept = mapped.withColumn("rank", F.row_number().over(in_read())).where(F.col("rank") <= most)
     lines = kept.select("read_id", (F.col("rank") - 1).alias("place"), blanked().alias("line"))
     return lines.unionByName(without(mapped, reads))
 
@@ -35,7 +37,7 @@ def mem(records: DataFrame, reads: DataFrame, most: int = 5) -> DataFrame:
 def in_order(records: DataFrame, reads: DataFrame) -> DataFrame:
     """All mapped records of each read, whole; else one unmapped line."""
     mapped = records.where(F.col("flag") != UNMAPPED)
-    lines = mapped.select("read_id", (F.row_number().over(IN_READ) - 1).alias("place"), F.col("raw").alias("line"))
+    lines = mapped.select("read_id", (F.row_number().over(in_read()) - 1).alias("place"), F.col("raw").alias("line"))
     return lines.unionByName(without(mapped, reads))
 
 
