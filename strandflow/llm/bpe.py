@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Growing, Numbers, offsets, slices, spread
+from .common import Growing, Numbers, held, offsets, slices, spread
 
 #: Code points of the Unicode property White_Space.
 WHITE_SPACE = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, 0x2000, 0x2001, 0x2002, 0x2003, 0x2004, 0x2005, 0x2006, 0x2007, 0x2008, 0x2009, 0x200A, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -241,9 +241,9 @@ class Ranks:
         return self.blob[spread(self.token_starts[ids], self.token_lengths[ids])]
 
 
-@cache
 def rank_file(path: str) -> Ranks:
-    return Ranks(path)
+    """This worker's own."""
+    return held(f"ranks {path}", lambda: Ranks(path))
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:

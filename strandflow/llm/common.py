@@ -88,6 +88,19 @@ def with_kept(part: pa.RecordBatch, made: dict, source: list[str]) -> pa.RecordB
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
+_HELD: dict = {}
+
+
+def held(name: str, make):
+    """What `make` gives, kept in this worker until something is asked for under another name.
+
+    Workers are used again by later stages; one operator's tables at a time bounds their memory."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
 class Growing:
     """A numpy array that grows at its end."""
 

@@ -48,11 +48,12 @@ def platt(scores: np.ndarray, labels: np.ndarray, rounds: int = 100) -> tuple[fl
 def logistic(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, n_rows: int, n_columns: int, labels: np.ndarray, l2: float, rounds: int = 150) -> tuple[np.ndarray, float]:
     """Weights and bias of an L2 logistic regression over sparse entries (row, column, value); Adam on the whole sample."""
     weights, bias = np.zeros(n_columns), 0.0
+    parts = [slice(a, a + (1 << 20)) for a in range(0, len(rows), 1 << 20)]  # so that no temporary is large
     mean, square = np.zeros(n_columns + 1), np.zeros(n_columns + 1)
     for t in range(1, rounds + 1):
-        z = np.bincount(rows, weights[columns] * values, n_rows) + bias
+        z = sum((np.bincount(rows[p], weights[columns[p]] * values[p], n_rows) for p in parts), np.full(n_rows, bias))
         error = (sigmoid(z) - labels) / n_rows
-        gradient = np.append(np.bincount(columns, error[rows] * values, n_columns) + l2 * weights, error.sum())
+        gradient = np.append(sum((np.bincount(columns[p], error[rows[p]] * values[p], n_columns) for p in parts), l2 * weights), error.sum())
         mean = 0.9 * mean + 0.1 * gradient
         square = 0.999 * square + 0.001 * gradient**2
         rate = 0.3 * min(1.0, 2 - 2 * t / (rounds + 1))

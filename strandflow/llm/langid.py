@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Carry, Growing, Numbers, offsets, split_words, sums, text_slices, with_kept
+from .common import Carry, Growing, Numbers, held, offsets, split_words, sums, text_slices, with_kept
 from .labelled import bounded_sample
 
 #: Labelled rows of each language that are learned from at most (expected number).
@@ -35,7 +35,7 @@ GRAMS = (1, 2, 3)
 SWITCH = 12.0
 #: A language uses a script if this share of its letters has it.
 SCRIPT_SHARE = 0.01
-TABLE_WORDS = 1_000_000
+TABLE_WORDS = 500_000
 BLOCK = 64
 UNKNOWN = "und"
 
@@ -77,8 +77,6 @@ SCRIPTS = ("other", *dict.fromkeys(name for name, _, _ in SCRIPT_RANGES))
 _BY_START = sorted((a, b, SCRIPTS.index(name)) for name, a, b in SCRIPT_RANGES)
 _STARTS = np.array([a for a, _, _ in _BY_START])
 
-_STATES: dict[str, "Scorer"] = {}
-
 
 def script_of(letter: str) -> int:
     at = int(np.searchsorted(_STARTS, ord(letter), side="right")) - 1
@@ -255,10 +253,7 @@ def detect(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text"
 
     def run(batches):
         model = shared.value
-        if model["id"] not in _STATES:
-            _STATES.clear()
-            _STATES[model["id"]] = Scorer(model)
-        scorer = _STATES[model["id"]]
+        scorer = held(model["id"], lambda: Scorer(model))
         names = pa.array([*languages, UNKNOWN], pa.string())
         for part, texts in text_slices(batches):
             if len(scorer.numbers) > TABLE_WORDS:
@@ -272,11 +267,11 @@ def detect(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text"
                 states = np.zeros(len(words), np.int64)
             of_text = np.repeat(np.arange(len(counts)), counts)
             width = max(1, len(languages))
-            held = np.bincount(of_text * width + states, letters, len(counts) * width).reshape(len(counts), width)
-            total = held.sum(axis=1)
+            share = np.bincount(of_text * width + states, letters, len(counts) * width).reshape(len(counts), width)
+            total = share.sum(axis=1)
             known = (total > 0) & bool(languages)
-            pred = np.where(known, held.argmax(axis=1), len(languages))
-            score = np.where(known, held.max(axis=1) / np.maximum(total, 1), 0.0)
+            pred = np.where(known, share.argmax(axis=1), len(languages))
+            score = np.where(known, share.max(axis=1) / np.maximum(total, 1), 0.0)
             # A span begins with a text and where the state changes; texts without letters have none.
             starts = np.ones(len(words), bool)
             starts[1:] = (states[1:] != states[:-1]) | (of_text[1:] != of_text[:-1])

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Carry, Growing, Numbers, offsets, split_words, spread, sums, text_slices, with_kept
+from .common import Carry, Growing, Numbers, held, offsets, split_words, spread, sums, text_slices, with_kept
 from .labelled import bounded_sample, hash_share, logistic, platt, sigmoid
 
 #: Fixed limits.
@@ -32,12 +32,10 @@ LEAST_PROBABILITY = 0.5
 SAMPLE_ROWS = 2500
 FEATURES = 1 << 18
 GRAMS = (2, 3)
-TABLE_WORDS = 800_000
+TABLE_WORDS = 500_000
 L2 = 1e-5
 SCALE = 8.0
 
-_STATES: dict[str, "Words"] = {}
-
 
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
@@ -116,10 +114,11 @@ def repeated_lines(text: bytes) -> int:
 
 
 def pair_features(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The feature of each two adjacent words of a text, and the texts they are in."""
+    """The feature of each two adjacent words of a text, and the texts they are in; all repeats of a word share one."""
     of_text = np.repeat(np.arange(len(counts)), counts)
     inside = of_text[1:] == of_text[:-1]
-    pairs = mix(hashes[:-1][inside], hashes[1:][inside])
+    one, other = hashes[:-1][inside], hashes[1:][inside]
+    pairs = np.where(one == other, np.uint64(0), mix(one, other))
     return (pairs % np.uint64(FEATURES)).astype(np.int64), of_text[1:][inside]
 
 
@@ -157,14 +156,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     columns = [np.frombuffer(b, np.int32) for b in sample.column("columns").to_pylist()]
     values = [np.frombuffer(b, np.float32) for b in sample.column("values").to_pylist()]
     per = np.fromiter(map(len, columns), np.int64, len(columns))
-    row, column, value = np.repeat(np.arange(len(per)), per), np.concatenate(columns), np.concatenate(values) * SCALE
-    fits = ~calibrates[row]
-    numbered = np.cumsum(~calibrates) - 1
-    used, column_at = np.unique(column[fits], return_inverse=True)
-    own, bias = logistic(numbered[row[fits]], column_at, value[fits], int((~calibrates).sum()), len(used), marks[~calibrates], L2)
-    weights = np.zeros(FEATURES)
-    weights[used] = own
-    scores = np.bincount(row, weights[column] * value, len(per)) + bias
+    fits = np.flatnonzero(~calibrates)
+    row = np.repeat(np.arange(len(fits), dtype=np.int32), per[fits])
+    weights, bias = logistic(row, np.concatenate([columns[i] for i in fits]), np.concatenate([values[i] for i in fits]) * np.float32(SCALE), len(fits), FEATURES, marks[fits], L2)
+    scores = np.array([weights[c] @ v * SCALE for c, v in zip(columns, values, strict=True)]) + bias
     held = calibrates if len(set(marks[calibrates])) == 2 else ~calibrates
     a, b = platt(scores[held], marks[held])
     return {"weights": (weights * SCALE).astype(np.float32), "bias": bias, "a": a, "b": b, "id": uuid.uuid4().hex}
@@ -179,11 +174,7 @@ def judged(docs: DataFrame, model: dict | None, key: str = "doc_id", text: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES floats
     def run(batches):
         model = shared.value
-        name = model["id"] if model else ""
-        if name not in _STATES:
-            _STATES.clear()
-            _STATES[name] = Words(model["weights"] if model else None)
-        known = _STATES[name]
+        known = held(model["id"] if model else "counts", lambda: Words(model["weights"] if model else None))
         for part, texts in text_slices(batches):
             if len(known.numbers) > TABLE_WORDS:
                 known.clear()

@@ -14,10 +14,10 @@ import re
 
 import numpy as np
 
-from .common import Growing, Numbers, offsets, split_words, spread
+from .common import Growing, Numbers, held, offsets, split_words, spread
 
 #: Distinct words kept per worker before the table starts afresh (about 150 bytes each).
-TABLE_WORDS = 1_200_000
+TABLE_WORDS = 800_000
 #: A word of Latin letters (each its own composed form) and then marks: two pieces to the pre-tokeniser,
 #: which the model can be given without the normaliser.
 PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@[-`{-~]*)")
@@ -30,9 +30,6 @@ WRITTEN = {
 #: Special token that ends a document.
 END_ID = 1
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 class WordEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -95,6 +92,4 @@ class WordEncoder:
 
 def encoder(path: str) -> WordEncoder:
     """This worker's encoder for the file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    return held(f"words {path}", lambda: WordEncoder(path))
