@@ -35,7 +35,7 @@ GRAMS = (1, 2, 3)
 SWITCH = 12.0
 #: A language uses a script if this share of its letters has it.
 SCRIPT_SHARE = 0.01
-TABLE_WORDS = 500_000
+TABLE_WORDS = 300_000
 BLOCK = 64
 UNKNOWN = "und"
 

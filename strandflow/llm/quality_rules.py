@@ -32,7 +32,7 @@ LEAST_PROBABILITY = 0.5
 SAMPLE_ROWS = 2500
 FEATURES = 1 << 18
 GRAMS = (2, 3)
-TABLE_WORDS = 500_000
+TABLE_WORDS = 300_000
 L2 = 1e-5
 SCALE = 8.0
 

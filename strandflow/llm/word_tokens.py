@@ -17,7 +17,7 @@ import numpy as np
 from .common import Growing, Numbers, held, offsets, split_words, spread
 
 #: Distinct words kept per worker before the table starts afresh (about 150 bytes each).
-TABLE_WORDS = 800_000
+TABLE_WORDS = 400_000
 #: A word of Latin letters (each its own composed form) and then marks: two pieces to the pre-tokeniser,
 #: which the model can be given without the normaliser.
 PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@[-`{-~]*)")
