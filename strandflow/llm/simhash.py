@@ -119,7 +119,9 @@ def plan(sample: np.ndarray, n: int, most: int = MOST_BITS) -> list[tuple[list[i
             costs.append([0.0])
             for t in range(min(most, 3) + 1):
                 posted = sum(comb(len(own), k) for k in range(t + 1))
-                near = max(float((apart <= t).mean()) if len(sample) else 0.0, posted / 2.0 ** len(own))
+                # The few are in the sample: each meets itself once.
+                pairs = max(1, len(few) * (len(sample) - 1))
+                near = max(float((apart <= t).sum() - len(few)) / pairs, posted / 2.0 ** len(own))
                 costs[-1].append(posted * ROW_COST + n * near * posted * COMPARE_COST)
         cost, chosen = thresholds(costs, most)
         if cost < best[0]:
