@@ -16,7 +16,8 @@ from ..functions.kmers import COMPLEMENT, NORMAL, murmur64a
 from ..functions.sequences import n_kmers
 from .dispatch import exact
 
-BLOCK_BITS = 1 << 15
+BLOCK_BITS = 1 << 18
+ROUND_KMERS = 1 << 18
 
 
 def canonical_rows(seq: bytes, k: int, step: int = 1) -> np.ndarray:
@@ -42,25 +43,55 @@ def filter_sizes(targets: DataFrame, k: int, ibits: int) -> dict[int, int]:
 
 
 def build(targets: DataFrame, k: int, sizes: dict[int, int], nhash: int) -> DataFrame:
-    """(part, block, bits) of the filters; blocks without a bit are left out. targets: part, seq."""
+    """(part, block, bits) of the filters; blocks without a bit are left out. targets: part, seq.
 
-    def positions(batches):
+    A task sets bits for ROUND_KMERS k-mers of a partition at a time and sends what it has of each block:
+    the bits' places, or the whole block where that is smaller. Blocks are then put together."""
+
+    def blocks(part: int, found: list[np.ndarray]) -> pa.RecordBatch:
+        bits = np.unique(np.concatenate([murmur64a(rows, s) % np.uint64(sizes[part]) for rows in found for s in range(nhash)])).astype(np.int64)
+        begins = np.flatnonzero(np.diff(bits // BLOCK_BITS, prepend=-1))
+        own = [packed((x % BLOCK_BITS).astype("<u4")) for x in np.split(bits, begins[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(begins), part, np.int32)), pa.array(bits[begins] // BLOCK_BITS), pa.array(own, pa.binary())], names=["part", "block", "bits"])
+
+    def partial(batches):
         for batch in batches:
-            parts, seqs = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
-            for part, seq in zip(parts, seqs, strict=True):
+            found: dict[int, list[np.ndarray]] = {}
+            for part, seq in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 rows = canonical_rows(seq or b"", k)
-                for a in range(0, len(rows), 1 << 18):
-                    bits = np.unique(np.concatenate([murmur64a(rows[a : a + (1 << 18)], s) % np.uint64(sizes[part]) for s in range(nhash)])).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bits), part, np.int32)), pa.array(bits // BLOCK_BITS), pa.array((bits % BLOCK_BITS).astype(np.int32))], names=["part", "block", "bit"])
-
-    def block(key, table):
-        bits = np.zeros(BLOCK_BITS, bool)
-        bits[np.asarray(table.column("bit"))] = True
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int64()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
-
-    # Distinct first: a group then has at most BLOCK_BITS rows.
-    found = targets.select(F.col("part").cast("int"), "seq").mapInArrow(positions, "part int, block long, bit int").distinct()
-    return found.groupBy("part", "block").applyInArrow(block, "part int, block long, bits binary")
+                for a in range(0, len(rows), ROUND_KMERS):
+                    own = found.setdefault(part, [])
+                    own.append(rows[a : a + ROUND_KMERS])
+                    if sum(map(len, own)) >= ROUND_KMERS:
+                        yield blocks(part, found.pop(part))
+            for part, own in found.items():
+                yield blocks(part, own)
+
+    def whole(key, table):
+        bits = np.zeros(BLOCK_BITS // 8, np.uint8)
+        for own in table.column("bits").to_pylist():
+            bits |= unpacked(own)
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int64()), "bits": pa.array([bits.tobytes()], pa.binary())})
+
+    found = targets.select(F.col("part").cast("int"), "seq").mapInArrow(partial, "part int, block long, bits binary")
+    return found.groupBy("part", "block").applyInArrow(whole, "part int, block long, bits binary")
+
+
+def packed(places: np.ndarray) -> bytes:
+    """Places of bits in a block, or the block itself where it is no longer than they are."""
+    if 4 * len(places) < BLOCK_BITS // 8:
+        return places.tobytes()
+    bits = np.zeros(BLOCK_BITS, bool)
+    bits[places] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def unpacked(own: bytes) -> np.ndarray:
+    if len(own) == BLOCK_BITS // 8:
+        return np.frombuffer(own, np.uint8)
+    bits = np.zeros(BLOCK_BITS, bool)
+    bits[np.frombuffer(own, "<u4")] = True
+    return np.packbits(bits, bitorder="little")
 
 
 def probe(bank: DataFrame, reads: DataFrame, k: int, step: int, sizes: dict[int, int], nhash: int) -> DataFrame:
