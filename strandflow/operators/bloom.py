@@ -116,6 +116,20 @@ def probe(bank: DataFrame, reads: DataFrame, k: int, step: int, sizes: dict[int,
     return hits.groupBy("read_id", "part", "at").agg(F.count("*").alias("n")).where(F.col("n") == nhash).select("read_id", "part").distinct()
 
 
+def kmer_hashes(reads: DataFrame, k: int, step: int, nhash: int) -> DataFrame:
+    """(read_id, place, seed, hash) of each sampled k-mer in canonical form; the hash as 16 hex digits."""
+
+    def run(batches):
+        for batch in batches:
+            for read_id, seq in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                rows = canonical_rows(seq or b"", k, step)
+                for seed in range(nhash if len(rows) else 0):
+                    n = len(rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, read_id, np.int64)), pa.array(np.arange(n) * step), pa.array(np.full(n, seed, np.int32)), pa.array([f"{h:016x}" for h in murmur64a(rows, seed).tolist()], pa.string())], names=["read_id", "place", "seed", "hash"])
+
+    return reads.select(F.col("read_id").cast("long"), "seq").mapInArrow(run, "read_id long, place long, seed int, hash string")
+
+
 def verified(targets: DataFrame, reads: DataFrame, candidates: DataFrame, k: int, step: int) -> DataFrame:
     """The candidates that the exact join confirms."""
     asked = reads.join(candidates.select("read_id").distinct(), "read_id", "left_semi")

@@ -164,6 +164,10 @@ def q09_candidates(spark, d):
     return bloom_candidates(spark, d)
 
 
+def q09_hashes(spark, d):
+    return bloom.kmer_hashes(reads(spark, d), K, STEP, CONFIG.nhash)
+
+
 def q10(spark, d):
     return graph.reach_components(*contig_graph(spark, d))
 
@@ -316,6 +320,10 @@ MATCHES = f"""{KMERS},
  h as (select op.read_id, tp.part, target_id, strand, rpos, tpos from tp join op using (k) join hits on hits.read_id = op.read_id and hits.part = tp.part),
  g as (select *, rpos - row_number() over (partition by read_id, target_id, strand, tpos - rpos order by rpos) run from h),
  x as (select read_id, part, target_id, strand, min(rpos) rpos, min(tpos) tpos, count(*) + {K} - 1 len from g group by read_id, part, target_id, strand, tpos - rpos, run having count(*) + {K} - 1 >= {CONFIG.alen})"""
+# Arithmetic modulo 2^64 in 128 bits: the hash's factor, 2^64, 2^47, a little-endian word of letters.
+M64, T64, T47 = "14313749767032793493::uhugeint", "18446744073709551616::uhugeint", "140737488355328::uhugeint"
+WORD = "select sum(ascii(substr(k, ({1} + j + 1)::int, 1))::hugeint * power(256::double, j)::hugeint)::uhugeint from range(0, {0}) r(j)"
+MIXED = "({0} * " + M64 + " % " + T64 + ")"
 WHOLE = f"""with {MATCHES}, y as (select read_id, len, count(*) n from x group by all), z as (select read_id, max(len) mlen, arg_max(n, len) n from y group by read_id)
  select b.read_id, case when z.mlen is null then 4 else 0 end unmapped, case when z.n = 1 then 60 else 0 end mapq, coalesce(mlen, 0)::int mlen from b left join z using (read_id)"""
 
@@ -335,6 +343,14 @@ ORACLE = {
     "q07b": f"with {READS} select read_id, min(least(k, {RC('k')})) kmer from (select read_id, substr(seq, i::int, {K}) k from b, unnest(range(1, greatest(length(seq) - {K} + 2, 1))) u(i)) group by read_id",
     "q08": f"with {KMERS} select read_id, part from hits",
     "q09": f"with {KMERS} select read_id, part from hits",
+    "q09_hashes": f"""with {READS}, k as (select read_id, i place, least(k, {RC("k")}) k from (select read_id, i, substr(seq, (i + 1)::int, {K}) k from b, unnest(range(0, greatest(length(seq) - {K} + 1, 0), {STEP})) u(i))),
+ w as (select read_id, place, seed, ({WORD.format(8, 0)}) w0, ({WORD.format(8, 8)}) w1, ({WORD.format(8, 16)}) w2, ({WORD.format(4, 24)}) w3 from k, range(0, {CONFIG.nhash}) s(seed)),
+ a as (select *, {MIXED.format("w0")} m0, {MIXED.format("w1")} m1, {MIXED.format("w2")} m2, xor(seed::uhugeint, {K} * {M64} % {T64}) h from w),
+ h0 as (select *, xor(h, xor(m0, m0 // {T47}) * {M64} % {T64}) * {M64} % {T64} g from a),
+ h1 as (select *, xor(g, xor(m1, m1 // {T47}) * {M64} % {T64}) * {M64} % {T64} f from h0),
+ h2 as (select *, xor(f, xor(m2, m2 // {T47}) * {M64} % {T64}) * {M64} % {T64} e from h1),
+ h3 as (select *, xor(e, w3) * {M64} % {T64} d from h2), h4 as (select *, xor(d, d // {T47}) * {M64} % {T64} c from h3)
+ select read_id, place, seed::int seed, lower(printf('%016x', xor(c, c // {T47})::ubigint)) hash from h4""",
     "q10": f"with recursive {COMPONENTS} select id, comp_id from comps",
     "q10b": f"with recursive {COMPONENTS} select comp_id, count(*) n_vertices, sum(len)::bigint total_len from comps join v using (id) group by comp_id",
     "q11": f"with {KMERS} select read_id, part, '>' || read_id || ':b' || read_id || chr(10) || seq record from hits join b using (read_id)",
@@ -345,6 +361,14 @@ ORACLE = {
   from (select s.rn, s.id, s.len, r.caps, coalesce((select arg_min(i, (caps[i + 1] - s.len, i)) from range(0, 4) t(i) where caps[i + 1] - s.len > 0 and caps[i + 1] - s.len < k.tot),
     coalesce((select max(i) from range(1, 4) t(i) where caps[i + 1] > caps[1]), 0)) part from r join s on s.rn = r.rn + 1, k) q)
  select id, part::int part from r where id >= 0""",
+    # Without the split of components longer than a bin, which these tables lack.
+    "q12_graph": f"""with recursive {COMPONENTS}, cs as (select comp_id, sum(len)::bigint len, row_number() over (order by sum(len) desc, comp_id) rn from comps join v using (id) group by comp_id),
+ k as (select sum(len)::bigint tot, sum(len)::bigint // 4 + 4 + 500 cap from v),
+ p(rn, comp_id, part, caps) as (select 0::bigint, -1::bigint, -1::bigint, [cap, cap, cap, cap]::bigint[] from k union all
+  select q.rn, q.comp_id, q.part, list_transform(q.caps, lambda x, i: case when i = q.part + 1 then x - q.len else x end)
+  from (select cs.rn, cs.comp_id, cs.len, p.caps, coalesce((select arg_min(i, (caps[i + 1] - cs.len, i)) from range(0, 4) t(i) where caps[i + 1] - cs.len > 0 and caps[i + 1] - cs.len < k.tot),
+    coalesce((select max(i) from range(1, 4) t(i) where caps[i + 1] > caps[1]), 0)) part from p join cs on cs.rn = p.rn + 1, k) q)
+ select v.id, p.part::int part from v left join comps using (id) left join p on p.comp_id = comps.comp_id and p.rn > 0""",
     "q12b": f"with {KMERS} select read_id, 'b' || read_id || {UNMAPPED_TAIL} line from b where read_id not in (select read_id from hits)",
     "q13": "select (select count(*) from documents) n_targets, (select count(*) from benchmark) n_reads",
     "q14": f"with {RECORDS} select row_number() over (order by ord, part) - 1 ordinal, raw line from m",
