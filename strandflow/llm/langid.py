@@ -17,6 +17,7 @@ repeated; further columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
@@ -75,22 +76,17 @@ SCRIPT_RANGES = (
 )
 SCRIPTS = ("other", *dict.fromkeys(name for name, _, _ in SCRIPT_RANGES))
 _BY_START = sorted((a, b, SCRIPTS.index(name)) for name, a, b in SCRIPT_RANGES)
-_STARTS = np.array([a for a, _, _ in _BY_START])
+_STARTS, _ENDS, _SCRIPTS = (np.array(x) for x in zip(*_BY_START, strict=True))
 
 
-def script_of(letter: str) -> int:
-    at = int(np.searchsorted(_STARTS, ord(letter), side="right")) - 1
-    return _BY_START[at][2] if at >= 0 and ord(letter) <= _BY_START[at][1] else 0
+def scripts_of(points: np.ndarray) -> np.ndarray:
+    """The script of each code point (of a letter)."""
+    at = np.maximum(np.searchsorted(_STARTS, points, side="right") - 1, 0)
+    return np.where((points >= _STARTS[at]) & (points <= _ENDS[at]), _SCRIPTS[at], 0)
 
 
-_SCRIPT_CACHE: dict[str, int] = {}
-
-
-def cached_script(letter: str) -> int:
-    found = _SCRIPT_CACHE.get(letter)
-    if found is None:
-        found = _SCRIPT_CACHE[letter] = script_of(letter)
-    return found
+#: Letters and what Python's re counts among them besides.
+RUNS = re.compile(r"[^\W\d_]+")
 
 
 def letters_of(word: bytes) -> str:
@@ -98,12 +94,25 @@ def letters_of(word: bytes) -> str:
     text = word.decode("utf-8", "replace").lower()
     if text.isalpha():
         return text
+    text = " ".join(RUNS.findall(text))
+    if text.isascii():
+        return text
     return " ".join("".join(c if c.isalpha() else " " for c in text).split())
 
 
-def grams_of(letters: str) -> list[str]:
-    marked = f" {letters} "
-    return [marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1)]
+def coded(letters: list[str]):
+    """What the words look like side by side, each with a space at both ends: code points, the words' bounds,
+    and for each n the n-grams' numbers (21 bits for each character) and the places at which one begins."""
+    lengths = np.fromiter(map(len, letters), np.int64, len(letters)) + 2
+    points = np.frombuffer("".join(f" {x} " for x in letters).encode("utf-32-le"), "<u4").astype(np.uint64)
+    bounds = offsets(lengths)
+    left = np.repeat(bounds[1:], lengths) - np.arange(len(points))
+    codes, grams = np.zeros(len(points), np.uint64), {}
+    for n in range(1, max(GRAMS) + 1):
+        codes = (codes << np.uint64(21)) | np.append(points[n - 1 :], np.zeros(n - 1, np.uint64))[: len(points)]
+        if n in GRAMS:
+            grams[n] = codes, np.flatnonzero(left >= n)
+    return points, bounds, grams
 
 
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS) -> dict:
@@ -114,41 +123,50 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     def count(batches):
         from collections import Counter
 
-        found: dict[str, Counter] = {}
         for part, texts in text_slices(batches):
+            words: dict[str, Counter] = {}
             for name, one in zip(part.column(part.schema.get_field_index("lang")).to_pylist(), texts, strict=True):
-                own = found.setdefault(name, Counter())
-                for word, n in Counter(one.split()).items():
-                    letters = letters_of(word)
-                    if letters:
-                        for gram in grams_of(letters):
-                            own[gram] += n
-                        for c in letters.replace(" ", ""):
-                            own[f"\x00{cached_script(c)}"] += n
-        for name, own in found.items():
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(own), pa.string()), pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())], names=["lang", "gram", "n"])
-
-    # Bounded by the sample: its n-grams of at most three characters.
-    counted = sample.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow().to_pylist()
-    languages = sorted({r["lang"] for r in counted})
-    grams = {g: i for i, g in enumerate(sorted({r["gram"] for r in counted if r["gram"][0] != "\x00"}))}
-    counts, scripts = np.zeros((len(grams), len(languages))), np.zeros((len(SCRIPTS), len(languages)))
-    for r in counted:
-        if r["gram"][0] == "\x00":
-            scripts[int(r["gram"][1:]), languages.index(r["lang"])] += r["n"]
-        else:
-            counts[grams[r["gram"]], languages.index(r["lang"])] = r["n"]
-    table = np.zeros((len(grams) + 1, len(languages)), np.float32)
-    lengths = np.array([len(g) for g in grams])
+                words.setdefault(name, Counter()).update(one.split())
+            for name, own in words.items():
+                letters = list(map(letters_of, own))
+                points, bounds, grams = coded(letters)
+                times = np.repeat(np.fromiter(own.values(), np.int64, len(own)), np.diff(bounds))
+                empty = np.repeat(np.diff(bounds) == 2, np.diff(bounds))
+                inside = np.flatnonzero(~empty & (points != 0x20))
+                found = [(0, scripts_of(points[inside]).astype(np.uint64), times[inside])]
+                for n, (codes, at) in grams.items():
+                    at = at[~empty[at]]
+                    found.append((n, codes[at], times[at]))
+                for n, codes, weights in found:
+                    distinct, at = np.unique(codes, return_inverse=True)
+                    total = np.bincount(at, weights, len(distinct)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(distinct), pa.string()), pa.array(np.full(len(distinct), n, np.int32)), pa.array(distinct.view(np.int64)), pa.array(total)], names=["lang", "n", "code", "times"])
+
+    # Bounded by the sample: its n-grams of at most three characters, and its letters by script (n = 0).
+    counted = sample.mapInArrow(count, "lang string, n int, code long, times long").groupBy("lang", "n", "code").agg(F.sum("times").alias("times")).toArrow()
+    names, lengths, found, times = (counted.column(c) for c in ("lang", "n", "code", "times"))
+    languages = sorted(set(names.to_pylist()))
+    lang_of = np.array([languages.index(x) for x in names.to_pylist()], np.int64)
+    lengths, found, times = np.asarray(lengths), np.asarray(found).view(np.uint64), np.asarray(times)
+    scripts = np.zeros((len(SCRIPTS), len(languages)))
+    own = lengths == 0
+    np.add.at(scripts, (found[own].astype(np.int64), lang_of[own]), times[own])
+    codes, tables, at = {}, [], 0
     for n in GRAMS:
         own = lengths == n
-        total = counts[own].sum(axis=0) + 0.5 * (own.sum() + 1)
-        table[:-1][own] = np.log((counts[own] + 0.5) / total)
-    # A new n-gram says nothing: its row stays zero. Others are taken against the mean of the languages.
+        known, row = np.unique(found[own], return_inverse=True)
+        counts = np.zeros((len(known), len(languages)))
+        np.add.at(counts, (row, lang_of[own]), times[own])
+        # Of each length the n-grams as sorted numbers, and their rows of the table.
+        codes[n] = known, at + np.arange(len(known))
+        tables.append(np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * (len(known) + 1))))
+        at += len(known)
+    table = np.concatenate(tables).astype(np.float32)
+    # A new n-gram says nothing; others are taken against the mean of the languages.
     if len(languages):
         table -= table.mean(axis=1, keepdims=True)
     used = scripts / np.maximum(scripts.sum(axis=0), 1) >= SCRIPT_SHARE
-    return {"languages": languages, "grams": grams, "table": table, "scripts": used, "id": uuid.uuid4().hex}
+    return {"languages": languages, "codes": codes, "table": table, "scripts": used, "id": uuid.uuid4().hex}
 
 
 class Scorer:
@@ -166,27 +184,36 @@ class Scorer:
         numbers = self.numbers.of(words)
         if fresh := self.numbers.fresh:
             self.numbers.fresh = []
-            grams, unknown = self.model["grams"].get, len(self.model["grams"])
             letters = list(map(letters_of, fresh))
             self.letters.extend([len(x) - x.count(" ") for x in letters])
             if self.model["languages"]:
-                found = [[grams(g, unknown) for g in grams_of(x)] if x else [] for x in letters]
-                counts = np.fromiter(map(len, found), np.int64, len(found))
-                each = self.model["table"][np.fromiter((i for own in found for i in own), np.int64, int(counts.sum()))]
-                scores = sums(each.astype(np.float64), offsets(counts)) / len(GRAMS)
-                # Languages that don't use any of the word's scripts are out, unless none does.
-                for i, x in enumerate(letters):
-                    if x and not x.isascii():
-                        fits = self.model["scripts"][list({cached_script(c) for c in x if c != " "})].any(axis=0)
-                    elif x:
-                        fits = self.model["scripts"][1]
-                    else:
-                        continue
-                    if fits.any() and not fits.all():
-                        scores[i, ~fits] = scores[i].min() - SWITCH
-                self.scores.extend(scores)
+                self.scores.extend(self.score(letters))
         return numbers
 
+    def score(self, letters: list[str]) -> np.ndarray:
+        """The words' scores, from the n-grams of all of them side by side."""
+        table = self.model["table"]
+        points, bounds, grams = coded(letters)
+        total = np.zeros((len(points), table.shape[1]), np.float32)
+        for n, (codes, at) in grams.items():
+            known, rows = self.model["codes"][n]
+            if len(known):
+                found = np.minimum(np.searchsorted(known, codes[at]), len(known) - 1)
+                same = known[found] == codes[at]
+                total[at[same]] += table[rows[found[same]]]
+        scores = sums(total.astype(np.float64), bounds) / len(GRAMS)
+        empty = np.diff(bounds) == 2
+        scores[empty] = 0
+        # Languages that don't use any of a word's scripts are out, unless none does.
+        bits = np.where(points == 0x20, 0, np.int64(1) << scripts_of(points).astype(np.int64))
+        masks = np.bitwise_or.reduceat(bits, bounds[:-1]) if len(letters) else np.zeros(0, np.int64)
+        for mask in np.unique(masks[~empty]):
+            fits = self.model["scripts"][[s for s in range(len(SCRIPTS)) if mask >> s & 1]].any(axis=0)
+            if fits.any() and not fits.all():
+                own = np.flatnonzero(masks == mask)
+                scores[np.ix_(own, np.flatnonzero(~fits))] = (scores[own].min(axis=1) - SWITCH)[:, None]
+        return scores
+
 
 def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float = SWITCH, block: int = BLOCK) -> np.ndarray:
     """The best state of every word: scores (words, states), counts of words of each text; a switch costs penalty."""
