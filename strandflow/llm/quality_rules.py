@@ -50,10 +50,25 @@ def hashed(items: list[bytes], seed: int) -> np.ndarray:
     return np.fromiter((xxh64_intdigest(i, seed) for i in items), np.uint64, len(items))
 
 
-def word_features(word: bytes) -> list[bytes]:
-    """The word and its character n-grams, ends marked; n-grams are of bytes."""
-    marked = b"\x02" + word + b"\x03"
-    return [word, *(marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1))]
+def word_features(words: list[bytes], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The features of each word, one word after another, and how many each has: the word itself and the
+    GRAMS bytes in a row that it has, both ends marked."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    marked = np.frombuffer(b"".join(b"\x02%b\x03" % w for w in words), np.uint8).astype(np.uint64)
+    bounds = offsets(lengths)
+    left = np.repeat(bounds[1:], lengths) - np.arange(len(marked))
+    found, of_word = [hashes], [np.arange(len(words))]
+    own = np.repeat(np.arange(len(words)), lengths)
+    for n in GRAMS:
+        at = np.flatnonzero(left >= n)
+        code = np.full(len(at), n, np.uint64)
+        for i in range(n):
+            code = code << np.uint64(8) | marked[at + i]
+        found.append(mix(code, np.uint64(n)))
+        of_word.append(own[at])
+    of_word = np.concatenate(of_word)
+    order = np.argsort(of_word, kind="stable")
+    return (np.concatenate(found)[order] % np.uint64(FEATURES)).astype(np.int64), np.bincount(of_word, minlength=len(words))
 
 
 class Words:
@@ -75,10 +90,8 @@ class Words:
             self.symbols.extend([len(w) - len(w.translate(None, SYMBOLS)) for w in fresh])
             self.hashes.extend(hashed(fresh, 7))
             if self.weights is not None:
-                features = [word_features(w) for w in fresh]
-                counts = np.fromiter(map(len, features), np.int64, len(features))
-                each = self.weights[(hashed([f for own in features for f in own], 1) % np.uint64(FEATURES)).astype(np.int64)]
-                self.adds.extend(sums(each, offsets(counts)))
+                features, counts = word_features(fresh, self.hashes.view()[-len(fresh) :])
+                self.adds.extend(sums(self.weights[features].astype(np.float64), offsets(counts)))
         return numbers
 
 
@@ -135,9 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             numbers = known.of(words)
             hashes = known.hashes.view()[numbers]
             pairs, of_text = pair_features(hashes, counts)
-            features = [word_features(w) for w in known.numbers]
-            lengths = np.fromiter(map(len, features), np.int64, len(features))
-            each = (hashed([f for own in features for f in own], 1) % np.uint64(FEATURES)).astype(np.int64)
+            each, lengths = word_features(list(known.numbers), known.hashes.view())
             flat = each[spread(offsets(lengths)[numbers], lengths[numbers])] if len(numbers) else np.zeros(0, np.int64)
             rows = np.concatenate((np.repeat(np.repeat(np.arange(len(counts)), counts), lengths[numbers]), of_text))
             cells, found = np.unique(rows * FEATURES + np.concatenate((flat, pairs)), return_counts=True)
