@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kmers import COMPLEMENT, NORMAL, murmur64a
+from ..functions.kmers import COMPLEMENT, NORMAL, distinct, murmur64a
 from ..functions.sequences import n_kmers
 from .dispatch import exact
 
@@ -49,7 +49,7 @@ def build(targets: DataFrame, k: int, sizes: dict[int, int], nhash: int) -> Data
     the bits' places, or the whole block where that is smaller. Blocks are then put together."""
 
     def blocks(part: int, found: list[np.ndarray]) -> pa.RecordBatch:
-        bits = np.unique(np.concatenate([murmur64a(rows, s) % np.uint64(sizes[part]) for rows in found for s in range(nhash)])).astype(np.int64)
+        bits = distinct(np.concatenate([murmur64a(rows, s) % np.uint64(sizes[part]) for rows in found for s in range(nhash)])).astype(np.int64)
         begins = np.flatnonzero(np.diff(bits // BLOCK_BITS, prepend=-1))
         own = [packed((x % BLOCK_BITS).astype("<u4")) for x in np.split(bits, begins[1:])]
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(begins), part, np.int32)), pa.array(bits[begins] // BLOCK_BITS), pa.array(own, pa.binary())], names=["part", "block", "bits"])

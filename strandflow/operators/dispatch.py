@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kmers import kmer_keys
+from ..functions.kmers import distinct, kmer_keys
 from ..functions.sequences import mate_suffix
 from ..storage import numbered, written
 
@@ -23,7 +23,7 @@ def keys_of(rows: DataFrame, own: str, k: int, step: int = 1) -> DataFrame:
         for batch in batches:
             ids, keys = [], []
             for i, seq in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
-                found = np.unique(kmer_keys(seq, k, step)) if seq else np.zeros(0, np.uint64)
+                found = distinct(kmer_keys(seq, k, step)) if seq else np.zeros(0, np.uint64)
                 ids.append(np.full(len(found), i))
                 keys.append(found)
                 if sum(map(len, keys)) > 1 << 20 or i + 1 == batch.num_rows:

@@ -18,7 +18,7 @@ from ..functions.sequences import canonical, cigar_match_length, dna, kmer_at, m
 from ..operators import bloom, compare, dispatch, graph, header, merge, packing, stats
 from ..operators.align import longest_exact_match
 from ..sources import readers
-from ..storage import numbered, shared_dir, written
+from ..storage import numbered, shared_dir, spread_out, written
 from ..streaming.stream import run_stream
 from . import pipeline
 
@@ -33,7 +33,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """target_id, name, part, seq."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread_out(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select(F.col("doc_id").alias("target_id"), F.col("doc_id").cast("string").alias("name"), F.pmod("doc_id", F.lit(PARTS)).cast("int").alias("part"), dna(F.col("text")).alias("seq"))
 
 

@@ -26,6 +26,14 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread_out(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores, where a scan gives fewer (small files of one row group).
+
+    The rows of a large table come in more partitions and stay where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def numbered(df: DataFrame, *order: Column | str, name: str = "ordinal", within: str | None = None) -> DataFrame:
     """df with a dense number from 0 in the given order (in each value of `within`, by which it then sorts first).
 
