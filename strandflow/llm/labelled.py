@@ -45,7 +45,7 @@ def platt(scores: np.ndarray, labels: np.ndarray, rounds: int = 100) -> tuple[fl
     return float(a), float(b)
 
 
-def logistic(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, n_rows: int, n_columns: int, labels: np.ndarray, l2: float, rounds: int = 150) -> tuple[np.ndarray, float]:
+def logistic(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, n_rows: int, n_columns: int, labels: np.ndarray, l2: float, rounds: int = 70) -> tuple[np.ndarray, float]:
     """Weights and bias of an L2 logistic regression over sparse entries (row, column, value); Adam on the whole sample."""
     weights, bias = np.zeros(n_columns), 0.0
     parts = [slice(a, a + (1 << 20)) for a in range(0, len(rows), 1 << 20)]  # so that no temporary is large

@@ -54,7 +54,7 @@ URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block",
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import judged
 
-    return judged(read_table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+    return judged(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
 OP5_SQL = r"""

@@ -32,6 +32,8 @@ from .common import text_slices, written
 from .components import components
 
 SHINGLE_WORDS, SEED, MOST_BITS = 4, 42, 4
+#: Shingles of one text whose hashes are held at once.
+HASHES = 1 << 15
 #: Fingerprints that partition and thresholds are planned on.
 PLAN_SAMPLE = 4096
 #: Classes of a posting compared by one task.
@@ -54,10 +56,12 @@ def fingerprint(words: list[bytes], width: int = SHINGLE_WORDS, seed: int = SEED
         begins, ends = begins[: n - width + 1], ends[width - 1 :]
     else:
         begins, ends = begins[:1], ends[-1:]
-    hashes = b"".join(map(xxh64_digest, [joined[a:b] for a, b in zip(begins.tolist(), ends.tolist())], repeat(seed)))
-    bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1)
-    ones = bits.sum(axis=0, dtype=np.int64) if len(bits) < 1 << 16 else sum(bits[i : i + (1 << 16)].sum(axis=0, dtype=np.int64) for i in range(0, len(bits), 1 << 16))
-    return int.from_bytes(np.packbits(2 * ones > len(bits)).tobytes(), "big")
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(begins), HASHES):
+        part = zip(begins[i : i + HASHES].tolist(), ends[i : i + HASHES].tolist())
+        hashes = b"".join(map(xxh64_digest, [joined[a:b] for a, b in part], repeat(seed)))
+        ones += np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(begins)).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
