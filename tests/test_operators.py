@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from conftest import rows
+from helpers import rows
 from strandflow.config import AlignConfig
 from strandflow.functions import kmers, names
 from strandflow.operators import align, bloom, compare, dispatch, graph, header, merge, packing, stats

@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from conftest import SF, oracle_rows, rows
+from helpers import SF, oracle_rows, rows
 from strandflow.plans import catalogue
 
 
