@@ -29,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = sc.getCheckpointDir()
         if not base:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             base = tempfile.mkdtemp(prefix="strandflow-")
             sc.setCheckpointDir(base)
     elif not sc.getCheckpointDir():

@@ -114,6 +114,7 @@ def thresholds(costs: list[list[float]], most: int) -> tuple[float, list[int]]:
 def plan(sample: np.ndarray, n: int, most: int = MOST_BITS) -> list[tuple[list[int], int]]:
     """(bits of a group, its threshold) for those groups that are used, for n classes."""
     best: tuple[float, list] = (float("inf"), [])
+    sample = sample if len(sample) else np.zeros(1, np.uint64)
     few = sample[:512]
     for n_groups in range(2, most + 2):
         groups, costs = bit_groups(sample, n_groups), []
