@@ -30,7 +30,7 @@ from .common import written
 #: Pivots; how deep their order is kept; files that a vector is posted in; files that a query looks into.
 PIVOTS, DEPTH, POSTED, PROBED = 128, 64, 4, 48
 #: The share of a block's vectors that is reranked, and how many at least.
-RERANK_SHARE, RERANK_LEAST = 0.15, 64
+RERANK_SHARE, RERANK_LEAST = 0.25, 128
 #: Vectors and queries that one task compares (expected numbers).
 BLOCK_ROWS, BLOCK_QUERIES = 8192, 2048
 
