@@ -17,6 +17,8 @@ from strandflow.llm.labelled import key_mod
 
 #: A text is rejected without a language, or if its language has less than this share of its letters.
 LEAST_LANGUAGE_SHARE = 0.3
+#: Texts whose five-word shingles agree by this share (Jaccard) are near copies.
+LEAST_SIMILARITY = 0.8
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +33,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each component stays."""
-    return simhash.one_of_each(docs)
+    """The document of smallest doc_id of each component stays; links are op10's and LEAST_SIMILARITY."""
+    return simhash.one_of_each(docs, similar=LEAST_SIMILARITY)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,6 +13,10 @@ are one class. Classes link at `most` or fewer differing bits; found without com
 Postings with very many classes are compared in blocks of a grid, each pair of blocks in some task.
 Components of the links give each document the smallest doc_id that it reaches.
 
+With `similar`, texts whose sets of SET_WORDS-word shingles agree by that share (Jaccard) are linked too:
+those with an equal band of minima under BANDS times BAND_MINIMA hash orders are compared by their whole
+sets. Texts at 0.8 share no band with probability 4e-6; what is linked has been compared.
+
 Null and empty texts have fingerprint zero, linked like any other. Rows with a null doc_id get their
 component like others and name one only if nothing else can (component null: no doc_id reaches it).
 Repeated rows stay. Further columns are ignored. An empty table gives no rows.
@@ -40,15 +44,17 @@ PLAN_SAMPLE = 4096
 POSTING_ROWS = 4096
 #: Relative costs: a posted row (shuffled, sorted), a comparison.
 ROW_COST, COMPARE_COST = 1.0, 0.004
+#: Shingles of the sets that `similar` compares; bands, and minima in each.
+SET_WORDS, BANDS, BAND_MINIMA = 5, 24, 4
+#: Texts of a band's posting up to which its pairs are listed; sets of a larger one are compared in one task up to SET_ROWS.
+PAIRED, SET_ROWS = 48, 1024
 
 
-def fingerprint(words: list[bytes], width: int = SHINGLE_WORDS, seed: int = SEED) -> int:
-    """The fingerprint of lower-cased words, as an unsigned number."""
+def shingle_hashes(words: list[bytes], width: int, seed: int):
+    """The hashes of the words' shingles as bytes, HASHES shingles at once; fewer words than `width` are one shingle."""
     from xxhash import xxh64_digest
 
     n = len(words)
-    if not n:
-        return 0
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     begins = np.concatenate(([0], ends[:-1] + 1))
@@ -56,12 +62,21 @@ def fingerprint(words: list[bytes], width: int = SHINGLE_WORDS, seed: int = SEED
         begins, ends = begins[: n - width + 1], ends[width - 1 :]
     else:
         begins, ends = begins[:1], ends[-1:]
-    ones = np.zeros(64, np.int64)
     for i in range(0, len(begins), HASHES):
         part = zip(begins[i : i + HASHES].tolist(), ends[i : i + HASHES].tolist())
-        hashes = b"".join(map(xxh64_digest, [joined[a:b] for a, b in part], repeat(seed)))
-        ones += np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(begins)).tobytes(), "big")
+        yield b"".join(map(xxh64_digest, [joined[a:b] for a, b in part], repeat(seed)))
+
+
+def fingerprint(words: list[bytes], width: int = SHINGLE_WORDS, seed: int = SEED) -> int:
+    """The fingerprint of lower-cased words, as an unsigned number."""
+    if not words:
+        return 0
+    ones, n = np.zeros(64, np.int64), 0
+    for hashes in shingle_hashes(words, width, seed):
+        bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1)
+        ones += bits.sum(axis=0, dtype=np.int64)
+        n += len(bits)
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
@@ -234,15 +249,176 @@ def links(classes: DataFrame, most: int = MOST_BITS, posting_rows: int = POSTING
     return dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE_WORDS, seed: int = SEED, most: int = MOST_BITS) -> DataFrame:
+def shingle_set(words: list[bytes], seed: int = SEED) -> np.ndarray:
+    """The hashes of the text's different shingles of SET_WORDS words, sorted."""
+    return np.unique(np.frombuffer(b"".join(shingle_hashes(words, SET_WORDS, seed)), np.uint64)) if words else np.zeros(0, np.uint64)
+
+
+def set_name(words: list[bytes]) -> int:
+    """A number for the text as it is compared."""
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(b" ".join(words), 1)
+
+
+_ORDERS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * BAND_MINIMA, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(own: np.ndarray) -> np.ndarray:
+    """A key for each band of a set's minima."""
+    least = np.full(BANDS * BAND_MINIMA, ~np.uint64(0))
+    with np.errstate(over="ignore"):
+        for i in range(0, len(own), 512):
+            least = np.minimum(least, ((own[None, i : i + 512] ^ _ORDERS[0]) * _ORDERS[1]).min(axis=1))
+        keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+        for column in least.reshape(BANDS, BAND_MINIMA).T:
+            keys = (keys ^ column) * np.uint64(0x9E3779B97F4A7C15)
+            keys ^= keys >> np.uint64(29)
+    return keys
+
+
+def with_sets(docs: DataFrame, key: str, text: str, width: int, seed: int, bands: bool) -> DataFrame:
+    """doc_id, fp, name, size of the text's set, and its keys (with `bands`) or the set itself; texts without a word have size 0."""
+
+    def run(batches):
+        for part, texts in text_slices(batches):
+            words = [t.lower().split() if t else [] for t in texts]
+            sets = [shingle_set(w, seed) for w in words]
+            made = {
+                "doc_id": part.column(0),
+                "fp": pa.array(np.fromiter((fingerprint(w, width, seed) for w in words), np.uint64, len(words)).view(np.int64)),
+                "name": pa.array(np.fromiter(map(set_name, words), np.uint64, len(words)).view(np.int64)),
+                "size": pa.array(list(map(len, sets)), pa.int64()),
+            }
+            if bands:
+                keys = np.concatenate([band_keys(x) for x in sets]).view(np.int64) if sets else np.zeros(0, np.int64)
+                made["keys"] = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(keys))
+            else:
+                made["own"] = pa.array([x.tobytes() for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays(list(made.values()), names=list(made))
+
+    kinds = "doc_id long, fp long, name long, size long, " + ("keys array<long>" if bands else "own binary")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, kinds)
+
+
+def agree(own: np.ndarray, flat: np.ndarray, bounds: np.ndarray, similar: float) -> np.ndarray:
+    """Which of the sets between successive bounds of `flat` agree with `own` by `similar`; none of them is empty."""
+    met = np.concatenate(([0], np.cumsum(own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat)))
+    common = met[bounds[1:]] - met[bounds[:-1]]
+    return common >= similar * (len(own) + np.diff(bounds) - common)
+
+
+def set_forest(sets: list[np.ndarray], similar: float) -> list[tuple[int, int]]:
+    """A spanning forest of the links among these sets, by their numbers."""
+    out, left, queue = [], np.arange(len(sets)), []
+    while len(left):
+        if not queue:
+            queue, left = [left[0]], left[1:]
+        one = queue.pop()
+        near = np.zeros(len(left), bool)
+        for i in range(0, len(left), 256):  # so that no copy is large
+            part = [sets[k] for k in left[i : i + 256]]
+            near[i : i + 256] = agree(sets[one], np.concatenate(part), np.cumsum([0, *map(len, part)]), similar)
+        out += [(one, other) for other in left[near]]
+        queue += list(left[near])
+        left = left[~near]
+    return out
+
+
+def whole_keys(batches, n_keys: int):
+    """Lists of columns in which no key (of the first n_keys columns, rows sorted by them) goes on into the next."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if rest is None else pa.concat_tables([rest, table])
+        keys = np.stack([np.asarray(table.column(i)) for i in range(n_keys)], axis=1)
+        other = np.flatnonzero((keys != keys[-1:]).any(axis=1))
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if cut:
+            yield keys[:cut], table.slice(0, cut)
+        rest = table.slice(cut)
+    if rest is not None and len(rest):
+        yield np.stack([np.asarray(rest.column(i)) for i in range(n_keys)], axis=1), rest
+
+
+def begins_of(keys: np.ndarray) -> np.ndarray:
+    return np.append(np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1)))), len(keys))
+
+
+def similar_links(own: DataFrame, docs: DataFrame, key: str, text: str, width: int, seed: int, similar: float, paired: int = PAIRED, set_rows: int = SET_ROWS) -> DataFrame:
+    """Edges (a, b) between the fingerprints of texts whose sets agree by `similar`; `own` is with_sets(docs) with bands."""
+    classes = written(own.where("size > 0").groupBy("name").agg(F.min("doc_id").alias("first_id"), F.first("size").alias("size"), F.first("keys").alias("keys")), "sets")
+    posted = classes.select(F.explode("keys").alias("key"), "name", "size")
+    large = written(posted.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > paired), "large")
+
+    def list_pairs(batches):
+        for keys, table in whole_keys(batches, 1):
+            names, sizes = np.asarray(table.column("name")), np.asarray(table.column("size"))
+            bounds = begins_of(keys)
+            until = np.repeat(bounds[1:], np.diff(bounds))
+            at = np.arange(len(keys))
+            for lag in range(1, paired):
+                at = at[at + lag < until[at]]
+                if not len(at):
+                    break
+                # Sets that agree by that share are not further apart in size.
+                near = np.minimum(sizes[at], sizes[at + lag]) >= similar * np.maximum(sizes[at], sizes[at + lag])
+                one, other = names[at[near]], names[at[near] + lag]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, other)), pa.array(np.maximum(one, other))], names=["one", "other"])
+
+    none_large = large.isEmpty()
+    small = posted if none_large else posted.join(large, "key", "left_anti")
+    pairs = written(small.repartition("key").sortWithinPartitions("key").mapInArrow(list_pairs, "one long, other long").distinct(), "pairs")
+    needed = pairs.select(F.col("one").alias("name")).unionByName(pairs.select(F.col("other").alias("name")))
+    if not none_large:
+        needed = needed.unionByName(posted.join(large, "key").select("name"))
+    reps = written(classes.join(needed.distinct(), "name", "left_semi").select("name", "first_id"), "needed")
+    # A text for each: that of its smallest doc_id.
+    those = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    texts = those.join(reps.where("first_id is not null").select(F.col("first_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    if not reps.where("first_id is null").isEmpty():
+        texts = texts.unionByName(those.where("doc_id is null"))
+    sets = with_sets(texts, "doc_id", "text", width, seed, False).join(reps.select("name"), "name", "left_semi")
+    sets = written(sets.groupBy("name").agg(F.first("fp").alias("fp"), F.first("own").alias("own")), "shingles")
+
+    def compare(batches):
+        for batch in batches:
+            one, other = ([np.frombuffer(x, np.uint64) for x in batch.column(i).to_pylist()] for i in (2, 3))
+            near = np.array([agree(x, y, np.array([0, len(y)]), similar)[0] for x, y in zip(one, other, strict=True)], bool)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(near)) for i in (0, 1)], names=["a", "b"])
+
+    for side, fp, held in (("one", "a", "x"), ("other", "b", "y")):
+        pairs = pairs.join(sets.select(F.col("name").alias(side), F.col("fp").alias(fp), F.col("own").alias(held)), side)
+    found = pairs.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    if none_large:
+        return found
+
+    def span(batches):
+        for keys, table in whole_keys(batches, 3):
+            fps, bounds = np.asarray(table.column("fp")), begins_of(keys)
+            for a, b in zip(bounds[:-1], bounds[1:]):
+                of = [np.frombuffer(x, np.uint64) for x in table.column("own").slice(a, b - a).to_pylist()]
+                edges = np.array(set_forest(of, similar), np.int64).reshape(-1, 2) + a
+                yield pa.RecordBatch.from_arrays([pa.array(fps[edges[:, 0]]), pa.array(fps[edges[:, 1]])], names=["a", "b"])
+
+    blocks = posted.join(large.withColumn("blocks", F.ceil(2 * F.col("n") / set_rows).cast("int")), "key").withColumn("block", F.pmod(F.xxhash64("name"), "blocks").cast("int"))
+    cells = blocks.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("block <> with or blocks = 1")
+    cells = cells.select("key", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), "name").join(sets, "name").select("key", "x", "y", "fp", "own")
+    return found.unionByName(cells.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(span, "a long, b long"))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE_WORDS, seed: int = SEED, most: int = MOST_BITS, similar: float | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id of its component) of every row."""
-    own = written(fingerprints(docs, key, text, width, seed), "fingerprints")
+    own = written(fingerprints(docs, key, text, width, seed) if similar is None else with_sets(docs, key, text, width, seed, True), "fingerprints")
     classes = written(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
-    joined = components(links(classes, most)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
+    edges = links(classes, most)
+    if similar is not None:
+        edges = edges.unionByName(similar_links(own, docs, key, text, width, seed, similar))
+    joined = components(edges).select(F.col("node").alias("fp"), F.col("component").alias("root"))
     rooted = written(classes.join(joined, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     labels = rooted.join(smallest, "root").select("fp", "component_id")
-    return own.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return own.select("doc_id", "fp").join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:

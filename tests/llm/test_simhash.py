@@ -134,3 +134,51 @@ def test_components(spark):
     path = [(i, i + 1) for i in range(100)]
     rng.shuffle(path)
     assert {r.component for r in components(spark.createDataFrame(path, "a long, b long")).collect()} == {0}
+
+
+def five_word_sets(texts):
+    split = [t.lower().split() for t in texts]
+    return [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in split]
+
+
+def edited_copies(rng, copies):
+    """Texts of 150 words, `copies` of each with one to four words replaced, and others unlike them."""
+    vocabulary = [f"w{i}" for i in range(3000)]
+    out = []
+    for _ in range(8):
+        words = rng.choices(vocabulary, k=150)
+        for n in range(copies):
+            own = list(words)
+            for _ in range(n and rng.randrange(1, 5)):
+                own[rng.randrange(150)] = rng.choice(vocabulary)
+            out.append(" ".join(own))
+    return out + [" ".join(rng.choices(vocabulary, k=rng.randrange(3, 150))) for _ in range(60)]
+
+
+def test_similar_texts_are_linked(spark):
+    texts = edited_copies(random.Random(5), 7)
+    sets = five_word_sets(texts)
+    bits = [plain_fingerprint(t) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) or (bits[i] ^ bits[j]).bit_count() <= 4]
+    assert sum((bits[i] ^ bits[j]).bit_count() > 4 for i, j in pairs) > 20
+    want = labels_of(pairs, range(len(texts)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, similar=0.8).collect()} == want
+    assert {r.doc_id for r in simhash.one_of_each(docs, similar=0.8).collect()} == set(want.values())
+    own = simhash.with_sets(docs, "doc_id", "text", 4, 42, True).cache()
+    number = {b: i for i, b in enumerate(bits)}
+    exact = labels_of([(i, j) for i, j in pairs if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])], range(len(texts)))
+    # Listed pairs; some postings, then all, compared in blocks.
+    for paired, set_rows in ((48, 1024), (3, 1024), (1, 4)):
+        edges = simhash.similar_links(own, docs, "doc_id", "text", 4, 42, 0.8, paired, set_rows).collect()
+        assert labels_of([(number[r.a % (1 << 64)], number[r.b % (1 << 64)]) for r in edges], range(len(texts))) == exact
+
+
+def test_pipeline_stage_drops_similar_texts(spark):
+    import corpus_pipeline
+
+    texts = edited_copies(random.Random(6), 4)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = five_word_sets(texts)
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert not [(i, j) for i in kept for j in kept if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
