@@ -2,7 +2,8 @@
 
 Words are runs without U+0020 and U+0009 to U+000D. The regression's features are hashed word, word
 pair and character n-gram counts, each divided by the text's words; it is fitted on a bounded sample of
-labelled rows and calibrated on another part of it (Platt). A text is scored in Arrow batches: what one
+labelled rows and calibrated on another part of it (Platt); each row weighs as many as it stands for, so
+that probabilities mean the same at every size. A text is scored in Arrow batches: what one
 word adds is computed once per distinct word and kept in a bounded table per worker.
 
 Null and empty texts have no words: all counts 0, base_failed, not kept. Where no label of both kinds
@@ -138,8 +139,8 @@ def pair_features(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, n
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> dict | None:
     """The model: weights (float32), bias, the calibration's a and b; None without labels of both kinds."""
     marked = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).where("key is not null and label in (0, 1)")
-    marked = bounded_sample(marked.groupBy("key").agg(F.min("label").alias("label")), "key", "label", sample_rows)
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(marked), "key").select("key", "text", "label", (hash_share("key", 5) < 0.25).alias("calibrates"))
+    marked = bounded_sample(marked.groupBy("key").agg(F.min("label").alias("label")), "key", "label", sample_rows, "weight")
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(marked), "key").select("key", "text", "label", "weight", (hash_share("key", 5) < 0.25).alias("calibrates"))
 
     def run(batches):
         for part, texts in text_slices(batches):
@@ -156,11 +157,12 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             bounds = offsets(per)
             values = (found / np.maximum(counts, 1)[cells // FEATURES]).astype(np.float32)
             columns = (cells % FEATURES).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("label")), part.column(part.schema.get_field_index("calibrates")), pa.array([columns[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary()), pa.array([values[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())], names=["label", "calibrates", "columns", "values"])
+            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("label")), part.column(part.schema.get_field_index("weight")), part.column(part.schema.get_field_index("calibrates")), pa.array([columns[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary()), pa.array([values[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())], names=["label", "weight", "calibrates", "columns", "values"])
 
     # The bound: twice sample_rows rows of label and distinct features.
-    sample = rows.mapInArrow(run, "label int, calibrates boolean, columns binary, values binary").toArrow()
+    sample = rows.mapInArrow(run, "label int, weight double, calibrates boolean, columns binary, values binary").toArrow()
     marks = np.asarray(sample.column("label").to_pylist(), np.float64)
+    weigh = np.asarray(sample.column("weight").to_pylist(), np.float64)
     calibrates = np.asarray(sample.column("calibrates").to_pylist(), bool)
     if min(sum(marks[~calibrates] == v) for v in (0, 1)) < 1 or len(marks) < 4:
         return None
@@ -169,10 +171,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     per = np.fromiter(map(len, columns), np.int64, len(columns))
     fits = np.flatnonzero(~calibrates)
     row = np.repeat(np.arange(len(fits), dtype=np.int32), per[fits])
-    weights, bias = logistic(row, np.concatenate([columns[i] for i in fits]), np.concatenate([values[i] for i in fits]) * np.float32(SCALE), len(fits), FEATURES, marks[fits], L2)
+    weights, bias = logistic(row, np.concatenate([columns[i] for i in fits]), np.concatenate([values[i] for i in fits]) * np.float32(SCALE), len(fits), FEATURES, marks[fits], L2, per_row=weigh[fits])
     scores = np.array([weights[c] @ v * SCALE for c, v in zip(columns, values, strict=True)]) + bias
     held = calibrates if len(set(marks[calibrates])) == 2 else ~calibrates
-    a, b = platt(scores[held], marks[held])
+    a, b = platt(scores[held], marks[held], weights=weigh[held])
     return {"weights": (weights * SCALE).astype(np.float32), "bias": bias, "a": a, "b": b, "id": uuid.uuid4().hex}
 
 

@@ -3,7 +3,8 @@
 Boosted shallow trees are grown on the statistics of a bounded sample of labelled rows. Every path from
 a root to a node is a rule: a conjunction of "statistic <= bound" and "statistic > bound". A logistic
 regression with an L1 penalty weighs them, which leaves few; these are compiled into one Spark column
-expression over the statistics' columns.
+expression over the statistics' columns. Sampled rows weigh as many as they stand for, so that scores mean
+the same at every size.
 
 Null and empty texts have all statistics 0 and are scored like others. Without labels of both kinds
 the score is the share of label 1 (0.5 without labels). Rows keep their doc_id, null or repeated;
@@ -143,10 +144,11 @@ def grown(bins: np.ndarray, bounds: list[np.ndarray], gradient: np.ndarray, hess
         grown(bins, bounds, gradient, hessian, own, (*path, (i, above, bound)), rules, move)
 
 
-def fitted(x: np.ndarray, labels: np.ndarray) -> Ensemble:
-    """The ensemble for the rows of statistics x with labels 0 and 1."""
-    prior = float(labels.mean()) if len(labels) else 0.5
-    if len(labels) < 2 * LEAST_LEAF or prior in (0.0, 1.0):
+def fitted(x: np.ndarray, labels: np.ndarray, weigh: np.ndarray | None = None) -> Ensemble:
+    """The ensemble for the rows of statistics x with labels 0 and 1 and the rows' weights."""
+    weigh = np.ones(len(labels)) if weigh is None or not len(labels) else weigh / weigh.mean()
+    prior = float((weigh * labels).mean()) if len(labels) else 0.5
+    if len(labels) < 2 * LEAST_LEAF or len(np.unique(labels)) < 2:
         share = min(max(prior, 1e-6), 1 - 1e-6)
         return Ensemble(float(np.log(share / (1 - share))), [])
     bounds, bins = [], np.zeros(x.shape, np.int64)
@@ -163,7 +165,7 @@ def fitted(x: np.ndarray, labels: np.ndarray) -> Ensemble:
     for _ in range(TREES):
         p = sigmoid(margin)
         move = np.zeros(len(x))
-        grown(bins, bounds, p - labels, p * (1 - p), np.arange(len(x)), (), rules, move)
+        grown(bins, bounds, weigh * (p - labels), weigh * p * (1 - p), np.arange(len(x)), (), rules, move)
         margin += LEARNING_RATE * move
     columns, kept = {}, []
     for rule in dict.fromkeys(tuple(sorted(r)) for r in rules):
@@ -172,17 +174,19 @@ def fitted(x: np.ndarray, labels: np.ndarray) -> Ensemble:
         if 0 < met.sum() < len(x) and mark not in columns:
             columns[mark] = met
             kept.append(rule)
-    return lasso(np.stack(list(columns.values()), axis=1).astype(np.float64), labels, kept, prior)
+    if not kept:
+        return Ensemble(float(np.log(prior / (1 - prior))), [])
+    return lasso(np.stack(list(columns.values()), axis=1).astype(np.float64), labels, kept, prior, weigh)
 
 
-def lasso(met: np.ndarray, labels: np.ndarray, rules: list[Rule], prior: float, rounds: int = 1500) -> Ensemble:
+def lasso(met: np.ndarray, labels: np.ndarray, rules: list[Rule], prior: float, weigh: np.ndarray, rounds: int = 1500) -> Ensemble:
     """L1 logistic regression by accelerated proximal gradient steps."""
     n = len(labels)
     scale = np.maximum(met.std(axis=0), 1e-3)
     z = np.hstack(((met - met.mean(axis=0)) / scale, np.ones((n, 1))))
     vector = np.ones(z.shape[1])
     for _ in range(30):
-        vector = z.T @ (z @ vector)
+        vector = z.T @ (weigh * (z @ vector))
         norm = np.linalg.norm(vector)
         vector /= norm
     step = 4 * n / (norm * 1.05)
@@ -190,7 +194,7 @@ def lasso(met: np.ndarray, labels: np.ndarray, rules: list[Rule], prior: float,
     weights[-1] = np.log(prior / (1 - prior))
     ahead, t = weights.copy(), 1.0
     for _ in range(rounds):
-        new = ahead - step * (z.T @ (sigmoid(z @ ahead) - labels) / n)
+        new = ahead - step * (z.T @ (weigh * (sigmoid(z @ ahead) - labels)) / n)
         new[:-1] = np.sign(new[:-1]) * np.maximum(np.abs(new[:-1]) - step * L1, 0)
         t, before = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
         ahead = new + (before - 1) / t * (new - weights)
@@ -205,12 +209,12 @@ def lasso(met: np.ndarray, labels: np.ndarray, rules: list[Rule], prior: float,
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Ensemble:
     marked = labels.select(F.col(key).alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
-    marked = bounded_sample(marked.groupBy("doc_id").agg(F.min("label").alias("label")), "doc_id", "label", sample_rows)
+    marked = bounded_sample(marked.groupBy("doc_id").agg(F.min("label").alias("label")), "doc_id", "label", sample_rows, "weight")
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(marked), "doc_id")
-    sample = with_statistics(rows, also=("label",)).toArrow()  # twice sample_rows rows of numbers
+    sample = with_statistics(rows, also=("label", "weight")).toArrow()  # twice sample_rows rows of numbers
     order = np.argsort(np.asarray(sample.column("doc_id")), kind="stable")
     x = np.stack([np.asarray(sample.column(c)) for c in STATISTICS], axis=1)[order]
-    return fitted(x, np.asarray(sample.column("label"), np.float64)[order])
+    return fitted(x, np.asarray(sample.column("label"), np.float64)[order], np.asarray(sample.column("weight"), np.float64)[order])
 
 
 def scored(docs: DataFrame, ensemble: Ensemble, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -84,3 +84,17 @@ def test_ensemble_without_labels(documents, labels, no_docs, odd_docs):
     only_good = rule_ensemble.fit(documents, labels.where("quality = 1"))
     assert rule_ensemble.scored(odd_docs, only_good).agg(F.min("score")).first()[0] > 0.99
     assert rule_ensemble.scored(no_docs, only_good).count() == 0
+
+
+def test_thresholds_mean_the_same_when_labels_are_sampled(spark):
+    # Six good to one bad, alike: the share of good is the right probability, sampled or not.
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{k}" for k in rng.integers(0, 30, 40)), int(i % 7 > 0)) for i in range(2100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int").cache()
+    for sample_rows in (250, 5000):
+        model = quality_rules.fit(docs, docs, sample_rows=sample_rows)
+        assert abs(quality_rules.judged(docs, model).agg(F.avg("probability")).first()[0] - 6 / 7) < 0.1
+        # Two kinds of text only, so that rules cannot learn the sample by heart.
+        kinds = docs.withColumn("text", F.expr("if(doc_id % 2 = 0, 'a b c', 'aa bb cc dd')"))
+        ensemble = rule_ensemble.fit(kinds, kinds, sample_rows=sample_rows)
+        assert abs(rule_ensemble.scored(kinds, ensemble).agg(F.avg("score")).first()[0] - 6 / 7) < 0.1
