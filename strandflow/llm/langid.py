@@ -3,7 +3,9 @@
 A word's script (ranges of code points) narrows the languages it can be in to those that use the script
 in the training rows. Character n-grams give the word a log-probability in each of them. A Viterbi pass
 over a text's words, with a fixed penalty for each switch of language, labels the spans; the text's
-language is the one with most letters.
+language is the one with most letters. The score is a share, no confidence: that is the share of the words'
+longest n-grams that the languages of their spans were seen with, near 1 in a learned language and low in
+others, in a script that was not learned, and in gibberish.
 
 The pass works on blocks of words of many texts side by side: first each block's best scores from every
 entry state to every exit state, which compose by (max, +) along a text, then the states inside each
@@ -36,6 +38,8 @@ GRAMS = (1, 2, 3)
 SWITCH = 12.0
 #: A language uses a script if this share of its letters has it.
 SCRIPT_SHARE = 0.01
+#: An n-gram was seen with a language if this share of its n-grams are this one: a larger sample holds more by chance.
+SEEN_SHARE = 2e-5
 TABLE_WORDS = 300_000
 BLOCK = 64
 UNKNOWN = "und"
@@ -151,7 +155,7 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     scripts = np.zeros((len(SCRIPTS), len(languages)))
     own = lengths == 0
     np.add.at(scripts, (found[own].astype(np.int64), lang_of[own]), times[own])
-    codes, tables, at = {}, [], 0
+    codes, tables, seen, at = {}, [], [], 0
     for n in GRAMS:
         own = lengths == n
         known, row = np.unique(found[own], return_inverse=True)
@@ -160,13 +164,14 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         # Of each length the n-grams as sorted numbers, and their rows of the table.
         codes[n] = known, at + np.arange(len(known))
         tables.append(np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * (len(known) + 1))))
+        seen.append((counts > 0) & (counts >= SEEN_SHARE * counts.sum(axis=0)))
         at += len(known)
     table = np.concatenate(tables).astype(np.float32)
     # A new n-gram says nothing; others are taken against the mean of the languages.
     if len(languages):
         table -= table.mean(axis=1, keepdims=True)
     used = scripts / np.maximum(scripts.sum(axis=0), 1) >= SCRIPT_SHARE
-    return {"languages": languages, "codes": codes, "table": table, "scripts": used, "id": uuid.uuid4().hex}
+    return {"languages": languages, "codes": codes, "table": table, "seen": np.concatenate(seen).astype(np.float32), "scripts": used, "id": uuid.uuid4().hex}
 
 
 class Scorer:
@@ -179,6 +184,7 @@ class Scorer:
     def clear(self) -> None:
         self.numbers, self.letters = Numbers(), Growing(np.int64)
         self.scores = Growing(np.float32, max(1, len(self.model["languages"])))
+        self.seen, self.grams = Growing(np.float32, max(1, len(self.model["languages"]))), Growing(np.int64)
 
     def of(self, words: list[bytes]) -> np.ndarray:
         numbers = self.numbers.of(words)
@@ -187,11 +193,15 @@ class Scorer:
             letters = list(map(letters_of, fresh))
             self.letters.extend([len(x) - x.count(" ") for x in letters])
             if self.model["languages"]:
-                self.scores.extend(self.score(letters))
+                scores, seen, grams = self.score(letters)
+                self.scores.extend(scores)
+                self.seen.extend(seen)
+                self.grams.extend(grams)
         return numbers
 
-    def score(self, letters: list[str]) -> np.ndarray:
-        """The words' scores, from the n-grams of all of them side by side."""
+    def score(self, letters: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words' scores, from the n-grams of all of them side by side; how many of their longest n-grams
+        each language was seen with, and how many they have (0 without a letter)."""
         table = self.model["table"]
         points, bounds, grams = coded(letters)
         total = np.zeros((len(points), table.shape[1]), np.float32)
@@ -203,6 +213,15 @@ class Scorer:
                 total[at[same]] += table[rows[found[same]]]
         scores = sums(total.astype(np.float64), bounds) / len(GRAMS)
         empty = np.diff(bounds) == 2
+        codes, at = grams[max(GRAMS)]
+        known, rows = self.model["codes"][max(GRAMS)]
+        met = np.zeros((len(points), table.shape[1]), np.float32)
+        if len(known):
+            found = np.minimum(np.searchsorted(known, codes[at]), len(known) - 1)
+            same = known[found] == codes[at]
+            met[at[same]] = self.model["seen"][rows[found[same]]]
+        seen = sums(met.astype(np.float64), bounds)
+        n_grams = np.where(empty, 0, np.diff(bounds) - max(GRAMS) + 1)
         scores[empty] = 0
         # Languages that don't use any of a word's scripts are out, unless none does.
         bits = np.where(points == 0x20, 0, np.int64(1) << scripts_of(points).astype(np.int64))
@@ -212,7 +231,7 @@ class Scorer:
             if fits.any() and not fits.all():
                 own = np.flatnonzero(masks == mask)
                 scores[np.ix_(own, np.flatnonzero(~fits))] = (scores[own].min(axis=1) - SWITCH)[:, None]
-        return scores
+        return scores, seen, n_grams
 
 
 def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float = SWITCH, block: int = BLOCK) -> np.ndarray:
@@ -269,7 +288,8 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float = SWITCH, blo
 
 
 def detect(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text", penalty: float = SWITCH, keep=None) -> DataFrame:
-    """doc_id, lang_pred, score (its share of the letters), and spans: array of (lang, first word, words) of every text.
+    """doc_id, lang_pred, score (its share of the letters), confidence (0 to 1: how well the words are known in the
+    languages of their spans), and spans: array of (lang, first word, words) of every text.
 
     With keep, a condition over these columns: the rows of docs where it holds."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample learned from
@@ -299,6 +319,10 @@ def detect(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text"
             known = (total > 0) & bool(languages)
             pred = np.where(known, share.argmax(axis=1), len(languages))
             score = np.where(known, share.max(axis=1) / np.maximum(total, 1), 0.0)
+            sure = np.zeros(len(counts))
+            if languages:
+                grams = np.bincount(of_text, scorer.grams.view()[numbers], len(counts))
+                sure = np.bincount(of_text, scorer.seen.view()[numbers, states] * (letters > 0), len(counts)) / np.maximum(grams, 1)
             # A span begins with a text and where the state changes; texts without letters have none.
             starts = np.ones(len(words), bool)
             starts[1:] = (states[1:] != states[:-1]) | (of_text[1:] != of_text[:-1])
@@ -308,7 +332,7 @@ def detect(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text"
             end = np.minimum(end, bounds[of_text[first] + 1])
             made = pa.StructArray.from_arrays([names.take(pa.array(states[first])), pa.array(first - bounds[of_text[first]]), pa.array(end - first)], fields=list(span))
             lists = pa.ListArray.from_arrays(pa.array(offsets(np.bincount(of_text[first], minlength=len(counts))), pa.int32()), made)
-            yield with_kept(part, {"doc_id": part.column(0), "lang_pred": names.take(pa.array(pred)), "score": pa.array(score, pa.float64()), "spans": lists}, source)
+            yield with_kept(part, {"doc_id": part.column(0), "lang_pred": names.take(pa.array(pred)), "score": pa.array(score, pa.float64()), "confidence": pa.array(np.where(known, sure, 0.0), pa.float64()), "spans": lists}, source)
 
-    found = carry.rows.mapInArrow(run, "doc_id long, lang_pred string, score double, spans array<struct<lang: string, first_word: long, n_words: long>>" + carry.ddl)
+    found = carry.rows.mapInArrow(run, "doc_id long, lang_pred string, score double, confidence double, spans array<struct<lang: string, first_word: long, n_words: long>>" + carry.ddl)
     return found if keep is None else found.where(keep).select(*carry.columns())

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from strandflow.llm import langid, queries
 
@@ -57,3 +58,15 @@ def test_nothing_to_learn(no_docs, odd_docs):
     model = langid.learn(no_docs)
     assert model["languages"] == []
     assert {r.lang_pred for r in langid.detect(odd_docs, model).collect()} == {"und"}
+
+
+def test_stage_rejects_what_was_not_learned(spark, documents):
+    import corpus_pipeline
+
+    strange = ["Съешь же ещё этих мягких французских булок да выпей чаю", "天地玄黄 宇宙洪荒 日月盈昃 辰宿列张", "xqzv kwjqx vvzkq qxwj zzkqv jxqk wqzxv kkvxj"]
+    rows = spark.createDataFrame([(10**6 + i, t, None, "s", len(t)) for i, t in enumerate(strange)], documents.schema)
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, documents.unionByName(rows), "").select("doc_id").collect()}
+    assert kept and not kept & {10**6 + i for i in range(len(strange))}
+    without = documents.where("lang <> 'es'")
+    kept = corpus_pipeline.language_id(spark, without.unionByName(documents.where("lang = 'es'").withColumn("lang", F.lit(None).cast("string"))), "")
+    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in without.collect()}
