@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +41,34 @@ def shared_dir(spark: SparkSession) -> str:
     return path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
+_SCRATCH: list[str] = []
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    return f"{_SCRATCH[-1] if _SCRATCH else shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def deleted(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+@contextmanager
+def scratch(spark: SparkSession, tag: str):
+    """Tables written inside go to a folder of their own in the shared one, which is deleted at the end:
+    nothing that still needs them may be used after."""
+    folder = new_path(spark, tag)
+    _SCRATCH.append(folder)
+    try:
+        yield folder
+    finally:
+        _SCRATCH.pop()
+        deleted(spark, folder)
+
+
+def written(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
     """df as a table in the shared folder: computed once, its lineage cut."""
-    path = new_path(df.sparkSession, tag)
+    path = path or new_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -86,6 +109,28 @@ class Carry:
     def columns(self) -> list:
         return [F.col(f"_{i}").alias(c) for i, c in enumerate(self.names)]
 
+    def untouched(self) -> list:
+        """The same of rows that went through no operator's task."""
+        return [F.col(c).alias(name) for c, name in zip(self.source, self.names, strict=True)]
+
+
+#: A key with more than this share of all rows is dealt in parts of about that many; there are fewer than 1 / HOT_SHARE such keys.
+HOT_SHARE = 1e-3
+
+
+def hot_join(rows: DataFrame, once: DataFrame, key: str, times: str, total: int) -> DataFrame:
+    """The inner join of rows with `once`, which has one row for each key and in `times` how many of the `total` rows have it.
+
+    Rows of a hot key are dealt by their place, and what they meet is repeated for each part: so no task gets
+    more than HOT_SHARE of the rows by one key, and fewer than 2 / HOT_SHARE rows come in by repeating."""
+    parts = once.where(F.col(times) > HOT_SHARE * total).select(key, F.ceil(F.col(times) / F.lit(HOT_SHARE * total)).cast("int").alias("_parts"))
+    if parts.isEmpty():
+        return rows.join(once.drop(times), key)
+    own = rows.join(F.broadcast(parts), key, "left")
+    own = own.withColumn("_part", F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.monotonically_increasing_id(), F.col("_parts")).cast("int"))).drop("_parts")
+    other = once.drop(times).join(F.broadcast(parts), key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return own.join(other, [key, "_part"]).drop("_part")
+
 
 def with_kept(part: pa.RecordBatch, made: dict, source: list[str]) -> pa.RecordBatch:
     """An operator's own columns, and then those of Carry.source."""
@@ -127,32 +172,56 @@ class Growing:
         return self.data[: self.n]
 
 
+#: Bytes of the words that a table of numbers holds before it starts afresh.
+TABLE_BYTES = 32 << 20
+
+
 class Numbers(dict):
     """Words to dense numbers in order of first sight; `fresh` holds those not yet taken up."""
 
     def __init__(self):
         super().__init__()
         self.fresh: list[bytes] = []
+        self.bytes = 0
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
         self.fresh.append(word)
+        self.bytes += len(word)
         return n
 
+    def full(self, most: int) -> bool:
+        return len(self) > most or self.bytes > TABLE_BYTES
+
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
-
-def split_words(texts: list) -> tuple[list[bytes], np.ndarray]:
-    """All words (runs without U+0020 and U+0009 to U+000D) of the texts, and the number in each text."""
-    words: list[bytes] = []
-    counts = np.zeros(len(texts), np.int64)
-    for i, text in enumerate(texts):
-        if text:
-            own = text.split()
-            counts[i] = len(own)
-            words += own
-    return words, counts
+    def of_texts(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the texts' words one after another, and the number of words in each text."""
+        found, words = [], []
+        counts = np.zeros(len(texts), np.int64)
+        for i, text in enumerate(texts):
+            for own in word_parts(text) if text else ():
+                counts[i] += len(own)
+                words += own
+                if len(words) > PART_WORDS:
+                    found.append(self.of(words))
+                    words = []
+        return np.concatenate([*found, self.of(words)]), counts
+
+
+#: Words are made of a text in parts of about so many bytes, and taken up in lists of about so many words.
+PART_BYTES, PART_WORDS = 1 << 20, 1 << 19
+_SPACE = re.compile(rb"[ \t-\r]")
+
+
+def word_parts(text: bytes, limit: int = PART_BYTES) -> Iterator[list[bytes]]:
+    """All words of the text in order, those of about `limit` bytes at a time."""
+    a = 0
+    while len(text) - a > 2 * limit and (end := _SPACE.search(text, a + limit)):
+        yield text[a : end.start()].split()
+        a = end.start()
+    yield (text[a:] if a else text).split()
 
 
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -14,7 +14,8 @@ block. The model is learned from a bounded sample of labelled rows: n-gram count
 A word is a run without U+0020 and U+0009 to U+000D; words without a letter carry no evidence. Texts
 that are null or have no letter get `und` and score 0. Ties go to the language that sorts first. Null
 languages teach nothing; with no language learned every text is `und`. Rows keep their doc_id, null or
-repeated; further columns are ignored; an empty table gives no rows.
+repeated (one that is null teaches nothing and is not held out by the query); further columns are ignored; an
+empty table gives no rows. Very long texts are taken in parts, with the same result.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Carry, Growing, Numbers, held, offsets, split_words, sums, text_slices, with_kept
+from .common import Carry, Growing, Numbers, held, offsets, sums, text_slices, with_kept
 from .labelled import bounded_sample
 
 #: Labelled rows of each language that are learned from at most (expected number).
@@ -42,6 +43,8 @@ SCRIPT_SHARE = 0.01
 SEEN_SHARE = 2e-5
 TABLE_WORDS = 300_000
 BLOCK = 64
+#: Bytes of arrays that the pass works on at once.
+PART_BYTES = 32 << 20
 UNKNOWN = "und"
 
 #: First and last code point of ranges of scripts; other letters are of script 0.
@@ -186,8 +189,9 @@ class Scorer:
         self.scores = Growing(np.float32, max(1, len(self.model["languages"])))
         self.seen, self.grams = Growing(np.float32, max(1, len(self.model["languages"]))), Growing(np.int64)
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        numbers = self.numbers.of(words)
+    def of(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the texts' words, and each text's number of words."""
+        numbers, counts = self.numbers.of_texts(texts)
         if fresh := self.numbers.fresh:
             self.numbers.fresh = []
             letters = list(map(letters_of, fresh))
@@ -197,7 +201,7 @@ class Scorer:
                 self.scores.extend(scores)
                 self.seen.extend(seen)
                 self.grams.extend(grams)
-        return numbers
+        return numbers, counts
 
     def score(self, letters: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The words' scores, from the n-grams of all of them side by side; how many of their longest n-grams
@@ -234,57 +238,122 @@ class Scorer:
         return scores, seen, n_grams
 
 
-def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float = SWITCH, block: int = BLOCK) -> np.ndarray:
-    """The best state of every word: scores (words, states), counts of words of each text; a switch costs penalty."""
+class Gathered:
+    """Rows of a table by numbers, taken only when a slice is asked for."""
+
+    def __init__(self, table: np.ndarray, numbers: np.ndarray):
+        self.table, self.numbers, self.shape = table, numbers, (len(numbers), table.shape[1])
+
+    def __getitem__(self, own: slice) -> np.ndarray:
+        return self.table[self.numbers[own]]
+
+
+class Blocks:
+    """The words of some texts in blocks side by side, each block the next words of one text.
+
+    first: the blocks' numbers at which texts begin; blocks of a text follow each other."""
+
+    def __init__(self, scores, sizes: np.ndarray, firsts: np.ndarray, penalty: float, block: int):
+        self.penalty, self.block, self.n = penalty, block, len(sizes)
+        self.inside = np.arange(block) < sizes[:, None]
+        at = np.minimum(offsets(sizes)[:-1, None] + np.arange(block), len(scores) - 1)
+        self.scores = np.where(self.inside[:, :, None], scores[at], 0)
+        self.n_states = scores.shape[1]
+        # The blocks that are n-th in their texts, for n = 1, 2, ...: of fewer and fewer texts.
+        lengths = np.diff(np.append(firsts, self.n))
+        order = np.argsort(-lengths, kind="stable")
+        self.firsts, left = firsts[order], np.searchsorted(-lengths[order], -np.arange(1, lengths.max() + 1), side="left")
+        self.rounds = [self.firsts[:n] + i + 1 for i, n in enumerate(left.tolist()) if n]
+        self.last = firsts + lengths - 1
+
+    def enter_values(self, first: np.ndarray | None) -> np.ndarray:
+        """Each block's best score so far by the state before its first word; `first` is that of the first block."""
+        s = self.n_states
+        enter = np.zeros((self.n, s))
+        if first is not None:
+            enter[0] = first
+        if self.rounds:
+            # Best score of each block from an entry state to an exit state; these compose along a text.
+            best = np.full((self.n, s, s), -np.inf)
+            best[:, np.arange(s), np.arange(s)] = 0
+            for k in range(self.block):
+                moved = np.maximum(best, best.max(axis=2, keepdims=True) - self.penalty) + self.scores[:, k, None, :]
+                best = np.where(self.inside[:, k, None, None], moved, best)
+            for own in self.rounds:
+                enter[own] = (enter[own - 1][:, :, None] + best[own - 1]).max(axis=1)
+        return enter
+
+    def forward(self, enter: np.ndarray, note: bool) -> np.ndarray:
+        """The scores behind each block; with `note`, from which state each state was best reached."""
+        value, rows = enter, np.arange(self.n)
+        self.came = np.empty((self.block, self.n, self.n_states), np.int8 if self.n_states < 128 else np.int32) if note else None
+        for k in range(self.block):
+            top = value.argmax(axis=1)
+            switched = value[rows, top] - self.penalty
+            stays = value >= switched[:, None]
+            if note:
+                self.came[k] = np.where(self.inside[:, k, None] & ~stays, top[:, None], np.arange(self.n_states))
+            value = np.where(self.inside[:, k, None], np.where(stays, value, switched[:, None]) + self.scores[:, k], value)
+        return value
+
+    def backward(self, value: np.ndarray, leave_last: int | None) -> tuple[np.ndarray, int]:
+        """The state of every word, and the one before the first; leave_last: the last block's, where its text goes on."""
+        # The entry state that each exit state of a block leads back to, then the real exit states.
+        back = np.tile(np.arange(self.n_states), (self.n, 1))
+        rows = np.arange(self.n)
+        for k in range(self.block - 1, -1, -1):
+            back = self.came[k][rows[:, None], back]
+        leave = np.zeros(self.n, np.int64)
+        leave[self.last] = value[self.last].argmax(axis=1)
+        if leave_last is not None:
+            leave[-1] = leave_last
+        for own in reversed(self.rounds):
+            leave[own - 1] = back[own, leave[own]]
+        states = np.empty((self.n, self.block), np.int64)
+        for k in range(self.block - 1, -1, -1):
+            states[:, k] = leave
+            leave = self.came[k][rows, leave]
+        return states[self.inside], int(leave[0])
+
+
+def viterbi(scores, counts: np.ndarray, penalty: float = SWITCH, block: int = BLOCK, part_bytes: int = PART_BYTES) -> np.ndarray:
+    """The best state of every word: scores (words, states), counts of words of each text; a switch costs penalty.
+
+    Blocks are taken in parts of about part_bytes of arrays, however long a text or many the states: forwards,
+    keeping the scores at which each part begins, and then backwards through the parts once more."""
     n_states = scores.shape[1]
     blocks_of = -(-counts // block)
     n_blocks = int(blocks_of.sum())
     if not n_blocks:
         return np.zeros(0, np.int64)
-    bounds, first_block = offsets(counts), offsets(blocks_of)
+    first_block = offsets(blocks_of)[:-1]
     text_of = np.repeat(np.arange(len(counts)), blocks_of)
     within = np.arange(n_blocks) - first_block[text_of]
-    begin = bounds[text_of] + within * block
-    size = np.minimum(block, bounds[text_of + 1] - begin)
-    at = begin[:, None] + np.arange(block)
-    inside = np.arange(block) < size[:, None]
-    padded = np.where(inside[:, :, None], scores[np.minimum(at, len(scores) - 1)], 0).astype(np.float64)
-
-    # Best score of each block from an entry state (the one before its first word) to an exit state.
-    best = np.full((n_blocks, n_states, n_states), -np.inf)
-    best[:, np.arange(n_states), np.arange(n_states)] = 0
-    for k in range(block):
-        moved = np.maximum(best, best.max(axis=2, keepdims=True) - penalty) + padded[:, k, None, :]
-        best = np.where(inside[:, k, None, None], moved, best)
-    enter = np.zeros((n_blocks, n_states))
-    for step in range(1, int(blocks_of.max())):
-        own = np.flatnonzero(within == step)
-        enter[own] = (enter[own - 1][:, :, None] + best[own - 1]).max(axis=1)
-    # Forward once more from the real entry scores, with the state that each state was best reached from.
-    value, came = enter, np.empty((block, n_blocks, n_states), np.int8 if n_states < 128 else np.int32)
-    for k in range(block):
-        top = value.argmax(axis=1)
-        switched = value[np.arange(n_blocks), top] - penalty
-        stays = value >= switched[:, None]
-        came[k] = np.where(inside[:, k, None] & ~stays, top[:, None], np.arange(n_states))
-        value = np.where(inside[:, k, None], np.where(stays, value, switched[:, None]) + padded[:, k], value)
-    # The entry state that each exit state of a block leads back to, then the real exit states.
-    back = np.tile(np.arange(n_states), (n_blocks, 1))
-    rows = np.arange(n_blocks)[:, None]
-    for k in range(block - 1, -1, -1):
-        back = came[k][rows, back]
-    leave = np.zeros(n_blocks, np.int64)
-    last = within == blocks_of[text_of] - 1
-    leave[last] = value[last].argmax(axis=1)
-    for step in range(int(blocks_of.max()) - 1, 0, -1):
-        own = np.flatnonzero(within == step)
-        leave[own - 1] = back[own, leave[own]]
-    states = np.empty((n_blocks, block), np.int64)
-    rows = np.arange(n_blocks)
-    for k in range(block - 1, -1, -1):
-        states[:, k] = leave
-        leave = came[k][rows, leave]
-    return states[inside]
+    sizes = np.minimum(block, counts[text_of] - within * block)
+    begins = offsets(sizes)
+    step = max(1, part_bytes // (n_states * (8 * n_states + 9 * block)))
+    parts = [(a, min(a + step, n_blocks)) for a in range(0, n_blocks, step)]
+
+    def part(i: int) -> Blocks:
+        a, b = parts[i]
+        firsts = np.flatnonzero(np.append(True, within[a + 1 : b] == 0))
+        return Blocks(scores[begins[a] : begins[b]], sizes[a:b], firsts, penalty, block)
+
+    goes_on = lambda i: i < len(parts) and within[parts[i][0]] > 0
+    enters: list[np.ndarray | None] = [None]
+    for i in range(len(parts) - 1):
+        enters.append(None)
+        if goes_on(i + 1):
+            own = part(i)
+            enters[i + 1] = own.forward(own.enter_values(enters[i]), False)[-1]
+    out, leave = [], None
+    for i in reversed(range(len(parts))):
+        own = part(i)
+        value = own.forward(own.enter_values(enters[i]), True)
+        states, before = own.backward(value, leave if goes_on(i + 1) else None)
+        out.append(states)
+        leave = before
+    return np.concatenate(out[::-1])
 
 
 def detect(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text", penalty: float = SWITCH, keep=None) -> DataFrame:
@@ -303,15 +372,15 @@ def detect(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text"
         scorer = held(model["id"], lambda: Scorer(model))
         names = pa.array([*languages, UNKNOWN], pa.string())
         for part, texts in text_slices(batches):
-            if len(scorer.numbers) > TABLE_WORDS:
+            if scorer.numbers.full(TABLE_WORDS):
                 scorer.clear()
-            words, counts = split_words(texts)
-            numbers, bounds = scorer.of(words), offsets(counts)
+            numbers, counts = scorer.of(texts)
+            bounds, n_words = offsets(counts), len(numbers)
             letters = scorer.letters.view()[numbers]
             if languages:
-                states = viterbi(scorer.scores.view()[numbers], counts, penalty)
+                states = viterbi(Gathered(scorer.scores.view(), numbers), counts, penalty)
             else:
-                states = np.zeros(len(words), np.int64)
+                states = np.zeros(n_words, np.int64)
             of_text = np.repeat(np.arange(len(counts)), counts)
             width = max(1, len(languages))
             share = np.bincount(of_text * width + states, letters, len(counts) * width).reshape(len(counts), width)
@@ -324,11 +393,11 @@ def detect(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text"
                 grams = np.bincount(of_text, scorer.grams.view()[numbers], len(counts))
                 sure = np.bincount(of_text, scorer.seen.view()[numbers, states] * (letters > 0), len(counts)) / np.maximum(grams, 1)
             # A span begins with a text and where the state changes; texts without letters have none.
-            starts = np.ones(len(words), bool)
+            starts = np.ones(n_words, bool)
             starts[1:] = (states[1:] != states[:-1]) | (of_text[1:] != of_text[:-1])
             starts &= known[of_text]
             first = np.flatnonzero(starts)
-            end = np.append(first[1:], len(words))
+            end = np.append(first[1:], n_words)
             end = np.minimum(end, bounds[of_text[first] + 1])
             made = pa.StructArray.from_arrays([names.take(pa.array(states[first])), pa.array(first - bounds[of_text[first]]), pa.array(end - first)], fields=list(span))
             lists = pa.ListArray.from_arrays(pa.array(offsets(np.bincount(of_text[first], minlength=len(counts))), pa.int32()), made)
