@@ -31,7 +31,9 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def platt(scores: np.ndarray, labels: np.ndarray, rounds: int = 100, weights: np.ndarray | None = None) -> tuple[float, float]:
-    """(a, b) so that sigmoid(a * score + b) is the (weighted) share of label 1 among such scores; Newton's method with Platt's smoothed targets."""
+    """(a, b) so that sigmoid(a * score + b) is the (weighted) share of label 1 among such scores; Newton's method with Platt's smoothed targets.
+
+    a is never negative: where a higher score means label 1 less often, a is 0 and all get the share."""
     weights = np.ones(len(labels)) if weights is None else weights / weights.mean()
     positive, negative = labels.sum(), (1 - labels).sum()
     target = np.where(labels > 0, (positive + 1) / (positive + 2), 1 / (negative + 2))
@@ -55,6 +57,9 @@ def platt(scores: np.ndarray, labels: np.ndarray, rounds: int = 100, weights: np
         at = at - move
         if np.abs(move).max() < 1e-8:
             break
+    if not np.isfinite(at).all() or at[0] <= 0:
+        # Scores that say nothing, or the contrary: the share alone is the safe answer.
+        return 0.0, float(np.log(share / (1 - share)))
     return float(at[0] / spread), float(at[1] - at[0] * centre / spread)
 
 

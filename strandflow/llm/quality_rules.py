@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Carry, Growing, Numbers, held, offsets, split_words, spread, sums, text_slices, with_kept
+from .common import Carry, Growing, Numbers, held, offsets, spread, sums, text_slices, with_kept
 from .labelled import bounded_sample, hash_share, logistic, platt, sigmoid
 
 #: Fixed limits.
@@ -32,6 +32,9 @@ LEAST_PROBABILITY = 0.5
 #: Labelled rows of each label that the model is fitted on at most (expected number); a quarter calibrates.
 SAMPLE_ROWS = 2500
 FEATURES = 1 << 18
+#: Features of a labelled row that the fit takes at most: of more, those whose hash with the row is smallest, scaled
+#: up to stand for all. (The driver so gets at most 2 * SAMPLE_ROWS * ROW_FEATURES entries of 8 bytes, and scoring takes all.)
+ROW_FEATURES = 4096
 GRAMS = (2, 3)
 TABLE_WORDS = 300_000
 L2 = 1e-5
@@ -83,17 +86,18 @@ class Words:
         self.numbers, self.chars, self.symbols = Numbers(), Growing(np.int64), Growing(np.int64)
         self.hashes, self.adds = Growing(np.uint64), Growing(np.float64)
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        numbers = self.numbers.of(words)
+    def of(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the texts' words, and each text's number of words."""
+        numbers, counts = self.numbers.of_texts(texts)
         if fresh := self.numbers.fresh:
             self.numbers.fresh = []
             self.chars.extend([len(w) - sum(map(w.count, CONTINUATION)) if not w.isascii() else len(w) for w in fresh])
             self.symbols.extend([len(w) - len(w.translate(None, SYMBOLS)) for w in fresh])
             self.hashes.extend(hashed(fresh, 7))
             if self.weights is not None:
-                features, counts = word_features(fresh, self.hashes.view()[-len(fresh) :])
-                self.adds.extend(sums(self.weights[features].astype(np.float64), offsets(counts)))
-        return numbers
+                features, n_features = word_features(fresh, self.hashes.view()[-len(fresh) :])
+                self.adds.extend(sums(self.weights[features].astype(np.float64), offsets(n_features)))
+        return numbers, counts
 
 
 #: UTF-8 continuation bytes.
@@ -136,31 +140,48 @@ def pair_features(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, n
     return (pairs % np.uint64(FEATURES)).astype(np.int64), of_text[1:][inside]
 
 
+def thinned(cells: np.ndarray, values: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """At most ROW_FEATURES of each row's features (cells: row * FEATURES + feature, sorted), chosen by a hash with the row's mark."""
+    row = cells // FEATURES
+    per = np.bincount(row, minlength=len(marks))
+    if not len(per) or per.max() <= ROW_FEATURES:
+        return cells, values
+    order = np.lexsort((mix(cells.astype(np.uint64) % np.uint64(FEATURES), marks.astype(np.int64).view(np.uint64)[row]), row))
+    place = np.arange(len(cells)) - offsets(per)[row]
+    kept = np.sort(order[place < ROW_FEATURES])
+    scale = np.maximum(per / ROW_FEATURES, 1.0).astype(np.float32)
+    return cells[kept], values[kept] * scale[row[kept]]
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> dict | None:
     """The model: weights (float32), bias, the calibration's a and b; None without labels of both kinds."""
     marked = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).where("key is not null and label in (0, 1)")
     marked = bounded_sample(marked.groupBy("key").agg(F.min("label").alias("label")), "key", "label", sample_rows, "weight")
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(marked), "key").select("key", "text", "label", "weight", (hash_share("key", 5) < 0.25).alias("calibrates"))
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(marked), "key").select(F.xxhash64("key").alias("hash"), "text", "label", "weight", (hash_share("key", 5) < 0.25).alias("calibrates"))
+    # One text for each key, however many rows share it.
+    rows = rows.groupBy("hash", "label", "weight", "calibrates").agg(F.min("text").alias("text"))
 
     def run(batches):
         for part, texts in text_slices(batches):
-            words, counts = split_words(texts)
             known = Words(None)
-            numbers = known.of(words)
+            numbers, counts = known.of(texts)
             hashes = known.hashes.view()[numbers]
             pairs, of_text = pair_features(hashes, counts)
             each, lengths = word_features(list(known.numbers), known.hashes.view())
             flat = each[spread(offsets(lengths)[numbers], lengths[numbers])] if len(numbers) else np.zeros(0, np.int64)
             rows = np.concatenate((np.repeat(np.repeat(np.arange(len(counts)), counts), lengths[numbers]), of_text))
             cells, found = np.unique(rows * FEATURES + np.concatenate((flat, pairs)), return_counts=True)
-            per = np.bincount(cells // FEATURES, minlength=len(counts))
-            bounds = offsets(per)
             values = (found / np.maximum(counts, 1)[cells // FEATURES]).astype(np.float32)
+            cells, values = thinned(cells, values, np.asarray(part.column(0)))
+            bounds = offsets(np.bincount(cells // FEATURES, minlength=len(counts)))
             columns = (cells % FEATURES).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("label")), part.column(part.schema.get_field_index("weight")), part.column(part.schema.get_field_index("calibrates")), pa.array([columns[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary()), pa.array([values[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())], names=["label", "weight", "calibrates", "columns", "values"])
+            made = {c: part.column(part.schema.get_field_index(c)) for c in ("hash", "label", "weight", "calibrates")}
+            for name, flat in (("columns", columns), ("values", values)):
+                made[name] = pa.array([flat[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays(list(made.values()), names=list(made))
 
-    # The bound: twice sample_rows rows of label and distinct features.
-    sample = rows.mapInArrow(run, "label int, weight double, calibrates boolean, columns binary, values binary").toArrow()
+    # The bound: twice sample_rows rows of at most ROW_FEATURES features; in a fixed order, for sums depend on it.
+    sample = rows.mapInArrow(run, "hash long, label int, weight double, calibrates boolean, columns binary, values binary").toArrow().sort_by([("hash", "ascending"), ("columns", "ascending")])
     marks = np.asarray(sample.column("label").to_pylist(), np.float64)
     weigh = np.asarray(sample.column("weight").to_pylist(), np.float64)
     calibrates = np.asarray(sample.column("calibrates").to_pylist(), bool)
@@ -185,14 +206,15 @@ def judged(docs: DataFrame, model: dict | None, key: str = "doc_id", text: str =
     carry = Carry(docs, key, text, docs.columns if only_kept else [])
     source = carry.source
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES floats
+
     def run(batches):
         model = shared.value
         known = held(model["id"] if model else "counts", lambda: Words(model["weights"] if model else None))
         for part, texts in text_slices(batches):
-            if len(known.numbers) > TABLE_WORDS:
+            if known.numbers.full(TABLE_WORDS):
                 known.clear()
-            words, counts = split_words(texts)
-            numbers, bounds = known.of(words), offsets(counts)
+            numbers, counts = known.of(texts)
+            bounds = offsets(counts)
             hashes = known.hashes.view()[numbers]
             if model:
                 pairs, of_text = pair_features(hashes, counts)

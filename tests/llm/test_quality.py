@@ -59,6 +59,54 @@ def test_calibration():
     assert abs(a - 2) < 0.3 and abs(b + 1) < 0.2
 
 
+def test_calibration_of_scores_far_apart():
+    rng = np.random.default_rng(3)
+    label = (rng.random(2000) < 0.8).astype(float)
+    a, b = labelled.platt(np.where(label > 0, 200.0, -200.0) + rng.normal(size=2000), label)
+    assert 0 < a < 1 and labelled.sigmoid(np.array([200 * a + b]))[0] > 0.99 and labelled.sigmoid(np.array([-200 * a + b]))[0] < 0.01
+    for rounds in (20, 21, 99, 100):
+        assert np.allclose(labelled.platt(np.where(label > 0, 200.0, -200.0), label, rounds), labelled.platt(np.where(label > 0, 200.0, -200.0), label, 400), rtol=0.05)
+    # Scores that point the wrong way give everyone the share.
+    a, b = labelled.platt(-label, label)
+    assert a == 0 and abs(labelled.sigmoid(np.array([b]))[0] - label.mean()) < 0.01
+
+
+def test_probability_equals_plain(documents, labels):
+    from xxhash import xxh64_intdigest
+
+    model = quality_rules.fit(documents, labels)
+    one = lambda x: np.array([x], np.uint64)
+    mix = lambda a, b: int(quality_rules.mix(one(a), one(b))[0])
+
+    def plain(text):
+        words = [w.encode() for w in WORD.findall(text or "")]
+        features = Counter()
+        hashes = [xxh64_intdigest(w, 7) for w in words]
+        for w, h in zip(words, hashes):
+            features[h % quality_rules.FEATURES] += 1
+            marked = b"\x02" + w + b"\x03"
+            for n in (2, 3):
+                for i in range(len(marked) - n + 1):
+                    features[mix(int.from_bytes(bytes([n]) + marked[i : i + n], "big"), n) % quality_rules.FEATURES] += 1
+        for a, b in zip(hashes, hashes[1:]):
+            features[0 if a == b else mix(a, b) % quality_rules.FEATURES] += 1
+        z = sum(float(model["weights"][f]) * c for f, c in features.items()) / max(1, len(words)) + model["bias"]
+        return 1 / (1 + np.exp(-np.clip(model["a"] * z + model["b"], -40, 40)))
+
+    some = documents.where("n_chars < 1500 or text is null")
+    found = {r.doc_id: r.probability for r in quality_rules.judged(some, model).collect()}
+    want = {r.doc_id: plain(r.text) for r in some.collect()}
+    assert len(want) > 30 and all(abs(found[i] - p) < 1e-3 for i, p in want.items())
+
+
+def test_long_rows_are_fitted_on_some_of_their_features():
+    cells = np.concatenate([np.arange(10), quality_rules.FEATURES + np.arange(9000)])
+    kept, values = quality_rules.thinned(cells, np.ones(len(cells), np.float32), np.array([5, 6]))
+    per = np.bincount(kept // quality_rules.FEATURES)
+    assert per.tolist() == [10, quality_rules.ROW_FEATURES] and abs(values.sum() - len(cells)) < 1
+    assert (np.diff(kept) > 0).all()
+
+
 def test_ensemble_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     good = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
