@@ -6,7 +6,8 @@ behind it. A small automaton over these classes says before which code points a
 state at every position comes from an associative scan: each class is a function on states, functions
 compose by a table over the monoid that they generate, blocks of text are scanned side by side and the
 blocks' functions are then scanned in turn. The pieces so found are looked up in a bounded table of
-pieces already merged; only new ones go through pair merging.
+pieces already merged; only new ones go through pair merging. Every token's place in its text's bytes
+is kept beside its id: decoding puts the tokens' bytes there, and can do so for any range of a text.
 
 The pieces are those of public_tokenizers.PATTERN. Null texts are empty: no ids, empty bytes. Rows keep
 their key, null or repeated, as it is; further columns are dropped; an empty table gives no rows.
@@ -106,11 +107,13 @@ def kinds_of(points: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     kinds = base.copy()
     before_other = (base == SPACE) & (follows != SPACE)
     kinds[before_other] = np.where(points[before_other] == 0x20, ATTACHING, LONE)
-    for i in np.flatnonzero((points == 0x27) & ~last):
-        for tail in CONTRACTIONS:
-            n = len(tail)
-            if i + n < len(points) and points[i + 1 : i + 1 + n].tolist() == list(map(ord, tail)) and not firsts[i + 1 : i + 1 + n].any():
-                kinds[i] = SHORT if n == 1 else LONG
+    at = np.flatnonzero((points == 0x27) & ~last)
+    for tail in CONTRACTIONS if len(at) else ():
+        fits = at + len(tail) < len(points)
+        for j, letter in enumerate(tail, start=1):
+            place = np.minimum(at + j, len(points) - 1)
+            fits &= (points[place] == ord(letter)) & ~firsts[place]
+        kinds[at[fits]] = SHORT if len(tail) == 1 else LONG
     kinds[firsts] += FIRST
     return kinds
 
@@ -206,7 +209,7 @@ class Ranks:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and each text's number of ids."""
-        if len(self.numbers) > TABLE_PIECES:
+        if self.numbers.full(TABLE_PIECES):
             self.clear()
         joined = "".join(texts)
         points = np.frombuffer(joined.encode("utf-32-le"), "<u4")
@@ -240,6 +243,17 @@ class Ranks:
         """The ids' bytes, one after another."""
         return self.blob[spread(self.token_starts[ids], self.token_lengths[ids])]
 
+    def places(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Where each token begins in its text's bytes; counts: the texts' numbers of ids."""
+        ends = offsets(self.token_lengths[ids])
+        return ends[:-1] - np.repeat(ends[offsets(counts)[:-1]], counts)
+
+    def decode_range(self, ids: np.ndarray, places: np.ndarray, first: int, last: int) -> tuple[int, bytes]:
+        """The tokens of one text that meet its bytes first to last - 1: where they begin, and their bytes."""
+        a = max(0, int(np.searchsorted(places, first, side="right")) - 1)
+        b = int(np.searchsorted(places, last, side="left"))
+        return (int(places[a]), self.decode(ids[a:b]).tobytes()) if a < b else (first, b"")
+
 
 def rank_file(path: str) -> Ranks:
     """This worker's own."""
@@ -247,7 +261,7 @@ def rank_file(path: str) -> Ranks:
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The key and ids (array of int) of every text."""
+    """The key, ids and places (arrays of int) of every text: its tokens, and where each begins in the text's UTF-8 bytes."""
     kept = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
     def run(batches):
@@ -257,16 +271,18 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
             sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0), dtype=np.int64)
             for a, b in slices(sizes, PART_BYTES):
                 ids, counts = ranks.encode([t or "" for t in texts.slice(a, b - a).to_pylist()])
-                column = pa.ListArray.from_arrays(pa.array(offsets(counts), pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), column], names=["key", "ids"])
+                bounds = pa.array(offsets(counts), pa.int32())
+                columns = [pa.ListArray.from_arrays(bounds, pa.array(x, pa.int32())) for x in (ids, ranks.places(ids, counts))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *columns], names=["key", "ids", "places"])
 
     kind = kept.schema["key"].dataType.simpleString()
-    return kept.mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
+    return kept.mapInArrow(run, f"key {kind}, ids array<int>, places array<int>").withColumnRenamed("key", key)
 
 
-def decode(ids: DataFrame, path: str, key: str = "doc_id", column: str = "ids") -> DataFrame:
-    """The rows with `bytes` (binary), the ids' text; null ids give empty bytes. Other columns than the key and ids are dropped."""
-    kept = ids.select(F.col(key).alias("key"), F.col(column).alias("ids"))
+def decode(ids: DataFrame, path: str, key: str = "doc_id", column: str = "ids", places: str = "places") -> DataFrame:
+    """The rows with `bytes` (binary): the ids' bytes at their places; null ids give empty bytes. Places that leave a
+    gap or overlap are an error. Other columns than the key and ids are dropped."""
+    kept = ids.select(F.col(key).alias("key"), F.col(column).alias("ids"), F.col(places).alias("places"))
 
     def run(batches):
         ranks = rank_file(path)
@@ -275,9 +291,11 @@ def decode(ids: DataFrame, path: str, key: str = "doc_id", column: str = "ids")
             counts = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0), dtype=np.int64)
             for a, b in slices(4 * counts, PART_BYTES):
                 part = lists.slice(a, b - a)
-                flat = np.asarray(part.flatten())
+                flat, at = np.asarray(part.flatten()), np.asarray(batch.column(2).slice(a, b - a).flatten())
                 own = offsets(ranks.token_lengths[flat])
                 bounds = own[offsets(counts[a:b])]
+                if len(at) != len(flat) or (at + np.repeat(bounds[:-1], counts[a:b]) != own[:-1]).any():
+                    raise ValueError("places of tokens do not follow from their lengths")
                 raw = ranks.decode(flat).tobytes()
                 made = pa.array([raw[x:y] for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), part, made], names=["key", "ids", "bytes"])
