@@ -3,18 +3,20 @@
 The file's normaliser turns white space into spaces and its pre-tokeniser drops them, so a text's ids
 are those of its words one after another. Words are split at U+0020 and U+0009 to U+000D, all of them
 white space to the file; what lies between is encoded by the library itself and kept in a bounded
-table per worker.
+table per worker. A file of another kind has its texts encoded whole by the library. Special tokens
+that stand in a text become their ids, as the library has it.
 """
 
 from __future__ import annotations
 
 import gc
+import json
 import os
 import re
 
 import numpy as np
 
-from .common import Growing, Numbers, held, offsets, split_words, spread
+from .common import Growing, Numbers, held, offsets, spread
 
 #: Distinct words kept per worker before the table starts afresh (about 150 bytes each).
 TABLE_WORDS = 400_000
@@ -29,6 +31,16 @@ WRITTEN = {
 }
 #: Special token that ends a document.
 END_ID = 1
+#: The normaliser and pre-tokeniser of files whose texts may be encoded word by word.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
 
 class WordEncoder:
     def __init__(self, path: str):
@@ -36,7 +48,11 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        spaced = any(re.search(r"\s", t["content"]) for t in file["added_tokens"])
+        alike = (file["normalizer"], file["pre_tokenizer"], file["post_processor"]) == (NORMALIZER, PRE_TOKENIZER, None)
+        self.by_words = alike and not spaced and file["model"]["type"] == "BPE"
         self.clear()
 
     def clear(self) -> None:
@@ -67,10 +83,11 @@ class WordEncoder:
 
     def encode(self, texts: list, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (uint32) and each text's number of ids; null is as empty."""
-        if len(self.numbers) > TABLE_WORDS:
+        if not self.by_words:
+            return self.encode_whole(texts, end_id)
+        if self.numbers.full(TABLE_WORDS):
             self.clear()
-        words, counts = split_words(texts)
-        numbers = self.numbers.of(words)
+        numbers, counts = self.numbers.of_texts(texts)
         if self.numbers.fresh:
             fresh = [w.decode("utf-8", "replace") for w in self.numbers.fresh]
             self.numbers.fresh = []
@@ -89,6 +106,12 @@ class WordEncoder:
             n_ids = n_ids + 1
         return flat, n_ids
 
+    def encode_whole(self, texts: list, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        found = self.tokenizer.encode_batch_fast([(t or b"").decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+        ids = [e.ids if end_id is None else [*e.ids, end_id] for e in found]
+        n_ids = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter((i for own in ids for i in own), np.uint32, int(n_ids.sum())), n_ids
+
 
 def encoder(path: str) -> WordEncoder:
     """This worker's encoder for the file."""

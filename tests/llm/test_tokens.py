@@ -14,12 +14,12 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 @pytest.fixture(scope="module")
 def ids_of():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda text: np.array([*t.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
 
 
 def test_words_encode_like_texts(ids_of, documents, odd_docs):
     texts = [r.text for r in odd_docs.select("text").collect()] + [r.text for r in documents.select("text").collect()]
+    texts += ["hello <|endoftext|> world", "a<|startoftext|>b's<|endoftext|><|endoftext|>", "<|endoftext|>É́ <|ENDOFTEXT|> <|endoftext|"]
     texts += ["".join(map(chr, range(0x21, 0x250))), " ".join(map(chr, range(0x21, 0x600))), "\x1c\x85a b é ́x İI ΣΑΣ ﬁ"]
     raw = [t.encode() if t is not None else None for t in texts]
     ids, counts = word_tokens.encoder(PATH).encode(raw, 1)
@@ -29,6 +29,22 @@ def test_words_encode_like_texts(ids_of, documents, odd_docs):
         at += n
 
 
+def test_files_of_another_kind_are_encoded_whole(tmp_path):
+    import json
+
+    with open(PATH, encoding="utf-8") as f:
+        file = json.load(f)
+    file["normalizer"]["normalizers"].pop()
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(file))
+    encoder = word_tokens.WordEncoder(str(other))
+    texts = ["Hello World  it's", None, "", "ÉTÉ <|endoftext|>"]
+    ids, counts = encoder.encode([t.encode() if t is not None else None for t in texts], 1)
+    theirs = Tokenizer.from_file(str(other))
+    assert not encoder.by_words and word_tokens.WordEncoder(PATH).by_words
+    assert ids.tolist() == [i for t in texts for i in [*theirs.encode(t or "", add_special_tokens=False).ids, 1]] and counts.sum() == len(ids)
+
+
 def test_perfect_hash():
     rng = np.random.default_rng(0)
     for n in (0, 1, 2, 1000, 50_000):
