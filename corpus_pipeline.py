@@ -1,8 +1,16 @@
 """The corpus pipeline: language identification, quality rules, near-duplicates, packing.
 
 Each stage takes (spark, docs, sf_dir) and all documents that its predecessor kept; all but the last
-return rows of documents. run() writes each stage's rows as Parquet in the shared folder and reads them
-again for the next.
+return rows of documents with all the columns that they came with. run() writes each stage's rows as
+Parquet in the shared folder and reads them again for the next; what a stage wrote for itself, and the
+rows of the stage before, are then deleted.
+
+Every stage takes nulls in any column, empty and very long texts, repeated rows, ties, further columns of
+any name, and an empty table. A text that is null or has no letter has no language and goes in the first
+stage. Labels that are null or that name no document teach nothing; without labels of both kinds the second
+stage judges by its counts alone. Of rows that share a doc_id each is judged by its own text, and of a group of
+near copies one row stays: of smallest doc_id, a row without one only where none has one. The last stage packs
+every row that is left, whatever its doc_id.
 """
 
 from __future__ import annotations
@@ -12,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandflow.llm import langid, packing, quality_rules, simhash
-from strandflow.llm.common import read_table, written
+from strandflow.llm.common import deleted, new_path, read_table, scratch, written
 from strandflow.llm.labelled import key_mod
 
 #: A text is rejected without a language, if its language has less than this share of its letters, or if its words
@@ -54,7 +62,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        path = new_path(spark, name)
+        with scratch(spark, f"{name}-own"):
+            docs = written(stage(spark, docs, sf_dir), name, path)
+        if before:
+            deleted(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

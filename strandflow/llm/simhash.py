@@ -10,12 +10,14 @@ are one class. Classes link at `most` or fewer differing bits; found without com
 * every class posts each value within t bits of its own in each group; classes that share a posting are
   compared whole. A posting's task only reports a spanning forest of its links, not the pairs.
 
-Postings with very many classes are compared in blocks of a grid, each pair of blocks in some task.
-Components of the links give each document the smallest doc_id that it reaches.
+Postings with very many classes are posted once more by exact runs of bits, of which one must agree;
+what is still large is compared in blocks of a grid, each pair of blocks in some task. Components of the
+links give each document the smallest doc_id that it reaches.
 
 With `similar`, texts whose sets of SET_WORDS-word shingles agree by that share (Jaccard) are linked too:
 those with an equal band of minima under BANDS times BAND_MINIMA hash orders are compared by their whole
-sets. Texts at 0.8 share no band with probability 4e-6; what is linked has been compared.
+sets. Texts at 0.8 share no band with probability 4e-6; what is linked has been compared. Pairs that
+earlier links have already brought together are not compared.
 
 Null and empty texts have fingerprint zero, linked like any other. Rows with a null doc_id get their
 component like others and name one only if nothing else can (component null: no doc_id reaches it).
@@ -24,6 +26,7 @@ Repeated rows stay. Further columns are ignored. An empty table gives no rows.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations, repeat
 from math import comb
 
@@ -31,8 +34,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import text_slices, written
+from .common import Carry, hot_join, text_slices, with_kept, word_parts, written
 from .components import components
 
 SHINGLE_WORDS, SEED, MOST_BITS = 4, 42, 4
@@ -42,37 +46,45 @@ HASHES = 1 << 15
 PLAN_SAMPLE = 4096
 #: Classes of a posting compared by one task.
 POSTING_ROWS = 4096
+#: Keys of large postings up to which they are sent around.
+BROADCAST_KEYS = 100_000
 #: Relative costs: a posted row (shuffled, sorted), a comparison.
 ROW_COST, COMPARE_COST = 1.0, 0.004
 #: Shingles of the sets that `similar` compares; bands, and minima in each.
 SET_WORDS, BANDS, BAND_MINIMA = 5, 24, 4
-#: Texts of a band's posting up to which its pairs are listed; sets of a larger one are compared in one task up to SET_ROWS.
-PAIRED, SET_ROWS = 48, 1024
+#: Texts of a band's posting up to which its pairs are listed; those of a larger one are first compared with STARS of
+#: them, and what is left of it in blocks of about SET_ROWS.
+PAIRED, STARS, SET_ROWS = 48, 3, 512
 
 
-def shingle_hashes(words: list[bytes], width: int, seed: int):
-    """The hashes of the words' shingles as bytes, HASHES shingles at once; fewer words than `width` are one shingle."""
+def shingle_hashes(text: bytes, width: int, seed: int):
+    """The hashes of the shingles of a lower-cased text as bytes, at most HASHES shingles at once; fewer words than
+    `width` are one shingle. Very long texts are taken in parts, each with the last words of the one before."""
     from xxhash import xxh64_digest
 
-    n = len(words)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-    begins = np.concatenate(([0], ends[:-1] + 1))
-    if n > width:
-        begins, ends = begins[: n - width + 1], ends[width - 1 :]
-    else:
-        begins, ends = begins[:1], ends[-1:]
-    for i in range(0, len(begins), HASHES):
-        part = zip(begins[i : i + HASHES].tolist(), ends[i : i + HASHES].tolist())
-        yield b"".join(map(xxh64_digest, [joined[a:b] for a, b in part], repeat(seed)))
-
-
-def fingerprint(words: list[bytes], width: int = SHINGLE_WORDS, seed: int = SEED) -> int:
-    """The fingerprint of lower-cased words, as an unsigned number."""
-    if not words:
-        return 0
+    before: list[bytes] = []
+    whole = False
+    for own in word_parts(text):
+        words = before + own
+        n = len(words)
+        if n < width:
+            before = words
+            continue
+        joined = b" ".join(words)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
+        begins, ends = np.concatenate(([0], ends[: n - width] + 1)), ends[width - 1 :]
+        for i in range(0, len(begins), HASHES):
+            part = zip(begins[i : i + HASHES].tolist(), ends[i : i + HASHES].tolist())
+            yield b"".join(map(xxh64_digest, [joined[x:y] for x, y in part], repeat(seed)))
+        before, whole = words[n - width + 1 :], True
+    if before and not whole:
+        yield xxh64_digest(b" ".join(before), seed)
+
+
+def fingerprint(text: bytes, width: int = SHINGLE_WORDS, seed: int = SEED) -> int:
+    """The fingerprint of a lower-cased text, as an unsigned number."""
     ones, n = np.zeros(64, np.int64), 0
-    for hashes in shingle_hashes(words, width, seed):
+    for hashes in shingle_hashes(text, width, seed):
         bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1)
         ones += bits.sum(axis=0, dtype=np.int64)
         n += len(bits)
@@ -84,12 +96,16 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width
 
     def run(batches):
         for part, texts in text_slices(batches):
-            found = np.fromiter((fingerprint(t.lower().split(), width, seed) if t else 0 for t in texts), np.uint64, len(texts))
+            found = np.fromiter((fingerprint(t.lower(), width, seed) if t else 0 for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
+def signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
 def bit_columns(fps: np.ndarray) -> np.ndarray:
     """Bit b of each fingerprint in column b."""
     return np.unpackbits(fps.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -221,11 +237,19 @@ def links(classes: DataFrame, most: int = MOST_BITS, posting_rows: int = POSTING
     if large.isEmpty():
         dealt = posted.select("key", F.lit(0).alias("x"), F.lit(0).alias("y"), "fp")
     else:
-        # A row of a large posting goes to all pairs of blocks that its own block is in.
+        # Classes of a large posting within `most` bits agree in one of most + 1 runs of bits: they are posted by these once more.
+        small = posted.join(F.broadcast(large), "key", "left_anti") if large.count() <= BROADCAST_KEYS else posted.join(large, "key", "left_anti")
+        again = posted.join(F.broadcast(large.select("key")), "key") if large.count() <= BROADCAST_KEYS else posted.join(large.select("key"), "key")
+        cuts = [64 * i // (most + 1) for i in range(most + 2)]
+        runs = F.array(*(F.xxhash64("key", F.lit(i), F.col("fp").bitwiseAND(F.lit(signed(((1 << b) - 1) ^ ((1 << a) - 1))))) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))))
+        finer = written(again.select(F.explode(runs).alias("key"), "fp"), "finer")
+        still = written(finer.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > posting_rows), "large")
+        # A row of a posting that is still large goes to all pairs of blocks that its own block is in.
         blocks = F.ceil(2 * F.coalesce("n", F.lit(1)) / posting_rows).cast("int")
-        with_blocks = posted.join(large, "key", "left").withColumn("blocks", F.when(F.col("n").isNull(), 1).otherwise(blocks)).withColumn("own", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
+        with_blocks = finer.join(still, "key", "left").withColumn("blocks", F.when(F.col("n").isNull(), 1).otherwise(blocks)).withColumn("own", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
         with_other = with_blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = with_other.where("own <> other or blocks = 1").select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "fp")
+        blocked = with_other.where("own <> other or blocks = 1").select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "fp")
+        dealt = small.select("key", F.lit(0).alias("x"), F.lit(0).alias("y"), "fp").unionByName(blocked)
 
     def run(batches):
         held: list[np.ndarray] = []
@@ -249,16 +273,21 @@ def links(classes: DataFrame, most: int = MOST_BITS, posting_rows: int = POSTING
     return dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def shingle_set(words: list[bytes], seed: int = SEED) -> np.ndarray:
+def shingle_set(text: bytes, seed: int = SEED) -> np.ndarray:
     """The hashes of the text's different shingles of SET_WORDS words, sorted."""
-    return np.unique(np.frombuffer(b"".join(shingle_hashes(words, SET_WORDS, seed)), np.uint64)) if words else np.zeros(0, np.uint64)
+    return np.unique(np.frombuffer(b"".join(shingle_hashes(text, SET_WORDS, seed)), np.uint64))
 
 
-def set_name(words: list[bytes]) -> int:
-    """A number for the text as it is compared."""
-    from xxhash import xxh64_intdigest
+def set_name(text: bytes) -> int:
+    """A number for the text as it is compared: its words, with one space between them."""
+    from xxhash import xxh64
 
-    return xxh64_intdigest(b" ".join(words), 1)
+    name, first = xxh64(seed=1), True
+    for words in word_parts(text):
+        if words:
+            name.update(b" ".join(words) if first else b" " + b" ".join(words))
+            first = False
+    return name.intdigest()
 
 
 _ORDERS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * BAND_MINIMA, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -282,12 +311,12 @@ def with_sets(docs: DataFrame, key: str, text: str, width: int, seed: int, bands
 
     def run(batches):
         for part, texts in text_slices(batches):
-            words = [t.lower().split() if t else [] for t in texts]
-            sets = [shingle_set(w, seed) for w in words]
+            lowered = [t.lower() if t else b"" for t in texts]
+            sets = [shingle_set(t, seed) for t in lowered]
             made = {
                 "doc_id": part.column(0),
-                "fp": pa.array(np.fromiter((fingerprint(w, width, seed) for w in words), np.uint64, len(words)).view(np.int64)),
-                "name": pa.array(np.fromiter(map(set_name, words), np.uint64, len(words)).view(np.int64)),
+                "fp": pa.array(np.fromiter((fingerprint(t, width, seed) for t in lowered), np.uint64, len(texts)).view(np.int64)),
+                "name": pa.array(np.fromiter(map(set_name, lowered), np.uint64, len(texts)).view(np.int64)),
                 "size": pa.array(list(map(len, sets)), pa.int64()),
             }
             if bands:
@@ -308,23 +337,6 @@ def agree(own: np.ndarray, flat: np.ndarray, bounds: np.ndarray, similar: float)
     return common >= similar * (len(own) + np.diff(bounds) - common)
 
 
-def set_forest(sets: list[np.ndarray], similar: float) -> list[tuple[int, int]]:
-    """A spanning forest of the links among these sets, by their numbers."""
-    out, left, queue = [], np.arange(len(sets)), []
-    while len(left):
-        if not queue:
-            queue, left = [left[0]], left[1:]
-        one = queue.pop()
-        near = np.zeros(len(left), bool)
-        for i in range(0, len(left), 256):  # so that no copy is large
-            part = [sets[k] for k in left[i : i + 256]]
-            near[i : i + 256] = agree(sets[one], np.concatenate(part), np.cumsum([0, *map(len, part)]), similar)
-        out += [(one, other) for other in left[near]]
-        queue += list(left[near])
-        left = left[~near]
-    return out
-
-
 def whole_keys(batches, n_keys: int):
     """Lists of columns in which no key (of the first n_keys columns, rows sorted by them) goes on into the next."""
     rest = None
@@ -345,11 +357,16 @@ def begins_of(keys: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1)))), len(keys))
 
 
-def similar_links(own: DataFrame, docs: DataFrame, key: str, text: str, width: int, seed: int, similar: float, paired: int = PAIRED, set_rows: int = SET_ROWS) -> DataFrame:
-    """Edges (a, b) between the fingerprints of texts whose sets agree by `similar`; `own` is with_sets(docs) with bands."""
-    classes = written(own.where("size > 0").groupBy("name").agg(F.min("doc_id").alias("first_id"), F.first("size").alias("size"), F.first("keys").alias("keys")), "sets")
-    posted = classes.select(F.explode("keys").alias("key"), "name", "size")
-    large = written(posted.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > paired), "large")
+def similar_links(own: DataFrame, docs: DataFrame, key: str, text: str, width: int, seed: int, similar: float, paired: int = PAIRED, set_rows: int = SET_ROWS, stars: int = STARS) -> DataFrame:
+    """Edges (a, b) between the fingerprints of texts whose sets agree by `similar`; `own` is with_sets(docs) with bands.
+
+    Pairs of a small posting are listed. In a large one all are first compared with one of them, in `stars` rounds
+    with another each time; what these links have brought into one component needs no more comparing, and only
+    in postings with several components those that are not in its largest one are compared with all."""
+    classes = written(own.where("size > 0").groupBy("name").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys")), "sets")
+    posted = written(classes.select(F.explode("keys").alias("key"), "name", "size"), "bands")
+    counts = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    large = written(counts.where(F.col("n") > paired), "large")
 
     def list_pairs(batches):
         for keys, table in whole_keys(batches, 1):
@@ -371,7 +388,8 @@ def similar_links(own: DataFrame, docs: DataFrame, key: str, text: str, width: i
     pairs = written(small.repartition("key").sortWithinPartitions("key").mapInArrow(list_pairs, "one long, other long").distinct(), "pairs")
     needed = pairs.select(F.col("one").alias("name")).unionByName(pairs.select(F.col("other").alias("name")))
     if not none_large:
-        needed = needed.unionByName(posted.join(large, "key").select("name"))
+        crowded = written(posted.join(large, "key").select("key", "name", "size", "n"), "crowded")
+        needed = needed.unionByName(crowded.select("name"))
     reps = written(classes.join(needed.distinct(), "name", "left_semi").select("name", "first_id"), "needed")
     # A text for each: that of its smallest doc_id.
     those = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -379,7 +397,7 @@ def similar_links(own: DataFrame, docs: DataFrame, key: str, text: str, width: i
     if not reps.where("first_id is null").isEmpty():
         texts = texts.unionByName(those.where("doc_id is null"))
     sets = with_sets(texts, "doc_id", "text", width, seed, False).join(reps.select("name"), "name", "left_semi")
-    sets = written(sets.groupBy("name").agg(F.first("fp").alias("fp"), F.first("own").alias("own")), "shingles")
+    sets = written(sets.groupBy("name").agg(F.first("own").alias("own")), "shingles")
 
     def compare(batches):
         for batch in batches:
@@ -387,56 +405,144 @@ def similar_links(own: DataFrame, docs: DataFrame, key: str, text: str, width: i
             near = np.array([agree(x, y, np.array([0, len(y)]), similar)[0] for x, y in zip(one, other, strict=True)], bool)
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(near)) for i in (0, 1)], names=["a", "b"])
 
-    for side, fp, held in (("one", "a", "x"), ("other", "b", "y")):
-        pairs = pairs.join(sets.select(F.col("name").alias(side), F.col("fp").alias(fp), F.col("own").alias(held)), side)
-    found = pairs.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
-    if none_large:
-        return found
+    def agreeing(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (one, other) that agree, as edges between names."""
+        total = pairs.count()
+        met = pairs
+        for side, held in (("one", "x"), ("other", "y")):
+            once = pairs.groupBy(F.col(side)).agg(F.count("*").alias("n")).join(sets.select(F.col("name").alias(side), F.col("own").alias(held)), side)
+            met = hot_join(met, once, side, "n", total)
+        return met.select(F.col("one").alias("a"), F.col("other").alias("b"), "x", "y").mapInArrow(compare, "a long, b long")
+
+    found = [written(agreeing(pairs), "agreeing")]
+    if not none_large:
+        left = crowded
+        for turn in range(stars):
+            # First one text for all postings that share it, then another of each posting's main component for those outside.
+            order = F.xxhash64("name", F.lit(turn)) if turn == 0 else F.xxhash64("name", "key", F.lit(turn))
+            centre = (left if turn == 0 else left.where("component = main")).groupBy("key").agg(F.min_by(F.struct(F.col("name").alias("centre"), F.col("size").alias("centre_size")), order).alias("c")).select("key", "c.*")
+            met = (left if turn == 0 else left.where("component <> main")).join(centre, "key").where("name <> centre").where(F.least("size", "centre_size") >= similar * F.greatest("size", "centre_size"))
+            star = written(met.select(F.least("name", "centre").alias("one"), F.greatest("name", "centre").alias("other")).distinct(), "stars")
+            found.append(written(agreeing(star), "agreeing"))
+            groups = components(all_of(found)).select(F.col("node").alias("name"), "component")
+            split = crowded.join(groups, "name", "left").withColumn("component", F.coalesce("component", "name"))
+            parts = split.groupBy("key", "component").agg(F.count("*").alias("own_n"))
+            unlike = parts.groupBy("key").agg(F.max_by("component", F.struct("own_n", "component")).alias("main"), F.max("own_n").alias("n_main"), F.count("*").alias("n_components")).where("n_components > 1").drop("n_components")
+            left = written(split.join(unlike, "key"), "left")
+            if left.isEmpty():
+                break
+        if not left.isEmpty():
+            found.append(written(spanned(left, sets, similar, set_rows), "agreeing"))
+    fps = classes.select("name", "fp")
+    return all_of(found).join(fps.select(F.col("name").alias("a"), F.col("fp").alias("fp_a")), "a").join(fps.select(F.col("name").alias("b"), F.col("fp").alias("fp_b")), "b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
+
+
+def all_of(found: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, found)
+
+
+def spanned(left: DataFrame, sets: DataFrame, similar: float, set_rows: int) -> DataFrame:
+    """Edges between names that connect what agrees across components in postings (key, name, component, main, n,
+    n_main): those outside the posting's main component are compared with all, in blocks of about set_rows."""
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(2 * n / set_rows)).cast("int")
+    rows = left.withColumn("x_blocks", blocks(F.col("n_main"))).withColumn("y_blocks", blocks(F.col("n") - F.col("n_main")))
+    block = lambda n: F.pmod(F.xxhash64("name"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    x_blocks, y_blocks = F.col("x_blocks"), F.col("y_blocks")
+    # Cells (x, y): block x of the main component with block y of the others; (-1 - x, y): blocks of the others.
+    main = rows.where("component = main").select("key", block(x_blocks).alias("x"), every(y_blocks).alias("y"), "name", "component", F.lit(0).alias("side"))
+    others = rows.where("component <> main").withColumn("own", block(y_blocks))
+    across = others.select("key", every(x_blocks).alias("x"), F.col("own").alias("y"), "name", "component", F.lit(1).alias("side"))
+    among = others.withColumn("with", every(y_blocks)).select("key", (-1 - F.least("own", "with")).alias("x"), F.greatest("own", "with").alias("y"), "name", "component", F.lit(1).alias("side"))
+    cells = main.unionByName(across).unionByName(among).join(sets, "name").select("key", "x", "y", "side", "name", "component", "own")
 
     def span(batches):
         for keys, table in whole_keys(batches, 3):
-            fps, bounds = np.asarray(table.column("fp")), begins_of(keys)
+            names, groups, sides = (np.asarray(table.column(c)) for c in ("name", "component", "side"))
+            bounds = begins_of(keys)
             for a, b in zip(bounds[:-1], bounds[1:]):
                 of = [np.frombuffer(x, np.uint64) for x in table.column("own").slice(a, b - a).to_pylist()]
-                edges = np.array(set_forest(of, similar), np.int64).reshape(-1, 2) + a
-                yield pa.RecordBatch.from_arrays([pa.array(fps[edges[:, 0]]), pa.array(fps[edges[:, 1]])], names=["a", "b"])
+                edges = np.array(cross_links(of, groups[a:b], sides[a:b], similar), np.int64).reshape(-1, 2) + a
+                yield pa.RecordBatch.from_arrays([pa.array(names[edges[:, 0]]), pa.array(names[edges[:, 1]])], names=["a", "b"])
 
-    blocks = posted.join(large.withColumn("blocks", F.ceil(2 * F.col("n") / set_rows).cast("int")), "key").withColumn("block", F.pmod(F.xxhash64("name"), "blocks").cast("int"))
-    cells = blocks.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("block <> with or blocks = 1")
-    cells = cells.select("key", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), "name").join(sets, "name").select("key", "x", "y", "fp", "own")
-    return found.unionByName(cells.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(span, "a long, b long"))
+    return cells.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(span, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE_WORDS, seed: int = SEED, most: int = MOST_BITS, similar: float | None = None) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id of its component) of every row."""
+def cross_links(sets: list[np.ndarray], groups: np.ndarray, sides: np.ndarray, similar: float) -> list[tuple[int, int]]:
+    """Links of the sets of side 1 with sets of other groups, by their numbers: one for each two groups is enough."""
+    out: list[tuple[int, int]] = []
+    joined = {int(g): int(g) for g in np.unique(groups)}
+
+    def root(g: int) -> int:
+        while joined[g] != g:
+            g = joined[g]
+        return g
+
+    for one in np.flatnonzero(sides == 1).tolist():
+        own = root(int(groups[one]))
+        apart = [k for k in range(len(sets)) if k != one and root(int(groups[k])) != own]
+        for i in range(0, len(apart), 256):  # so that no copy is large
+            part = [k for k in apart[i : i + 256] if root(int(groups[k])) != root(int(groups[one]))]
+            if not part:
+                continue
+            near = agree(sets[one], np.concatenate([sets[k] for k in part]), np.cumsum([0, *(len(sets[k]) for k in part)]), similar)
+            for k in np.array(part)[near].tolist():
+                a, b = root(int(groups[one])), root(int(groups[k]))
+                if a != b:
+                    joined[max(a, b)] = min(a, b)
+                    out.append((one, k))
+    return out
+
+
+def grouped(docs: DataFrame, key: str, text: str, width: int, seed: int, most: int, similar: float | None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """own (doc_id, fp, ...) of every row; classes (fp, first_id, n); members (fp, root, first_id) of components with
+    more than one class; and these components: root, component_id, n_members, fp (the smallest with that id)."""
     own = written(fingerprints(docs, key, text, width, seed) if similar is None else with_sets(docs, key, text, width, seed, True), "fingerprints")
-    classes = written(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
+    classes = written(own.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "classes")
     edges = links(classes, most)
     if similar is not None:
         edges = edges.unionByName(similar_links(own, docs, key, text, width, seed, similar))
-    joined = components(edges).select(F.col("node").alias("fp"), F.col("component").alias("root"))
-    rooted = written(classes.join(joined, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
-    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    labels = rooted.join(smallest, "root").select("fp", "component_id")
-    return own.select("doc_id", "fp").join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """The documents with one kept of each component: that with the smallest doc_id (of rows that share it,
-    the first by a hash of the row); where no row of a component has a doc_id, one row without."""
-    from pyspark.sql.window import Window
-
-    found = near_duplicates(docs, **how)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    chosen = docs.join(kept, "doc_id", "left_semi")
-    order = F.xxhash64(*[F.col(c).cast("string") for c in docs.columns])
-    chosen = chosen.withColumn("_rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(order))).where("_rank = 1").drop("_rank")
-    lost = docs.where("doc_id is null")
-    if lost.isEmpty():
+    joined = components(edges)
+    roots = joined.select(F.col("component").alias("fp"), F.col("component").alias("root")).distinct()
+    members = written(joined.select(F.col("node").alias("fp"), F.col("component").alias("root")).unionByName(roots).join(classes, "fp"), "members")
+    order = F.struct(F.col("first_id").isNull(), "first_id", "fp")
+    found = members.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n_members"), F.min_by("fp", order).alias("fp"))
+    return own, classes, members, written(found, "smallest")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE_WORDS, seed: int = SEED, most: int = MOST_BITS, similar: float | None = None) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id of its component) of every row."""
+    own, classes, members, smallest = grouped(docs, key, text, width, seed, most, similar)
+    named = hot_join(members.select("fp", "root"), smallest.select("root", "component_id", "n_members"), "root", "n_members", members.count()).select("fp", "component_id")
+    labels = written(classes.join(named, "fp", "left").select("fp", "n", F.coalesce("component_id", "first_id").alias("component_id")), "labels")
+    out = hot_join(own.select("doc_id", "fp"), labels, "fp", "n", own.count())
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE_WORDS, seed: int = SEED, most: int = MOST_BITS, similar: float | None = None) -> DataFrame:
+    """The documents, whatever their columns, with one row kept of each component: one with its smallest doc_id (a row
+    without only where none has one); of several such, one with the smallest fingerprint, the first by a hash of the row."""
+    own, classes, members, smallest = grouped(docs, key, text, width, seed, most, similar)
+    single = classes.join(members.select("fp"), "fp", "left_anti").select(F.col("first_id").alias("doc_id"), "fp")
+    kept = written(single.unionByName(smallest.select(F.col("component_id").alias("doc_id"), "fp")), "kept")
+    # A doc_id that one row has names it; rows that share one, or have none, are told apart by their fingerprints.
+    repeated = written(own.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
+    carry = Carry(docs, key, text, docs.columns)
+    rows = carry.rows
+    chosen = rows.join(kept.where("doc_id is not null").join(repeated, "doc_id", "left_anti").select("doc_id"), "doc_id", "left_semi").select(*carry.untouched())
+    unclear = rows.where("doc_id is null")
+    if not repeated.isEmpty():
+        unclear = unclear.unionByName(hot_join(rows, repeated, "doc_id", "n", own.count()))
+    elif unclear.isEmpty():
         return chosen
-    # Rows without a doc_id stand for a component only if it has no other: matched by fingerprint.
-    alone = found.where("component_id is null").select("fingerprint").distinct()
-    own = fingerprints(lost.withColumn("doc_id", F.xxhash64("text")), width=how.get("width", SHINGLE_WORDS), seed=how.get("seed", SEED))
-    marks = own.select(F.col("doc_id").alias("_hash"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")).distinct().join(alone, "fingerprint", "left_semi")
-    rest = lost.withColumn("_hash", F.xxhash64("text")).join(marks, "_hash").withColumn("_rank", F.row_number().over(Window.partitionBy("fingerprint").orderBy(order))).where("_rank = 1")
-    return chosen.unionByName(rest.select(*docs.columns))
+    source = carry.source
+
+    def run(batches):
+        for part, texts in text_slices(batches):
+            found = np.fromiter((fingerprint(t.lower(), width, seed) if t else 0 for t in texts), np.uint64, len(texts))
+            yield with_kept(part, {"doc_id": part.column(part.schema.get_field_index("doc_id")), "fp": pa.array(found.view(np.int64))}, source)
+
+    # One row of each doc_id and fingerprint, before the shuffle already.
+    order = F.xxhash64(*(F.col(f"_{i}").cast("string") for i in range(len(carry.names))))
+    marked = unclear.mapInArrow(run, "doc_id long, fp long" + carry.ddl).withColumn("rank", F.row_number().over(Window.partitionBy("doc_id", "fp").orderBy(order))).where("rank = 1").alias("r")
+    return chosen.unionByName(marked.join(kept.alias("k"), F.col("r.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("r.fp") == F.col("k.fp")), "left_semi").select(*carry.columns()))

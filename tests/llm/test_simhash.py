@@ -3,10 +3,16 @@ import random
 import numpy as np
 import xxhash
 
+from pyspark.sql import functions as F
+
 from strandflow.llm import queries, simhash
+from strandflow.llm.common import hot_join, word_parts
 from strandflow.llm.components import components
 
 
+TEXT = "the cat sat on the mat and looked at the moon for a long while before it slept"
+
+
 def plain_fingerprint(text):
     words = (text or "").encode().lower().split()
     if not words:
@@ -53,6 +59,34 @@ def test_odd_rows(odd_docs, no_docs):
     assert simhash.one_of_each(no_docs).count() == 0
 
 
+def test_one_of_each_keeps_other_texts_and_columns(spark):
+    other = "quite another text about ships and harbours and the wind that carries them home again"
+    rows = [(1, TEXT), (1, other), (2, TEXT), (3, other), (3, other), (None, TEXT), (None, "alone without a number in all the world of words"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' _rank", "'y' _hash", "'z' fp", "map('k', 1) `a.b`", "array(1) rank", "1 n", "2 root")
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    found = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sorted(found, key=str) == sorted([(1, TEXT), (1, other), (None, rows[6][1]), (4, None)], key=str)
+    assert all((r._rank, r._hash, r.fp, r["a.b"]) == ("x", "y", "z", {"k": 1}) for r in kept.collect())
+
+
+def test_hot_keys_are_dealt(spark):
+    rows = spark.createDataFrame([(i, 7 if i % 3 else i) for i in range(3000)], "doc_id long, fp long")
+    once = rows.groupBy("fp").count().withColumn("label", F.col("fp") * 2).cache()
+    found = hot_join(rows, once, "fp", "count", 3000)
+    assert sorted(map(tuple, found.select("doc_id", "fp", "label").collect())) == [(i, f, 2 * f) for i, f in sorted(map(tuple, rows.collect()))]
+
+
+def test_very_long_texts_in_parts(monkeypatch):
+    rng = random.Random(9)
+    for n in (0, 1, 3, 4, 5, 400):
+        text = " ".join("w" * rng.randrange(1, 30) for _ in range(n)).encode()
+        whole = [b"".join(simhash.shingle_hashes(text, w, 42)) for w in (1, 4, 5)], simhash.set_name(text)
+        with monkeypatch.context() as m:
+            m.setattr(simhash, "word_parts", lambda t: word_parts(t, 20))
+            assert ([b"".join(simhash.shingle_hashes(text, w, 42)) for w in (1, 4, 5)], simhash.set_name(text)) == whole
+
+
 def clustered(rng, n):
     out = set()
     for _ in range(n):
@@ -168,9 +202,9 @@ def test_similar_texts_are_linked(spark):
     own = simhash.with_sets(docs, "doc_id", "text", 4, 42, True).cache()
     number = {b: i for i, b in enumerate(bits)}
     exact = labels_of([(i, j) for i, j in pairs if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])], range(len(texts)))
-    # Listed pairs; some postings, then all, compared in blocks.
-    for paired, set_rows in ((48, 1024), (3, 1024), (1, 4)):
-        edges = simhash.similar_links(own, docs, "doc_id", "text", 4, 42, 0.8, paired, set_rows).collect()
+    # Listed pairs; some postings, then all, by stars and in blocks.
+    for paired, set_rows, stars in ((48, 1024, 3), (3, 1024, 1), (1, 4, 2)):
+        edges = simhash.similar_links(own, docs, "doc_id", "text", 4, 42, 0.8, paired, set_rows, stars).collect()
         assert labels_of([(number[r.a % (1 << 64)], number[r.b % (1 << 64)]) for r in edges], range(len(texts))) == exact
 
 
