@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import written
@@ -66,8 +67,9 @@ def places(nearest: np.ndarray, n_pivots: int, depth: int) -> np.ndarray:
     return out
 
 
-def posted(vectors: DataFrame, pivots: dict[int, np.ndarray], depth: int, n_files: int, role: int) -> DataFrame:
-    """Rows (dim, role, pivot, vec_id, vector, nearest): one for each of the n_files nearest pivots."""
+def posted(vectors: DataFrame, pivots: dict[int, np.ndarray], depth: int, n_files: int, role: int, number: str = "<f8") -> DataFrame:
+    """Rows (dim, role, pivot, vec_id, vector, nearest): one for each of the n_files nearest pivots; components travel as `number`."""
+    size = np.dtype(number).itemsize
     shared = vectors.sparkSession.sparkContext.broadcast(pivots)  # at most PIVOTS vectors of each length
 
     def run(batches):
@@ -79,8 +81,8 @@ def posted(vectors: DataFrame, pivots: dict[int, np.ndarray], depth: int, n_file
                 near = nearest_pivots(values, shared.value[int(dim)], depth)
                 files = min(n_files, near.shape[1])
                 n = len(near) * files
-                raw, orders = values.tobytes(), near.tobytes()
-                vectors_out = [raw[i : i + 8 * dim] for i in range(0, len(raw), 8 * int(dim))]
+                raw, orders = values.astype(number).tobytes(), near.tobytes()
+                vectors_out = [raw[i : i + size * int(dim)] for i in range(0, len(raw), size * int(dim))]
                 orders_out = [orders[i : i + near.shape[1]] for i in range(0, len(orders), near.shape[1])]
                 rows = pa.array(np.repeat(np.arange(len(near)), files))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, role, np.int32)), pa.array(near[:, :files].astype(np.int32).reshape(-1)), own.column(1).take(rows), pa.array(vectors_out, pa.binary()).take(rows), pa.array(orders_out, pa.binary()).take(rows)], names=["dim", "role", "pivot", "vec_id", "vector", "nearest"])
@@ -93,7 +95,7 @@ def blocks_of(rows: DataFrame, most: int) -> dict[tuple[int, int], int]:
     return {(r.dim, r.pivot): max(1, -(-r.n // most)) for r in rows.groupBy("dim", "pivot").agg(F.count("*").alias("n")).collect()}
 
 
-def compared(data: DataFrame, queries: DataFrame, k: int, depth: int, probed: int, share: float, least: int, exact: bool = False) -> DataFrame:
+def compared(data: DataFrame, queries: DataFrame, k: int, depth: int, probed: int, share: float, least: int, exact: bool = False, number: str = "<f8") -> DataFrame:
     """(query_id, vec_id, score): the k nearest found in each pair of blocks."""
     spark = data.sparkSession
     sizes, asked = blocks_of(data, BLOCK_ROWS), blocks_of(queries, BLOCK_QUERIES)
@@ -115,7 +117,7 @@ def compared(data: DataFrame, queries: DataFrame, k: int, depth: int, probed: in
         dim, pivot = int(key[0].as_py()), int(key[1].as_py())
         ours, asking = ours.sort_by("vec_id"), asking.sort_by("vec_id")
         ids, asked_ids = np.asarray(ours.column("vec_id")), np.asarray(asking.column("vec_id"))
-        vectors, wanted = (np.frombuffer(b"".join(t.column("vector").to_pylist()), np.float64).reshape(-1, dim) for t in (ours, asking))
+        vectors, wanted = (np.frombuffer(b"".join(t.column("vector").to_pylist()), number).astype(np.float64).reshape(-1, dim) for t in (ours, asking))
         orders, orders_asked = (np.frombuffer(b"".join(t.column("nearest").to_pylist()), np.uint8).reshape(len(t), -1) for t in (ours, asking))
         n_pivots = 1 + int(max(orders.max(), orders_asked.max()))
         depth_here = orders.shape[1]
@@ -155,17 +157,19 @@ def nearest_neighbours(table: DataFrame, is_query: Column, k: int = 10, key: str
     vectors = written(taken.groupBy("vec_id").agg(F.min("vector").alias("vector")).withColumn("dim", F.size("vector")), "vectors")
     same = Window.partitionBy("vector").orderBy("vec_id")
     few = written(vectors.withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= k + 1).drop("copy"), "distinct")
+    # Single-precision components travel as they are; distances are in double precision.
+    number = "<f4" if table.schema[vector].dataType == T.ArrayType(T.FloatType(), table.schema[vector].dataType.containsNull) else "<f8"
     pivots = chosen_pivots(few, n_pivots, k)
-    data = written(posted(few, pivots, depth, POSTED, 0), "postings")
+    data = written(posted(few, pivots, depth, POSTED, 0, number), "postings")
     asking = vectors.where(is_query)
-    queries = written(posted(asking, pivots, depth, probed, 1), "queries")
-    first = written(ranked(compared(data, queries, k, depth, probed, share, least), k), "found")
+    queries = written(posted(asking, pivots, depth, probed, 1, number), "queries")
+    first = written(ranked(compared(data, queries, k, depth, probed, share, least, number=number), k), "found")
     # Those that found fewer than k are compared with everything (once each: the file of the first pivot becomes that of all).
     enough = first.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
     lacking = asking.join(enough, F.col("vec_id") == F.col("query_id"), "left_anti")
     if lacking.isEmpty():
         return first.select("query_id", "rank", "vec_id", "score")
-    once = posted(few, pivots, depth, 1, 0).withColumn("pivot", F.lit(0))
-    again = ranked(compared(once, posted(lacking, pivots, depth, 1, 1).withColumn("pivot", F.lit(0)), k, depth, probed, 1.0, least, exact=True), k)
+    once = posted(few, pivots, depth, 1, 0, number).withColumn("pivot", F.lit(0))
+    again = ranked(compared(once, posted(lacking, pivots, depth, 1, 1, number).withColumn("pivot", F.lit(0)), k, depth, probed, 1.0, least, exact=True, number=number), k)
     whole = first.join(enough, "query_id", "left_semi").unionByName(again)
     return whole.select("query_id", "rank", "vec_id", "score")
