@@ -68,6 +68,10 @@ def check_store(spark, docs, ids_of, monkeypatch):
     keys = [r.doc_id for r in rows if r.doc_id is not None]
     there = token_store.lookup(spark, folder, [*keys, 10**9, -5])
     assert set(there) == set(keys)
+    with monkeypatch.context() as m:
+        m.setattr(token_store, "FEW_KEYS", 0)
+        whole = token_store.lookup(spark, folder, [*keys, 10**9, -5])
+        assert {k: v.tolist() for k, v in whole.items()} == {k: v.tolist() for k, v in there.items()}
     texts = defaultdict(list)
     for r in rows:
         texts[r.doc_id].append(ids_of(r.text).tolist())
