@@ -94,6 +94,30 @@ select page_id, host, path, rule, case when verdict is not null then verdict whe
 """
 
 
+#: Pages whose canonical link leads to the first of each LINKED page ids in a row.
+LINKED = 7
+
+
+def url_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op5 on pages with canonical links made from their ids: so that decisions are carried over in components."""
+    from .url_filter import judged
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    first = pages.select((F.col("page_id") / LINKED).cast("long").alias("run"), F.col("url").alias("to")).where(F.col("page_id") % LINKED == 0)
+    linked = pages.withColumn("run", (F.col("page_id") / LINKED).cast("long")).join(first, "run", "left")
+    html = F.concat(F.coalesce("html", F.lit("")), F.lit('<link rel="canonical" href="'), F.coalesce("to", F.lit("")), F.lit('">'))
+    return judged(linked.select("page_id", "url", html.alias("html")), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+LINKS_SQL = OP5_SQL.replace(
+    "rules(verdict",
+    f"""linked as (select p.page_id, p.url, coalesce(p.html, '') || '<link rel="canonical" href="' || coalesce(f.url, '') || '">' html
+        from pages p left join pages f on f.page_id % {LINKED} = 0 and f.page_id // {LINKED} = p.page_id // {LINKED}),
+rules(verdict""",
+    1,
+).replace("from pages),", "from linked),", 1)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -138,6 +162,7 @@ QUERIES = {
     "op8_token_store": op8_token_store,
     "op9_license_scan": op9_license_scan,
     "op10_simhash": op10_simhash,
+    "url_links": url_links,
 }
 
-ORACLE: dict[str, str] = {"op5_url_filter": OP5_SQL}
+ORACLE: dict[str, str] = {"op5_url_filter": OP5_SQL, "url_links": LINKS_SQL}

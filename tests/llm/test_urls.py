@@ -53,3 +53,13 @@ def test_redirects_given_besides(spark):
 
 def test_no_pages(spark):
     assert url_filter.judged(spark.createDataFrame([], "page_id long, url string, html string"), queries.URL_RULES).count() == 0
+
+
+def test_queries_equal_their_sql(spark):
+    from helpers import oracle_rows, rows
+
+    for name in queries.ORACLE:
+        assert rows(queries.QUERIES[name](spark, "/root/testdata/sf0.01")) == oracle_rows(queries.ORACLE[name], "/root/testdata/sf0.01")
+    # Decisions are carried over.
+    out = queries.url_links(spark, "/root/testdata/sf0.01")
+    assert out.where("verdict = 'block' and rule is null").count() > 0
