@@ -6,7 +6,9 @@ templates' kept hashes are an inverted index (a few thousand entries, the same s
 A text's kept hashes that are in the index fall into clusters of one template and nearly one diagonal.
 A cluster with enough of the template's fingerprints is aligned with the text in a band around it; the
 alignment gives the share of the template's words found in order, and the span in the text. Any run of
-GRAM + WINDOW - 1 words common to text and template is found as a candidate.
+GRAM + WINDOW - 1 words common to text and template gives a fingerprint of the template in the text; a
+candidate needs CANDIDATE_SHARE of the template's fingerprints near one diagonal, so a few sentences of a
+long notice are none. Statements of up to SHORT_WORDS words must be there word for word: one word tells licences apart.
 
 One row for each notice found; of notices that overlap in the text by more than half of the shorter
 one, only the one with most words matched (then the highest coverage, then the first name) is reported.
@@ -33,6 +35,8 @@ GRAM, WINDOW = 3, 3
 BAND = 16
 #: The share of a template's fingerprints that makes a cluster a candidate; the coverage that is reported.
 CANDIDATE_SHARE, LEAST_COVERAGE = 0.3, 0.6
+#: Templates of up to so many words are reported only with all of them and no other between.
+SHORT_WORDS = 12
 #: Alignment scores.
 MATCH, MISMATCH, GAP = 2, -1, -1
 
@@ -110,18 +114,22 @@ class Index:
                         taken = d
                         if aligned := align(self.templates[t], numbers, d):
                             matched, first, last = aligned
-                            if matched / n >= LEAST_COVERAGE:
+                            if matched == last - first + 1 == n if n <= SHORT_WORDS else matched / n >= LEAST_COVERAGE:
                                 found.append((t, matched / n, matched, first, last))
             i = j
         return self.best(found)
 
     def best(self, found: list[tuple[int, float, int, int, int]]) -> list[tuple[int, float, int, int, int]]:
-        kept: list[tuple[int, float, int, int, int]] = []
+        """Of notices that overlap by more than half of the shorter one, only the best; what is kept is looked up by its place."""
+        span = max((f[4] - f[3] + 1 for f in found), default=1)
+        kept: dict[int, list[tuple[int, float, int, int, int]]] = {}
         for one in sorted(found, key=lambda f: (-f[2], -f[1], self.names[f[0]], f[3])):
             a, b = one[3], one[4]
-            if all(2 * (min(b, k[4]) - max(a, k[3]) + 1) <= min(b - a, k[4] - k[3]) + 1 for k in kept):
-                kept.append(one)
-        return sorted(kept, key=lambda f: (f[3], f[4]))
+            # None is longer than span, so what overlaps begins in this stretch or in one beside it.
+            near = (k for i in range(a // span - 1, b // span + 1) for k in kept.get(i, ()))
+            if all(2 * (min(b, k[4]) - max(a, k[3]) + 1) <= min(b - a, k[4] - k[3]) + 1 for k in near):
+                kept.setdefault(a // span, []).append(one)
+        return sorted((k for own in kept.values() for k in own), key=lambda f: (f[3], f[4]))
 
 
 def align(template: np.ndarray, text: np.ndarray, diagonal: int) -> tuple[int, int, int] | None:

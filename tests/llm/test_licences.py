@@ -1,3 +1,7 @@
+import random
+
+import numpy as np
+
 from strandflow.llm import license_scan, queries
 from strandflow.llm.license_templates import TEMPLATES
 
@@ -47,3 +51,62 @@ def test_every_template_finds_itself():
 
 def test_odd_rows(odd_docs, no_docs):
     assert license_scan.scan(odd_docs).count() == 0 and license_scan.scan(no_docs).count() == 0
+
+
+def plain_alignment(template, text):
+    """The best score of the whole template against any part of the text, by the full table."""
+    best = np.zeros((len(template) + 1, len(text) + 1), int)
+    best[:, 0] = license_scan.GAP * np.arange(len(template) + 1)
+    for i in range(1, len(template) + 1):
+        for j in range(1, len(text) + 1):
+            same = license_scan.MATCH if template[i - 1] == text[j - 1] else license_scan.MISMATCH
+            best[i, j] = max(best[i - 1, j - 1] + same, best[i - 1, j] + license_scan.GAP, best[i, j - 1] + license_scan.GAP)
+    return int(best[-1].max())
+
+
+def test_alignment_equals_plain():
+    rng = random.Random(4)
+    for _ in range(40):
+        template = [rng.randrange(12) for _ in range(rng.randrange(5, 40))]
+        own = list(template)
+        for _ in range(rng.randrange(6)):
+            at = rng.randrange(len(own))
+            own[at : at + rng.randrange(2)] = [rng.randrange(12) for _ in range(rng.randrange(3))]
+            own = own or [0]
+        before = [rng.randrange(100, 120) for _ in range(rng.randrange(30))]
+        text = before + own + [rng.randrange(100, 120) for _ in range(rng.randrange(30))]
+        found = license_scan.align(np.array(template), np.array(text), len(before))
+        want = plain_alignment(template, text)
+        if want > 0:
+            matched, first, last = found
+            assert 0 <= first <= last < len(text) and 2 * matched - (len(template) - matched) - (last - first + 1 - matched) <= want
+            # What the words reported score at best is what the full table has.
+            assert plain_alignment(template, text[first : last + 1]) == want
+
+
+def test_changed_notices_are_found(spark):
+    """Recall against aligning every template everywhere: notices with words replaced, dropped and added."""
+    rng = random.Random(6)
+    rows, want = [], []
+    for name, text in TEMPLATES.items():
+        words = text.split()
+        if len(words) <= license_scan.SHORT_WORDS:
+            continue
+        for share in (0.03, 0.08):
+            own = [w if rng.random() > share else rng.choice(["", "other", w + " more"]) for w in words]
+            rows.append((len(rows), "some words before " + " ".join(own) + " and after"))
+            want.append(name)
+    out = {}
+    for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        out.setdefault(r.doc_id, set()).add(r.license)
+    assert sum(w in out.get(i, ()) for i, w in enumerate(want)) >= 0.9 * len(want)
+
+
+def test_statements_need_all_their_words(spark):
+    near = ["This work is licensed under the GNU General Public License, version 2.", "Licensed under CC BY-ND 4.0.", "Released under the BSD License."]
+    assert license_scan.scan(spark.createDataFrame(list(enumerate(near)), "doc_id long, text string")).count() == 0
+
+
+def test_many_notices_in_one_text(spark):
+    text = " ".join(list(LINES) * 3000)
+    assert license_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).count() == 12_000
