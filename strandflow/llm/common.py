@@ -93,6 +93,8 @@ def text_slices(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iter
         sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0), dtype=np.int64)
         for a, b in slices(sizes):
             yield batch.slice(a, b - a), texts.slice(a, b - a).to_pylist()
+        del texts, sizes
+        pa.default_memory_pool().release_unused()
 
 
 class Carry:

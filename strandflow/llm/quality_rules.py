@@ -158,8 +158,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     marked = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).where("key is not null and label in (0, 1)")
     marked = bounded_sample(marked.groupBy("key").agg(F.min("label").alias("label")), "key", "label", sample_rows, "weight")
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(marked), "key").select(F.xxhash64("key").alias("hash"), "text", "label", "weight", (hash_share("key", 5) < 0.25).alias("calibrates"))
-    # One text for each key, however many rows share it.
-    rows = rows.groupBy("hash", "label", "weight", "calibrates").agg(F.min("text").alias("text"))
+    if not rows.groupBy("hash").count().where("count > 1").isEmpty():
+        # One text for each key, however many rows share it.
+        rows = rows.groupBy("hash", "label", "weight", "calibrates").agg(F.min("text").alias("text"))
 
     def run(batches):
         for part, texts in text_slices(batches):

@@ -212,8 +212,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     marked = labels.select(F.col(key).alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     marked = bounded_sample(marked.groupBy("doc_id").agg(F.min("label").alias("label")), "doc_id", "label", sample_rows, "weight")
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(marked), "doc_id")
-    # One text for each key, however many rows share it.
-    rows = rows.groupBy("doc_id", "label", "weight").agg(F.min("text").alias("text"))
+    if not rows.groupBy("doc_id").count().where("count > 1").isEmpty():
+        # One text for each key, however many rows share it.
+        rows = rows.groupBy("doc_id", "label", "weight").agg(F.min("text").alias("text"))
     sample = with_statistics(rows, also=("label", "weight")).toArrow()  # twice sample_rows rows of numbers
     order = np.argsort(np.asarray(sample.column("doc_id")), kind="stable")
     x = np.stack([np.asarray(sample.column(c)) for c in STATISTICS], axis=1)[order]
