@@ -18,7 +18,6 @@ further columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-import re
 from functools import cache
 from itertools import repeat
 
@@ -175,16 +174,12 @@ def index_of(templates: tuple[tuple[str, str], ...]) -> Index:
     return Index(dict(templates))
 
 
-def word_spans(text: bytes, first: int, last: int) -> tuple[int, int]:
-    """Where words number first to last of the text begin and end, in characters."""
-    begin = end = 0
-    for i, m in enumerate(re.finditer(rb"[^ ]+", text.translate(TABLE))):
-        if i == first:
-            begin = m.start()
-        if i == last:
-            end = m.end()
-            break
-    return len(text[:begin].decode("utf-8", "replace")), len(text[:end].decode("utf-8", "replace"))
+def word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of the text begins and ends, in characters."""
+    word = np.frombuffer(b" " + text.translate(TABLE) + b" ", np.uint8) != 0x20
+    begins, ends = np.flatnonzero(word[1:] & ~word[:-1]), np.flatnonzero(word[:-1] & ~word[1:])
+    chars = offsets(np.frombuffer(text, np.uint8) & 0xC0 != 0x80)
+    return chars[begins], chars[ends]
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -212,8 +207,10 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, key: str = "doc
                 own = numbers[bounds[i] : bounds[i + 1]]
                 hashes = gram_hashes(own)
                 at = winnowed(hashes)
-                for t, coverage, matched, first, last in index.scan(own, at, hashes[at]):
-                    rows.append((part.column(0)[i].as_py(), index.names[t], coverage, matched, *word_spans(texts[i], first, last)))
+                if found := index.scan(own, at, hashes[at]):
+                    begins, ends = word_bounds(texts[i])
+                    doc_id = part.column(0)[i].as_py()
+                    rows += [(doc_id, index.names[t], coverage, matched, int(begins[first]), int(ends[last])) for t, coverage, matched, first, last in found]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
