@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 #: 2-bit codes of bases; other bytes have none. Codes order like the letters.
@@ -10,6 +12,8 @@ for _base, _number in zip(b"ACGT", range(4)):
     CODE[_base] = _number
     CODE[_base + 32] = _number
 MOST_K = 31
+#: k-mers of a sequence that are worked on at once.
+PIECE = 1 << 17
 
 #: Bytes that are no base become N; the bases' complements.
 NORMAL = bytes(b if b in b"ACGT" else ord("N") for b in range(256))
@@ -59,27 +63,71 @@ def canonical_codes(seq: bytes, k: int, step: int = 1) -> np.ndarray:
     return np.minimum(values, reverse_codes(values, k))
 
 
-def kmer_keys(seq: bytes, k: int, step: int = 1) -> np.ndarray:
-    """A 64-bit key of the canonical form of each k-mer at positions 0, step, 2 step, ...
+def pieces(seq: bytes, k: int, most: int = PIECE) -> Iterator[tuple[int, bytes]]:
+    """(begin, piece) of a sequence in pieces that share k - 1 letters: each k-mer is whole in just one."""
+    for a in range(0, max(0, len(seq) - k + 1), most):
+        yield a, seq[a : a + most + k - 1]
 
-    For k up to MOST_K a k-mer of bases alone has its code, which is exact; others (with an N, or
-    longer) have a hash with the top bit set."""
-    seq = seq.upper()
+
+def canonical_windows(windows: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """The smaller of each row of letters and of its reverse complement, the row of `others`."""
+    differ = windows != others
+    first = differ.argmax(axis=1)
+    rows = np.arange(len(windows))
+    smaller = windows[rows, first] <= others[rows, first]
+    return np.ascontiguousarray(np.where(smaller[:, None], windows, others))
+
+
+def kmer_windows(seq: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Views of all k-mers of a normalised sequence, and of their reverse complements."""
+    view = lambda x: np.lib.stride_tricks.sliding_window_view(np.frombuffer(x, np.uint8), k)
+    return view(seq), view(seq.translate(COMPLEMENT))[:, ::-1]
+
+
+def canonical_rows(seq: bytes, k: int, step: int = 1) -> np.ndarray:
+    """The letters of the canonical form of each k-mer at 0, step, 2 step, ..., a row each."""
+    if len(seq) < k:
+        return np.zeros((0, k), np.uint8)
+    forward, backward = kmer_windows(seq.upper().translate(NORMAL), k)
+    return canonical_windows(forward[::step], backward[::step])
+
+
+def piece_keys(piece: bytes, k: int, step: int, begin: int) -> np.ndarray:
+    """Keys of the k-mers of a piece that begins at `begin` of its sequence, those at multiples of step of the sequence."""
+    normal = piece.upper().translate(NORMAL)
+    n = len(piece) - k + 1
+    left = (begin + np.arange(n)) % step == 0
     exact = np.zeros(0, np.uint64)
-    others = range(0, len(seq) - k + 1, step)
     if k <= MOST_K:
-        values, at = codes(seq, k)
-        own = at % step == 0
-        exact = np.minimum(values[own], reverse_codes(values[own], k))
-        if len(exact) == len(others):
-            return exact
-        known = set(at[own].tolist())
-        others = [i for i in others if i not in known]
-    rows = [(kmer, rc) for i in others for kmer in [seq[i : i + k].translate(NORMAL)] for rc in [kmer.translate(COMPLEMENT)[::-1]]]
-    if not rows:
+        values, at = codes(normal, k)
+        values = values[left[at]]
+        exact = np.minimum(values, reverse_codes(values, k))
+        left[at] = False
+    at = np.flatnonzero(left)
+    if not len(at):
         return exact
-    smaller = np.frombuffer(b"".join(min(r) for r in rows), np.uint8).reshape(-1, k)
-    return np.concatenate((exact, murmur64a(smaller, 0) | np.uint64(1 << 63)))
+    # k-mers of N alone have one key between them, however many there are.
+    unknown = np.concatenate(([0], np.cumsum(np.frombuffer(normal, np.uint8) == ord("N"))))
+    empty = unknown[at + k] - unknown[at] == k
+    forward, backward = kmer_windows(normal, k)
+    own = at[~empty]
+    hashed = [murmur64a(canonical_windows(forward[own], backward[own]), 0)] if len(own) else []
+    if empty.any():
+        hashed.append(np.repeat(murmur64a(np.full((1, k), ord("N"), np.uint8), 0), int(empty.sum())))
+    return np.concatenate((exact, np.concatenate(hashed) | np.uint64(1 << 63)))
+
+
+def key_pieces(seq: bytes, k: int, step: int = 1, most: int = PIECE) -> Iterator[np.ndarray]:
+    """A 64-bit key of the canonical form of each k-mer at positions 0, step, 2 step, ..., piece by piece.
+
+    For k up to MOST_K a k-mer of bases alone has its code, which is exact; others (with an N, or
+    longer) have a hash with the top bit set."""
+    for begin, piece in pieces(seq, k, most):
+        yield piece_keys(piece, k, step, begin)
+
+
+def kmer_keys(seq: bytes, k: int, step: int = 1) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint64), *key_pieces(seq, k, step)])
 
 
 def letters(values: np.ndarray, k: int) -> np.ndarray:

@@ -4,7 +4,9 @@ An aligner takes dispatched reads (read_id, part, name, seq, qual) and targets (
 seq) and returns records, one for each read and partition it was sent to. The built-in one joins the
 k-mers of both strands of the reads with those of the targets, finds runs of adjacent hits on one
 diagonal, and reports the longest; among equals the smallest target, forward before reverse, then the
-first place, with mapq 0 (else 60). Programs outside run through run_program on each partition.
+first place, with mapq 0 (else 60). Longer k-mers than a code holds are seeded by their first MOST_K
+bases, which gives the same runs. Programs outside run through run_program on each partition; with
+`adapter` their records become an aligner by name.
 """
 
 from __future__ import annotations
@@ -17,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.kmers import COMPLEMENT, NORMAL, codes
-from ..functions.records import FIELDS, tabbed
+from ..functions.kmers import COMPLEMENT, MOST_K, NORMAL, codes, pieces
+from ..functions.records import FIELDS, parsed, tabbed
 from ..storage import written
 from .dispatch import BROADCAST_KMERS
 
@@ -49,32 +51,42 @@ def positioned(rows: DataFrame, columns: list[str], k: int, both_strands: bool)
             for i, seq in enumerate(batch.column(len(columns)).cast(pa.binary()).to_pylist()):
                 normal = (seq or b"").upper().translate(NORMAL)
                 for strand in range(1 + both_strands):
-                    values, places = codes(normal.translate(COMPLEMENT)[::-1] if strand else normal, k)
-                    at.append(np.full(len(values), i))
-                    strands.append(np.full(len(values), strand, np.int32))
-                    positions.append(places.astype(np.int32))
-                    found.append(values.view(np.int64))
-                if sum(map(len, at)) > 1 << 19 or i + 1 == batch.num_rows:
-                    rows_at = pa.array(np.concatenate(at))
-                    yield pa.RecordBatch.from_arrays([*(batch.column(j).take(rows_at) for j in range(len(columns))), *(pa.array(np.concatenate(x)) for x in (strands, positions, found))], names=[*columns, "strand", "position", "code"])
-                    at, strands, positions, found = [], [], [], []
+                    for begin, piece in pieces(normal.translate(COMPLEMENT)[::-1] if strand else normal, k):
+                        values, places = codes(piece, k)
+                        at.append(np.full(len(values), i))
+                        strands.append(np.full(len(values), strand, np.int32))
+                        positions.append((begin + places).astype(np.int32))
+                        found.append(values.view(np.int64))
+                        if sum(map(len, at)) > 1 << 19:
+                            yield rows_of(batch, at, strands, positions, found)
+                            at, strands, positions, found = [], [], [], []
+            if at:
+                yield rows_of(batch, at, strands, positions, found)
+
+    def rows_of(batch, at, *own):
+        rows_at = pa.array(np.concatenate(at))
+        return pa.RecordBatch.from_arrays([*(batch.column(j).take(rows_at) for j in range(len(columns))), *(pa.array(np.concatenate(x)) for x in own)], names=[*columns, "strand", "position", "code"])
 
     ddl = ", ".join(f"{c} {kept.schema[c].dataType.simpleString()}" for c in columns)
     return kept.mapInArrow(run, f"{ddl}, strand int, position int, code long")
 
 
 def matches(reads: DataFrame, targets: DataFrame, k: int) -> DataFrame:
-    """Maximal runs of adjacent k-mer hits: read_id, part, target_id, strand, read_at, target_at, length."""
-    wanted = written(positioned(reads.select("read_id", "seq").dropDuplicates(["read_id"]), ["read_id"], k, True).withColumnRenamed("position", "read_position"), "seeds")
-    there = positioned(targets, ["part", "target_id"], k, False).withColumnRenamed("position", "target_position").drop("strand")
+    """Maximal runs of k or more equal bases: read_id, part, target_id, strand, read_at, target_at, length.
+
+    Reads meet the k-mers only of the partitions that they were sent to."""
+    seed = min(k, MOST_K)
+    own = positioned(reads.select("read_id", "seq").dropDuplicates(["read_id"]), ["read_id"], seed, True).withColumnRenamed("position", "read_position")
+    wanted = written(own.join(reads.select("read_id", "part").distinct(), "read_id"), "seeds")
+    there = positioned(targets, ["part", "target_id"], seed, False).withColumnRenamed("position", "target_position").drop("strand")
     small = wanted.count() <= BROADCAST_KMERS
-    hits = there.join(F.broadcast(wanted) if small else wanted, "code")
-    hits = hits.join(reads.select("read_id", "part").distinct(), ["read_id", "part"], "left_semi")
+    hits = there.join(F.broadcast(wanted) if small else wanted, ["part", "code"])
     line = ["read_id", "part", "target_id", "strand", "diagonal"]
     hits = hits.withColumn("diagonal", F.col("target_position") - F.col("read_position"))
     place = F.row_number().over(Window.partitionBy(*line).orderBy("read_position"))
     runs = hits.withColumn("run", F.col("read_position") - place).groupBy(*line, "run")
-    return runs.agg(F.min("read_position").alias("read_at"), F.min("target_position").alias("target_at"), (F.count("*") + k - 1).cast("int").alias("length")).drop("run", "diagonal")
+    found = runs.agg(F.min("read_position").alias("read_at"), F.min("target_position").alias("target_at"), (F.count("*") + seed - 1).cast("int").alias("length"))
+    return found.where(F.col("length") >= k).drop("run", "diagonal")
 
 
 @aligner("longest-exact-match")
@@ -114,25 +126,74 @@ def run_program(reads: DataFrame, targets: DataFrame, command: list[str]) -> Dat
     """Lines (part, ord, value) of a program outside, run for each partition.
 
     {reads} and {targets} in the command become the names of FASTA files in the task's own folder; it
-    writes records to its standard output. A failure of the program is one of the task."""
+    writes records to its standard output, which are passed on as they come. A failure of the program is
+    one of the task. Rows come to the task sorted and go to the files batch by batch."""
+    body = lambda head: F.concat(F.lit(">"), head, F.lit("\n"), F.col("seq"))
+    sent = reads.select("part", F.lit(1).alias("file"), F.col("read_id").cast("long").alias("place"), body(F.concat(F.col("read_id").cast("string"), F.lit(":"), F.col("name"))).alias("text"))
+    there = targets.select("part", F.lit(0).alias("file"), F.col("target_id").cast("long").alias("place"), body(F.col("name")).alias("text"))
+    rows = there.unionByName(sent).repartition("part").sortWithinPartitions("part", "file", "place")
 
-    def run(key, own_reads, own_targets):
+    def run(batches):
         import subprocess
         import tempfile
 
-        part = key[0]
-        if not len(own_reads) or not len(own_targets):
-            return pa.table({"part": pa.array([], pa.int32()), "ord": pa.array([], pa.int64()), "value": pa.array([], pa.string())})
-        with tempfile.TemporaryDirectory() as folder:
-            names = {"reads": f"{folder}/reads.fa", "targets": f"{folder}/targets.fa"}
-            for what, table, label in (("reads", own_reads.sort_by("read_id"), "read_id"), ("targets", own_targets.sort_by("target_id"), None)):
-                with open(names[what], "w") as f:
-                    for row in table.to_pylist():
-                        f.write(f">{row['read_id']}:{row['name']}\n{row['seq']}\n" if label else f">{row['name']}\n{row['seq']}\n")
-            done = subprocess.run([c.format(**names) for c in command], capture_output=True, text=True)
-            if done.returncode:
-                raise RuntimeError(f"{command[0]} failed on partition {part}: {done.stderr[-500:]}")
-        lines = [x for x in done.stdout.split("\n") if x and not x.startswith("@")]
-        return pa.table({"part": pa.array([part.as_py()] * len(lines), pa.int32()), "ord": pa.array(range(len(lines)), pa.int64()), "value": pa.array(lines, pa.string())})
-
-    return reads.groupBy("part").cogroup(targets.groupBy("part")).applyInArrow(run, "part int, ord long, value string")
+        def finish(part, folder, files, seen):
+            for f in files:
+                f.close()
+            if not all(seen):
+                return
+            names = {"targets": files[0].name, "reads": files[1].name}
+            with open(f"{folder.name}/errors", "w+") as errors, subprocess.Popen([c.format(**names) for c in command], stdout=subprocess.PIPE, stderr=errors, text=True) as program:
+                lines, ordinal = [], 0
+                for line in program.stdout:
+                    line = line.rstrip("\n")
+                    if line and not line.startswith("@"):
+                        lines.append(line)
+                    if len(lines) == 8192:
+                        yield batch_of(part, ordinal, lines)
+                        ordinal, lines = ordinal + len(lines), []
+                if lines:
+                    yield batch_of(part, ordinal, lines)
+                program.wait()
+                if program.returncode:
+                    errors.seek(0)
+                    raise RuntimeError(f"{command[0]} failed on partition {part}: {errors.read()[-500:]}")
+
+        def batch_of(part, ordinal, lines):
+            return pa.RecordBatch.from_arrays([pa.array([part] * len(lines), pa.int32()), pa.array(range(ordinal, ordinal + len(lines)), pa.int64()), pa.array(lines, pa.string())], names=["part", "ord", "value"])
+
+        current, folder, files, seen = None, None, [], [False, False]
+        for batch in batches:
+            for part, file, text in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3)), strict=True):
+                if part != current:
+                    if folder:
+                        yield from finish(current, folder, files, seen)
+                        folder.cleanup()
+                    current, folder, seen = part, tempfile.TemporaryDirectory(), [False, False]
+                    files = [open(f"{folder.name}/{n}.fa", "w") for n in ("targets", "reads")]  # noqa: SIM115
+                files[file].write(text + "\n")
+                seen[file] = True
+        if folder:
+            yield from finish(current, folder, files, seen)
+            folder.cleanup()
+
+    return rows.select(F.col("part").cast("int").alias("part"), "file", "place", "text").mapInArrow(run, "part int, ord long, value string")
+
+
+def adapter(name: str, command: list[str]) -> None:
+    """Registers a program as an aligner: its lines are parsed into records; {k} and {alen} in the command are the run's."""
+
+    @aligner(name)
+    def run(reads: DataFrame, targets: DataFrame, k: int, alen: int) -> DataFrame:
+        lines = run_program(reads, targets, [c.replace("{k}", str(k)).replace("{alen}", str(alen)) for c in command])
+        return parsed(lines, F.col("part")).drop("tags")
+
+
+#: Commands of aligners by name, as their manuals have them; each indexes the partition's targets and then maps.
+PROGRAMS = {
+    "bwa-mem": ["sh", "-c", "bwa index {targets} >&2 && bwa mem -k {alen} {targets} {reads}"],
+    "bowtie2": ["sh", "-c", "bowtie2-build {targets} {targets} >&2 && bowtie2 -f --reorder -x {targets} -U {reads}"],
+    "novoalign": ["sh", "-c", "novoindex {targets}.nix {targets} >&2 && novoalign -o Sync -o SAM -d {targets}.nix -f {reads}"],
+}
+for _name, _command in PROGRAMS.items():
+    adapter(_name, _command)

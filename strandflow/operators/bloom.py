@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kmers import COMPLEMENT, NORMAL, distinct, murmur64a
+from ..functions.kmers import canonical_rows, distinct, murmur64a, pieces
 from ..functions.sequences import n_kmers
 from .dispatch import exact
 
@@ -20,22 +20,6 @@ BLOCK_BITS = 1 << 18
 ROUND_KMERS = 1 << 18
 
 
-def canonical_rows(seq: bytes, k: int, step: int = 1) -> np.ndarray:
-    """The letters of the canonical form of each k-mer at 0, step, 2 step, ..., a row each."""
-    seq = seq.upper().translate(NORMAL)
-    n = len(seq) - k + 1
-    if n <= 0:
-        return np.zeros((0, k), np.uint8)
-    forward = np.lib.stride_tricks.sliding_window_view(np.frombuffer(seq, np.uint8), k)[::step]
-    other = np.frombuffer(seq.translate(COMPLEMENT), np.uint8)
-    backward = np.lib.stride_tricks.sliding_window_view(other, k)[::step, ::-1]
-    differ = forward != backward
-    first = differ.argmax(axis=1)
-    rows = np.arange(len(forward))
-    smaller = forward[rows, first] <= backward[rows, first]
-    return np.ascontiguousarray(np.where(smaller[:, None], forward, backward))
-
-
 def filter_sizes(targets: DataFrame, k: int, ibits: int) -> dict[int, int]:
     """Bits of each partition's filter, one row for each partition; partitions without k-mers have none."""
     rows = targets.groupBy("part").agg(F.sum(n_kmers(F.length("seq"), k)).alias("n")).where("n > 0").collect()
@@ -58,10 +42,9 @@ def build(targets: DataFrame, k: int, sizes: dict[int, int], nhash: int) -> Data
         for batch in batches:
             found: dict[int, list[np.ndarray]] = {}
             for part, seq in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                rows = canonical_rows(seq or b"", k)
-                for a in range(0, len(rows), ROUND_KMERS):
+                for _, piece in pieces(seq or b"", k):
                     own = found.setdefault(part, [])
-                    own.append(rows[a : a + ROUND_KMERS])
+                    own.append(canonical_rows(piece, k))
                     if sum(map(len, own)) >= ROUND_KMERS:
                         yield blocks(part, found.pop(part))
             for part, own in found.items():

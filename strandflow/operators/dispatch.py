@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kmers import distinct, kmer_keys
+from ..functions.kmers import distinct, key_pieces
 from ..functions.sequences import mate_suffix
 from ..storage import numbered, written
 
@@ -16,21 +16,27 @@ BROADCAST_KMERS = 2_000_000
 
 
 def keys_of(rows: DataFrame, own: str, k: int, step: int = 1) -> DataFrame:
-    """(own, key) for the distinct keys of each row's k-mers; rows: own (a long or int), seq."""
+    """(own, key) for the keys of each row's k-mers, distinct in each piece of a sequence; rows: own (a long or int), seq."""
     kind = rows.schema[own].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             ids, keys = [], []
+            held = 0
             for i, seq in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
-                found = distinct(kmer_keys(seq, k, step)) if seq else np.zeros(0, np.uint64)
-                ids.append(np.full(len(found), i))
-                keys.append(found)
-                if sum(map(len, keys)) > 1 << 20 or i + 1 == batch.num_rows:
-                    # Sequences of one partition share k-mers: a pair goes out once for each round.
-                    at = pa.array(np.concatenate(ids))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(np.concatenate(keys).view(np.int64))], names=[own, "key"])
-                    ids, keys = [], []
+                for found in key_pieces(seq, k, step) if seq else ():
+                    keys.append(distinct(found))
+                    ids.append(np.full(len(keys[-1]), i))
+                    held += len(keys[-1])
+                    if held > 1 << 20:
+                        yield rows_of(batch, ids, keys)
+                        ids, keys, held = [], [], 0
+            if keys:
+                yield rows_of(batch, ids, keys)
+
+    def rows_of(batch, ids, keys):
+        at = pa.array(np.concatenate(ids))
+        return pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(np.concatenate(keys).view(np.int64))], names=[own, "key"])
 
     return rows.select(own, "seq").mapInArrow(run, f"{own} {kind}, key long")
 

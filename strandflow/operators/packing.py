@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import written
 from .graph import reach_components
 
 
@@ -56,7 +57,8 @@ def pack_lengths(lengths: list[int], parts: int, fallback: str = "last") -> list
 
 def pack_targets(targets: DataFrame, parts: int, fallback: str = "last") -> DataFrame:
     """(id, part) for targets (id, len); a target longer than a bin is an error."""
-    total = targets.agg(F.coalesce(F.sum("len"), F.lit(0)).cast("long")).first()[0]
+    sizes = written(targets.select(F.col("id").cast("long"), F.col("len").cast("long")), "sizes")
+    total = sizes.agg(F.coalesce(F.sum("len"), F.lit(0)).cast("long")).first()[0]
 
     def run(batches):
         bins = Bins(total, parts, fallback)
@@ -66,14 +68,15 @@ def pack_targets(targets: DataFrame, parts: int, fallback: str = "last") -> Data
                 raise ValueError(f"a target of length {max(lengths)} is longer than a partition ({bins.size})")
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([bins.put(n) for n in lengths], pa.int32())], names=["id", "part"])
 
-    ordered = targets.select(F.col("id").cast("long"), F.col("len").cast("long")).coalesce(1).sortWithinPartitions(F.col("len").desc(), "id")
+    ordered = sizes.repartition(1).sortWithinPartitions(F.col("len").desc(), "id")
     return ordered.mapInArrow(run, "id long, part int")
 
 
 def pack_components(vertices: DataFrame, edges: DataFrame, parts: int, fallback: str = "last") -> DataFrame:
     """(id, part) for all vertices: components stay together; one longer than a bin is split over the first bins
     that hold its members in order of id, and a member that fits nowhere has part null, as have vertices of length zero."""
-    comps = reach_components(vertices, edges).join(vertices.select("id", "len"), "id")
+    vertices = written(vertices.select("id", "len"), "vertices")
+    comps = reach_components(vertices, edges).join(vertices, "id")
     sizes = comps.groupBy("comp_id").agg(F.sum("len").cast("long").alias("comp_len"))
     total = vertices.agg(F.coalesce(F.sum("len"), F.lit(0)).cast("long")).first()[0]
     rows = comps.join(sizes, "comp_id").select(F.col("id").cast("long"), F.col("len").cast("long"), F.col("comp_id").cast("long"), "comp_len")
@@ -89,6 +92,12 @@ def pack_components(vertices: DataFrame, edges: DataFrame, parts: int, fallback:
                 out.append(place if comp_len <= bins.size else bins.put_first(length))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int32())], names=["id", "part"])
 
-    ordered = rows.coalesce(1).sortWithinPartitions(F.col("comp_len").desc(), "comp_id", "id")
+    ordered = rows.repartition(1).sortWithinPartitions(F.col("comp_len").desc(), "comp_id", "id")
     placed = ordered.mapInArrow(run, "id long, part int")
     return placed.unionByName(vertices.where("len = 0").select(F.col("id").cast("long"), F.lit(None).cast("int").alias("part")))
+
+
+def allocation(vertices: DataFrame, placed: DataFrame) -> DataFrame:
+    """Of each part (null: what fits nowhere or has no length): n_vertices and total_len. vertices: id, len; placed: id, part."""
+    rows = vertices.select("id", "len").join(placed, "id", "left")
+    return rows.groupBy("part").agg(F.count("*").alias("n_vertices"), F.sum("len").cast("long").alias("total_len"))

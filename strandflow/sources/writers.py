@@ -18,7 +18,7 @@ def fasta(targets: DataFrame, folder: str, compression: str = "none") -> None:
 
 def lines_in_order(lines: DataFrame, folder: str, *order: str, compression: str = "none", one_file: bool = False) -> None:
     """Lines (line) in order over the files' names; one_file only where the result may pass through one task."""
-    rows = lines.coalesce(1).sortWithinPartitions(*order) if one_file else lines.orderBy(*order)
+    rows = lines.repartition(1).sortWithinPartitions(*order) if one_file else lines.orderBy(*order)
     rows.select(F.col("line").alias("value")).write.option("compression", compression).text(folder)
 
 

@@ -31,11 +31,12 @@ def plain_canonical(seq, k, step=1):
 @given(st.text("ACGTNacgtR", max_size=60), st.integers(1, 12), st.integers(1, 4))
 def test_canonical_kmers(seq, k, step):
     want = plain_canonical(seq, k, step)
-    got = [bytes(r).decode() for r in bloom.canonical_rows(seq.encode(), k, step)]
+    got = [bytes(r).decode() for r in kmers.canonical_rows(seq.encode(), k, step)]
     assert got == want
     # Keys are equal exactly where the canonical forms are.
     keys = kmers.kmer_keys(seq.encode(), k, step)
     assert len(set(keys.tolist())) == len(set(want)) and len(keys) == len(want)
+    assert sorted(np.concatenate([keys[:0], *kmers.key_pieces(seq.encode(), k, step, 7)]).tolist()) == sorted(keys.tolist())
     codes = {int(v) for v in keys if not int(v) >> 63}
     assert {bytes(x).decode() for x in kmers.letters(np.array(sorted(codes), np.uint64), k)} == {w for w in want if "N" not in w}
 
@@ -270,6 +271,38 @@ def longest(seqs, read):
     return best
 
 
+def test_long_and_unknown_sequences():
+    import resource
+
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    for seq in (b"N" * 10_000_000, b"ACGTTGCAAC" * 5_000_000):
+        n = sum(len(x) for x in kmers.key_pieces(seq, 28))
+        assert n == len(seq) - 27
+    assert sum(len(x) for x in kmers.key_pieces(b"N" * 1_000_000, 45)) == 1_000_000 - 44
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000
+
+
+def test_packing_never_sees_bases(spark):
+    targets = spark.createDataFrame([(1, "ACGT"), (2, "AC")], "id long, seq string").selectExpr("id", "length(seq) len")
+    plan = packing.pack_targets(targets, 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Exchange SinglePartition")
+
+
+@pytest.mark.parametrize(("alen", "bmer"), [(60, 0), (45, 40)])
+def test_kmers_longer_than_a_code(spark, alen, bmer):
+    rng = random.Random(8)
+    base = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    seqs = [base(300) for _ in range(6)]
+    raw = [(i, f"q{i}", base(5) + seqs[i % 6][i : i + 40 + 3 * i] + base(5)) for i in range(20)]
+    targets = spark.createDataFrame(list(enumerate(seqs)), "target_id long, seq string").selectExpr("target_id", "cast(target_id as string) name", "seq")
+    reads = spark.createDataFrame(raw, "read_id long, name string, seq string")
+    config = AlignConfig(partitions=2, alen=alen, bmer=bmer, paired=False)
+    out = {r.read_id: r.line.split("\t")[5] for r in pipeline.run(reads, targets, config).collect()}
+    for i, _, s in raw:
+        n, found = longest(seqs, s), sum(int(x[:-1]) for x in __import__("re").findall(r"\d+M", out[i]))
+        assert found == (n if n >= alen else 0)
+
+
 def test_dispatch_misses_no_match_and_partitions_do_not_matter(spark, genome):
     targets, reads, seqs, raw = genome
     want = {i: longest(seqs, s) for i, _, s in raw}
@@ -307,6 +340,9 @@ def test_program_outside(spark, tmp_path):
     targets = spark.createDataFrame([(0, 5, "t", "ACGT"), (1, 6, "u", "GT")], "part int, target_id long, name string, seq string")
     out = align.run_program(reads, targets, ["python", str(script), "{reads}", "{targets}"])
     assert sorted(r.value for r in out.collect()) == ["0:a\t4\t*", "1:b\t4\t*", "1:b\t4\t*"]
+    align.adapter("all-unmapped", ["python", str(script), "{reads}", "{targets}"])
+    found = align.align("all-unmapped", reads, targets, k=2, alen=2).collect()
+    assert sorted((r.read_id, r.part, r.qname, r.flag) for r in found) == [(0, 0, "a", 4), (1, 0, "b", 4), (1, 1, "b", 4)]
     with pytest.raises(Exception, match="failed on partition"):
         align.run_program(reads, targets, ["false"]).collect()
     with pytest.raises(ValueError, match="no aligner"):
