@@ -23,6 +23,8 @@ class AlignConfig:
     keep_qual: bool = False
     fallback: str = "last"
     aligner: str = "longest-exact-match"
+    #: exact: reads go where a sampled k-mer of theirs is; bloom: where the partition's Bloom filter (ibits, nhash) says so.
+    dispatch: str = "exact"
 
     def __post_init__(self):
         put = lambda name, value: object.__setattr__(self, name, value)
@@ -40,5 +42,7 @@ class AlignConfig:
             raise ValueError(f"merge_mode must be one of {', '.join(MERGE_MODES)}")
         if self.fallback not in ("last", "max"):
             raise ValueError("fallback must be last or max")
+        if self.dispatch not in ("exact", "bloom"):
+            raise ValueError("dispatch must be exact or bloom")
         if self.step > self.alen - self.bmer + 1:
             warnings.warn("with this step a match of alen bases can hold no sampled k-mer", stacklevel=3)

@@ -58,10 +58,10 @@ def undispatched(reads: DataFrame, dispatched: DataFrame) -> DataFrame:
     return reads.join(dispatched.select("read_id").distinct(), "read_id", "left_anti")
 
 
-def round_robin(lost: DataFrame, parts: int) -> DataFrame:
-    """(read_id, part): the n-th undispatched read (from 1, by id) goes to n modulo parts, plus 1."""
+def round_robin(lost: DataFrame, parts: int, before: int = 0) -> DataFrame:
+    """(read_id, part): the n-th undispatched read (from 1, by id, behind `before` others) goes to n modulo parts, plus 1."""
     placed = numbered(lost.select("read_id"), "read_id", name="n")
-    return placed.select("read_id", (F.pmod(F.col("n") + 1, F.lit(parts)) + 1).cast("int").alias("part"))
+    return placed.select("read_id", (F.pmod(F.col("n") + 1 + before, F.lit(parts)) + 1).cast("int").alias("part"))
 
 
 def rendered(reads: DataFrame, dispatched: DataFrame, keep_qual: bool = False) -> DataFrame:

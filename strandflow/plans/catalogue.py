@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import AlignConfig
+from ..functions.names import partition_name
 from ..functions.records import FIELDS, tabbed
-from ..functions.sequences import canonical, cigar_match_length, dna, kmer_at, mate_suffix, reverse_complement
+from ..functions.sequences import canonical, cigar_match_length, dna, ends_strictly, kmer_at, mate_suffix, reverse_complement, starts_strictly, strip_id
 from ..operators import bloom, compare, dispatch, graph, header, merge, packing, stats
 from ..operators.align import longest_exact_match
-from ..sources import readers
+from ..sources import readers, writers
 from ..storage import numbered, shared_dir, spread_out, written
 from ..streaming.stream import run_stream
 from . import pipeline
@@ -25,6 +26,8 @@ from . import pipeline
 #: k-mers of 28 bases, alignments of at least 43: reads are sampled at every 16th position.
 CONFIG = AlignConfig(partitions=4, alen=43, bmer=28, paired=False)
 K, STEP, PARTS = CONFIG.bmer, CONFIG.step, CONFIG.partitions
+#: k-mers longer than a code holds: three quarters of 60.
+LONG = AlignConfig(partitions=4, alen=60, paired=False)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,14 +47,26 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contig_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Vertices (id, len); short documents have an edge to another by arithmetic on their ids."""
+    """Vertices (id, len); every document has an edge to another by arithmetic on their ids."""
     docs = table(spark, sf_dir, "documents")
     n = docs.agg(F.count("*").alias("n"))
     vertices = docs.select(F.col("doc_id").alias("id"), F.col("n_chars").alias("len"))
-    edges = docs.where("n_chars < 1000").crossJoin(F.broadcast(n)).select(F.col("doc_id").alias("src"), F.pmod(F.col("doc_id") * 7 + 3, F.col("n")).alias("dst"))
+    edges = docs.select("doc_id").crossJoin(F.broadcast(n)).select(F.col("doc_id").alias("src"), F.pmod(F.col("doc_id") * F.col("doc_id") + 3, F.col("n")).alias("dst"))
     return vertices, edges
 
 
+def halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Vertices (id, len) and edges by which each half of the documents is one component, longer than a bin."""
+    docs = table(spark, sf_dir, "documents")
+    n = docs.agg(F.ceil(F.count("*") / 2).alias("n"))
+    edges = docs.select("doc_id").crossJoin(F.broadcast(n)).select((F.col("doc_id") - F.pmod("doc_id", "n")).alias("src"), F.col("doc_id").alias("dst"))
+    return docs.select(F.col("doc_id").alias("id"), F.col("n_chars").alias("len")), edges
+
+
+def new_folder(spark: SparkSession, tag: str) -> str:
+    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alignment records in four partitions, in line order."""
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag")
@@ -96,8 +111,9 @@ def q02(spark, d):
     """Turns of users and of assistants as a pair of read files, in order of conversation and turn."""
     turns = table(spark, d, "conversations").where("role in ('user', 'assistant')").withColumn("mate", F.when(F.col("role") == "user", 0).otherwise(1))
     placed = numbered(turns.select("mate", "conv_id", "turn", "text"), "conv_id", "turn", "text", name="n", within="mate")
-    file = lambda m: placed.where(F.col("mate") == m).select("n", F.concat_ws("/", "conv_id", "turn").alias("name"), F.upper(F.lit("")).alias("seq"), F.lit("").alias("qual"))
-    return readers.interleaved(file(0), file(1)).select("read_id", F.col("mate").cast("int").alias("mate"), "name")
+    seq = dna(F.col("text"))
+    file = lambda m: placed.where(F.col("mate") == m).select("n", F.concat_ws("/", "conv_id", "turn").alias("name"), seq.alias("seq"), F.repeat(F.lit("I"), F.length(seq)).alias("qual"))
+    return readers.interleaved(file(0), file(1)).select("read_id", F.col("mate").cast("int").alias("mate"), "name", F.md5("seq").alias("seq_md5"), F.length("qual").alias("qual_len"))
 
 
 def q03(spark, d):
@@ -189,6 +205,21 @@ def q12_graph(spark, d):
     return packing.pack_components(*contig_graph(spark, d), PARTS)
 
 
+def q12_split(spark, d):
+    return packing.pack_components(*halves(spark, d), PARTS)
+
+
+def q12_allocation(spark, d):
+    vertices, edges = halves(spark, d)
+    return packing.allocation(vertices, packing.pack_components(vertices, edges, PARTS))
+
+
+def q12_routed(spark, d):
+    """Graph mode on a target file that lacks every fifth vertex of the graph."""
+    own = targets(spark, d).drop("part").where("target_id % 5 <> 0")
+    return pipeline.partitioned(own, CONFIG, contig_graph(spark, d)[1]).select("target_id", "part")
+
+
 def q12b(spark, d):
     return dispatch.unmapped_lines(dispatch.undispatched(reads(spark, d), exact(spark, d)))
 
@@ -242,6 +273,12 @@ def q21(spark, d):
     return out.select("read_id", "part", "flag", "rname", "pos", "mapq", "cigar")
 
 
+def q21_long(spark, d):
+    """The same with k-mers of 45 bases and alignments of at least 60."""
+    sent = reads(spark, d).join(written(dispatch.exact(targets(spark, d).select("part", "seq"), reads(spark, d), LONG.bmer, LONG.step), "hits"), "read_id")
+    return longest_exact_match(sent, targets(spark, d), LONG.bmer, LONG.alen).select("read_id", "part", "flag", "rname", "pos", "mapq", "cigar")
+
+
 def first_and_best(spark, d):
     """Two results: each read's first record, and the chosen one."""
     own = written(records(spark, d), "records")
@@ -284,6 +321,77 @@ def q25(spark, d):
     return line_fields(spark.read.schema("read_id long, place int, line string").parquet(f"{base}/out"))
 
 
+def q24_long(spark, d):
+    return line_fields(pipeline.run(reads(spark, d), targets(spark, d).drop("part"), LONG))
+
+
+def fasta_round(spark, d, compression):
+    """Targets written as FASTA of each partition, their sequences on lines of 60, and read again."""
+    folder = new_folder(spark, "fasta")
+    folded = targets(spark, d).select("part", F.col("name").alias("header"), F.regexp_replace("seq", "(.{60})", "$1\n").alias("seq"))
+    writers.fasta(folded, folder, compression)
+    found = readers.numbered_targets(readers.fasta(spark, f"{folder}/part=*"))
+    return found.select("target_id", "name", "len", F.md5("seq").alias("seq_md5"))
+
+
+def q26_fasta(spark, d):
+    return fasta_round(spark, d, "none")
+
+
+def q26_fasta_gzip(spark, d):
+    return fasta_round(spark, d, "gzip")
+
+
+def q27_fastq(spark, d):
+    """Passages as FASTQ of two files, gzipped, named in a list, and read again as pairs with dense ids."""
+    folder = new_folder(spark, "fastq")
+    rows = reads(spark, d).select((F.col("read_id") % 2).cast("int").alias("part"), "read_id", "name", "seq", F.repeat(F.lit("I"), F.length("seq")).alias("qual"))
+    record = dispatch.rendered(rows.drop("part"), rows.select("read_id", "part"), keep_qual=True)
+    for part in (0, 1):
+        writers.lines_in_order(record.where(F.col("part") == part).withColumnRenamed("record", "line"), f"{folder}/{part}", "read_id", compression="gzip", one_file=True)
+    spark.createDataFrame([(f"{folder}/{part}/*.gz",) for part in (0, 1)], "value string").coalesce(1).write.text(f"{folder}/list")
+    found = readers.libraries(spark, readers.library_list(spark, f"{folder}/list"))
+    return found.select("read_id", F.col("mate").cast("int").alias("mate"), "name", F.md5("seq").alias("seq_md5"), F.length("qual").alias("qual_len"))
+
+
+def q28_sam(spark, d):
+    """Each partition's records as a file with a head, and read again."""
+    folder = new_folder(spark, "sam")
+    own = written(records(spark, d), "records")
+    out = None
+    for part in range(PARTS):
+        head = header.header(targets(spark, d).select(F.col("target_id").alias("place"), "name", F.length("seq").alias("len"))).select(F.lit(0).alias("body"), "ord", "line")
+        body = own.where(F.col("part") == part).select(F.lit(1).alias("body"), "ord", F.concat(F.col("read_id").cast("string"), F.lit(":"), "raw").alias("line"))
+        writers.lines_in_order(head.unionByName(body), f"{folder}/{part}", "body", "ord", compression="gzip" if part % 2 else "none", one_file=True)
+        found = readers.sam(spark, f"{folder}/{part}", part)
+        out = found if out is None else out.unionByName(found)
+    return out.select("read_id", "part", "ord", "flag", "rname", "pos", "mapq", "cigar", "tags", "raw")
+
+
+def q29_names(spark, d):
+    """Names of partitions' files."""
+    paths = ("/a/b/ref.fa", "ref", ".hidden", "x.tar.gz", "a.b/c")
+    return spark.createDataFrame([(p, i, partition_name(p, i)) for p in paths for i in range(1, PARTS + 1)], "path string, number int, name string")
+
+
+def q29_lines(spark, d):
+    """Lines without their ids; strict beginnings and ends."""
+    docs = table(spark, d, "documents")
+    line = F.concat_ws(":", F.col("doc_id").cast("string"), "lang", "source")
+    return docs.select("doc_id", strip_id(line).alias("stripped"), starts_strictly(F.col("lang"), "e").alias("starts"), starts_strictly(F.col("lang"), "en").alias("is_longer"), ends_strictly(F.col("lang"), "n").alias("ends"))
+
+
+def q30_files(spark, d):
+    """The whole run as files, by Bloom filters: how many lines of each kind the result has, and how many mapped reads."""
+    folder = new_folder(spark, "run")
+    config = AlignConfig(partitions=PARTS, alen=CONFIG.alen, bmer=K, paired=False, dispatch="bloom", keep_qual=True)
+    own = reads(spark, d).withColumn("qual", F.repeat(F.lit("I"), F.length("seq")))
+    pipeline.run_to_files(own, targets(spark, d).drop("part"), config, folder)
+    lines = readers.lines_of(spark, f"{folder}/result")
+    kind = F.when(F.col("value").startswith("@"), F.substring("value", 1, 3)).when(F.split("value", "\t")[1] == "4", "unmapped").otherwise("mapped")
+    return lines.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
 QUERIES = {name: value for name, value in list(globals().items()) if name[0] == "q" and name[1:3].isdigit()}
 
 # The oracles: DuckDB SQL on the same tables.
@@ -291,11 +399,17 @@ DNA = "translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'ABCDEFGHIJK
 TARGETS = f"t as (select doc_id target_id, doc_id % 4 part, {DNA} seq from documents)"
 READS = f"b as (select item_id read_id, {DNA} seq from benchmark)"
 RC = lambda s: f"reverse(translate({s}, 'ACGT', 'TGCA'))"
-KMERS = f"""{TARGETS}, {READS},
- tk as (select distinct part, least(k, {RC("k")}) k from (select part, substr(seq, i::int, {K}) k from t, unnest(range(1, greatest(length(seq) - {K} + 2, 1))) u(i))),
- bk as (select distinct read_id, least(k, {RC("k")}) k from (select read_id, substr(seq, i::int, {K}) k from b, unnest(range(1, greatest(length(seq) - {K} + 2, 1), {STEP})) u(i))),
+
+
+def kmers_sql(k: int, step: int) -> str:
+    return f"""{TARGETS}, {READS},
+ tk as (select distinct part, least(k, {RC("k")}) k from (select part, substr(seq, i::int, {k}) k from t, unnest(range(1, greatest(length(seq) - {k} + 2, 1))) u(i))),
+ bk as (select distinct read_id, least(k, {RC("k")}) k from (select read_id, substr(seq, i::int, {k}) k from b, unnest(range(1, greatest(length(seq) - {k} + 2, 1), {step})) u(i))),
  hits as (select distinct read_id, part::int part from tk join bk using (k))"""
-GRAPH = "n as (select count(*) n from documents), v as (select doc_id id, n_chars len from documents), e as (select doc_id src, (doc_id * 7 + 3) % n dst from documents, n where n_chars < 1000)"
+
+
+KMERS = kmers_sql(K, STEP)
+GRAPH = "n as (select count(*) n from documents), v as (select doc_id id, n_chars len from documents), e as (select doc_id src, (doc_id * doc_id + 3) % n dst from documents, n)"
 COMPONENTS = f"""{GRAPH}, e2 as (select src, dst from e where src in (select id from v where len <> 0) and dst in (select id from v where len <> 0)),
  r(u, w) as (select id, id from v where len <> 0 union select r.u, e2.dst from r join e2 on e2.src = r.w), comps as (select w id, min(u) comp_id from r group by w)"""
 RECORDS = """s as (select l_orderkey read_id, (l_suppkey % 4)::int part,
@@ -313,25 +427,54 @@ LOST = f"select read_id, 0 place, name || {UNMAPPED_TAIL} line from a where read
 CHOSEN = """c as (select *, row_number() over (partition by read_id order by case when flag <> 4 then mlen else -1 end desc, part, ord) rn,
    count(*) over (partition by read_id, case when flag <> 4 then mlen else -1 end) same from m),
  w as (select *, case when flag <> 4 and same = 1 then mapq else 0 end mapq_out from c where rn = 1)"""
-MATCHES = f"""{KMERS},
+
+
+def matches_sql(config: AlignConfig) -> str:
+    k = config.bmer
+    return f"""{kmers_sql(k, config.step)},
  o as (select read_id, 0 strand, seq from b union all select read_id, 1, {RC("seq")} from b),
- tp as (select target_id, part::int part, i - 1 tpos, substr(seq, i::int, {K}) k from t, unnest(range(1, greatest(length(seq) - {K} + 2, 1))) u(i)),
- op as (select read_id, strand, i - 1 rpos, substr(seq, i::int, {K}) k from o, unnest(range(1, greatest(length(seq) - {K} + 2, 1))) u(i)),
+ tp as (select target_id, part::int part, i - 1 tpos, substr(seq, i::int, {k}) k from t, unnest(range(1, greatest(length(seq) - {k} + 2, 1))) u(i)),
+ op as (select read_id, strand, i - 1 rpos, substr(seq, i::int, {k}) k from o, unnest(range(1, greatest(length(seq) - {k} + 2, 1))) u(i)),
  h as (select op.read_id, tp.part, target_id, strand, rpos, tpos from tp join op using (k) join hits on hits.read_id = op.read_id and hits.part = tp.part),
  g as (select *, rpos - row_number() over (partition by read_id, target_id, strand, tpos - rpos order by rpos) run from h),
- x as (select read_id, part, target_id, strand, min(rpos) rpos, min(tpos) tpos, count(*) + {K} - 1 len from g group by read_id, part, target_id, strand, tpos - rpos, run having count(*) + {K} - 1 >= {CONFIG.alen})"""
+ x as (select read_id, part, target_id, strand, min(rpos) rpos, min(tpos) tpos, count(*) + {k} - 1 len from g group by read_id, part, target_id, strand, tpos - rpos, run having count(*) + {k} - 1 >= {config.alen})"""
+
+
+MATCHES = matches_sql(CONFIG)
 # Arithmetic modulo 2^64 in 128 bits: the hash's factor, 2^64, 2^47, a little-endian word of letters.
 M64, T64, T47 = "14313749767032793493::uhugeint", "18446744073709551616::uhugeint", "140737488355328::uhugeint"
 WORD = "select sum(ascii(substr(k, ({1} + j + 1)::int, 1))::hugeint * power(256::double, j)::hugeint)::uhugeint from range(0, {0}) r(j)"
 MIXED = "({0} * " + M64 + " % " + T64 + ")"
-WHOLE = f"""with {MATCHES}, y as (select read_id, len, count(*) n from x group by all), z as (select read_id, max(len) mlen, arg_max(n, len) n from y group by read_id)
+WHOLE_OF = """with {0}, y as (select read_id, len, count(*) n from x group by all), z as (select read_id, max(len) mlen, arg_max(n, len) n from y group by read_id)
  select b.read_id, case when z.mlen is null then 4 else 0 end unmapped, case when z.n = 1 then 60 else 0 end mapq, coalesce(mlen, 0)::int mlen from b left join z using (read_id)"""
+WHOLE = WHOLE_OF.format(MATCHES)
+ALIGNED_OF = """with {0}, y as (select *, row_number() over (partition by read_id, part order by len desc, target_id, strand, tpos, rpos) rn, count(*) over (partition by read_id, part, len) same from x)
+ select hits.read_id, hits.part, coalesce(strand * 16, 4)::int flag, coalesce(target_id::varchar, '*') rname, coalesce(tpos + 1, 0)::int pos, case when same = 1 then 60 else 0 end mapq,
+ coalesce(case when rpos > 0 then rpos || 'S' else '' end || len || 'M' || case when length(seq) - rpos - len > 0 then (length(seq) - rpos - len) || 'S' else '' end, '*') cigar
+ from hits join b using (read_id) left join (select * from y where rn = 1) y on y.read_id = hits.read_id and y.part = hits.part"""
+# Vertices one after another in order of their components (comps, v): whole components by best fit; those longer than a bin vertex by
+# vertex into the first bin that holds it.
+PACKED = f"""cs as (select comp_id, sum(len)::bigint comp_len from comps join v using (id) group by comp_id),
+ s as (select id, len, comp_id, comp_len, row_number() over (order by comp_len desc, comp_id, id) rn, lag(comp_id) over (order by comp_len desc, comp_id, id) is distinct from comp_id is_first from comps join v using (id) join cs using (comp_id)),
+ k as (select sum(len)::bigint tot, sum(len)::bigint // {PARTS} + {PARTS} + 500 cap from v),
+ p(rn, id, part, caps) as (select 0::bigint, -1::bigint, -1::bigint, [cap, cap, cap, cap]::bigint[] from k union all
+  select q.rn, q.id, q.part, list_transform(q.caps, lambda x, i: case when i = q.part + 1 then x - q.taken else x end)
+  from (select s.rn, s.id, p.caps, case when comp_len > k.cap then len when is_first then comp_len else 0 end taken,
+    case when comp_len > k.cap then (select min(i) from range(0, {PARTS}) t(i) where caps[i + 1] >= len)
+      when not is_first then p.part
+      else coalesce((select arg_min(i, (caps[i + 1] - comp_len, i)) from range(0, {PARTS}) t(i) where caps[i + 1] - comp_len > 0 and caps[i + 1] - comp_len < k.tot),
+        coalesce((select max(i) from range(1, {PARTS}) t(i) where caps[i + 1] > caps[1]), 0)) end part
+    from p join s on s.rn = p.rn + 1, k) q),
+ packed as (select v.id, v.len, p.part::int part from v left join p on p.id = v.id and p.rn > 0)"""
+HALVES = "n as (select (count(*) + 1) // 2 n from documents), v as (select doc_id id, n_chars len from documents), e as (select doc_id - doc_id % n src, doc_id dst from documents, n)"
+CLOSURE = COMPONENTS.removeprefix(GRAPH)
+LACKING = GRAPH.replace("v as (select doc_id id, n_chars len from documents)", f"v as (select doc_id id, length({DNA}) len from documents where doc_id % 5 <> 0)")
 
 ORACLE = {
     "q01": f"with {TARGETS} select target_id, length(seq) len, md5(seq) seq_md5 from t",
-    "q02": """with f as (select case when role = 'user' then 0 else 1 end mate, conv_id || '/' || turn name, row_number() over (partition by role order by conv_id, turn, text) - 1 n from conversations where role in ('user', 'assistant')),
+    "q02": f"""with f as (select case when role = 'user' then 0 else 1 end mate, conv_id || '/' || turn name, {DNA} seq, row_number() over (partition by role order by conv_id, turn, text) - 1 n from conversations where role in ('user', 'assistant')),
  c as (select count(*) filter (mate = 0) n0, count(*) filter (mate = 1) n1 from f)
- select 2 * n + mate read_id, mate, name from f, c where case when mate = 0 then n < least(n0, n1 + 1) else n < least(n0, n1) end""",
+ select 2 * n + mate read_id, mate, name, md5(seq) seq_md5, length(seq)::int qual_len from f, c where case when mate = 0 then n < least(n0, n1 + 1) else n < least(n0, n1) end""",
     "q03": f"with {TARGETS} select part::int part, count(*) n_targets, sum(length(seq))::bigint total_len, min(length(seq)) min_len, max(length(seq)) max_len, sum(greatest(length(seq) - {K} + 1, 0))::bigint n_items from t group by part",
     "q03b": f"with {TARGETS} select target_id, length(seq) len, row_number() over (order by length(seq) desc, target_id) \"rank\" from t",
     "q04": f"""with {TARGETS} select 0::bigint ord, '@HD' || chr(9) || 'VN:0.3' line union all select 1, concat_ws(chr(9), '@PG', 'ID:strandflow', 'PN:strandflow', 'VN:0.1.0')
@@ -361,14 +504,10 @@ ORACLE = {
   from (select s.rn, s.id, s.len, r.caps, coalesce((select arg_min(i, (caps[i + 1] - s.len, i)) from range(0, 4) t(i) where caps[i + 1] - s.len > 0 and caps[i + 1] - s.len < k.tot),
     coalesce((select max(i) from range(1, 4) t(i) where caps[i + 1] > caps[1]), 0)) part from r join s on s.rn = r.rn + 1, k) q)
  select id, part::int part from r where id >= 0""",
-    # Without the split of components longer than a bin, which these tables lack.
-    "q12_graph": f"""with recursive {COMPONENTS}, cs as (select comp_id, sum(len)::bigint len, row_number() over (order by sum(len) desc, comp_id) rn from comps join v using (id) group by comp_id),
- k as (select sum(len)::bigint tot, sum(len)::bigint // 4 + 4 + 500 cap from v),
- p(rn, comp_id, part, caps) as (select 0::bigint, -1::bigint, -1::bigint, [cap, cap, cap, cap]::bigint[] from k union all
-  select q.rn, q.comp_id, q.part, list_transform(q.caps, lambda x, i: case when i = q.part + 1 then x - q.len else x end)
-  from (select cs.rn, cs.comp_id, cs.len, p.caps, coalesce((select arg_min(i, (caps[i + 1] - cs.len, i)) from range(0, 4) t(i) where caps[i + 1] - cs.len > 0 and caps[i + 1] - cs.len < k.tot),
-    coalesce((select max(i) from range(1, 4) t(i) where caps[i + 1] > caps[1]), 0)) part from p join cs on cs.rn = p.rn + 1, k) q)
- select v.id, p.part::int part from v left join comps using (id) left join p on p.comp_id = comps.comp_id and p.rn > 0""",
+    "q12_graph": f"with recursive {COMPONENTS}, {PACKED} select id, part from packed",
+    "q12_split": f"with recursive {HALVES}{CLOSURE}, {PACKED} select id, part from packed",
+    "q12_allocation": f"with recursive {HALVES}{CLOSURE}, {PACKED} select part, count(*) n_vertices, sum(len)::bigint total_len from packed group by part",
+    "q12_routed": f"with recursive {LACKING}{CLOSURE}, {PACKED} select id target_id, part from packed where part is not null",
     "q12b": f"with {KMERS} select read_id, 'b' || read_id || {UNMAPPED_TAIL} line from b where read_id not in (select read_id from hits)",
     "q13": "select (select count(*) from documents) n_targets, (select count(*) from benchmark) n_reads",
     "q14": f"with {RECORDS} select row_number() over (order by ord, part) - 1 ordinal, raw line from m",
@@ -382,10 +521,8 @@ ORACLE = {
     "q18": f"with {RECORDS}, {CHOSEN} select (select count(*) from a) n_reads, count(*) filter (mapq_out <> 0) n_aligned, round(count(*) filter (mapq_out <> 0) * 100.0 / (select count(*) from a), 4) percent from w",
     "q19": f"with a as (select o_orderkey read_id, 'r' || o_orderkey name from orders) select read_id, name || '/' || (read_id % 2 + 1) || {UNMAPPED_TAIL} line from a where read_id not in (select l_orderkey from lineitem)",
     "q20": f"with {KMERS} select read_id, (row_number() over (order by read_id) % 4 + 1)::int part from b where read_id not in (select read_id from hits)",
-    "q21": f"""with {MATCHES}, y as (select *, row_number() over (partition by read_id, part order by len desc, target_id, strand, tpos, rpos) rn, count(*) over (partition by read_id, part, len) same from x)
- select hits.read_id, hits.part, coalesce(strand * 16, 4)::int flag, coalesce(target_id::varchar, '*') rname, coalesce(tpos + 1, 0)::int pos, case when same = 1 then 60 else 0 end mapq,
- coalesce(case when rpos > 0 then rpos || 'S' else '' end || len || 'M' || case when length(seq) - rpos - len > 0 then (length(seq) - rpos - len) || 'S' else '' end, '*') cigar
- from hits join b using (read_id) left join (select * from y where rn = 1) y on y.read_id = hits.read_id and y.part = hits.part""",
+    "q21": ALIGNED_OF.format(MATCHES),
+    "q21_long": ALIGNED_OF.format(matches_sql(LONG)),
     "q22": f"""with {RECORDS}, {CHOSEN}, f as (select *, row_number() over (partition by read_id order by part, ord) first from m),
  p as (select f.mapq am, w.mapq_out bm, f.cigar ac, w.cigar bc, f.flag af, w.flag bf, concat_ws(chr(9), f.flag, f.rname, f.pos, f.mapq, f.cigar) al, concat_ws(chr(9), w.flag, w.rname, w.pos, w.mapq_out, w.cigar) bl from f join w using (read_id) where first = 1),
  k as (select case when al = bl then null when am = 0 and bm <> 0 then 'mapq_not_zero' when am <> 0 and bm = 0 then 'mapq_zero'
@@ -395,5 +532,15 @@ ORACLE = {
     "q23": f"""with {RECORDS}, l as (select raw line from m), o as (select raw line from m where flag <> 4 union all select line from ({LOST}))
  select line, 'left' side from (select line from l except all select line from o) union all select line, 'right' from (select line from o except all select line from l)""",
     "q24": WHOLE,
+    "q24_long": WHOLE_OF.format(matches_sql(LONG)),
     "q25": WHOLE,
+    "q26_fasta": f"with {TARGETS} select target_id, target_id::varchar \"name\", length(seq) len, md5(seq) seq_md5 from t",
+    "q26_fasta_gzip": f"with {TARGETS} select target_id, target_id::varchar \"name\", length(seq) len, md5(seq) seq_md5 from t",
+    "q27_fastq": f"""with {READS}, f as (select read_id % 2 mate, read_id || ':b' || read_id \"name\", seq, row_number() over (partition by read_id % 2 order by read_id) - 1 n from b),
+ c as (select count(*) filter (mate = 0) n0, count(*) filter (mate = 1) n1 from f)
+ select 2 * n + mate read_id, mate::int mate, "name", md5(seq) seq_md5, length(seq)::int qual_len from f, c where case when mate = 0 then n < least(n0, n1 + 1) else n < least(n0, n1) end""",
+    "q28_sam": f"with {RECORDS} select read_id, part, ord, flag, rname, pos, mapq, cigar, 'NM:i:0' tags, raw from m",
+    "q29_names": """select path, i::int number, name || '-' || i || ext "name" from (values ('/a/b/ref.fa', 'ref', '.fa'), ('ref', 'ref', '.fa'), ('.hidden', '.hidden', '.fa'), ('x.tar.gz', 'x.tar', '.gz'), ('a.b/c', 'c', '.fa')) p(path, name, ext), range(1, 5) r(i)""",
+    "q29_lines": "select doc_id, concat_ws(':', lang, source) stripped, lang like 'e_%' starts, lang like 'en_%' is_longer, lang like '%_n' ends from documents",
+    "q30_files": f"select kind, n from (values ('@HD', 1), ('@PG', 1)) h(kind, n) union all select '@SQ', count(*) from documents union all select case when unmapped = 4 then 'unmapped' else 'mapped' end, count(*) from ({WHOLE}) group by 1",
 }

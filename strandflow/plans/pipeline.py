@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import AlignConfig
+from ..operators import bloom
 from ..operators.align import align
-from ..operators.dispatch import exact
+from ..operators.dispatch import exact, rendered
+from ..operators.header import header
 from ..operators.merge import merged
 from ..operators.packing import pack_components, pack_targets
+from ..operators.stats import run_metadata
+from ..sources import writers
 from ..storage import written
 
 
@@ -23,18 +27,43 @@ def partitioned(targets: DataFrame, config: AlignConfig, edges: DataFrame | None
     return targets.join(parts.withColumnRenamed("id", "target_id"), "target_id")
 
 
+def sent_to(reads: DataFrame, targets: DataFrame, config: AlignConfig) -> DataFrame:
+    """(read_id, part) by the run's way of dispatching."""
+    if config.dispatch == "exact":
+        return exact(targets, reads, config.bmer, config.step)
+    own = targets.select("part", "seq")
+    sizes = bloom.filter_sizes(own, config.bmer, config.ibits)
+    return bloom.probe(bloom.build(own, config.bmer, sizes, config.nhash), reads, config.bmer, config.step, sizes, config.nhash)
+
+
 def dispatched(reads: DataFrame, targets: DataFrame, config: AlignConfig) -> DataFrame:
     """Reads with each part they go to."""
-    return reads.join(exact(targets, reads, config.bmer, config.step), "read_id")
+    return reads.join(written(sent_to(reads, targets, config), "hits"), "read_id")
 
 
 def aligned(reads: DataFrame, targets: DataFrame, config: AlignConfig) -> DataFrame:
     """Records of all partitions; targets have their part."""
-    sent = dispatched(reads, targets, config)
-    return align(config.aligner, sent, targets, k=config.bmer, alen=config.alen)
+    return align(config.aligner, dispatched(reads, targets, config), targets, k=config.bmer, alen=config.alen)
 
 
 def run(reads: DataFrame, targets: DataFrame, config: AlignConfig, edges: DataFrame | None = None) -> DataFrame:
-    """read_id, place, line (mode fast: ordinal, line). reads: read_id, name, seq; targets: target_id, name, seq."""
-    records = aligned(reads, partitioned(targets, config, edges), config)
-    return merged(written(records, "records"), reads, config.merge_mode, config.max_rec, config.paired)
+    """read_id, place, line (mode fast: ordinal, line). reads: read_id, name, seq; targets: target_id, name, seq.
+
+    Targets with their parts are written once; dispatch and alignment read them from there."""
+    own = written(partitioned(targets, config, edges), "targets")
+    return merged(written(aligned(reads, own, config), "records"), reads, config.merge_mode, config.max_rec, config.paired)
+
+
+def run_to_files(reads: DataFrame, targets: DataFrame, config: AlignConfig, folder: str, edges: DataFrame | None = None, compression: str = "none") -> None:
+    """The run as files: folder/counts (numbers of targets and reads; an error where one is zero), folder/dispatched (reads
+    of each part as FASTA, or FASTQ with keep_qual), folder/result (header, then the merged lines in order)."""
+    run_metadata(targets, reads).write.mode("overwrite").json(f"{folder}/counts")
+    own = written(partitioned(targets, config, edges), "targets")
+    sent = dispatched(reads, own, config)
+    writers.partitioned(rendered(reads, sent.select("read_id", "part"), config.keep_qual), f"{folder}/dispatched", compression)
+    records = written(align(config.aligner, sent, own, k=config.bmer, alen=config.alen), "records")
+    lines = merged(records, reads, config.merge_mode, config.max_rec, config.paired)
+    if config.merge_mode == "fast":
+        lines = lines.select(F.col("ordinal").alias("read_id"), F.lit(0).alias("place"), "line")
+    head = header(targets.select(F.col("target_id").alias("place"), "name", F.length("seq").alias("len")))
+    writers.sam(head, lines, f"{folder}/result", compression)

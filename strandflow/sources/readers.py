@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import io
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.records import parsed
 from ..functions.sequences import adjacency_digits, first_word
-from ..storage import numbered
 
 UNPACKED = (".xz", ".zip", ".tar", ".tar.gz", ".tgz", ".tar.bz2", ".tar.xz")
 REFUSED = (".ar", ".tar.Z", ".Z", ".bam", ".jf", ".jfq", ".sra", ".url")
@@ -52,7 +53,12 @@ def records_of(spark: SparkSession, path: str, separator: str) -> DataFrame:
     else:
         text = spark.read.option("lineSep", separator).text(path)
         rows = text.select(F.col("_metadata.file_path").alias("file"), "value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
-    return numbered(rows, "file", "block", "place", name="ord").select("file", "value", "ord")
+    # The rows of a split keep their order in its task: a row's number is its place in the split and the rows of the splits before.
+    splits = rows.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    before = F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.withColumn("before", F.coalesce(before, F.lit(0))).drop("n")  # a row for each split
+    out = rows.join(F.broadcast(splits), ["file", "block"])
+    return out.select("file", "value", (F.col("before") + F.col("place") - F.col("first")).alias("ord"))
 
 
 def lines_of(spark: SparkSession, path: str) -> DataFrame:
@@ -79,15 +85,40 @@ def numbered_targets(targets: DataFrame) -> DataFrame:
 
 
 def fastq(spark: SparkSession, path: str) -> DataFrame:
-    """n (record in the file set, from 0), name, seq (upper-cased), qual of four-line records; a record that lacks lines is dropped."""
+    """n (record in the file set, from 0), name, seq (upper-cased), qual of four-line records; one that lacks lines is an error.
+
+    Lines of a record that stand together in a batch are put together there; only those at the borders of
+    batches and splits are shuffled."""
     lines = lines_of(spark, path)
-    start = lines.groupBy(F.col("file").alias("_file")).agg(F.min("ord").alias("_start"))
-    within = lines.join(start, F.col("file") == F.col("_file")).withColumn("line", F.col("ord") - F.col("_start"))
-    pick = lambda i: F.max(F.when(F.col("line") % 4 == i, F.col("value")))
-    records = within.groupBy("file", F.floor(F.col("line") / 4).alias("record")).agg(pick(0).alias("head"), pick(1).alias("seq"), pick(3).alias("qual"), F.count("*").alias("n_lines"))
-    whole = records.where("n_lines = 4")
-    placed = numbered(whole, "file", "record", name="n")
-    return placed.select("n", F.substring("head", 2, 1 << 30).alias("name"), F.upper("seq").alias("seq"), "qual")
+    files = lines.groupBy("file").agg(F.min("ord").alias("start"), F.count("*").alias("n_lines"))
+    before = F.sum(F.floor(F.col("n_lines") / 4)).over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
+    files = files.withColumn("before", F.coalesce(before, F.lit(0)))  # a row for each file
+    short = F.raise_error(F.concat(F.lit("a record lacks lines: "), F.col("file"))).cast("long")
+    line = F.col("ord") - F.when(F.col("n_lines") % 4 == 0, F.col("start")).otherwise(short)
+    rows = lines.join(F.broadcast(files), "file").select((F.col("before") + F.floor(line / 4)).alias("n"), (line % 4).cast("int").alias("at"), "value")
+
+    def run(batches):
+        for batch in batches:
+            n, at = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            whole = np.flatnonzero(at == 0)
+            whole = whole[whole + 3 < len(at)]
+            whole = whole[(n[whole + 3] == n[whole]) & (at[whole + 3] == 3)]
+            alone = np.ones(len(at), bool)
+            for i in range(4):
+                alone[whole + i] = False
+            alone = np.flatnonzero(alone)
+            numbers = np.concatenate((n[whole], n[alone]))
+            columns = []
+            for i in (0, 1, 3):
+                own = pa.array(np.where(at[alone] == i, alone, -1))
+                columns.append(pa.concat_arrays([batch.column(2).take(pa.array(whole + i)), batch.column(2).take(pa.compute.if_else(pa.compute.equal(own, -1), None, own))]))
+            is_whole = np.arange(len(numbers)) < len(whole)
+            yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(is_whole), *columns], names=["n", "whole", "head", "seq", "qual"])
+
+    found = rows.mapInArrow(run, "n long, whole boolean, head string, seq string, qual string")
+    parts = found.where("not whole").groupBy("n").agg(F.max("head").alias("head"), F.max("seq").alias("seq"), F.max("qual").alias("qual"))
+    records = found.where("whole").drop("whole").unionByName(parts)
+    return records.select("n", F.substring("head", 2, 1 << 30).alias("name"), F.upper("seq").alias("seq"), "qual")
 
 
 def interleaved(first: DataFrame, second: DataFrame | None, offset: int = 0, lib: int = 0) -> DataFrame:

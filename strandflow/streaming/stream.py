@@ -14,25 +14,35 @@ from pyspark.sql import functions as F
 
 from ..config import AlignConfig
 from ..operators.align import align
-from ..operators.dispatch import exact, round_robin, undispatched
+from ..operators.dispatch import round_robin, undispatched
 from ..operators.merge import streamed
+from ..plans.pipeline import sent_to
 from ..storage import written
 
 
-def merge_batch(reads: DataFrame, targets: DataFrame, config: AlignConfig) -> DataFrame:
-    """One micro-batch: read_id, place, line for every read."""
-    hits = written(exact(targets, reads, config.bmer, config.step), "hits")
-    lost = round_robin(undispatched(reads, hits), config.partitions).withColumn("part", F.col("part") - 1)
-    sent = reads.join(hits.unionByName(lost.select("read_id", F.col("part").cast(hits.schema["part"].dataType))), "read_id")
-    return streamed(align(config.aligner, sent, targets, k=config.bmer, alen=config.alen))
+def merge_batch(reads: DataFrame, targets: DataFrame, config: AlignConfig, before: int = 0) -> tuple[DataFrame, int]:
+    """One micro-batch: read_id, place, line for every read; and how many of its reads no partition can hold (`before`: of earlier batches)."""
+    hits = written(sent_to(reads, targets, config), "hits")
+    lost = written(undispatched(reads, hits).select("read_id"), "lost")
+    turns = round_robin(lost, config.partitions, before).withColumn("part", F.col("part") - 1)
+    sent = reads.join(hits.unionByName(turns.select("read_id", F.col("part").cast(hits.schema["part"].dataType))), "read_id")
+    return streamed(align(config.aligner, sent, targets, k=config.bmer, alen=config.alen)), lost.count()
 
 
 def run_stream(reads: DataFrame, targets: DataFrame, config: AlignConfig, folder: str, checkpoint: str) -> None:
-    """Takes all that is there of the stream `reads` (read_id, name, seq) and appends to folder/batch=n; then ends."""
+    """Takes all that is there of the stream `reads` (read_id, name, seq) and appends to folder/batch=n, in order of the reads' ids;
+    then ends. The turns of undispatched reads go on over the batches: how many each had is written to folder-lost/batch=n, so that
+    a batch that is repeated counts only those before it. The reader's maxFilesPerTrigger bounds a batch."""
+    spark = reads.sparkSession
 
     def each(batch: DataFrame, number: int) -> None:
-        rows = written(batch, "batch")
-        merge_batch(rows, targets, config).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        before = 0
+        if number:
+            counts = spark.read.schema("n long, batch int").parquet(f"{folder}-lost").where(F.col("batch") < number)
+            before = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        lines, lost = merge_batch(written(batch, "batch"), targets, config, before)
+        lines.orderBy("read_id", "place").write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        spark.range(1).select(F.lit(lost).cast("long").alias("n")).write.mode("overwrite").parquet(f"{folder}-lost/batch={number}")
 
     query = reads.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

@@ -10,7 +10,7 @@ from strandflow.config import AlignConfig
 from strandflow.functions import kmers, names
 from strandflow.operators import align, bloom, compare, dispatch, graph, header, merge, packing, stats
 from strandflow.plans import pipeline
-from strandflow.storage import numbered
+from strandflow.storage import numbered, written
 
 #: Known hashes.
 VECTORS = [("ACGT", 0, "cdbde0904526b99c"), ("ACGTACGT", 1, "47595a06b69dfe76"), ("ACGTACGTACGTACG", 2, "872b944dcc5309bf"), ("A" * 28, 0, "0699a5507c5c3275")]
@@ -97,6 +97,26 @@ def test_components_follow_edges_only_forwards(spark):
         assert {r.id: r.comp_id for r in found.collect()} == plain_components(vertices, edges)
 
 
+def test_contracted_components(spark, monkeypatch):
+    """Paths, rings, trees, both directions: without rounds along the edges first."""
+    monkeypatch.setattr(graph, "PLAIN_ROUNDS", 0)
+    rng = random.Random(1)
+    for kind in range(3):
+        n = 40
+        vertices = [(i, rng.choice([0, 5, 5, 5, 5])) for i in range(n)]
+        edges = [(i, (i * i + 3) % n) for i in range(n)] if kind == 2 else [(rng.randrange(n), rng.randrange(n)) for _ in range(50)]
+        edges += [(b, a) for a, b in edges[:25]] if kind == 1 else []
+        found = graph.reach_components(spark.createDataFrame(vertices, "id long, len long"), spark.createDataFrame(edges, "src long, dst long"))
+        assert {r.id: r.comp_id for r in found.collect()} == plain_components(vertices, edges)
+    order = list(range(2000))
+    rng.shuffle(order)
+    rounds = []
+    monkeypatch.setattr(graph, "written", lambda df, tag: rounds.append(tag) or written(df, tag))
+    found = graph.reach_components(spark.range(2000).selectExpr("id", "1L len"), spark.createDataFrame(list(zip(order, order[1:])), "src long, dst long"))
+    least = np.minimum.accumulate(order)
+    assert {r.id: r.comp_id for r in found.collect()} == dict(zip(order, least.tolist())) and len(rounds) < 50
+
+
 def test_components_of_nothing(spark):
     assert graph.reach_components(spark.createDataFrame([], "id long, len long"), spark.createDataFrame([], "src long, dst long")).count() == 0
 

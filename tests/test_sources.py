@@ -73,6 +73,23 @@ def test_pairs_and_libraries(spark, tmp_path):
         readers.libraries(spark, files[:3])
 
 
+def test_records_across_splits_and_short_ones(spark, tmp_path):
+    text = fastq(500, "r")
+    path = packed(tmp_path, "", "many.fq", text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "701")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        out = readers.fastq(spark, path).orderBy("n").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert [(r.n, r.name, r.seq, r.qual) for r in out] == [(i, f"r{i}", "ACG" + "T" * i, "I" * (3 + i)) for i in range(500)]
+    with pytest.raises(Exception, match="lacks lines"):
+        readers.fastq(spark, packed(tmp_path, "", "short.fq", fastq(2, "x") + "@y\nAC\n")).collect()
+
+
 def test_adjacency(spark):
     lines = spark.createDataFrame([("0 100 3.5\t; 1 2 [d=-27]",), ("1 50 12",), ("2 0 1\t3",)], "value string")
     vertices, edges = readers.adjacency(lines)
