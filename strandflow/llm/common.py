@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are handled in slices of about this many bytes, whatever the size of an Arrow batch.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,13 +85,13 @@ def slices(sizes: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, i
         yield start, len(sizes)
 
 
-def text_slices(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list]]:
+def text_slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Slices of the batches with the column's texts as UTF-8 bytes, None for null."""
     for batch in batches:
         column_at = batch.schema.get_field_index(column)
         texts = batch.column(column_at).cast(pa.binary())
         sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0), dtype=np.int64)
-        for a, b in slices(sizes):
+        for a, b in slices(sizes, limit):
             yield batch.slice(a, b - a), texts.slice(a, b - a).to_pylist()
         del texts, sizes
         pa.default_memory_pool().release_unused()

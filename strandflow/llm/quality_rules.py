@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Carry, Growing, Numbers, held, offsets, spread, sums, text_slices, with_kept
+from .common import SLICE_BYTES, Carry, Growing, Numbers, held, offsets, spread, sums, text_slices, with_kept
 from .labelled import bounded_sample, hash_share, logistic, platt, sigmoid
 
 #: Fixed limits.
@@ -163,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         rows = rows.groupBy("hash", "label", "weight", "calibrates").agg(F.min("text").alias("text"))
 
     def run(batches):
-        for part, texts in text_slices(batches):
+        for part, texts in text_slices(batches, limit=SLICE_BYTES // 4):  # many features stand for a byte
             known = Words(None)
             numbers, counts = known.of(texts)
             hashes = known.hashes.view()[numbers]
