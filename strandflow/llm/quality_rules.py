@@ -153,6 +153,18 @@ def thinned(cells: np.ndarray, values: np.ndarray, marks: np.ndarray) -> tuple[n
     return cells[kept], values[kept] * scale[row[kept]]
 
 
+def numbers_in(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """The numbers in all values of a binary column, one after another."""
+    out = np.empty(int(pa.compute.sum(pa.compute.binary_length(column)).as_py() or 0) // np.dtype(kind).itemsize, kind)
+    at = 0
+    for chunk in column.chunks:
+        for value in chunk:
+            own = np.frombuffer(value.as_buffer(), kind)
+            out[at : at + len(own)] = own
+            at += len(own)
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> dict | None:
     """The model: weights (float32), bias, the calibration's a and b; None without labels of both kinds."""
     marked = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).where("key is not null and label in (0, 1)")
@@ -188,13 +200,15 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     calibrates = np.asarray(sample.column("calibrates").to_pylist(), bool)
     if min(sum(marks[~calibrates] == v) for v in (0, 1)) < 1 or len(marks) < 4:
         return None
-    columns = [np.frombuffer(b, np.int32) for b in sample.column("columns").to_pylist()]
-    values = [np.frombuffer(b, np.float32) for b in sample.column("values").to_pylist()]
-    per = np.fromiter(map(len, columns), np.int64, len(columns))
-    fits = np.flatnonzero(~calibrates)
-    row = np.repeat(np.arange(len(fits), dtype=np.int32), per[fits])
-    weights, bias = logistic(row, np.concatenate([columns[i] for i in fits]), np.concatenate([values[i] for i in fits]) * np.float32(SCALE), len(fits), FEATURES, marks[fits], L2, per_row=weigh[fits])
-    scores = np.array([weights[c] @ v * SCALE for c, v in zip(columns, values, strict=True)]) + bias
+    per = np.asarray(pa.compute.binary_length(sample.column("columns")), dtype=np.int64) // 4
+    columns, values = numbers_in(sample.column("columns"), np.int32), numbers_in(sample.column("values"), np.float32)
+    del sample  # one copy of the features is held from here on
+    pa.default_memory_pool().release_unused()
+    values *= np.float32(SCALE)
+    bounds, of_fit = offsets(per), np.repeat(~calibrates, per)
+    row = np.repeat(np.arange((~calibrates).sum(), dtype=np.int32), per[~calibrates])
+    weights, bias = logistic(row, columns[of_fit], values[of_fit], int((~calibrates).sum()), FEATURES, marks[~calibrates], L2, per_row=weigh[~calibrates])
+    scores = np.array([weights[columns[a:b]] @ values[a:b] for a, b in zip(bounds[:-1], bounds[1:])]) + bias
     held = calibrates if len(set(marks[calibrates])) == 2 else ~calibrates
     a, b = platt(scores[held], marks[held], weights=weigh[held])
     return {"weights": (weights * SCALE).astype(np.float32), "bias": bias, "a": a, "b": b, "id": uuid.uuid4().hex}
