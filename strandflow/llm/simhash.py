@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Carry, hot_join, text_slices, with_kept, word_parts, written
+from .common import HOT_SHARE, Carry, hot_join, slices, text_slices, with_kept, word_parts, written
 from .components import components
 
 SHINGLE_WORDS, SEED, MOST_BITS = 4, 42, 4
@@ -401,9 +401,12 @@ def similar_links(own: DataFrame, docs: DataFrame, key: str, text: str, width: i
 
     def compare(batches):
         for batch in batches:
-            one, other = ([np.frombuffer(x, np.uint64) for x in batch.column(i).to_pylist()] for i in (2, 3))
-            near = np.array([agree(x, y, np.array([0, len(y)]), similar)[0] for x, y in zip(one, other, strict=True)], bool)
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(near)) for i in (0, 1)], names=["a", "b"])
+            sizes = sum(np.asarray(pa.compute.binary_length(batch.column(i)), dtype=np.int64) for i in (2, 3))
+            for start, end in slices(sizes):  # so that only few sets are held twice
+                part = batch.slice(start, end - start)
+                one, other = ([np.frombuffer(x, np.uint64) for x in part.column(i).to_pylist()] for i in (2, 3))
+                near = np.array([agree(x, y, np.array([0, len(y)]), similar)[0] for x, y in zip(one, other, strict=True)], bool)
+                yield pa.RecordBatch.from_arrays([part.column(i).filter(pa.array(near)) for i in (0, 1)], names=["a", "b"])
 
     def agreeing(pairs: DataFrame) -> DataFrame:
         """Those of the pairs (one, other) that agree, as edges between names."""
@@ -416,12 +419,17 @@ def similar_links(own: DataFrame, docs: DataFrame, key: str, text: str, width: i
 
     found = [written(agreeing(pairs), "agreeing")]
     if not none_large:
+        # Rows of a posting with more than HOT_SHARE of all are dealt in parts, each of which meets the posting's centre.
+        part_rows = HOT_SHARE * large.agg(F.sum("n")).first()[0]
+        dealt = lambda n: F.greatest(F.lit(1), F.ceil(n / F.lit(part_rows))).cast("int")
         left = crowded
         for turn in range(stars):
             # First one text for all postings that share it, then another of each posting's main component for those outside.
             order = F.xxhash64("name", F.lit(turn)) if turn == 0 else F.xxhash64("name", "key", F.lit(turn))
-            centre = (left if turn == 0 else left.where("component = main")).groupBy("key").agg(F.min_by(F.struct(F.col("name").alias("centre"), F.col("size").alias("centre_size")), order).alias("c")).select("key", "c.*")
-            met = (left if turn == 0 else left.where("component <> main")).join(centre, "key").where("name <> centre").where(F.least("size", "centre_size") >= similar * F.greatest("size", "centre_size"))
+            centre = (left if turn == 0 else left.where("component = main")).groupBy("key").agg(F.min_by(F.struct(F.col("name").alias("centre"), F.col("size").alias("centre_size")), order).alias("c"), F.first("n").alias("n"))
+            centre = centre.select("key", "c.*", F.explode(F.sequence(F.lit(0), dealt(F.col("n")) - 1)).alias("dealt"))
+            outside = (left if turn == 0 else left.where("component <> main")).withColumn("dealt", F.pmod(F.xxhash64("name"), dealt(F.col("n"))).cast("int"))
+            met = outside.join(centre, ["key", "dealt"]).where("name <> centre").where(F.least("size", "centre_size") >= similar * F.greatest("size", "centre_size"))
             star = written(met.select(F.least("name", "centre").alias("one"), F.greatest("name", "centre").alias("other")).distinct(), "stars")
             found.append(written(agreeing(star), "agreeing"))
             groups = components(all_of(found)).select(F.col("node").alias("name"), "component")
