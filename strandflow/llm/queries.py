@@ -136,6 +136,17 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest is of the operator's groups as text."""
+    from .token_alignment import aligned, piece_count, with_link_scores
+
+    a_path, b_path = tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model")
+    groups = aligned(read_table(spark, sf_dir, "documents"), a_path, b_path)
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    scored = with_link_scores(groups.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "pairs", "times", digest), piece_count(b_path))
+    return scored.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op7_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .labelled import key_mod
     from .rule_ensemble import fit, scored
@@ -162,6 +173,7 @@ QUERIES = {
     "op8_token_store": op8_token_store,
     "op9_license_scan": op9_license_scan,
     "op10_simhash": op10_simhash,
+    "op13_token_alignment": op13_token_alignment,
     "url_links": url_links,
 }
 
