@@ -10,6 +10,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # pa.compute is there only once it was imported
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 

@@ -136,6 +136,23 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and the digest are of the operator's spans."""
+    from .secret_scan import BASE_KINDS, scan, written_out
+
+    spans = F.col("spans")
+    of = lambda *kinds: F.filter(spans, lambda s: s["kind"].isin(*kinds))
+    counts = [F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in BASE_KINDS]
+    base = written_out(of(*BASE_KINDS))
+    return scan(read_table(spark, sf_dir, "documents")).select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), written_out(spans).alias("spans"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whitened
+
+    return whitened(read_table(spark, sf_dir, "embeddings"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The digest is of the operator's groups as text."""
     from .token_alignment import aligned, piece_count, with_link_scores
@@ -173,6 +190,8 @@ QUERIES = {
     "op8_token_store": op8_token_store,
     "op9_license_scan": op9_license_scan,
     "op10_simhash": op10_simhash,
+    "op11_secret_scan": op11_secret_scan,
+    "op12_whitening": op12_whitening,
     "op13_token_alignment": op13_token_alignment,
     "url_links": url_links,
 }
