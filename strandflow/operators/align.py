@@ -24,6 +24,7 @@ from ..functions.records import FIELDS, parsed, tabbed
 from ..storage import written
 from .dispatch import BROADCAST_KMERS
 
+BUILT_IN = "longest-exact-match"
 ALIGNERS: dict[str, Callable[..., DataFrame]] = {}
 
 
@@ -41,6 +42,12 @@ def align(name: str, reads: DataFrame, targets: DataFrame, **options) -> DataFra
     return ALIGNERS[name](reads, targets, **options)
 
 
+def align_indexed(name: str, reads: DataFrame, index) -> DataFrame:
+    """The same with a TargetIndex: the built-in aligner reads its places and no text, programs outside its targets."""
+    own = {"places": index.places} if name == BUILT_IN else {}
+    return align(name, reads, index.targets, k=index.config.bmer, alen=index.config.alen, **own)
+
+
 def positioned(rows: DataFrame, columns: list[str], k: int, both_strands: bool) -> DataFrame:
     """The columns, strand (0; 1: reverse complement), position and code of every k-mer of bases in seq."""
     kept = rows.select(*columns, "seq")
@@ -71,14 +78,16 @@ def positioned(rows: DataFrame, columns: list[str], k: int, both_strands: bool)
     return kept.mapInArrow(run, f"{ddl}, strand int, position int, code long")
 
 
-def matches(reads: DataFrame, targets: DataFrame, k: int) -> DataFrame:
+def matches(reads: DataFrame, targets: DataFrame, k: int, places: DataFrame | None = None) -> DataFrame:
     """Maximal runs of k or more equal bases: read_id, part, target_id, strand, read_at, target_at, length.
 
-    Reads meet the k-mers only of the partitions that they were sent to."""
+    Reads meet the k-mers only of the partitions that they were sent to. places: the targets' (code, part, target_id,
+    position) where an index has them."""
     seed = min(k, MOST_K)
     own = positioned(reads.select("read_id", "seq").dropDuplicates(["read_id"]), ["read_id"], seed, True).withColumnRenamed("position", "read_position")
     wanted = written(own.join(reads.select("read_id", "part").distinct(), "read_id"), "seeds")
-    there = positioned(targets, ["part", "target_id"], seed, False).withColumnRenamed("position", "target_position").drop("strand")
+    there = positioned(targets, ["part", "target_id"], seed, False).drop("strand") if places is None else places
+    there = there.withColumnRenamed("position", "target_position")
     small = wanted.count() <= BROADCAST_KMERS
     hits = there.join(F.broadcast(wanted) if small else wanted, ["part", "code"])
     line = ["read_id", "part", "target_id", "strand", "diagonal"]
@@ -89,10 +98,10 @@ def matches(reads: DataFrame, targets: DataFrame, k: int) -> DataFrame:
     return found.where(F.col("length") >= k).drop("run", "diagonal")
 
 
-@aligner("longest-exact-match")
-def longest_exact_match(reads: DataFrame, targets: DataFrame, k: int, alen: int) -> DataFrame:
+@aligner(BUILT_IN)
+def longest_exact_match(reads: DataFrame, targets: DataFrame, k: int, alen: int, places: DataFrame | None = None) -> DataFrame:
     """Records of every dispatched read; flag 4 where no match has alen bases."""
-    found = matches(reads, targets, k).where(F.col("length") >= alen)
+    found = matches(reads, targets, k, places).where(F.col("length") >= alen)
     key = F.struct((-F.col("length")).alias("l"), "target_id", "strand", "target_at", "read_at")
     by_length = found.groupBy("read_id", "part", "length").agg(F.count("*").alias("n"), F.min_by(F.struct("target_id", "strand", "read_at", "target_at", "length"), key).alias("row"))
     best = by_length.groupBy("read_id", "part").agg(F.max_by(F.struct("n", "row"), "length").alias("best"))

@@ -1,8 +1,9 @@
-"""A Bloom filter for each partition of targets, held in blocks.
+"""A Bloom filter for each partition of targets, in blocks.
 
-A filter has ibits bits for each k-mer of its partition, so a bank grows with the targets: it is not
-sent around but kept as rows (part, block, bits) of BLOCK_BITS bits each. Reads meet the blocks that
-their k-mers' hashes point to in a join; neither side is gathered.
+All filters have the same number of blocks of BLOCK_BITS bits: ibits bits for each k-mer of the partition that has
+most. A k-mer's first hash chooses its block, and the upper halves of all nhash hashes its bits there: so a k-mer is
+one row whatever the number of hashes and partitions, and meets one row of the bank for each partition. A bank grows
+with the targets; it is kept as rows (block, part, bits), joined by block, and never sent around.
 """
 
 from __future__ import annotations
@@ -12,31 +13,58 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kmers import canonical_rows, distinct, murmur64a, pieces
+from ..functions.kmers import MOST_K, canonical_rows, canonical_windows, codes, distinct, kmer_windows, letters, murmur64a, NORMAL, pieces, reverse_codes
 from ..functions.sequences import n_kmers
-from .dispatch import exact
+from ..storage import written
+from .dispatch import BROADCAST_KMERS, keys_of, near
 
 BLOCK_BITS = 1 << 18
 ROUND_KMERS = 1 << 18
 
 
-def filter_sizes(targets: DataFrame, k: int, ibits: int) -> dict[int, int]:
-    """Bits of each partition's filter, one row for each partition; partitions without k-mers have none."""
-    rows = targets.groupBy("part").agg(F.sum(n_kmers(F.length("seq"), k)).alias("n")).where("n > 0").collect()
-    return {r.part: r.n * ibits for r in rows}
+def n_blocks(targets: DataFrame, k: int, ibits: int) -> int:
+    """Blocks of every partition's filter. targets: part, seq."""
+    most = targets.groupBy("part").agg(F.sum(n_kmers(F.length("seq"), k)).alias("n")).agg(F.max("n")).first()[0]
+    return max(1, -(-(most or 0) * ibits // BLOCK_BITS))
 
 
-def build(targets: DataFrame, k: int, sizes: dict[int, int], nhash: int) -> DataFrame:
-    """(part, block, bits) of the filters; blocks without a bit are left out. targets: part, seq.
+def distinct_rows(piece: bytes, k: int) -> np.ndarray:
+    """The letters of the canonical forms of a piece's k-mers, those of bases alone once each."""
+    normal = piece.upper().translate(NORMAL)
+    n = len(normal) - k + 1
+    if n <= 0:
+        return np.zeros((0, k), np.uint8)
+    left = np.ones(n, bool)
+    found = []
+    if k <= MOST_K:
+        values, at = codes(normal, k)
+        left[at] = False
+        found.append(letters(distinct(np.minimum(values, reverse_codes(values, k))), k))
+    if left.any():
+        forward, backward = kmer_windows(normal, k)
+        found.append(canonical_windows(forward[left], backward[left]))
+    return np.concatenate(found)
+
+
+def bits_of(rows: np.ndarray, blocks: int, nhash: int) -> tuple[np.ndarray, np.ndarray]:
+    """The block of each k-mer, and its bits there (a row of nhash)."""
+    hashes = [murmur64a(rows, seed) for seed in range(nhash)]
+    bits = np.stack([(h >> np.uint64(32)) % np.uint64(BLOCK_BITS) for h in hashes], axis=1)
+    return (hashes[0] % np.uint64(blocks)).astype(np.int64), bits.astype("<u4")
+
+
+def build(targets: DataFrame, k: int, blocks: int, nhash: int) -> DataFrame:
+    """(block, part, bits) of the filters; blocks without a bit are left out. targets: part, seq.
 
     A task sets bits for ROUND_KMERS k-mers of a partition at a time and sends what it has of each block:
     the bits' places, or the whole block where that is smaller. Blocks are then put together."""
 
-    def blocks(part: int, found: list[np.ndarray]) -> pa.RecordBatch:
-        bits = distinct(np.concatenate([murmur64a(rows, s) % np.uint64(sizes[part]) for rows in found for s in range(nhash)])).astype(np.int64)
-        begins = np.flatnonzero(np.diff(bits // BLOCK_BITS, prepend=-1))
-        own = [packed((x % BLOCK_BITS).astype("<u4")) for x in np.split(bits, begins[1:])]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(begins), part, np.int32)), pa.array(bits[begins] // BLOCK_BITS), pa.array(own, pa.binary())], names=["part", "block", "bits"])
+    def partial_blocks(part: int, found: list[np.ndarray]) -> pa.RecordBatch:
+        block, bits = bits_of(np.concatenate(found), blocks, nhash)
+        places = distinct((block[:, None] * BLOCK_BITS + bits).reshape(-1))
+        begins = np.flatnonzero(np.diff(places // BLOCK_BITS, prepend=-1))
+        own = [packed((x % BLOCK_BITS).astype("<u4")) for x in np.split(places, begins[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(places[begins] // BLOCK_BITS), pa.array(np.full(len(begins), part, np.int32)), pa.array(own, pa.binary())], names=["block", "part", "bits"])
 
     def partial(batches):
         for batch in batches:
@@ -44,20 +72,20 @@ def build(targets: DataFrame, k: int, sizes: dict[int, int], nhash: int) -> Data
             for part, seq in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 for _, piece in pieces(seq or b"", k):
                     own = found.setdefault(part, [])
-                    own.append(canonical_rows(piece, k))
+                    own.append(distinct_rows(piece, k))
                     if sum(map(len, own)) >= ROUND_KMERS:
-                        yield blocks(part, found.pop(part))
+                        yield partial_blocks(part, found.pop(part))
             for part, own in found.items():
-                yield blocks(part, own)
+                yield partial_blocks(part, own)
 
     def whole(key, table):
         bits = np.zeros(BLOCK_BITS // 8, np.uint8)
         for own in table.column("bits").to_pylist():
             bits |= unpacked(own)
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int64()), "bits": pa.array([bits.tobytes()], pa.binary())})
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "part": pa.array([key[1].as_py()], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary())})
 
-    found = targets.select(F.col("part").cast("int"), "seq").mapInArrow(partial, "part int, block long, bits binary")
-    return found.groupBy("part", "block").applyInArrow(whole, "part int, block long, bits binary")
+    found = targets.select(F.col("part").cast("int"), "seq").mapInArrow(partial, "block long, part int, bits binary")
+    return found.groupBy("block", "part").applyInArrow(whole, "block long, part int, bits binary")
 
 
 def packed(places: np.ndarray) -> bytes:
@@ -77,26 +105,36 @@ def unpacked(own: bytes) -> np.ndarray:
     return np.packbits(bits, bitorder="little")
 
 
-def probe(bank: DataFrame, reads: DataFrame, k: int, step: int, sizes: dict[int, int], nhash: int) -> DataFrame:
-    """(read_id, part), distinct: all bits of some sampled k-mer of the read are set. reads: read_id, seq."""
+def probe(bank: DataFrame, reads: DataFrame, k: int, step: int, blocks: int, nhash: int) -> DataFrame:
+    """(read_id, part), distinct: all bits of some sampled k-mer of the read are set. reads: read_id, seq.
+
+    Each different k-mer is tested once, where the bank's rows of its block are; the answers then go back to its reads."""
 
     def wanted(batches):
         for batch in batches:
             for read_id, seq in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 rows = canonical_rows(seq or b"", k, step)
-                if not len(rows):
-                    continue
-                hashes = np.stack([murmur64a(rows, s) for s in range(nhash)], axis=1)
-                for part, size in sizes.items():
-                    bits = (hashes % np.uint64(size)).astype(np.int64).reshape(-1)
-                    at = np.repeat(np.arange(len(rows)), nhash)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bits), read_id, np.int64)), pa.array(np.full(len(bits), part, np.int32)), pa.array(at), pa.array(bits // BLOCK_BITS), pa.array((bits % BLOCK_BITS).astype(np.int32))], names=["read_id", "part", "at", "block", "bit"])
-
-    asked = reads.select(F.col("read_id").cast("long"), "seq").mapInArrow(wanted, "read_id long, part int, at long, block long, bit int")
-    byte = F.conv(F.hex(F.expr("substring(bits, cast(bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    is_set = byte.bitwiseAND(F.expr("shiftleft(1, bit % 8)")) != 0
-    hits = asked.join(bank, ["part", "block"]).where(is_set)
-    return hits.groupBy("read_id", "part", "at").agg(F.count("*").alias("n")).where(F.col("n") == nhash).select("read_id", "part").distinct()
+                for a in range(0, len(rows), ROUND_KMERS):
+                    block, bits = bits_of(rows[a : a + ROUND_KMERS], blocks, nhash)
+                    raw = np.ascontiguousarray(bits).tobytes()
+                    width = 4 * nhash
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(block), read_id, np.int64)), pa.array(block), pa.array([raw[i : i + width] for i in range(0, len(raw), width)], pa.binary())], names=["read_id", "block", "bits"])
+
+    def tested(own, there):
+        asked = np.frombuffer(b"".join(own.column("bits").to_pylist()), "<u4").reshape(-1, nhash)
+        parts, rows = [], []
+        for part, raw in zip(there.column("part").to_pylist(), there.column("bits").to_pylist(), strict=True):
+            filter_ = np.frombuffer(raw, np.uint8)
+            is_set = (filter_[asked >> 3] >> (asked & 7).astype(np.uint8)) & 1
+            hit = np.flatnonzero(is_set.all(axis=1))
+            rows.append(hit)
+            parts.append(np.full(len(hit), part, np.int32))
+        at = pa.array(np.concatenate([np.zeros(0, np.int64), *rows]))
+        return pa.table({"block": own.column("block").take(at), "bits": own.column("bits").take(at), "part": pa.array(np.concatenate([np.zeros(0, np.int32), *parts]))})
+
+    asked = written(reads.select(F.col("read_id").cast("long"), "seq").mapInArrow(wanted, "read_id long, block long, bits binary"), "asked")
+    hits = asked.select("block", "bits").distinct().groupBy("block").cogroup(bank.groupBy("block")).applyInArrow(tested, "block long, bits binary, part int")
+    return asked.join(hits, ["block", "bits"]).select("read_id", "part").distinct()
 
 
 def kmer_hashes(reads: DataFrame, k: int, step: int, nhash: int) -> DataFrame:
@@ -113,7 +151,12 @@ def kmer_hashes(reads: DataFrame, k: int, step: int, nhash: int) -> DataFrame:
     return reads.select(F.col("read_id").cast("long"), "seq").mapInArrow(run, "read_id long, place long, seed int, hash string")
 
 
-def verified(targets: DataFrame, reads: DataFrame, candidates: DataFrame, k: int, step: int) -> DataFrame:
-    """The candidates that the exact join confirms."""
-    asked = reads.join(candidates.select("read_id").distinct(), "read_id", "left_semi")
-    return exact(targets, asked, k, step).join(candidates, ["read_id", "part"], "left_semi")
+def verified(targets: DataFrame, reads: DataFrame, candidates: DataFrame, k: int, step: int, keys: DataFrame | None = None) -> DataFrame:
+    """The candidates (read_id, part) of which the targets' k-mers hold a sampled one of the read's. keys: the targets'
+    (key, part) where an index has them."""
+    wanted = written(keys_of(reads, "read_id", k, step).join(candidates, "read_id"), "candidate-kmers")
+    if wanted.count() <= BROADCAST_KMERS:
+        there = keys if keys is not None else near(targets, "part", k, wanted.select("key").distinct())
+        return there.join(F.broadcast(wanted), ["key", "part"]).select("read_id", "part").distinct()
+    there = keys if keys is not None else keys_of(targets, "part", k).distinct()
+    return there.join(wanted, ["key", "part"]).select("read_id", "part").distinct()

@@ -41,17 +41,42 @@ def keys_of(rows: DataFrame, own: str, k: int, step: int = 1) -> DataFrame:
     return rows.select(own, "seq").mapInArrow(run, f"{own} {kind}, key long")
 
 
-def exact(targets: DataFrame, reads: DataFrame, k: int, step: int) -> DataFrame:
+def near(rows: DataFrame, own: str, k: int, wanted: DataFrame) -> DataFrame:
+    """keys_of the rows, only those among the wanted (key), of which there are at most BROADCAST_KMERS: they are
+    sent to all tasks as one sorted array, so that no other key leaves the kernel."""
+    kind = rows.schema[own].dataType.simpleString()
+    keys = np.sort(np.asarray(wanted.select("key").toArrow().column("key").combine_chunks(), np.int64))
+    sent = rows.sparkSession.sparkContext.broadcast(keys)
+
+    def run(batches):
+        keys = sent.value
+        for batch in batches:
+            ids, found = [], []
+            for i, seq in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
+                for piece in key_pieces(seq, k) if seq and len(keys) else ():
+                    piece = piece.view(np.int64)
+                    hit = distinct(piece[keys[np.minimum(np.searchsorted(keys, piece), len(keys) - 1)] == piece])
+                    if len(hit):
+                        found.append(hit)
+                        ids.append(np.full(len(hit), i))
+            if found:
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(ids))), pa.array(np.concatenate(found))], names=[own, "key"])
+
+    return rows.select(own, "seq").mapInArrow(run, f"{own} {kind}, key long")
+
+
+def exact(targets: DataFrame, reads: DataFrame, k: int, step: int, keys: DataFrame | None = None) -> DataFrame:
     """(read_id, part), distinct: some sampled k-mer of the read is in a target of the partition.
 
-    targets: part, seq; reads: read_id, seq."""
+    targets: part, seq; reads: read_id, seq; keys: the targets' (key, part) where an index has them."""
     wanted = written(keys_of(reads, "read_id", k, step), "read-kmers")
-    there = keys_of(targets, "part", k)
     if wanted.count() <= BROADCAST_KMERS:
         # The k-mers of the targets are neither shuffled nor kept.
+        there = keys if keys is not None else near(targets, "part", k, wanted.select("key").distinct())
         return there.join(F.broadcast(wanted), "key").select("read_id", "part").distinct()
     # A k-mer common to many targets is one row for each partition before it meets the reads.
-    return there.distinct().join(wanted, "key").select("read_id", "part").distinct()
+    there = keys if keys is not None else keys_of(targets, "part", k).distinct()
+    return there.join(wanted, "key").select("read_id", "part").distinct()
 
 
 def undispatched(reads: DataFrame, dispatched: DataFrame) -> DataFrame:

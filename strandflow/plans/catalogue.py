@@ -16,7 +16,7 @@ from ..config import AlignConfig
 from ..functions.names import partition_name
 from ..functions.records import FIELDS, tabbed
 from ..functions.sequences import canonical, cigar_match_length, dna, ends_strictly, kmer_at, mate_suffix, reverse_complement, starts_strictly, strip_id
-from ..operators import bloom, compare, dispatch, graph, header, merge, packing, stats
+from ..operators import bloom, compare, dispatch, graph, header, index, merge, packing, stats
 from ..operators.align import longest_exact_match
 from ..sources import readers, writers
 from ..storage import numbered, shared_dir, spread_out, written
@@ -167,8 +167,8 @@ def q08(spark, d):
 
 def bloom_candidates(spark, d):
     own = targets(spark, d).select("part", "seq")
-    sizes = bloom.filter_sizes(own, K, CONFIG.ibits)
-    return bloom.probe(bloom.build(own, K, sizes, CONFIG.nhash), reads(spark, d), K, STEP, sizes, CONFIG.nhash)
+    blocks = bloom.n_blocks(own, K, CONFIG.ibits)
+    return bloom.probe(bloom.build(own, K, blocks, CONFIG.nhash), reads(spark, d), K, STEP, blocks, CONFIG.nhash)
 
 
 def q09(spark, d):
@@ -308,17 +308,32 @@ def line_fields(lines: DataFrame) -> DataFrame:
 
 def q24(spark, d):
     """The whole run: targets packed into partitions, reads dispatched, aligned and merged."""
-    return line_fields(pipeline.run(reads(spark, d), targets(spark, d).drop("part"), CONFIG))
+    return pipeline.run(reads(spark, d), targets(spark, d).drop("part"), CONFIG).select("read_id", "line")
+
+
+def q24_indexed(spark, d):
+    """The same run with an index of the targets, opened again as a later run would."""
+    folder = new_folder(spark, "index")
+    pipeline.indexed(targets(spark, d).drop("part"), CONFIG, folder)
+    return pipeline.run(reads(spark, d), None, CONFIG, index=index.opened(spark, folder, CONFIG)).select("read_id", "line")
+
+
+#: Files of reads, a micro-batch each.
+BATCHES = 4
 
 
 def q25(spark, d):
-    """The same run with the reads as a stream."""
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    reads(spark, d).write.parquet(f"{base}/reads")
-    own = written(pipeline.partitioned(targets(spark, d).drop("part"), CONFIG), "targets")
-    stream = spark.readStream.schema("read_id long, name string, seq string").parquet(f"{base}/reads")
-    run_stream(stream, own, CONFIG, f"{base}/out", f"{base}/state")
-    return line_fields(spark.read.schema("read_id long, place int, line string").parquet(f"{base}/out"))
+    """The same run with the reads as a stream of some micro-batches; the lines' places follow from the files written."""
+    base = new_folder(spark, "stream")
+    own = reads(spark, d)
+    bounds = own.agg(F.max("read_id").alias("most")).first().most + 1
+    for i in range(BATCHES):
+        own.where((F.col("read_id") * BATCHES >= i * bounds) & (F.col("read_id") * BATCHES < (i + 1) * bounds)).coalesce(1).write.mode("append").parquet(f"{base}/reads")
+    kept = pipeline.indexed(targets(spark, d).drop("part"), CONFIG, f"{base}/index")
+    stream = spark.readStream.schema("read_id long, name string, seq string").option("maxFilesPerTrigger", 1).parquet(f"{base}/reads")
+    run_stream(stream, kept, f"{base}/out", f"{base}/state")
+    lines = spark.read.schema("read_id long, place int, line string, batch int").parquet(f"{base}/out").select("read_id", "line", "batch", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return numbered(lines, "batch", "file", "row").select("ordinal", "read_id", "line")
 
 
 def q24_long(spark, d):
@@ -401,8 +416,8 @@ READS = f"b as (select item_id read_id, {DNA} seq from benchmark)"
 RC = lambda s: f"reverse(translate({s}, 'ACGT', 'TGCA'))"
 
 
-def kmers_sql(k: int, step: int) -> str:
-    return f"""{TARGETS}, {READS},
+def kmers_sql(k: int, step: int, targets: str = TARGETS) -> str:
+    return f"""{targets}, {READS},
  tk as (select distinct part, least(k, {RC("k")}) k from (select part, substr(seq, i::int, {k}) k from t, unnest(range(1, greatest(length(seq) - {k} + 2, 1))) u(i))),
  bk as (select distinct read_id, least(k, {RC("k")}) k from (select read_id, substr(seq, i::int, {k}) k from b, unnest(range(1, greatest(length(seq) - {k} + 2, 1), {step})) u(i))),
  hits as (select distinct read_id, part::int part from tk join bk using (k))"""
@@ -429,9 +444,9 @@ CHOSEN = """c as (select *, row_number() over (partition by read_id order by cas
  w as (select *, case when flag <> 4 and same = 1 then mapq else 0 end mapq_out from c where rn = 1)"""
 
 
-def matches_sql(config: AlignConfig) -> str:
+def matches_sql(config: AlignConfig, targets: str = TARGETS) -> str:
     k = config.bmer
-    return f"""{kmers_sql(k, config.step)},
+    return f"""{kmers_sql(k, config.step, targets)},
  o as (select read_id, 0 strand, seq from b union all select read_id, 1, {RC("seq")} from b),
  tp as (select target_id, part::int part, i - 1 tpos, substr(seq, i::int, {k}) k from t, unnest(range(1, greatest(length(seq) - {k} + 2, 1))) u(i)),
  op as (select read_id, strand, i - 1 rpos, substr(seq, i::int, {k}) k from o, unnest(range(1, greatest(length(seq) - {k} + 2, 1))) u(i)),
@@ -448,6 +463,22 @@ MIXED = "({0} * " + M64 + " % " + T64 + ")"
 WHOLE_OF = """with {0}, y as (select read_id, len, count(*) n from x group by all), z as (select read_id, max(len) mlen, arg_max(n, len) n from y group by read_id)
  select b.read_id, case when z.mlen is null then 4 else 0 end unmapped, case when z.n = 1 then 60 else 0 end mapq, coalesce(mlen, 0)::int mlen from b left join z using (read_id)"""
 WHOLE = WHOLE_OF.format(MATCHES)
+# Targets in the partitions that best fit gives them, the longest first.
+FITTED = f"""t0 as (select doc_id target_id, {DNA} seq from documents), s0 as (select target_id id, length(seq) len, row_number() over (order by length(seq) desc, target_id) rn from t0),
+ k0 as (select sum(len)::bigint tot, sum(len)::bigint // {PARTS} + {PARTS} + 500 cap from s0),
+ r0(rn, id, part, caps) as (select 0::bigint, -1::bigint, -1::bigint, [cap, cap, cap, cap]::bigint[] from k0 union all
+  select q.rn, q.id, q.part, list_transform(q.caps, lambda x, i: case when i = q.part + 1 then x - q.len else x end)
+  from (select s0.rn, s0.id, s0.len, r0.caps, coalesce((select arg_min(i, (caps[i + 1] - s0.len, i)) from range(0, {PARTS}) t(i) where caps[i + 1] - s0.len > 0 and caps[i + 1] - s0.len < k0.tot),
+    coalesce((select max(i) from range(1, {PARTS}) t(i) where caps[i + 1] > caps[1]), 0)) part from r0 join s0 on s0.rn = r0.rn + 1, k0) q),
+ t as (select target_id, part, seq from t0 join r0 on r0.id = target_id)"""
+CIGAR = "case when rpos > 0 then rpos || 'S' else '' end || len || 'M' || case when length(seq) - rpos - len > 0 then (length(seq) - rpos - len) || 'S' else '' end"
+# The best record of each partition, the best of these, and its line; a read without one has an unmapped line.
+LINES_OF = f"""with recursive {{0}}, y as (select *, row_number() over (partition by read_id, part order by len desc, target_id, strand, tpos, rpos) rn, count(*) over (partition by read_id, part, len) same from x),
+ w as (select *, row_number() over (partition by read_id order by len desc, part) first, count(*) over (partition by read_id, len) parts from y where rn = 1),
+ lines as (select b.read_id, 'b' || b.read_id || case when w.read_id is null then {UNMAPPED_TAIL}
+   else concat_ws(chr(9), '', strand * 16, target_id, tpos + 1, case when same = 1 and parts = 1 then 60 else 0 end, {CIGAR}, '*', 0, 0, '*', '*') end line
+  from b left join (select * from w where first = 1) w on w.read_id = b.read_id)"""
+LINES = LINES_OF.format(matches_sql(CONFIG, FITTED))
 ALIGNED_OF = """with {0}, y as (select *, row_number() over (partition by read_id, part order by len desc, target_id, strand, tpos, rpos) rn, count(*) over (partition by read_id, part, len) same from x)
  select hits.read_id, hits.part, coalesce(strand * 16, 4)::int flag, coalesce(target_id::varchar, '*') rname, coalesce(tpos + 1, 0)::int pos, case when same = 1 then 60 else 0 end mapq,
  coalesce(case when rpos > 0 then rpos || 'S' else '' end || len || 'M' || case when length(seq) - rpos - len > 0 then (length(seq) - rpos - len) || 'S' else '' end, '*') cigar
@@ -531,9 +562,10 @@ ORACLE = {
  select kind, count(*) n from k where kind is not null group by kind""",
     "q23": f"""with {RECORDS}, l as (select raw line from m), o as (select raw line from m where flag <> 4 union all select line from ({LOST}))
  select line, 'left' side from (select line from l except all select line from o) union all select line, 'right' from (select line from o except all select line from l)""",
-    "q24": WHOLE,
+    "q24": f"{LINES} select read_id, line from lines",
+    "q24_indexed": f"{LINES} select read_id, line from lines",
     "q24_long": WHOLE_OF.format(matches_sql(LONG)),
-    "q25": WHOLE,
+    "q25": f"{LINES} select row_number() over (order by read_id) - 1 ordinal, read_id, line from lines",
     "q26_fasta": f"with {TARGETS} select target_id, target_id::varchar \"name\", length(seq) len, md5(seq) seq_md5 from t",
     "q26_fasta_gzip": f"with {TARGETS} select target_id, target_id::varchar \"name\", length(seq) len, md5(seq) seq_md5 from t",
     "q27_fastq": f"""with {READS}, f as (select read_id % 2 mate, read_id || ':b' || read_id \"name\", seq, row_number() over (partition by read_id % 2 order by read_id) - 1 n from b),

@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from ..config import AlignConfig
 from ..operators import bloom
-from ..operators.align import align
+from ..operators.align import align, align_indexed
 from ..operators.dispatch import exact, rendered
 from ..operators.header import header
+from ..operators.index import TargetIndex, opened_or_built
 from ..operators.merge import merged
 from ..operators.packing import pack_components, pack_targets
 from ..operators.stats import run_metadata
 from ..sources import writers
-from ..storage import written
+from ..storage import digest, stage, written
 
 
 def partitioned(targets: DataFrame, config: AlignConfig, edges: DataFrame | None = None) -> DataFrame:
@@ -27,43 +28,63 @@ def partitioned(targets: DataFrame, config: AlignConfig, edges: DataFrame | None
     return targets.join(parts.withColumnRenamed("id", "target_id"), "target_id")
 
 
-def sent_to(reads: DataFrame, targets: DataFrame, config: AlignConfig) -> DataFrame:
-    """(read_id, part) by the run's way of dispatching."""
+def sent_to(reads: DataFrame, targets: DataFrame, config: AlignConfig, index: TargetIndex | None = None) -> DataFrame:
+    """(read_id, part) by the run's way of dispatching; of a read by Bloom filters only what its k-mers confirm."""
+    k, step = config.bmer, config.step
+    keys = index.keys if index else None
     if config.dispatch == "exact":
-        return exact(targets, reads, config.bmer, config.step)
-    own = targets.select("part", "seq")
-    sizes = bloom.filter_sizes(own, config.bmer, config.ibits)
-    return bloom.probe(bloom.build(own, config.bmer, sizes, config.nhash), reads, config.bmer, config.step, sizes, config.nhash)
+        return exact(targets, reads, k, step, keys)
+    blocks = index.blocks if index else bloom.n_blocks(targets, k, config.ibits)
+    bank = index.bank if index else bloom.build(targets, k, blocks, config.nhash)
+    found = written(bloom.probe(bank, reads, k, step, blocks, config.nhash), "candidates")
+    return bloom.verified(targets, reads, found, k, step, keys)
 
 
-def dispatched(reads: DataFrame, targets: DataFrame, config: AlignConfig) -> DataFrame:
+def dispatched(reads: DataFrame, targets: DataFrame, config: AlignConfig, index: TargetIndex | None = None) -> DataFrame:
     """Reads with each part they go to."""
-    return reads.join(written(sent_to(reads, targets, config), "hits"), "read_id")
+    return reads.join(written(sent_to(reads, targets, config, index), "hits"), "read_id")
 
 
-def aligned(reads: DataFrame, targets: DataFrame, config: AlignConfig) -> DataFrame:
-    """Records of all partitions; targets have their part."""
-    return align(config.aligner, dispatched(reads, targets, config), targets, k=config.bmer, alen=config.alen)
+def aligned(reads: DataFrame, targets: DataFrame, config: AlignConfig, index: TargetIndex | None = None) -> DataFrame:
+    """Records of all partitions for dispatched reads; targets have their part."""
+    if index:
+        return align_indexed(config.aligner, reads, index)
+    return align(config.aligner, reads, targets, k=config.bmer, alen=config.alen)
 
 
-def run(reads: DataFrame, targets: DataFrame, config: AlignConfig, edges: DataFrame | None = None) -> DataFrame:
+def run(reads: DataFrame, targets: DataFrame | None, config: AlignConfig, edges: DataFrame | None = None, index: TargetIndex | None = None) -> DataFrame:
     """read_id, place, line (mode fast: ordinal, line). reads: read_id, name, seq; targets: target_id, name, seq.
 
-    Targets with their parts are written once; dispatch and alignment read them from there."""
-    own = written(partitioned(targets, config, edges), "targets")
-    return merged(written(aligned(reads, own, config), "records"), reads, config.merge_mode, config.max_rec, config.paired)
+    Targets with their parts are written once; dispatch and alignment read them from there. With an index (of targets
+    partitioned before) no target is partitioned, and no k-mer of a target made, again."""
+    own = index.targets if index else written(partitioned(targets, config, edges), "targets")
+    records = written(aligned(dispatched(reads, own, config, index), own, config, index), "records")
+    return merged(records, reads, config.merge_mode, config.max_rec, config.paired)
+
+
+def indexed(targets: DataFrame, config: AlignConfig, folder: str, edges: DataFrame | None = None) -> TargetIndex:
+    """The index in the folder of these targets (target_id, name, seq), partitioned; built there if it is of others, of other
+    settings, or not finished."""
+    source = digest(targets, "target_id", "name", "seq") + (" " + digest(edges, "src", "dst") if edges is not None else "") + " " + config.fallback
+    return opened_or_built(targets.sparkSession, folder, config, source, lambda: partitioned(targets, config, edges))
 
 
 def run_to_files(reads: DataFrame, targets: DataFrame, config: AlignConfig, folder: str, edges: DataFrame | None = None, compression: str = "none") -> None:
     """The run as files: folder/counts (numbers of targets and reads; an error where one is zero), folder/dispatched (reads
-    of each part as FASTA, or FASTQ with keep_qual), folder/result (header, then the merged lines in order)."""
+    of each part as FASTA, or FASTQ with keep_qual), folder/result (header, then the merged lines in order).
+
+    folder/index and folder/stages keep what was computed, under digests of inputs and settings: a run that died goes on where
+    it was, and one on the same inputs makes no k-mer again."""
+    spark = reads.sparkSession
     run_metadata(targets, reads).write.mode("overwrite").json(f"{folder}/counts")
-    own = written(partitioned(targets, config, edges), "targets")
-    sent = dispatched(reads, own, config)
-    writers.partitioned(rendered(reads, sent.select("read_id", "part"), config.keep_qual), f"{folder}/dispatched", compression)
-    records = written(align(config.aligner, sent, own, k=config.bmer, alen=config.alen), "records")
+    index = indexed(targets, config, f"{folder}/index", edges)
+    columns = [c for c in ("read_id", "name", "seq", "qual") if c in reads.columns]
+    key = f"{index.digest} {config} {digest(reads, *columns)}"
+    hits = stage(spark, f"{folder}/stages", "hits", key, lambda: sent_to(reads, index.targets, config, index))
+    writers.partitioned(rendered(reads, hits, config.keep_qual), f"{folder}/dispatched", compression, mode="overwrite")
+    records = stage(spark, f"{folder}/stages", "records", key, lambda: aligned(reads.join(hits, "read_id"), index.targets, config, index))
     lines = merged(records, reads, config.merge_mode, config.max_rec, config.paired)
     if config.merge_mode == "fast":
         lines = lines.select(F.col("ordinal").alias("read_id"), F.lit(0).alias("place"), "line")
     head = header(targets.select(F.col("target_id").alias("place"), "name", F.length("seq").alias("len")))
-    writers.sam(head, lines, f"{folder}/result", compression)
+    writers.sam(head, lines, f"{folder}/result", compression, mode="overwrite")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -28,6 +29,28 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether the file is there, in whatever file system."""
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(own)
+
+
+def digest(rows: DataFrame, *columns: str) -> str:
+    """A digest of the rows' columns, whatever the order of the rows."""
+    row = F.xxhash64(*columns)
+    found = rows.agg(F.count("*").alias("n"), F.sum(row.cast("decimal(38,0)")).alias("s"), F.bit_xor(row).alias("x")).first()
+    return f"{found.n}.{found.s or 0}.{found.x or 0}"
+
+
+def stage(spark: SparkSession, folder: str, name: str, key: str, make) -> DataFrame:
+    """What `make` gives, as a table in the folder named by the stage and a hash of the key (inputs and settings): one that an
+    earlier run has finished is read instead. A table counts as finished by the file that its commit writes last."""
+    path = f"{folder}/{name}-{hashlib.sha256(key.encode()).hexdigest()[:24]}"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def spread_out(df: DataFrame) -> DataFrame:
     """df in as many partitions as there are cores, where a scan gives fewer (small files of one row group).
 

@@ -1,6 +1,7 @@
 """Streaming dispatch, alignment and merge.
 
-Reads arrive as files; each micro-batch is dispatched to the partitioned targets, aligned and merged.
+Reads arrive as files; each micro-batch is dispatched, aligned and merged by an index of the partitioned targets, which
+is built before the first batch and joined bucket by bucket: no batch reads the targets' text or shuffles their k-mers.
 All records of a read come from one row of the stream and so fall into one micro-batch: merging is an
 aggregation in foreachBatch and needs neither state nor watermark. A read that no partition can hold is
 sent to one in turn, as the streaming program does. Batches are written under their number, so that one
@@ -12,24 +13,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import AlignConfig
-from ..operators.align import align
+from ..operators.align import align_indexed
 from ..operators.dispatch import round_robin, undispatched
+from ..operators.index import TargetIndex
 from ..operators.merge import streamed
 from ..plans.pipeline import sent_to
 from ..storage import written
 
 
-def merge_batch(reads: DataFrame, targets: DataFrame, config: AlignConfig, before: int = 0) -> tuple[DataFrame, int]:
+def merge_batch(reads: DataFrame, index: TargetIndex, before: int = 0) -> tuple[DataFrame, int]:
     """One micro-batch: read_id, place, line for every read; and how many of its reads no partition can hold (`before`: of earlier batches)."""
-    hits = written(sent_to(reads, targets, config), "hits")
+    config = index.config
+    hits = written(sent_to(reads, index.targets, config, index), "hits")
     lost = written(undispatched(reads, hits).select("read_id"), "lost")
     turns = round_robin(lost, config.partitions, before).withColumn("part", F.col("part") - 1)
     sent = reads.join(hits.unionByName(turns.select("read_id", F.col("part").cast(hits.schema["part"].dataType))), "read_id")
-    return streamed(align(config.aligner, sent, targets, k=config.bmer, alen=config.alen)), lost.count()
+    return streamed(align_indexed(config.aligner, sent, index)), lost.count()
 
 
-def run_stream(reads: DataFrame, targets: DataFrame, config: AlignConfig, folder: str, checkpoint: str) -> None:
+def run_stream(reads: DataFrame, index: TargetIndex, folder: str, checkpoint: str) -> None:
     """Takes all that is there of the stream `reads` (read_id, name, seq) and appends to folder/batch=n, in order of the reads' ids;
     then ends. The turns of undispatched reads go on over the batches: how many each had is written to folder-lost/batch=n, so that
     a batch that is repeated counts only those before it. The reader's maxFilesPerTrigger bounds a batch."""
@@ -40,7 +42,7 @@ def run_stream(reads: DataFrame, targets: DataFrame, config: AlignConfig, folder
         if number:
             counts = spark.read.schema("n long, batch int").parquet(f"{folder}-lost").where(F.col("batch") < number)
             before = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        lines, lost = merge_batch(written(batch, "batch"), targets, config, before)
+        lines, lost = merge_batch(written(batch, "batch"), index, before)
         lines.orderBy("read_id", "place").write.mode("overwrite").parquet(f"{folder}/batch={number}")
         spark.range(1).select(F.lit(lost).cast("long").alias("n")).write.mode("overwrite").parquet(f"{folder}-lost/batch={number}")
 

@@ -302,10 +302,57 @@ def test_long_and_unknown_sequences():
     assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000
 
 
-def test_packing_never_sees_bases(spark):
-    targets = spark.createDataFrame([(1, "ACGT"), (2, "AC")], "id long, seq string").selectExpr("id", "length(seq) len")
-    plan = packing.pack_targets(targets, 2)._jdf.queryExecution().executedPlan().toString()
-    assert plan.index("MapInArrow") < plan.index("Exchange SinglePartition")
+def plain_bins(lengths, total, parts, fallback, left):
+    """Best fit length by length."""
+    out = []
+    for n in lengths:
+        fits = [(c - n, i) for i, c in enumerate(left) if 0 < c - n < total]
+        if fits:
+            at = min(fits)[1]
+        elif fallback == "max":
+            at = max(range(parts), key=lambda i: (left[i], -i))
+        else:
+            at = max((i for i, c in enumerate(left) if c > left[0]), default=0)
+        left[at] -= n
+        out.append(at)
+    return out
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 700), max_size=40), st.integers(1, 6), st.sampled_from(["last", "max"]), st.integers(1, 700))
+def test_runs_of_equal_lengths_go_where_each_alone_goes(lengths, parts, fallback, most):
+    lengths = sorted((n % most for n in lengths), reverse=True)
+    want = plain_bins(lengths, sum(lengths), parts, fallback, [packing.capacity(sum(lengths), parts)] * parts)
+    bins, got = packing.Bins(sum(lengths), parts, fallback), []
+    for n in sorted(set(lengths), reverse=True):
+        for part, run in bins.put(n, lengths.count(n)):
+            got += [part] * run
+    assert got == want
+
+
+def test_packing_deals_rows_by_rank(spark, monkeypatch):
+    monkeypatch.setattr(packing, "CELL", 7)
+    rng = random.Random(2)
+    rows = [(i, rng.choice([0, 3, 3, 3, 900, 40, rng.randrange(1000)])) for i in range(400)]
+    found = packing.pack_targets(spark.createDataFrame(rows, "id long, len long"), 5)
+    order = sorted(rows, key=lambda r: (-r[1], r[0]))
+    total = sum(n for _, n in rows)
+    want = plain_bins([n for _, n in order], total, 5, "last", [packing.capacity(total, 5)] * 5)
+    assert {r.id: r.part for r in found.collect()} == {i: p for (i, _), p in zip(order, want)}
+    # Only distinct lengths, written before, and the counts of tasks pass through one task.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "REPARTITION_BY_NUM" not in plan
+
+
+@pytest.mark.parametrize("block", [1, 5, 64, 4096])
+def test_long_components_split_as_if_row_by_row(spark, monkeypatch, block):
+    monkeypatch.setattr(packing, "LEAST_BLOCK", block)
+    rng = random.Random(block)
+    lengths = [rng.choice([1, 5, 60, rng.randrange(1, 400)]) for _ in range(150)]
+    bins, plain = packing.Bins(0, 4, left=[3000, 2000, 5000, 900]), packing.Bins(0, 4, left=[3000, 2000, 5000, 900])
+    found = packing.split_in_order(spark.createDataFrame([(i + 100, n, i) for i, n in enumerate(lengths)], "id long, len long, ordinal long"), bins)
+    want = {i + 100: plain.put_first(n)[0][0] for i, n in enumerate(lengths)}
+    assert {r.id: r.part for r in found.collect()} == want and bins.left == plain.left and None in want.values()
 
 
 @pytest.mark.parametrize(("alen", "bmer"), [(60, 0), (45, 40)])
@@ -335,14 +382,34 @@ def test_dispatch_misses_no_match_and_partitions_do_not_matter(spark, genome):
             assert found == (n if n >= 20 else 0), (parts, i)
 
 
-def test_bloom_holds_the_exact(spark, genome):
+@pytest.mark.parametrize("k", [15, 33])
+def test_bloom_holds_the_exact(spark, genome, monkeypatch, k):
+    monkeypatch.setattr(bloom, "BLOCK_BITS", 1 << 10)  # some blocks for these few k-mers
     targets, reads, _, _ = genome
     own = targets.selectExpr("cast(target_id % 3 as int) part", "seq")
-    sizes = bloom.filter_sizes(own, 15, 8)
-    found = bloom.probe(bloom.build(own, 15, sizes, 5), reads, 15, 6, sizes, 5)
-    exact = {tuple(r) for r in dispatch.exact(own, reads, 15, 6).select("read_id", "part").collect()}
+    blocks = bloom.n_blocks(own, k, 8)
+    assert blocks > 10
+    found = bloom.probe(bloom.build(own, k, blocks, 5), reads, k, 2, blocks, 5)
+    exact = {tuple(r) for r in dispatch.exact(own, reads, k, 2).select("read_id", "part").collect()}
     assert exact <= {tuple(r) for r in found.select("read_id", "part").collect()}
-    assert {tuple(r) for r in bloom.verified(own, reads, found, 15, 6).select("read_id", "part").collect()} == exact
+    assert {tuple(r) for r in bloom.verified(own, reads, found, k, 2).select("read_id", "part").collect()} == exact
+    monkeypatch.setattr(bloom, "BROADCAST_KMERS", 0)
+    assert {tuple(r) for r in bloom.verified(own, reads, found, k, 2).select("read_id", "part").collect()} == exact
+
+
+def test_false_positives_are_as_many_as_theory_says(spark):
+    """Of k-mers that are in no target, about (1 - e^(-nhash / ibits))^nhash are said to be."""
+    rng = np.random.default_rng(4)
+    seq = lambda n: bytes(rng.choice(np.frombuffer(b"ACGT", np.uint8), n)).decode()
+    own = spark.createDataFrame([(0, seq(150_000)), (1, seq(150_000))], "part int, seq string")
+    reads = spark.createDataFrame([(i, seq(28)) for i in range(20_000)], "read_id long, seq string")
+    for ibits, nhash in ((8, 5), (4, 3)):
+        blocks = bloom.n_blocks(own, 28, ibits)
+        n = bloom.probe(bloom.build(own, 28, blocks, nhash), reads, 28, 1, blocks, nhash).count()
+        # Filters are filled up to whole blocks: so many bits a k-mer.
+        bits = blocks * bloom.BLOCK_BITS / (150_000 - 27)
+        want = 40_000 * (1 - np.exp(-nhash / bits)) ** nhash
+        assert abs(n - want) < 5 * np.sqrt(want) + 0.05 * want
 
 
 def test_shuffled_dispatch_equals_broadcast(spark, genome, monkeypatch):
