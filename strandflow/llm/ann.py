@@ -152,6 +152,8 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
 
 def nearest_neighbours(table: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", n_pivots: int = PIVOTS, depth: int = DEPTH, probed: int = PROBED, share: float = RERANK_SHARE, least: int = RERANK_LEAST) -> DataFrame:
     """query_id, rank, vec_id, score: up to k nearest found of every row where is_query holds (an expression over vec_id)."""
+    if n_pivots > 256:
+        raise ValueError("n_pivots must be at most 256: orders hold a pivot in a byte")
     taken = table.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector")).where(F.col("vec_id").isNotNull() & takes_part(F.col("vector")))
     # Squares of huge components overflow; such vectors are as good as infinitely far, yet stay defined.
     vectors = written(taken.groupBy("vec_id").agg(F.min("vector").alias("vector")).withColumn("dim", F.size("vector")), "vectors")

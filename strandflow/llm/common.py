@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute  # pa.compute is there only once it was imported
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Texts are handled in slices of about this many bytes, whatever the size of an Arrow batch.
 SLICE_BYTES = 1 << 20
@@ -103,11 +104,15 @@ class Carry:
 
     def __init__(self, docs: DataFrame, key: str, text: str, names: list[str]):
         self.names = names
-        own = [F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names) if c != text]
+        own = [F.col("`" + c.replace("`", "``") + "`").alias(f"_{i}") for i, c in enumerate(names) if c != text]
         self.rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *own)
         # The text itself is not sent twice.
         self.source = ["text" if c == text else f"_{i}" for i, c in enumerate(names)]
-        self.ddl = "".join(f", _{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names))
+        self.fields = [StructField(f"_{i}", docs.schema[c].dataType) for i, c in enumerate(names)]
+
+    def schema(self, own: str) -> StructType:
+        """An operator's own columns, and then those of the input."""
+        return StructType([*StructType.fromDDL(own).fields, *self.fields])
 
     def columns(self) -> list:
         return [F.col(f"_{i}").alias(c) for i, c in enumerate(self.names)]

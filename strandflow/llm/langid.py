@@ -153,7 +153,8 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     counted = sample.mapInArrow(count, "lang string, n int, code long, times long").groupBy("lang", "n", "code").agg(F.sum("times").alias("times")).toArrow()
     names, lengths, found, times = (counted.column(c) for c in ("lang", "n", "code", "times"))
     languages = sorted(set(names.to_pylist()))
-    lang_of = np.array([languages.index(x) for x in names.to_pylist()], np.int64)
+    place = {x: i for i, x in enumerate(languages)}
+    lang_of = np.fromiter(map(place.__getitem__, names.to_pylist()), np.int64, len(names))
     lengths, found, times = np.asarray(lengths), np.asarray(found).view(np.uint64), np.asarray(times)
     scripts = np.zeros((len(SCRIPTS), len(languages)))
     own = lengths == 0
@@ -403,5 +404,5 @@ def detect(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text"
             lists = pa.ListArray.from_arrays(pa.array(offsets(np.bincount(of_text[first], minlength=len(counts))), pa.int32()), made)
             yield with_kept(part, {"doc_id": part.column(0), "lang_pred": names.take(pa.array(pred)), "score": pa.array(score, pa.float64()), "confidence": pa.array(np.where(known, sure, 0.0), pa.float64()), "spans": lists}, source)
 
-    found = carry.rows.mapInArrow(run, "doc_id long, lang_pred string, score double, confidence double, spans array<struct<lang: string, first_word: long, n_words: long>>" + carry.ddl)
+    found = carry.rows.mapInArrow(run, carry.schema("doc_id long, lang_pred string, score double, confidence double, spans array<struct<lang: string, first_word: long, n_words: long>>"))
     return found if keep is None else found.where(keep).select(*carry.columns())

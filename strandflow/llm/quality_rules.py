@@ -32,9 +32,9 @@ LEAST_PROBABILITY = 0.5
 #: Labelled rows of each label that the model is fitted on at most (expected number); a quarter calibrates.
 SAMPLE_ROWS = 2500
 FEATURES = 1 << 18
-#: Features of a labelled row that the fit takes at most: of more, those whose hash with the row is smallest, scaled
-#: up to stand for all. (The driver so gets at most 2 * SAMPLE_ROWS * ROW_FEATURES entries of 8 bytes, and scoring takes all.)
-ROW_FEATURES = 4096
+#: Bytes of the sampled rows' texts of each label (expected): where they have more, fewer rows are taken, each of them whole.
+#: A byte gives about one feature of 8 bytes, and a row at most FEATURES, so this bounds what the driver fits on.
+SAMPLE_BYTES = 8 << 20
 GRAMS = (2, 3)
 TABLE_WORDS = 300_000
 L2 = 1e-5
@@ -140,19 +140,6 @@ def pair_features(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, n
     return (pairs % np.uint64(FEATURES)).astype(np.int64), of_text[1:][inside]
 
 
-def thinned(cells: np.ndarray, values: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """At most ROW_FEATURES of each row's features (cells: row * FEATURES + feature, sorted), chosen by a hash with the row's mark."""
-    row = cells // FEATURES
-    per = np.bincount(row, minlength=len(marks))
-    if not len(per) or per.max() <= ROW_FEATURES:
-        return cells, values
-    order = np.lexsort((mix(cells.astype(np.uint64) % np.uint64(FEATURES), marks.astype(np.int64).view(np.uint64)[row]), row))
-    place = np.arange(len(cells)) - offsets(per)[row]
-    kept = np.sort(order[place < ROW_FEATURES])
-    scale = np.maximum(per / ROW_FEATURES, 1.0).astype(np.float32)
-    return cells[kept], values[kept] * scale[row[kept]]
-
-
 def numbers_in(column: pa.ChunkedArray, kind: type) -> np.ndarray:
     """The numbers in all values of a binary column, one after another."""
     out = np.empty(int(pa.compute.sum(pa.compute.binary_length(column)).as_py() or 0) // np.dtype(kind).itemsize, kind)
@@ -165,12 +152,18 @@ def numbers_in(column: pa.ChunkedArray, kind: type) -> np.ndarray:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> dict | None:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> dict | None:
     """The model: weights (float32), bias, the calibration's a and b; None without labels of both kinds."""
     marked = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).where("key is not null and label in (0, 1)")
     marked = bounded_sample(marked.groupBy("key").agg(F.min("label").alias("label")), "key", "label", sample_rows, "weight")
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(marked), "key").select(F.xxhash64("key").alias("hash"), "text", "label", "weight", (hash_share("key", 5) < 0.25).alias("calibrates"))
-    if not rows.groupBy("hash").count().where("count > 1").isEmpty():
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(marked), "key").select(F.xxhash64("key").alias("hash"), "text", "label", "weight", (hash_share("key", 5) < 0.25).alias("calibrates"), hash_share("key").alias("place"))
+    # At most twice sample_rows keys. Chosen rows' places are below 1 / weight; those below a share of that stay.
+    sizes = rows.groupBy("hash", "label").agg(F.count("*").alias("n"), F.coalesce(F.max(F.octet_length("text")), F.lit(0)).alias("bytes")).collect()
+    for mark in (0, 1):
+        share = min(1.0, sample_bytes / max(1, sum(r.bytes for r in sizes if r.label == mark)))
+        rows = rows.where((F.col("label") != mark) | (F.col("place") * F.col("weight") < share)).withColumn("weight", F.when(F.col("label") == mark, F.col("weight") / share).otherwise(F.col("weight")))
+    rows = rows.drop("place")
+    if any(r.n > 1 for r in sizes):
         # One text for each key, however many rows share it.
         rows = rows.groupBy("hash", "label", "weight", "calibrates").agg(F.min("text").alias("text"))
 
@@ -185,7 +178,6 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             rows = np.concatenate((np.repeat(np.repeat(np.arange(len(counts)), counts), lengths[numbers]), of_text))
             cells, found = np.unique(rows * FEATURES + np.concatenate((flat, pairs)), return_counts=True)
             values = (found / np.maximum(counts, 1)[cells // FEATURES]).astype(np.float32)
-            cells, values = thinned(cells, values, np.asarray(part.column(0)))
             bounds = offsets(np.bincount(cells // FEATURES, minlength=len(counts)))
             columns = (cells % FEATURES).astype(np.int32)
             made = {c: part.column(part.schema.get_field_index(c)) for c in ("hash", "label", "weight", "calibrates")}
@@ -193,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 made[name] = pa.array([flat[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())
             yield pa.RecordBatch.from_arrays(list(made.values()), names=list(made))
 
-    # The bound: twice sample_rows rows of at most ROW_FEATURES features; in a fixed order, for sums depend on it.
+    # The bound: rows of about twice sample_bytes, twice sample_rows at most; in a fixed order, for sums depend on it.
     sample = rows.mapInArrow(run, "hash long, label int, weight double, calibrates boolean, columns binary, values binary").toArrow().sort_by([("hash", "ascending"), ("columns", "ascending")])
     marks = np.asarray(sample.column("label").to_pylist(), np.float64)
     weigh = np.asarray(sample.column("weight").to_pylist(), np.float64)
@@ -248,7 +240,7 @@ def judged(docs: DataFrame, model: dict | None, key: str = "doc_id", text: str =
             }
             yield with_kept(part, made, source)
 
-    rows = carry.rows.mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, probability double" + carry.ddl)
+    rows = carry.rows.mapInArrow(run, carry.schema("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, probability double"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     found = rows.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("probability") >= least))
     return found.where("kept").select(*carry.columns()) if only_kept else found

@@ -552,5 +552,5 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
 
     # One row of each doc_id and fingerprint, before the shuffle already.
     order = F.xxhash64(*(F.col(f"_{i}").cast("string") for i in range(len(carry.names))))
-    marked = unclear.mapInArrow(run, "doc_id long, fp long" + carry.ddl).withColumn("rank", F.row_number().over(Window.partitionBy("doc_id", "fp").orderBy(order))).where("rank = 1").alias("r")
+    marked = unclear.mapInArrow(run, carry.schema("doc_id long, fp long")).withColumn("rank", F.row_number().over(Window.partitionBy("doc_id", "fp").orderBy(order))).where("rank = 1").alias("r")
     return chosen.unionByName(marked.join(kept.alias("k"), F.col("r.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("r.fp") == F.col("k.fp")), "left_semi").select(*carry.columns()))

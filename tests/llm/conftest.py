@@ -21,8 +21,8 @@ def odd_docs(spark):
         (9, "|", "de", "s"),
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    names = ("key", "label", "score", "spans", "fp", "component_id", "_0", "_1", "value", "n", "part", "batch", "tier", "vector", "_rank", "_hash", "_part", "_parts", "rank", "places", "ids", "a.b")
-    return df.selectExpr("*", "cast(length(text) as long) n_chars", *(f"'clash' `{c}`" for c in names))
+    names = ("key", "label", "score", "spans", "fp", "component_id", "_0", "_1", "value", "n", "part", "batch", "tier", "vector", "_rank", "_hash", "_part", "_parts", "rank", "places", "ids", "a.b", "a`b", "a b")
+    return df.selectExpr("*", "cast(length(text) as long) n_chars", "named_struct('a b', doc_id, 'c`d', array(source)) nested", *(f"'clash' `{c.replace('`', '``')}`" for c in names))
 
 
 @pytest.fixture(scope="session")

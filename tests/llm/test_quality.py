@@ -99,12 +99,18 @@ def test_probability_equals_plain(documents, labels):
     assert len(want) > 30 and all(abs(found[i] - p) < 1e-3 for i, p in want.items())
 
 
-def test_long_rows_are_fitted_on_some_of_their_features():
-    cells = np.concatenate([np.arange(10), quality_rules.FEATURES + np.arange(9000)])
-    kept, values = quality_rules.thinned(cells, np.ones(len(cells), np.float32), np.array([5, 6]))
-    per = np.bincount(kept // quality_rules.FEATURES)
-    assert per.tolist() == [10, quality_rules.ROW_FEATURES] and abs(values.sum() - len(cells)) < 1
-    assert (np.diff(kept) > 0).all()
+def test_fewer_rows_are_taken_whole_where_texts_are_long(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(f"{'good' if i % 2 else 'bad'}{k}" for k in rng.integers(0, 5000, 3000)), i % 2) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int").cache()
+    taken = []
+    monkeypatch.setattr(quality_rules, "logistic", lambda row, columns, *a, f=quality_rules.logistic, **b: taken.append((a[1], len(np.unique(columns)))) or f(row, columns, *a, **b))
+    for sample_bytes in (1 << 30, 400_000):
+        model = quality_rules.fit(docs, docs, sample_bytes=sample_bytes)
+        right = quality_rules.judged(docs, model).join(docs, "doc_id").agg(F.avg(((F.col("probability") > 0.5) == (F.col("quality") == 1)).cast("int"))).first()[0]
+        assert right > 0.98
+    # All rows, then about 15 of each label; of each all features (far more than a few thousand).
+    assert taken[0][0] > 120 and 8 <= taken[1][0] <= 45 and taken[1][1] > 20_000
 
 
 def test_ensemble_on_held_out_rows(spark):
