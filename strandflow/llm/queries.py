@@ -71,16 +71,25 @@ p as (select page_id, url, coalesce(html, '') html, row_number() over () n,
         translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') path,
         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*[^?#]*([^#]*)', 1), '') query from pages),
-l as (select host, path, query, unnest([
-        regexp_extract(regexp_extract(html, '(?is)<link\s[^>]*\bcanonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
-        regexp_extract(regexp_extract(html, '(?is)<meta\s[^>]*\brefresh\b[^>]*>'), '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) link from p),
-t as (select host || path || query a,
-        case when contains(link, '://') then link when starts_with(link, '//') then 'http:' || link
-             when starts_with(link, '/') then 'http://' || host || link
-             else 'http://' || host || case when regexp_replace(path, '[^/]*$', '') = '' then '/' else regexp_replace(path, '[^/]*$', '') end || link end target
-      from l where link <> '' and host <> ''),
-u as (select a, translate(regexp_extract(target, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
-        regexp_extract(target, '(?s)^.*?://[^/?#]*([^?#]*)', 1) path, regexp_extract(target, '(?s)^.*?://[^/?#]*[^?#]*([^#]*)', 1) query from t),
+g as (select n, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\s(?:[^<>"'']|"[^"]*"|''[^'']*'')*>')) tag, generate_subscripts(regexp_extract_all(html, '(?is)<(?:link|meta)\s(?:[^<>"'']|"[^"]*"|''[^'']*'')*>'), 1) place from p),
+x as (select n, tag, place, unnest(regexp_extract_all(tag, '(?is)[^\s=>"''/]+\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"''>]+)')) attr,
+      generate_subscripts(regexp_extract_all(tag, '(?is)[^\s=>"''/]+\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"''>]+)'), 1) spot from g),
+y as (select n, place, lower(regexp_extract(attr, '^[^\s=]+')) name, spot, regexp_extract(attr, '(?s)^[^=]*=\s*(.*)$', 1) raw from x),
+z as (select n, place, name, spot, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(case when raw[1] in ('"', chr(39)) then raw[2:-2] else raw end,
+      '(?i)&quot;|&#34;|&#x22;', '"', 'g'), '(?i)&#39;|&#x27;|&apos;', chr(39), 'g'), '(?i)&lt;|&#60;|&#x3c;', '<', 'g'), '(?i)&gt;|&#62;|&#x3e;', '>', 'g'), '(?i)&#47;|&#x2f;', '/', 'g'), '(?i)&#38;|&#x26;|&amp;', '&', 'g')) value from y),
+tags as (select n, place, arg_min(value, spot) filter (name = 'rel') rel, arg_min(value, spot) filter (name = 'href') href, arg_min(value, spot) filter (name = 'http-equiv') equiv, arg_min(value, spot) filter (name = 'content') content from z group by n, place),
+kinds as (select tags.n, tags.place, lower(g.tag[2:5]) kind, rel, href, equiv, regexp_extract(content, '(?is)\burl\s*=\s*["'']?\s*([^"''\s]+)', 1) url from tags join g on g.n = tags.n and g.place = tags.place),
+named as (select n, arg_min(href, place) link from kinds where kind = 'link' and list_contains(regexp_split_to_array(lower(rel), '\s+'), 'canonical') and href is not null group by n
+          union all select n, arg_min(url, place) from kinds where kind = 'meta' and lower(equiv) = 'refresh' and url <> '' group by n),
+t as (select host || path || query a, case when link like '#%' then null when regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') then link when regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') then null
+        when link like '//%' then 'x:' || link when host = '' then null when link like '/%' then 'x://' || host || link when link like '?%' then 'x://' || host || path || link
+        else 'x://' || host || case when path like '%/%' then regexp_extract(path, '^(.*/)', 1) else '/' end || link end target
+      from named join p using (n) where link <> '' and host <> ''),
+dots(a, host, path, query) as (
+      select a, translate(regexp_extract(target, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), regexp_extract(target, '(?s)^.*?://[^/?#]*([^?#]*)', 1), regexp_extract(target, '(?s)^.*?://[^/?#]*[^?#]*([^#]*)', 1) from t where target is not null
+      union all select a, host, case when regexp_matches(path, '/\.(/|$)') then regexp_replace(path, '/\.(/|$)', '/') when regexp_matches(path, '^/\.\.(/|$)') then regexp_replace(path, '^/\.\.(/|$)', '/') else regexp_replace(path, '/[^/]*/\.\.(/|$)', '/') end, query
+      from dots where regexp_matches(path, '/\.\.?(/|$)')),
+u as (select a, host, path, query from dots where not regexp_matches(path, '/\.\.?(/|$)')),
 e as (select a, host || path || query b from u where host <> ''),
 s as (select a, b from e union select b, a from e),
 r(a, b) as (select a, a from s union select r.a, s.b from r join s on s.a = r.b),

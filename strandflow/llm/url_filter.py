@@ -6,8 +6,9 @@ refresh redirects in the HTML, and redirects given besides, are edges between ad
 connected component a blocked address blocks the pages without a rule, unless an address of the
 component is explicitly allowed. What is left is allowed.
 
-An address is host, path and query: schemes and fragments are not told apart. DataFrame expressions
-only. Null URLs and URLs without "://" have an empty host and path, no rule and no edges: allowed. Null
+An address is host, path and query: schemes and fragments are not told apart. A link is the href of a link tag whose rel
+holds canonical, or the url in the content of a refresh meta tag; it is read as a browser reads it (character references,
+. and .., links from the page's host or folder); places in the page and other schemes are none. DataFrame expressions only. Null URLs and URLs without "://" have an empty host and path, no rule and no edges: allowed. Null
 or empty HTML has no links. Repeated rows stay; further columns of pages are ignored; an empty table
 gives no rows.
 """
@@ -26,9 +27,16 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HOST = r"(?s)^.*?://([^/?#]*)"
 PATH = r"(?s)^.*?://[^/?#]*([^?#]*)"
 QUERY = r"(?s)^.*?://[^/?#]*[^?#]*([^#]*)"
-#: The tags that name another address, and the address in each.
-CANONICAL_TAG, CANONICAL_URL = r"(?is)<link\s[^>]*\bcanonical\b[^>]*>", r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
-REFRESH_TAG, REFRESH_URL = r"(?is)<meta\s[^>]*\brefresh\b[^>]*>", r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)"""
+#: Tags (a > between quotes ends none, a < outside them does), and the attributes of a tag one after another. Possessive
+#: throughout: no long page makes the matcher go back or deep.
+LINK_TAG, META_TAG = (rf"""(?is)<{name}\s(?:[^<>"']++|"[^"]*+"|'[^']*+')*+>""" for name in ("link", "meta"))
+ATTRIBUTE = r"""(?is)[^\s=>"'/]++\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]++)"""
+#: The address in a refresh tag's content.
+REFRESH_URL = r"""(?is)\burl\s*=\s*["']?\s*([^"'\s]+)"""
+#: Links with a scheme, and those of another kind than addresses.
+ABSOLUTE, SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*://", r"^[A-Za-z][A-Za-z0-9+.-]*:"
+#: Character references that occur in addresses.
+REFERENCES = (("(?i)&quot;|&#34;|&#x22;", '"'), ("&#39;|(?i)&#x27;|&apos;", "'"), ("(?i)&lt;|&#60;|&#x3c;", "<"), ("(?i)&gt;|&#62;|&#x3e;", ">"), ("&#47;|(?i)&#x2f;", "/"), ("(?i)&amp;|&#38;|&#x26;", "&"))
 
 
 def host_of(url: Column) -> Column:
@@ -45,18 +53,52 @@ def address_of(url: Column) -> Column:
     return F.when(host != "", F.concat(host, path_of(url), F.regexp_extract(url, QUERY, 1)))
 
 
+def without_dots(path: Column) -> Column:
+    """The path without . and .. segments."""
+    segments = F.split(path, "/")
+    last = F.element_at(segments, -1)
+    kept = F.aggregate(
+        segments,
+        F.lit(""),
+        lambda so_far, own: F.when(own == "..", F.regexp_replace(so_far, "/[^/]*$", "")).when((own == ".") | (own == ""), F.when(own == "", F.concat(so_far, F.lit("/"))).otherwise(so_far)).otherwise(F.concat(so_far, F.lit("/"), own)),
+    )
+    return F.when(~path.rlike(r"(^|/)\.\.?(/|$)"), path).otherwise(F.concat(F.regexp_replace(kept, "^//", "/"), F.when(last.isin(".", ".."), F.lit("/")).otherwise(F.lit(""))))
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's first attribute of that name, trimmed, with its character references read; null if there is none."""
+    found = F.get(F.filter(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), 0), lambda a: a.rlike(rf"(?is)^{name}\s*=")), F.lit(0))
+    value = F.regexp_replace(F.regexp_replace(found, r"(?s)^[^=]*=\s*", ""), r"""(?s)^(["'])(.*)\1$""", "$2")
+    for pattern, letter in REFERENCES:
+        value = F.regexp_replace(value, pattern, letter)
+    return F.trim(value)
+
+
+def links_in(html: Column) -> Column:
+    """The addresses that a page's first canonical link and first refresh tag name, as written."""
+    tags = lambda pattern: F.regexp_extract_all(html, F.lit(pattern), 0)
+    canonical = F.filter(tags(LINK_TAG), lambda t: F.array_contains(F.split(F.lower(attribute(t, "rel")), r"\s+"), "canonical") & attribute(t, "href").isNotNull())
+    refresh = F.filter(tags(META_TAG), lambda t: (F.lower(attribute(t, "http-equiv")) == "refresh") & attribute(t, "content").rlike(REFRESH_URL))
+    return F.array(attribute(F.get(canonical, F.lit(0)), "href"), F.regexp_extract(attribute(F.get(refresh, F.lit(0)), "content"), REFRESH_URL, 1))
+
+
 def resolved(link: Column, url: Column) -> Column:
-    """The link as an absolute URL, as it stands in the page at url; null if it is empty."""
-    host = host_of(url)
-    folder = F.regexp_replace(path_of(url), r"[^/]*$", "")
-    return (
-        F.when(link == "", None)
-        .when(link.contains("://"), link)
+    """The link as an absolute URL, as it stands in the page at url, without . and .. in its path; null if it is empty, names a
+    place in its page or is no address."""
+    host, path = host_of(url), path_of(url)
+    folder = F.regexp_replace(path, r"[^/]*$", "")
+    here = F.concat(F.lit("http://"), host)
+    whole = (
+        F.when((link == "") | link.startswith("#"), None)
+        .when(link.rlike(ABSOLUTE), link)
+        .when(link.rlike(SCHEME), None)
         .when(link.startswith("//"), F.concat(F.lit("http:"), link))
         .when(host == "", None)
-        .when(link.startswith("/"), F.concat(F.lit("http://"), host, link))
-        .otherwise(F.concat(F.lit("http://"), host, F.when(folder == "", "/").otherwise(folder), link))
+        .when(link.startswith("/"), F.concat(here, link))
+        .when(link.startswith("?"), F.concat(here, path, link))
+        .otherwise(F.concat(here, F.when(folder == "", "/").otherwise(folder), link))
     )
+    return F.when(host_of(whole) != "", F.concat(F.lit("http://"), host_of(whole), without_dots(path_of(whole)), F.regexp_extract(whole, QUERY, 1)))
 
 
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]], what: int | None = None) -> Column:
@@ -71,15 +113,7 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]], what:
 def edges_of(pages: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
     """Edges (a, b) between addresses: columns url and html of pages; url and target of redirects."""
     url = F.col("url")
-    links = pages.select(
-        "url",
-        F.explode(
-            F.array(
-                F.regexp_extract(F.regexp_extract("html", CANONICAL_TAG, 0), CANONICAL_URL, 1),
-                F.regexp_extract(F.regexp_extract("html", REFRESH_TAG, 0), REFRESH_URL, 1),
-            )
-        ).alias("link"),
-    ).where("link <> ''")
+    links = pages.where("html is not null").select("url", F.explode(links_in(F.col("html"))).alias("link")).where("link <> ''")
     targets = links.select("url", resolved(F.col("link"), url).alias("target"))
     if redirects is not None:
         targets = targets.unionByName(redirects.select("url", resolved(F.col("target"), url).alias("target")))

@@ -20,6 +20,21 @@ PAGES = [
     (12, "http://e.net/a/b", '<link rel="canonical" href="c">'),
     (13, "http://e.net/a/c", '<link rel="canonical" href="http://f.com/de/">'),
     (None, "http://e.net/a/c", None),
+    # An address in a query, the word canonical in another attribute, a reference, dots, places in a page, other schemes.
+    (20, "http://s.net/x", "<link rel=canonical href='/login?next=http://b.com/de/p'>"),
+    (21, "http://s.net/y", '<link rel="stylesheet" href="http://b.com/de/canonical/site.css">'),
+    (22, "http://s.net/z", '<link title="rel=canonical" rel=icon href="http://b.com/de/">'),
+    (23, "http://s.net/r", "<link rel=canonical href='http://s.net/t?a=1&amp;b=2'>"),
+    (24, "http://s.net/t?a=1&b=2", "<LINK\nREL='next Canonical' title='a>b' href=http://b.com/de/q>"),
+    (25, "http://s.net/d/e/f", '<link rel="canonical" href="../../u/./v/../w">'),
+    (26, "http://s.net/u/w", "<meta content='5;url=http://b.com/x/../de/' http-equiv='Refresh'>"),
+    (27, "http://s.net/top", '<link rel="canonical" href="#http://b.com/de/">'),
+    (28, "http://s.net/mail", '<link rel="canonical" href="mailto:x@b.com/de/">'),
+    (29, "http://s.net/named", "<meta name=refresh content='0;url=http://b.com/de/'><link rel=canonical>"),
+    (30, "http://s.net/q", '<link rel="canonical" href="?a=1">'),
+    (31, "http://s.net/q?a=1", '<link rel="canonical" href="http://b.com/de/"><link rel="canonical" href="http://shop.com/fr/">'),
+    (32, "http://s.net/up", '<link rel=canonical href="/a/b/c/../../..//../k">'),
+    (33, "http://s.net/k", "<link rel=canonical href=http://b.com/de/k>"),
 ]
 
 
@@ -35,6 +50,8 @@ def test_aliases_and_rules(spark):
     assert verdict[7] == (None, "block") and verdict[10] == (None, "block")
     assert verdict[12] == (None, "block") and verdict[13] == (None, "block") and verdict[None] == (None, "block")
     assert found[8, "", ""] == (None, "allow") and found[9, "", ""] == (None, "allow")
+    # 23 is an alias of 24, 25 of 26, 30 of 31 and 32 of 33, which lead to blocked addresses; the others have no such link.
+    assert {i for i in range(20, 34) if verdict[i] == (None, "block")} == {23, 24, 25, 26, 30, 31, 32, 33}
     assert (11, "notexample.org.net", "/en/1") in found and (5, "x.com", "/de/1") in found
     assert out.count() == len(PAGES)
     con = duckdb.connect()
@@ -44,6 +61,12 @@ def test_aliases_and_rules(spark):
     assert sorted(map(repr, want)) == sorted(map(repr, got))
 
 
+def test_long_pages(spark):
+    rows = [(1, "http://s.net/", "<link " + 'a="b" ' * 20_000 + "rel=canonical href=http://b.com/de/>"), (2, "http://s.net/2", '<link "' * 20_000), (3, "http://s.net/3", "<" * 300_000)]
+    out = url_filter.judged(spark.createDataFrame(rows, "page_id long, url string, html string"), queries.URL_RULES)
+    assert {r.page_id: r.verdict for r in out.collect()} == {1: "block", 2: "allow", 3: "allow"}
+
+
 def test_redirects_given_besides(spark):
     df = spark.createDataFrame([(1, "http://q.net/1", None), (2, "http://q.net/2", None)], "page_id long, url string, html string")
     given = spark.createDataFrame([("http://q.net/1", "http://q.com/de/"), (None, None)], "url string, target string")
