@@ -7,132 +7,54 @@ from pyspark.sql import functions as F
 
 from ..storage import written
 
-#: Rounds in which labels go along edges before what has not come to rest is contracted.
-PLAIN_ROUNDS = 6
-
 
 def reach_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, comp_id): the smallest id from which a path leads to the vertex.
 
-    vertices: id, len; edges: src, dst. Vertices of length zero are left out and block paths. Labels first go
-    along the edges for a few rounds, which is enough where paths are short. What is left is contracted over
-    and over: vertices linked both ways are one; a vertex that only one edge leads to takes that of the last
-    vertex before it where several edges meet, found by doubling; one that no edge leads to is done. So the
-    rounds grow with the logarithm of a path's length; what resists contraction goes on along the edges."""
-    live = vertices.where("len <> 0").select("id")
+    vertices: id, len; edges: src, dst. Vertices of length zero are left out and block paths. In each round labels go
+    along the edges from where they fell in the round before, and along shortcuts: every vertex has one pointer up
+    (to a vertex that leads to it) and one down (to one that it leads to), begun at an edge each and doubled round by
+    round. What a shortcut spans a path spans too, so that the result is that of the edges alone; labels are final when
+    a round lowers none. When all pointers have run out, edges from vertices that nothing leads to any more have done
+    their work and are left out, and pointers begin anew at other edges."""
+    live = vertices.where("len <> 0").select("id").distinct()
     kept = edges.join(live.withColumnRenamed("id", "src"), "src", "left_semi").join(live.withColumnRenamed("id", "dst"), "dst", "left_semi")
     kept = written(kept.where("src <> dst").select("src", "dst").distinct(), "graph")
-    labels = live.distinct().withColumn("comp_id", F.col("id"))
-    labels, at_rest = carried(labels, kept, PLAIN_ROUNDS)
-    return labels if at_rest else contracted(labels, kept)
-
-
-def carried(labels: DataFrame, edges: DataFrame, rounds: int | None = None) -> tuple[DataFrame, bool]:
-    """Labels along the edges, from those that changed in the round before; whether they have come to rest."""
-    moving = labels
-    while rounds is None or rounds > 0:
-        offered = edges.join(moving, edges.src == moving.id).groupBy(F.col("dst").alias("id")).agg(F.min("comp_id").alias("offer"))
-        step = labels.join(offered, "id", "left").select("id", F.least("comp_id", F.coalesce("offer", "comp_id")).alias("comp_id"), (F.coalesce("offer", "comp_id") < F.col("comp_id")).alias("moved"))
-        step = written(step, "labels")
-        labels, moving = step.select("id", "comp_id"), step.where("moved").select("id", "comp_id")
-        if moving.isEmpty():
-            return labels, True
-        rounds = None if rounds is None else rounds - 1
-    return labels, False
-
-
-def renamed(edges: DataFrame, names: DataFrame) -> DataFrame:
-    """Edges with both ends replaced (names: id, to; a vertex without a row keeps its own), without loops and repeats."""
-    for end in ("src", "dst"):
-        edges = edges.join(names.select(F.col("id").alias(end), "to"), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
-    return edges.where("src <> dst").select("src", "dst").distinct()
-
-
-def offered_to(labels: DataFrame, offers: DataFrame) -> DataFrame:
-    """Labels lowered by offers (id, offer)."""
-    least = offers.groupBy("id").agg(F.min("offer").alias("offer"))
-    return labels.join(least, "id", "left").select("id", F.least("comp_id", F.coalesce("offer", "comp_id")).alias("comp_id"))
-
-
-def contracted(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """The final labels; labels so far are reached along the edges already or the vertices' own."""
-    behind: list[tuple[DataFrame, bool]] = []  # what a vertex taken out will get: (id, from, least)
+    labels = written(pointed(live.withColumn("comp_id", F.col("id")), kept, 0), "labels")
+    moving, epoch, rounds = labels.select("id", "comp_id"), 0, 0
+    most = labels.count().bit_length() + 1
     while True:
-        size = edges.count()
-        if not size:
-            break
-        # Linked both ways: each such group is its smallest vertex.
-        back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        both = written(edges.join(back, ["src", "dst"], "left_semi").where("src < dst"), "mutual")
-        if not both.isEmpty():
-            names = written(undirected(both).where("id <> to"), "names")
-            behind.append(names.select("id", F.col("to").alias("from"), F.lit(None).cast("long").alias("least")))
-            inner = labels.join(names, "id").select(F.col("to").alias("id"), F.col("comp_id").alias("offer"))
-            labels = written(offered_to(labels.join(names.select("id"), "id", "left_anti"), inner), "labels")
-            edges = written(renamed(edges, names), "graph")
-        # Only one edge leads to it: its label is that of the vertex where its chain begins, or the least on the way.
-        into = edges.groupBy("dst").agg(F.count("*").alias("n"), F.min("src").alias("src"))
-        single = into.where("n = 1").select(F.col("dst").alias("id"), F.col("src").alias("from"))
-        chains = written(single.join(labels, "id").select("id", "from", F.col("comp_id").alias("least")), "chains")
-        n_chains, n_done = chains.count(), -1
-        while n_chains:
-            # (id, from, least of what lies after from up to id); a `from` that has no row of its own begins the chain.
-            ahead = chains.select(F.col("id").alias("from"), F.col("from").alias("further"), F.col("least").alias("more"))
-            step = written(chains.join(ahead, "from", "left").select("id", F.coalesce("further", "from").alias("from"), F.least("least", F.coalesce("more", "least")).alias("least"), F.col("further").isNull().alias("done"), (F.coalesce("more", "least") < F.col("least")).alias("moved")), "chains")
-            chains = step.select("id", "from", "least")
-            done, moved = step.agg(F.count_if("done"), F.count_if("moved")).first()
-            if done == n_chains or done == n_done and not moved:
-                break  # the rest goes round in circles, on which all have the least label by now
-            n_done = done
-        if n_chains:
-            ring = step.where("not done").select("id", "least")
-            chains = written(step.where("done").select("id", "from", "least"), "chains")
-            behind.append(ring.select("id", F.lit(None).cast("long").alias("from"), "least"))
-            behind.append(chains)
-            taken = chains.select("id", F.col("from").alias("to"), "least").unionByName(ring.select("id", F.lit(None).cast("long").alias("to"), "least"))
-            leaving = edges.join(taken.withColumnRenamed("id", "src"), "src", "left")
-            into_rest = leaving.join(taken.select(F.col("id").alias("dst")), "dst", "left_anti")
-            offers = into_rest.where("least is not null").select(F.col("dst").alias("id"), F.col("least").alias("offer"))
-            labels = written(offered_to(labels.join(taken.select("id"), "id", "left_anti"), offers), "labels")
-            edges = written(into_rest.where("least is null or to is not null").select(F.coalesce("to", "src").alias("src"), "dst").where("src <> dst").distinct(), "graph")
-        # No edge leads to it: its label is final and goes to where its edges lead.
-        sources = edges.select(F.col("src").alias("id")).join(edges.select(F.col("dst").alias("id")), "id", "left_anti").distinct()
-        first = edges.join(sources.withColumnRenamed("id", "src"), "src", "left_semi")
-        offers = first.join(labels.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), F.col("comp_id").alias("offer"))
-        labels = written(offered_to(labels, offers), "labels")
-        edges = written(edges.join(sources.withColumnRenamed("id", "src"), "src", "left_anti"), "graph")
-        if edges.count() > 0.9 * size:
-            labels, _ = carried(labels, edges)
-            break
-    # Those taken out last have their labels first.
-    for taken in reversed(behind):
-        up = labels.select(F.col("id").alias("from"), F.col("comp_id").alias("above"))
-        own = taken.join(up, "from", "left").select("id", F.least("least", "above").alias("comp_id"))
-        labels = written(labels.unionByName(own.join(labels, "id", "left_anti")), "labels")
-    return labels
-
-
-def undirected(edges: DataFrame) -> DataFrame:
-    """(id, to) for every vertex with an edge: the smallest of its component, whatever the edges' direction.
-
-    Each round points vertices at their smallest neighbour and follows the pointers to their ends by doubling."""
-    total, left = None, edges.select("src", "dst")
-    while not left.isEmpty():
-        ends = left.unionByName(left.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        roots = written(ends.groupBy(F.col("src").alias("id")).agg(F.least(F.min("dst"), F.first("src")).alias("to")), "roots")
-        while True:
-            up = roots.select(F.col("id").alias("to"), F.col("to").alias("above"))
-            step = written(roots.join(up, "to").select("id", F.col("above").alias("to"), (F.col("above") < F.col("to")).alias("moved")), "roots")
-            roots, moved = step.select("id", "to"), not step.where("moved").isEmpty()
-            if not moved:
-                break
-        if total is None:
-            total = roots
-        else:
-            up = roots.select(F.col("id").alias("to"), F.col("to").alias("above"))
-            total = written(total.join(up, "to", "left").select("id", F.coalesce("above", "to").alias("to")), "names")
-        left = written(renamed(left, roots), "graph")
-    return total
+        step = written(shortened(labels, kept, moving), "labels")
+        moved, on_the_way = step.agg(F.count_if("moved"), F.count_if(F.col("up").isNotNull() | F.col("down").isNotNull())).first()
+        labels, moving = step.select("id", "comp_id", "up", "down"), step.where("moved").select("id", "comp_id")
+        if not moved:
+            return labels.select("id", "comp_id")
+        rounds += 1
+        if not on_the_way or rounds == most:
+            epoch, rounds = epoch + 1, 0
+            into = kept.select(F.col("dst").alias("src")).distinct().unionByName(moving.select(F.col("id").alias("src"))).distinct()
+            kept = written(kept.join(into, "src", "left_semi"), "graph")
+            labels = written(pointed(labels.select("id", "comp_id"), kept, epoch), "labels")
+
+
+def pointed(labels: DataFrame, edges: DataFrame, epoch: int) -> DataFrame:
+    """labels (id, comp_id) with up and down: the ends of an edge that a hash with the epoch chooses; null where there is none."""
+    chance = F.xxhash64("src", "dst", F.lit(epoch))
+    up = edges.groupBy(F.col("dst").alias("id")).agg(F.min_by("src", chance).alias("up"))
+    down = edges.groupBy(F.col("src").alias("id")).agg(F.min_by("dst", chance).alias("down"))
+    return labels.join(up, "id", "left").join(down, "id", "left")
+
+
+def shortened(labels: DataFrame, edges: DataFrame, moving: DataFrame) -> DataFrame:
+    """One round: id, comp_id, up, down, moved. A pointer whose end has none any more has done its work and is null from then on."""
+    ends = labels.select(F.col("id").alias("end"), F.col("comp_id").alias("above"), F.col("up").alias("further"))
+    tails = labels.select(F.col("id").alias("tail"), F.col("down").alias("below"))
+    along = edges.join(moving, edges.src == moving.id).select(F.col("dst").alias("id"), F.col("comp_id").alias("offer"))
+    pushed = labels.where("down is not null").select(F.col("down").alias("id"), F.col("comp_id").alias("offer"))
+    offers = along.unionByName(pushed).groupBy("id").agg(F.min("offer").alias("offer"))
+    both = labels.join(ends, labels["up"] == ends["end"], "left").join(tails, labels["down"] == tails["tail"], "left").join(offers, "id", "left")
+    least = F.least("comp_id", F.coalesce("offer", "comp_id"), F.coalesce("above", "comp_id"))
+    return both.select("id", least.alias("comp_id"), F.col("further").alias("up"), F.col("below").alias("down"), (least < F.col("comp_id")).alias("moved"))
 
 
 def component_lengths(vertices: DataFrame, components: DataFrame) -> DataFrame:

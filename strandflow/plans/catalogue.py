@@ -20,7 +20,8 @@ from ..operators import bloom, compare, dispatch, graph, header, index, merge, p
 from ..operators.align import longest_exact_match
 from ..sources import readers, writers
 from ..storage import numbered, shared_dir, spread_out, written
-from ..streaming.stream import run_stream
+from ..sources.records import stream_of
+from ..streaming.stream import read_stream, run_stream
 from . import pipeline
 
 #: k-mers of 28 bases, alignments of at least 43: reads are sampled at every 16th position.
@@ -369,6 +370,32 @@ def q27_fastq(spark, d):
     return found.select("read_id", F.col("mate").cast("int").alias("mate"), "name", F.md5("seq").alias("seq_md5"), F.length("qual").alias("qual_len"))
 
 
+def fastq_files(spark, d, folder):
+    """Passages of even ids, then those of odd ids, as FASTQ files of a folder."""
+    for part in (0, 1):
+        own = reads(spark, d).where(F.col("read_id") % 2 == part)
+        record = F.concat(F.lit("@"), F.col("name"), F.lit("\n"), F.col("seq"), F.lit("\n+\n"), F.repeat(F.lit("@"), F.length("seq")))
+        own.select("read_id", record.alias("line")).repartition(1).sortWithinPartitions("read_id").select("line").write.mode("append").text(folder)
+
+
+def q27_stream(spark, d):
+    """The files as a stream, one in a micro-batch: dense ids over the batches."""
+    base = new_folder(spark, "fastq-stream")
+    fastq_files(spark, d, f"{base}/files")
+    read_stream(stream_of(spark, f"{base}/files"), f"{base}/reads", f"{base}/state")
+    found = spark.read.schema("read_id long, name string, seq string, qual string, batch int").parquet(f"{base}/reads")
+    return found.select("batch", "read_id", "name", F.md5("seq").alias("seq_md5"), F.length("qual").alias("qual_len"))
+
+
+def q25_files(spark, d):
+    """The run on a stream of FASTQ files, whose reads get their ids on the way."""
+    base = new_folder(spark, "file-stream")
+    fastq_files(spark, d, f"{base}/files")
+    kept = pipeline.indexed(targets(spark, d).drop("part"), CONFIG, f"{base}/index")
+    run_stream(stream_of(spark, f"{base}/files"), kept, f"{base}/out", f"{base}/state")
+    return spark.read.schema("read_id long, place int, line string, batch int").parquet(f"{base}/out").select("batch", "read_id", "line")
+
+
 def q28_sam(spark, d):
     """Each partition's records as a file with a head, and read again."""
     folder = new_folder(spark, "sam")
@@ -571,6 +598,8 @@ ORACLE = {
     "q27_fastq": f"""with {READS}, f as (select read_id % 2 mate, read_id || ':b' || read_id \"name\", seq, row_number() over (partition by read_id % 2 order by read_id) - 1 n from b),
  c as (select count(*) filter (mate = 0) n0, count(*) filter (mate = 1) n1 from f)
  select 2 * n + mate read_id, mate::int mate, "name", md5(seq) seq_md5, length(seq)::int qual_len from f, c where case when mate = 0 then n < least(n0, n1 + 1) else n < least(n0, n1) end""",
+    "q27_stream": f"""with {READS} select (read_id % 2)::int batch, row_number() over (order by read_id % 2, read_id) - 1 read_id, 'b' || read_id "name", md5(seq) seq_md5, length(seq)::int qual_len from b""",
+    "q25_files": f"""{LINES}, ids as (select read_id, row_number() over (order by read_id % 2, read_id) - 1 id from b) select (read_id % 2)::int batch, id read_id, line from lines join ids using (read_id)""",
     "q28_sam": f"with {RECORDS} select read_id, part, ord, flag, rname, pos, mapq, cigar, 'NM:i:0' tags, raw from m",
     "q29_names": """select path, i::int number, name || '-' || i || ext "name" from (values ('/a/b/ref.fa', 'ref', '.fa'), ('ref', 'ref', '.fa'), ('.hidden', '.hidden', '.fa'), ('x.tar.gz', 'x.tar', '.gz'), ('a.b/c', 'c', '.fa')) p(path, name, ext), range(1, 5) r(i)""",
     "q29_lines": "select doc_id, concat_ws(':', lang, source) stripped, lang like 'e_%' starts, lang like 'en_%' is_longer, lang like '%_n' ends from documents",

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import io
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions.records import parsed
 from ..functions.sequences import adjacency_digits, first_word
+from .records import fastq_records
 
 UNPACKED = (".xz", ".zip", ".tar", ".tar.gz", ".tgz", ".tar.bz2", ".tar.xz")
 REFUSED = (".ar", ".tar.Z", ".Z", ".bam", ".jf", ".jfq", ".sra", ".url")
@@ -36,8 +36,8 @@ def unpacked(name: str, content: bytes) -> str:
     return lzma.decompress(content).decode()
 
 
-def records_of(spark: SparkSession, path: str, separator: str) -> DataFrame:
-    """(file, value, ord): what stands between separators, in order of the files' names and of their content."""
+def split_rows(spark: SparkSession, path: str, separator: str) -> DataFrame:
+    """(file, block, value, place): what stands between separators, with the split it is in; place grows along a split."""
     if path.endswith(REFUSED):
         raise ValueError(f"{path}: files of this kind need a program to unpack them; unpack them first")
     if path.endswith(UNPACKED):
@@ -47,12 +47,21 @@ def records_of(spark: SparkSession, path: str, separator: str) -> DataFrame:
                 for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     text = unpacked(file, content)
                     values = text.removesuffix("\n").split(separator) if text else []
-                    yield pa.RecordBatch.from_arrays([pa.array([file] * len(values), pa.string()), pa.array(values, pa.string()), pa.array([0] * len(values), pa.int64()), pa.array(range(len(values)), pa.int64())], names=["file", "value", "block", "place"])
+                    yield pa.RecordBatch.from_arrays([pa.array([file] * len(values), pa.string()), pa.array([0] * len(values), pa.int64()), pa.array(values, pa.string()), pa.array(range(len(values)), pa.int64())], names=["file", "block", "value", "place"])
+
+        return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, block long, value string, place long")
+    text = spark.read.option("lineSep", separator).text(path)
+    return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value", F.monotonically_increasing_id().alias("place"))
+
+
+def split_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, value) of the lines; those of a split follow each other in its task."""
+    return split_rows(spark, path, "\n").select("file", "block", F.regexp_replace("value", "\r$", "").alias("value"))
 
-        rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, value string, block long, place long")
-    else:
-        text = spark.read.option("lineSep", separator).text(path)
-        rows = text.select(F.col("_metadata.file_path").alias("file"), "value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+
+def records_of(spark: SparkSession, path: str, separator: str) -> DataFrame:
+    """(file, value, ord): what stands between separators, in order of the files' names and of their content."""
+    rows = split_rows(spark, path, separator)
     # The rows of a split keep their order in its task: a row's number is its place in the split and the rows of the splits before.
     splits = rows.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("place").alias("first"))
     before = F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1))
@@ -85,40 +94,8 @@ def numbered_targets(targets: DataFrame) -> DataFrame:
 
 
 def fastq(spark: SparkSession, path: str) -> DataFrame:
-    """n (record in the file set, from 0), name, seq (upper-cased), qual of four-line records; one that lacks lines is an error.
-
-    Lines of a record that stand together in a batch are put together there; only those at the borders of
-    batches and splits are shuffled."""
-    lines = lines_of(spark, path)
-    files = lines.groupBy("file").agg(F.min("ord").alias("start"), F.count("*").alias("n_lines"))
-    before = F.sum(F.floor(F.col("n_lines") / 4)).over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
-    files = files.withColumn("before", F.coalesce(before, F.lit(0)))  # a row for each file
-    short = F.raise_error(F.concat(F.lit("a record lacks lines: "), F.col("file"))).cast("long")
-    line = F.col("ord") - F.when(F.col("n_lines") % 4 == 0, F.col("start")).otherwise(short)
-    rows = lines.join(F.broadcast(files), "file").select((F.col("before") + F.floor(line / 4)).alias("n"), (line % 4).cast("int").alias("at"), "value")
-
-    def run(batches):
-        for batch in batches:
-            n, at = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            whole = np.flatnonzero(at == 0)
-            whole = whole[whole + 3 < len(at)]
-            whole = whole[(n[whole + 3] == n[whole]) & (at[whole + 3] == 3)]
-            alone = np.ones(len(at), bool)
-            for i in range(4):
-                alone[whole + i] = False
-            alone = np.flatnonzero(alone)
-            numbers = np.concatenate((n[whole], n[alone]))
-            columns = []
-            for i in (0, 1, 3):
-                own = pa.array(np.where(at[alone] == i, alone, -1))
-                columns.append(pa.concat_arrays([batch.column(2).take(pa.array(whole + i)), batch.column(2).take(pa.compute.if_else(pa.compute.equal(own, -1), None, own))]))
-            is_whole = np.arange(len(numbers)) < len(whole)
-            yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(is_whole), *columns], names=["n", "whole", "head", "seq", "qual"])
-
-    found = rows.mapInArrow(run, "n long, whole boolean, head string, seq string, qual string")
-    parts = found.where("not whole").groupBy("n").agg(F.max("head").alias("head"), F.max("seq").alias("seq"), F.max("qual").alias("qual"))
-    records = found.where("whole").drop("whole").unionByName(parts)
-    return records.select("n", F.substring("head", 2, 1 << 30).alias("name"), F.upper("seq").alias("seq"), "qual")
+    """n (record in the file set, from 0), name, seq (upper-cased), qual of four-line records; one that lacks lines is an error."""
+    return fastq_records(split_lines(spark, path))
 
 
 def interleaved(first: DataFrame, second: DataFrame | None, offset: int = 0, lib: int = 0) -> DataFrame:

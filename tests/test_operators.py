@@ -98,8 +98,7 @@ def test_components_follow_edges_only_forwards(spark):
 
 
 def test_contracted_components(spark, monkeypatch):
-    """Paths, rings, trees, both directions: without rounds along the edges first."""
-    monkeypatch.setattr(graph, "PLAIN_ROUNDS", 0)
+    """Paths, rings, trees, both directions."""
     rng = random.Random(1)
     for kind in range(3):
         n = 40
@@ -117,6 +116,28 @@ def test_contracted_components(spark, monkeypatch):
     assert {r.id: r.comp_id for r in found.collect()} == dict(zip(order, least.tolist())) and len(rounds) < 50
 
 
+@pytest.mark.parametrize("kind", ["ladder", "ladder of mixed ids", "random", "long and decoys"])
+def test_components_end_in_few_rounds(spark, monkeypatch, kind):
+    n, rng = 10_000, random.Random(kind)
+    if kind == "random":
+        edges = [(a, b) if rng.random() < 0.98 else (b, a) for a, b in (sorted((rng.randrange(n), rng.randrange(n))) for _ in range(2 * n))]
+    elif kind == "long and decoys":
+        # Each vertex of a path also has an edge from a vertex of a smaller label than those before it, but not than the path's first.
+        edges = [(i, i + 1) for i in range(n // 2)] + [(n - 1 - i, i) for i in range(1, n // 2 - 1)]
+        edges = [(a if a == 0 else n - a, n - b) for a, b in edges]
+    else:
+        edges = [(i, i + k) for i in range(n) for k in (1, 2) if i + k < n]
+        if kind == "ladder of mixed ids":
+            ids = list(range(n))
+            rng.shuffle(ids)
+            edges = [(ids[a], ids[b]) for a, b in edges]
+    tables = []
+    monkeypatch.setattr(graph, "written", lambda df, tag: tables.append(tag) or written(df, tag))
+    found = graph.reach_components(spark.range(n).selectExpr("id", "1L len"), spark.createDataFrame(edges, "src long, dst long"))
+    assert {r.id: r.comp_id for r in found.collect()} == plain_components([(i, 1) for i in range(n)], edges)
+    assert len(tables) < 60
+
+
 def test_components_of_nothing(spark):
     assert graph.reach_components(spark.createDataFrame([], "id long, len long"), spark.createDataFrame([], "src long, dst long")).count() == 0
 
@@ -349,7 +370,7 @@ def test_long_components_split_as_if_row_by_row(spark, monkeypatch, block):
     monkeypatch.setattr(packing, "LEAST_BLOCK", block)
     rng = random.Random(block)
     lengths = [rng.choice([1, 5, 60, rng.randrange(1, 400)]) for _ in range(150)]
-    bins, plain = packing.Bins(0, 4, left=[3000, 2000, 5000, 900]), packing.Bins(0, 4, left=[3000, 2000, 5000, 900])
+    bins, plain = packing.Bins(0, 4, left=[1500, 1000, 2500, 450]), packing.Bins(0, 4, left=[1500, 1000, 2500, 450])
     found = packing.split_in_order(spark.createDataFrame([(i + 100, n, i) for i, n in enumerate(lengths)], "id long, len long, ordinal long"), bins)
     want = {i + 100: plain.put_first(n)[0][0] for i, n in enumerate(lengths)}
     assert {r.id: r.part for r in found.collect()} == want and bins.left == plain.left and None in want.values()
