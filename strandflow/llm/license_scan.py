@@ -8,7 +8,8 @@ A cluster with enough of the template's fingerprints is aligned with the text in
 alignment gives the share of the template's words found in order, and the span in the text. Any run of
 GRAM + WINDOW - 1 words common to text and template gives a fingerprint of the template in the text; a
 candidate needs CANDIDATE_SHARE of the template's fingerprints near one diagonal, so a few sentences of a
-long notice are none. Statements of up to SHORT_WORDS words must be there word for word: one word tells licences apart.
+long notice are none. Where other words divide a notice, its pieces are clusters of their own: they are aligned by
+themselves and chained in order of text and template, with up to MOST_BETWEEN words between two. Statements of up to SHORT_WORDS words must be there word for word: one word tells licences apart.
 
 One row for each notice found; of notices that overlap in the text by more than half of the shorter
 one, only the one with most words matched (then the highest coverage, then the first name) is reported.
@@ -34,6 +35,8 @@ GRAM, WINDOW = 3, 3
 BAND = 16
 #: The share of a template's fingerprints that makes a cluster a candidate; the coverage that is reported.
 CANDIDATE_SHARE, LEAST_COVERAGE = 0.3, 0.6
+#: The share of a template's fingerprints that makes a piece of a notice; how many words may stand between two pieces.
+PIECE_SHARE, MOST_BETWEEN = 0.1, 256
 #: Templates of up to so many words are reported only with all of them and no other between.
 SHORT_WORDS = 12
 #: Alignment scores.
@@ -97,6 +100,7 @@ class Index:
         hits = [(int(self.template_of[e]), int(i - self.position_of[e]), int(i)) for i, a, b in zip(at.tolist(), low.tolist(), high.tolist()) for e in range(a, b)]
         hits.sort()
         found, i = [], 0
+        pieces: dict[int, list[tuple[int, int, int, int, int]]] = {}
         while i < len(hits):
             # A cluster: hits of one template, each diagonal within BAND of the one before.
             j = i + 1
@@ -115,9 +119,61 @@ class Index:
                             matched, first, last = aligned
                             if matched == last - first + 1 == n if n <= SHORT_WORDS else matched / n >= LEAST_COVERAGE:
                                 found.append((t, matched / n, matched, first, last))
+            if n > SHORT_WORDS and len(positions) >= max(2, PIECE_SHARE * self.sizes[t]):
+                pieces.setdefault(t, []).extend(self.pieces(t, hits[i:j], numbers))
             i = j
+        for t, own in pieces.items():
+            found += self.chained(t, own)
         return self.best(found)
 
+    def pieces(self, t: int, hits: list[tuple[int, int, int]], numbers: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """(first word, last word, template from, to, matched) of the parts of a template that a cluster (in order of diagonals)
+        holds: fingerprints within BAND // 2 of a diagonal, with at most BAND words of the template between one and the next."""
+        template, out, i = self.templates[t], [], 0
+        while i < len(hits):
+            j = i + 1
+            while j < len(hits) and hits[j][1] - hits[i][1] <= BAND // 2:
+                j += 1
+            own = sorted((h[2] - h[1], h[1]) for h in hits[i:j])
+            i, a = j, 0
+            while a < len(own):
+                b = a + 1
+                while b < len(own) and own[b][0] - own[b - 1][0] <= BAND:
+                    b += 1
+                if len({p for p, _ in own[a:b]}) >= max(2, PIECE_SHARE * self.sizes[t]):
+                    diagonals = sorted(d for _, d in own[a:b])
+                    middle, low, high = diagonals[len(diagonals) // 2], own[a][0], own[b - 1][0] + GRAM
+                    while low > 0 and middle + low > 0 and numbers[middle + low - 1] == template[low - 1]:
+                        low -= 1
+                    while high < len(template) and middle + high < len(numbers) and numbers[middle + high] == template[high]:
+                        high += 1
+                    if aligned := align(template[low:high], numbers, middle + low):
+                        out.append((aligned[1], aligned[2], low, high, aligned[0]))
+                a = b
+        return out
+
+    def chained(self, t: int, pieces: list[tuple[int, int, int, int, int]]) -> list[tuple[int, float, int, int, int]]:
+        """Notices that other words divide: pieces of one template in order in text and template, not more than MOST_BETWEEN words apart."""
+        n, pieces = len(self.templates[t]), sorted(pieces)
+        best: list[tuple[int, int]] = []  # matched words of the best chain that ends here, and the piece before
+        for i, (first, _, low, _, matched) in enumerate(pieces):
+            total, before = matched, -1
+            for j in range(i - 1, -1, -1):
+                if first - pieces[j][0] > MOST_BETWEEN + 2 * n:
+                    break
+                apart, shared = first - pieces[j][1] - 1, max(0, pieces[j][3] - low)
+                if 0 <= apart <= MOST_BETWEEN and shared <= GRAM and best[j][0] + matched - shared > total:
+                    total, before = best[j][0] + matched - shared, j
+            best.append((total, before))
+        out = []
+        for i, (total, before) in enumerate(best):
+            if before >= 0 and total / n >= LEAST_COVERAGE:
+                j = i
+                while best[j][1] >= 0:
+                    j = best[j][1]
+                out.append((t, total / n, total, pieces[j][0], pieces[i][1]))
+        return out
+
     def best(self, found: list[tuple[int, float, int, int, int]]) -> list[tuple[int, float, int, int, int]]:
         """Of notices that overlap by more than half of the shorter one, only the best; what is kept is looked up by its place."""
         span = max((f[4] - f[3] + 1 for f in found), default=1)

@@ -110,3 +110,27 @@ def test_statements_need_all_their_words(spark):
 def test_many_notices_in_one_text(spark):
     text = " ".join(list(LINES) * 1000)
     assert license_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).count() == 4_000
+
+
+def test_notices_divided_by_other_words(spark):
+    rng = random.Random(9)
+    rows, want = [], {}
+    for name in ("MIT", "GPL-3.0-or-later", "GPL-2.0-or-later", "LGPL-2.1-or-later", "AGPL-3.0-or-later", "ISC", "Zlib"):
+        words = TEMPLATES[name].split()
+        for more in (20, 40, 200):
+            for cut in (len(words) // 2, len(words) // 3):
+                other = [f"w{rng.randrange(999)}" for _ in range(more)]
+                want[len(rows)] = name
+                rows.append((len(rows), "before it " + " ".join(words[:cut] + other + words[cut:]) + " behind it"))
+    # Halves too far apart, in the wrong order, and one half alone, are no notice.
+    half = TEMPLATES["MIT"].split()[:60], TEMPLATES["MIT"].split()[60:]
+    far = [f"w{i}" for i in range(400)]
+    for words in (half[0] + far + half[1][:30], half[1][:60] + far[:30] + half[0], half[0]):
+        rows.append((len(rows), " ".join(words)))
+    out = {}
+    for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        out.setdefault(r.doc_id, []).append((r.license, r.begin, r.end, r.coverage))
+    for i, name in want.items():
+        assert [x[0] for x in out[i]] == [name] and out[i][0][3] > 0.95, (name, rows[i][1][:80], out[i])
+        assert rows[i][1][out[i][0][1] :].startswith(TEMPLATES[name].split()[0]) and len(rows[i][1]) - out[i][0][2] < 14
+    assert not set(out) - set(want)
