@@ -19,8 +19,8 @@ def kind_of() -> Column:
     a, b = F.col("a_mapq"), F.col("b_mapq")
     flag = lambda side, bit: F.col(f"{side}_flag").bitwiseAND(bit) != 0
     same_mapq = (
-        F.when(F.col("a_cigar") != F.col("b_cigar"), "other_fragment")
-        .when(flag("a", REVERSE) != flag("b", REVERSE), "other_strand")
+        F.when(F.col("a_cigar") != F.col("b_cigar"), "diff_read_frags")
+        .when(flag("a", REVERSE) != flag("b", REVERSE), "diff_dir")
         .otherwise("unclassified")
     )
     return (
@@ -28,7 +28,7 @@ def kind_of() -> Column:
         .when((a == 0) & (b != 0), "mapq_not_zero")
         .when((a != 0) & (b == 0), "mapq_zero")
         .when((a > 0) & (a == b), same_mapq)
-        .when(~flag("a", UNMAPPED) & flag("b", UNMAPPED), "missed_by_filter")
+        .when(~flag("a", UNMAPPED) & flag("b", UNMAPPED), "bloom_filter_miss")
         .when((a > 0) | (b > 0), "unclassified")
     )
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import AlignConfig
-from ..functions.names import partition_name
+from ..functions.names import partition_names
 from ..functions.records import FIELDS, tabbed
 from ..functions.sequences import canonical, cigar_match_length, dna, ends_strictly, kmer_at, mate_suffix, reverse_complement, starts_strictly, strip_id
 from ..operators import bloom, compare, dispatch, graph, header, index, merge, packing, stats
@@ -411,9 +411,10 @@ def q28_sam(spark, d):
 
 
 def q29_names(spark, d):
-    """Names of partitions' files."""
-    paths = ("/a/b/ref.fa", "ref", ".hidden", "x.tar.gz", "a.b/c")
-    return spark.createDataFrame([(p, i, partition_name(p, i)) for p in paths for i in range(1, PARTS + 1)], "path string, number int, name string")
+    """Names of the partitions' files of target files that are called as the pages' addresses are."""
+    paths = table(spark, d, "pages").select("page_id", F.regexp_extract("url", "^[^?#]*", 0).alias("path"))
+    numbers = F.explode(F.sequence(F.lit(1), F.lit(PARTS))).alias("number")
+    return paths.select("page_id", "path", numbers).withColumn("name", partition_names(F.col("path"), F.col("number")))
 
 
 def q29_lines(spark, d):
@@ -528,7 +529,27 @@ HALVES = "n as (select (count(*) + 1) // 2 n from documents), v as (select doc_i
 CLOSURE = COMPONENTS.removeprefix(GRAPH)
 LACKING = GRAPH.replace("v as (select doc_id id, n_chars len from documents)", f"v as (select doc_id id, length({DNA}) len from documents where doc_id % 5 <> 0)")
 
+# Bits of canonical k-mers: five hashes of each distinct one (as in q09_hashes), the block by the first, the bits by the upper halves.
+LETTERS = lambda n, at: " + ".join(f"ascii(k[{at + j + 1}])::uhugeint * {256**j}::uhugeint" for j in range(n))
+CANDIDATES = f"""{TARGETS}, {READS},
+ tk as (select distinct part, least(k, {RC("k")}) k from (select part, substr(seq, i::int, {K}) k from t, unnest(range(1, greatest(length(seq) - {K} + 2, 1))) u(i))),
+ bk as (select distinct read_id, least(k, {RC("k")}) k from (select read_id, substr(seq, i::int, {K}) k from b, unnest(range(1, greatest(length(seq) - {K} + 2, 1), {STEP})) u(i))),
+ size as (select greatest(1, (max(n) * {CONFIG.ibits} + {bloom.BLOCK_BITS} - 1) // {bloom.BLOCK_BITS})::uhugeint blocks from (select sum(greatest(length(seq) - {K} + 1, 0))::bigint n from t group by part)),
+ ks as (select distinct k from (select k from tk union all select k from bk)),
+ w as (select k, {LETTERS(8, 0)} w0, {LETTERS(8, 8)} w1, {LETTERS(8, 16)} w2, {LETTERS(4, 24)} w3 from ks),
+ m as (select k, {MIXED.format("w0")} m0, {MIXED.format("w1")} m1, {MIXED.format("w2")} m2, w3 from w),
+ a as (select k, seed, xor(m0, m0 // {T47}) * {M64} % {T64} x0, xor(m1, m1 // {T47}) * {M64} % {T64} x1, xor(m2, m2 // {T47}) * {M64} % {T64} x2, w3, xor(seed::uhugeint, {K} * {M64} % {T64}) h from m, range(0, {CONFIG.nhash}) s(seed)),
+ h1 as (select k, seed, x1, x2, w3, xor(h, x0) * {M64} % {T64} h from a), h2 as (select k, seed, x2, w3, xor(h, x1) * {M64} % {T64} h from h1),
+ h3 as (select k, seed, w3, xor(h, x2) * {M64} % {T64} h from h2), h4 as (select k, seed, xor(h, w3) * {M64} % {T64} h from h3),
+ h5 as (select k, seed, xor(h, h // {T47}) * {M64} % {T64} h from h4), hashed as (select k, seed, xor(h, h // {T47}) h from h5),
+ bits as (select k, max(h % blocks) filter (seed = 0) block, list(distinct ((h // 4294967296::uhugeint) % {bloom.BLOCK_BITS})::int) bits from hashed, size group by k),
+ bank as (select distinct part, block, unnest(bits) bit from tk join bits using (k)),
+ asked as (select read_id, k, block, unnest(bits) bit, len(bits) n from bk join bits using (k)),
+ found as (select read_id, part, k from asked join bank using (block, bit) group by read_id, part, k, n having count(*) = n)
+ select distinct read_id, part::int part from found"""
+
 ORACLE = {
+    "q09_candidates": f"with {CANDIDATES}",
     "q01": f"with {TARGETS} select target_id, length(seq) len, md5(seq) seq_md5 from t",
     "q02": f"""with f as (select case when role = 'user' then 0 else 1 end mate, conv_id || '/' || turn name, {DNA} seq, row_number() over (partition by role order by conv_id, turn, text) - 1 n from conversations where role in ('user', 'assistant')),
  c as (select count(*) filter (mate = 0) n0, count(*) filter (mate = 1) n1 from f)
@@ -584,8 +605,8 @@ ORACLE = {
     "q22": f"""with {RECORDS}, {CHOSEN}, f as (select *, row_number() over (partition by read_id order by part, ord) first from m),
  p as (select f.mapq am, w.mapq_out bm, f.cigar ac, w.cigar bc, f.flag af, w.flag bf, concat_ws(chr(9), f.flag, f.rname, f.pos, f.mapq, f.cigar) al, concat_ws(chr(9), w.flag, w.rname, w.pos, w.mapq_out, w.cigar) bl from f join w using (read_id) where first = 1),
  k as (select case when al = bl then null when am = 0 and bm <> 0 then 'mapq_not_zero' when am <> 0 and bm = 0 then 'mapq_zero'
-   when am > 0 and am = bm then case when ac <> bc then 'other_fragment' when (af & 16) <> (bf & 16) then 'other_strand' else 'unclassified' end
-   when (af & 4) = 0 and (bf & 4) <> 0 then 'missed_by_filter' when am > 0 or bm > 0 then 'unclassified' end kind from p)
+   when am > 0 and am = bm then case when ac <> bc then 'diff_read_frags' when (af & 16) <> (bf & 16) then 'diff_dir' else 'unclassified' end
+   when (af & 4) = 0 and (bf & 4) <> 0 then 'bloom_filter_miss' when am > 0 or bm > 0 then 'unclassified' end kind from p)
  select kind, count(*) n from k where kind is not null group by kind""",
     "q23": f"""with {RECORDS}, l as (select raw line from m), o as (select raw line from m where flag <> 4 union all select line from ({LOST}))
  select line, 'left' side from (select line from l except all select line from o) union all select line, 'right' from (select line from o except all select line from l)""",
@@ -601,7 +622,9 @@ ORACLE = {
     "q27_stream": f"""with {READS} select (read_id % 2)::int batch, row_number() over (order by read_id % 2, read_id) - 1 read_id, 'b' || read_id "name", md5(seq) seq_md5, length(seq)::int qual_len from b""",
     "q25_files": f"""{LINES}, ids as (select read_id, row_number() over (order by read_id % 2, read_id) - 1 id from b) select (read_id % 2)::int batch, id read_id, line from lines join ids using (read_id)""",
     "q28_sam": f"with {RECORDS} select read_id, part, ord, flag, rname, pos, mapq, cigar, 'NM:i:0' tags, raw from m",
-    "q29_names": """select path, i::int number, name || '-' || i || ext "name" from (values ('/a/b/ref.fa', 'ref', '.fa'), ('ref', 'ref', '.fa'), ('.hidden', '.hidden', '.fa'), ('x.tar.gz', 'x.tar', '.gz'), ('a.b/c', 'c', '.fa')) p(path, name, ext), range(1, 5) r(i)""",
+    "q29_names": f"""with n as (select page_id, split_part(split_part(url, '?', 1), '#', 1) path from pages), m as (select page_id, path, split_part(path, '/', -1) file from n),
+ k as (select *, length(file) - position('.' in reverse(file)) dot from m)
+ select page_id, path, i::int number, case when position('.' in file) = 0 or dot = 0 then file || '-' || i || '.fa' else file[:dot] || '-' || i || file[dot + 1:] end "name" from k, range(1, {PARTS + 1}) r(i)""",
     "q29_lines": "select doc_id, concat_ws(':', lang, source) stripped, lang like 'e_%' starts, lang like 'en_%' is_longer, lang like '%_n' ends from documents",
     "q30_files": f"select kind, n from (values ('@HD', 1), ('@PG', 1)) h(kind, n) union all select '@SQ', count(*) from documents union all select case when unmapped = 4 then 'unmapped' else 'mapped' end, count(*) from ({WHOLE}) group by 1",
 }

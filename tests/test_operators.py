@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from helpers import rows
 from strandflow.config import AlignConfig
@@ -244,7 +245,7 @@ def test_differences(spark):
 
     a = side((0, 0, 9, "5M"), (1, 0, 0, "5M"), (2, 0, 9, "5M"), (3, 0, 9, "5M"), (4, 0, 9, "5M"), (5, 0, 0, "5M"), (6, 0, 9, "5M"))
     b = side((0, 0, 9, "5M"), (1, 0, 9, "5M"), (2, 0, 0, "5M"), (3, 0, 9, "6M"), (4, 16, 9, "5M"), (5, 4, 0, "*"), (6, 0, 8, "5M"))
-    assert {r.kind: r.n for r in compare.differences(a, b).collect()} == dict.fromkeys(("mapq_not_zero", "mapq_zero", "other_fragment", "other_strand", "missed_by_filter", "unclassified"), 1)
+    assert {r.kind: r.n for r in compare.differences(a, b).collect()} == dict.fromkeys(("mapq_not_zero", "mapq_zero", "diff_read_frags", "diff_dir", "bloom_filter_miss", "unclassified"), 1)
 
 
 def test_round_robin_and_rendering(spark):
@@ -282,6 +283,13 @@ def test_names():
     assert names.split_name(".hidden") == (".hidden", "")
 
 
+def test_names_as_columns(spark):
+    paths = ["/a/b/ref.fa", "ref", ".hidden", "x.tar.gz", "a.b/c", "", "a/", "x.", "a/.b.c"]
+    df = spark.createDataFrame([(p, i) for p in paths for i in (1, 12)], "path string, number int")
+    for r in df.withColumn("name", names.partition_names(F.col("path"), F.col("number"))).collect():
+        assert r.name == names.partition_name(r.path, r.number)
+
+
 @pytest.fixture(scope="module")
 def genome(spark):
     rng = random.Random(5)
