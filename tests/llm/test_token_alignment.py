@@ -35,6 +35,7 @@ def plain_groups(text, libraries):
     one, two = libraries
     letters = byte_of_letter()
     a = one.encode(" " + text, add_special_tokens=False)
+    ids = a.ids
     b = two.encode(text)
     a_bytes = [bytes(letters[c] for c in t) for t in a.tokens]
     b_bytes = [bytes([int(two.id_to_piece(i)[3:5], 16)]) if two.is_byte(i) else two.id_to_piece(i).replace("▁", " ").encode() for i in b]
@@ -51,7 +52,7 @@ def plain_groups(text, libraries):
     x = y = 0
     for cut in common:
         nx, ny = ends[0].index(cut, x) + 1, ends[1].index(cut, y) + 1
-        out.append((a.ids[x:nx], b[y:ny]))
+        out.append((ids[x:nx], b[y:ny]))
         x, y = nx, ny
     return out
 
@@ -83,6 +84,17 @@ def test_groups_of_odd_texts(aligner, libraries):
         assert found["n_links"][i] == sum(len(x) * len(y) for x, y in groups)
 
 
+def test_quick_words_equal_the_library(aligner, libraries):
+    """Words of all settled characters, as they stand in texts and shuffled."""
+    import random
+
+    rng = random.Random(3)
+    letters = [chr(c) for c in range(0x250) if not chr(c).isspace()]
+    words = ["".join(rng.choices(letters, k=rng.randint(1, 12))) for _ in range(20_000)] + letters + ["'s", "x'll", "I'm", "don't", "<|endoftext|>", "a1b2", "\x1c", "x\u00a0y"]
+    assert token_alignment.merged_by_id(A, aligner.a.pieces) is not None
+    assert aligner.a.encode(words) == [e.ids for e in libraries[0].encode_batch([" " + w for w in words], add_special_tokens=False)]
+
+
 def test_overlaps_are_all_pairs_of_tokens_that_share_bytes(aligner):
     import numpy as np
 
