@@ -23,7 +23,8 @@ class AlignConfig:
     keep_qual: bool = False
     fallback: str = "last"
     aligner: str = "longest-exact-match"
-    #: exact: reads go where a sampled k-mer of theirs is; bloom: where the partition's Bloom filter (ibits, nhash) says so.
+    #: exact: reads go where a sampled k-mer of theirs is; bloom: where the partition's Bloom filter (ibits, nhash) says so;
+    #: minimiser: by the least k-mers of windows of alen bases, of reads and targets alike (a fraction of all k-mers).
     dispatch: str = "exact"
 
     def __post_init__(self):
@@ -42,7 +43,12 @@ class AlignConfig:
             raise ValueError(f"merge_mode must be one of {', '.join(MERGE_MODES)}")
         if self.fallback not in ("last", "max"):
             raise ValueError("fallback must be last or max")
-        if self.dispatch not in ("exact", "bloom"):
-            raise ValueError("dispatch must be exact or bloom")
+        if self.dispatch not in ("exact", "bloom", "minimiser"):
+            raise ValueError("dispatch must be exact, bloom or minimiser")
         if self.step > self.alen - self.bmer + 1:
             warnings.warn("with this step a match of alen bases can hold no sampled k-mer", stacklevel=3)
+
+    @property
+    def window(self) -> int:
+        """k-mers of a window of alen bases, whose least ones dispatch goes by; 0 for all k-mers."""
+        return self.alen - self.bmer + 1 if self.dispatch == "minimiser" else 0

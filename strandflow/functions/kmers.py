@@ -126,6 +126,53 @@ def key_pieces(seq: bytes, k: int, step: int = 1, most: int = PIECE) -> Iterator
         yield piece_keys(piece, k, step, begin)
 
 
+def mixed(values: np.ndarray) -> np.ndarray:
+    """The values in an order that has nothing to do with their letters (one to one)."""
+    with np.errstate(over="ignore"):
+        values = (values ^ (values >> np.uint64(31))) * M
+        values = (values ^ (values >> np.uint64(29))) * M
+    return values ^ (values >> np.uint64(32))
+
+
+def minimiser_pieces(seq: bytes, k: int, window: int, most: int = PIECE) -> Iterator[np.ndarray]:
+    """Keys, as key_pieces has them, of the least k-mer (by `mixed`) of each window of `window` k-mers, piece by piece.
+
+    Two sequences that share window + k - 1 bases, on whichever strands, share such a key. A k-mer with an N is never
+    the least: no window that is shared by its bases has one."""
+    for _, piece in pieces(seq, k + window - 1, most):
+        normal = piece.upper().translate(NORMAL)
+        keys = np.zeros(len(piece) - k + 1, np.uint64)
+        if k <= MOST_K:
+            values, at = codes(normal, k)
+            keys[at] = np.minimum(values, reverse_codes(values, k))
+        else:
+            unknown = np.concatenate(([0], np.cumsum(np.frombuffer(normal, np.uint8) == ord("N"))))
+            at = np.flatnonzero(unknown[k:] == unknown[:-k])
+            forward, backward = kmer_windows(normal, k)
+            keys[at] = murmur64a(canonical_windows(forward[at], backward[at]), 0) | np.uint64(1 << 63)
+        rank = np.full(len(keys), np.uint64(0xFFFFFFFFFFFFFFFF))
+        rank[at] = mixed(keys[at])
+        whole = np.zeros(len(keys), bool)
+        whole[at] = True
+        least = distinct(np.lib.stride_tricks.sliding_window_view(rank, window).argmin(axis=1) + np.arange(len(keys) - window + 1))
+        yield keys[least[whole[least]]]
+
+
+def around(base: np.ndarray, at: np.ndarray, k: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the k-mers at the places: the up to `most` bases before and behind each, two bits a base with the nearest lowest,
+    and how many there are up to a letter that is no base or the end. base: codes of letters, above 3 for others."""
+    places = np.arange(len(base))
+    bad = base > 3
+    last = np.concatenate(([-1], np.maximum.accumulate(np.where(bad, places, -1))))
+    following = np.concatenate((np.minimum.accumulate(np.where(bad, places, len(base))[::-1])[::-1], [len(base)]))
+    before, behind = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    wide = np.concatenate((np.zeros(most, np.int64), base.astype(np.int64) & 3, np.zeros(most, np.int64)))
+    for i in range(most):
+        before |= wide[at + most - 1 - i] << (2 * i)
+        behind |= wide[at + most + k + i] << (2 * i)
+    return before, behind, np.minimum(most, at - 1 - last[at]).astype(np.int8), np.minimum(most, following[at + k] - at - k).astype(np.int8)
+
+
 def kmer_keys(seq: bytes, k: int, step: int = 1) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.uint64), *key_pieces(seq, k, step)])
 

@@ -2,9 +2,11 @@
 
 An aligner takes dispatched reads (read_id, part, name, seq, qual) and targets (part, target_id, name,
 seq) and returns records, one for each read and partition it was sent to. The built-in one joins the
-k-mers of both strands of the reads with those of the targets, finds runs of adjacent hits on one
-diagonal, and reports the longest; among equals the smallest target, forward before reverse, then the
-first place, with mapq 0 (else 60). Longer k-mers than a code holds are seeded by their first MOST_K
+k-mers of both strands of the reads with those at every n-th place of the targets, n being such that
+no match of the least length is without one. Each k-mer brings the n - 1 bases before and behind it, so
+that a run of hits on one diagonal, n places apart, ends where the bases differ, without another look
+at the text. The longest run is reported; among equals the smallest target, forward before reverse, then
+the first place, with mapq 0 (else 60). Longer k-mers than a code holds are seeded by their first MOST_K
 bases, which gives the same runs. Programs outside run through run_program on each partition; with
 `adapter` their records become an aligner by name.
 """
@@ -15,17 +17,19 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.kmers import COMPLEMENT, MOST_K, NORMAL, codes, pieces
+from ..functions.kmers import CODE, COMPLEMENT, MOST_K, NORMAL, PIECE, around, codes
 from ..functions.records import FIELDS, parsed, tabbed
 from ..storage import written
 from .dispatch import BROADCAST_KMERS
 
 BUILT_IN = "longest-exact-match"
 ALIGNERS: dict[str, Callable[..., DataFrame]] = {}
+#: What a seed has besides its sequence and strand.
+SEED = {"position": "int", "code": "long", "before": "long", "behind": "long", "n_before": "tinyint", "n_behind": "tinyint"}
 
 
 def aligner(name: str):
@@ -48,60 +52,92 @@ def align_indexed(name: str, reads: DataFrame, index) -> DataFrame:
     return align(name, reads, index.targets, k=index.config.bmer, alen=index.config.alen, **own)
 
 
-def positioned(rows: DataFrame, columns: list[str], k: int, both_strands: bool) -> DataFrame:
-    """The columns, strand (0; 1: reverse complement), position and code of every k-mer of bases in seq."""
+def seeds(k: int, alen: int) -> tuple[int, int]:
+    """Length of the seeds, and the distance of those of targets: a match of alen bases has one, and neighbours touch."""
+    seed = min(k, MOST_K)
+    return seed, min(alen - seed + 1, seed)
+
+
+def positioned(rows: DataFrame, columns: list[str], k: int, apart: int, both_strands: bool) -> DataFrame:
+    """The columns, strand (0; 1: reverse complement), position and code of every k-mer of bases in seq, and the apart - 1
+    bases around it (before, behind, n_before, n_behind: see kmers.around); of one strand alone those at multiples of apart."""
     kept = rows.select(*columns, "seq")
 
     def run(batches):
         for batch in batches:
-            at, strands, positions, found = [], [], [], []
+            at, strands, found, held = [], [], [], 0
             for i, seq in enumerate(batch.column(len(columns)).cast(pa.binary()).to_pylist()):
                 normal = (seq or b"").upper().translate(NORMAL)
                 for strand in range(1 + both_strands):
-                    for begin, piece in pieces(normal.translate(COMPLEMENT)[::-1] if strand else normal, k):
-                        values, places = codes(piece, k)
-                        at.append(np.full(len(values), i))
-                        strands.append(np.full(len(values), strand, np.int32))
-                        positions.append((begin + places).astype(np.int32))
-                        found.append(values.view(np.int64))
-                        if sum(map(len, at)) > 1 << 19:
-                            yield rows_of(batch, at, strands, positions, found)
-                            at, strands, positions, found = [], [], [], []
-            if at:
-                yield rows_of(batch, at, strands, positions, found)
-
-    def rows_of(batch, at, *own):
+                    for own in pieces_of(normal.translate(COMPLEMENT)[::-1] if strand else normal):
+                        at.append(np.full(len(own[0]), i))
+                        strands.append(np.full(len(own[0]), strand, np.int32))
+                        found.append(own)
+                        held += len(own[0])
+                        if held > 1 << 18:
+                            yield rows_of(batch, at, strands, found)
+                            at, strands, found, held = [], [], [], 0
+            if held:
+                yield rows_of(batch, at, strands, found)
+
+    def pieces_of(seq):
+        """position, code and the bases around, piece by piece; a piece brings the bases around its own k-mers."""
+        for begin in range(0, max(0, len(seq) - k + 1), PIECE):
+            first = max(0, begin - apart + 1)
+            piece = seq[first : begin + PIECE + k + apart - 2]
+            values, places = codes(piece, k)
+            own = (places >= begin - first) & (places < begin - first + PIECE)
+            own &= both_strands | ((first + places) % apart == 0)
+            places = places[own]
+            yield (first + places).astype(np.int32), values[own].view(np.int64), *around(CODE[np.frombuffer(piece, np.uint8)], places, k, apart - 1)
+
+    def rows_of(batch, at, strands, found):
         rows_at = pa.array(np.concatenate(at))
-        return pa.RecordBatch.from_arrays([*(batch.column(j).take(rows_at) for j in range(len(columns))), *(pa.array(np.concatenate(x)) for x in own)], names=[*columns, "strand", "position", "code"])
+        own = [strands, *zip(*found, strict=True)]
+        return pa.RecordBatch.from_arrays([*(batch.column(j).take(rows_at) for j in range(len(columns))), *(pa.array(np.concatenate(x)) for x in own)], names=[*columns, "strand", *SEED])
 
     ddl = ", ".join(f"{c} {kept.schema[c].dataType.simpleString()}" for c in columns)
-    return kept.mapInArrow(run, f"{ddl}, strand int, position int, code long")
+    return kept.mapInArrow(run, f"{ddl}, strand int, " + ", ".join(f"{name} {kind}" for name, kind in SEED.items()))
 
 
-def matches(reads: DataFrame, targets: DataFrame, k: int, places: DataFrame | None = None) -> DataFrame:
-    """Maximal runs of k or more equal bases: read_id, part, target_id, strand, read_at, target_at, length.
+def alike(here: str, there: str, n_here: str, n_there: str) -> Column:
+    """How many bases beside two seeds are equal: up to the first bit that differs, or the end of either's."""
+    differ = F.col(here).bitwiseXOR(F.col(there))
+    # All lower bits than the lowest that is set; all bits if none is.
+    return F.least(F.shiftright(F.bit_count(differ.bitwiseAND(-differ) - 1), 1), F.col(n_here).cast("int"), F.col(n_there).cast("int"))
 
-    Reads meet the k-mers only of the partitions that they were sent to. places: the targets' (code, part, target_id,
-    position) where an index has them."""
-    seed = min(k, MOST_K)
-    own = positioned(reads.select("read_id", "seq").dropDuplicates(["read_id"]), ["read_id"], seed, True).withColumnRenamed("position", "read_position")
+
+def matches(reads: DataFrame, targets: DataFrame, k: int, places: DataFrame | None = None, alen: int | None = None) -> DataFrame:
+    """Maximal runs of alen (k, if not given) or more equal bases: read_id, part, target_id, strand, read_at, target_at, length.
+
+    Reads meet the seeds only of the partitions that they were sent to. places: the targets' seeds (part, target_id and
+    those columns of SEED), made with the same k and alen, where an index has them."""
+    alen = alen or k
+    seed, apart = seeds(k, alen)
+    own = positioned(reads.select("read_id", "seq").dropDuplicates(["read_id"]), ["read_id"], seed, apart, True)
+    own = own.withColumnsRenamed({name: f"read_{name}" for name in SEED if name != "code"})
     wanted = written(own.join(reads.select("read_id", "part").distinct(), "read_id"), "seeds")
-    there = positioned(targets, ["part", "target_id"], seed, False).drop("strand") if places is None else places
+    there = positioned(targets, ["part", "target_id"], seed, apart, False).drop("strand") if places is None else places
     there = there.withColumnRenamed("position", "target_position")
     small = wanted.count() <= BROADCAST_KMERS
     hits = there.join(F.broadcast(wanted) if small else wanted, ["part", "code"])
     line = ["read_id", "part", "target_id", "strand", "diagonal"]
-    hits = hits.withColumn("diagonal", F.col("target_position") - F.col("read_position"))
-    place = F.row_number().over(Window.partitionBy(*line).orderBy("read_position"))
-    runs = hits.withColumn("run", F.col("read_position") - place).groupBy(*line, "run")
-    found = runs.agg(F.min("read_position").alias("read_at"), F.min("target_position").alias("target_at"), (F.count("*") + seed - 1).cast("int").alias("length"))
-    return found.where(F.col("length") >= k).drop("run", "diagonal")
+    sides = [alike(side, f"read_{side}", f"n_{side}", f"read_n_{side}") for side in ("before", "behind")]
+    hits = hits.select("read_id", "part", "target_id", "strand", "target_position", (F.col("target_position") - F.col("read_position")).alias("diagonal"), *(n.alias(side) for n, side in zip(sides, ("left", "right"), strict=True)))
+    # A hit that ends on both sides before another could follow is a whole run: short ones go before they are shuffled.
+    open_end = (F.col("left") == apart - 1) | (F.col("right") == apart - 1)
+    hits = hits.where(open_end | (F.col("left") + F.col("right") + seed >= alen))
+    place = F.row_number().over(Window.partitionBy(*line).orderBy("target_position"))
+    runs = hits.withColumn("run", F.expr(f"target_position div {apart}") - place).groupBy(*line, "run")
+    found = runs.agg(F.min(F.col("target_position") - F.col("left")).alias("target_at"), F.max(F.col("target_position") + seed + F.col("right")).alias("end"))
+    found = found.select("read_id", "part", "target_id", "strand", (F.col("target_at") - F.col("diagonal")).alias("read_at"), "target_at", (F.col("end") - F.col("target_at")).alias("length"))
+    return found.where(F.col("length") >= alen)
 
 
 @aligner(BUILT_IN)
 def longest_exact_match(reads: DataFrame, targets: DataFrame, k: int, alen: int, places: DataFrame | None = None) -> DataFrame:
     """Records of every dispatched read; flag 4 where no match has alen bases."""
-    found = matches(reads, targets, k, places).where(F.col("length") >= alen)
+    found = matches(reads, targets, k, places, alen)
     key = F.struct((-F.col("length")).alias("l"), "target_id", "strand", "target_at", "read_at")
     by_length = found.groupBy("read_id", "part", "length").agg(F.count("*").alias("n"), F.min_by(F.struct("target_id", "strand", "read_at", "target_at", "length"), key).alias("row"))
     best = by_length.groupBy("read_id", "part").agg(F.max_by(F.struct("n", "row"), "length").alias("best"))

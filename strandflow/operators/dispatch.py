@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kmers import distinct, key_pieces
+from ..functions.kmers import distinct, key_pieces, minimiser_pieces
 from ..functions.sequences import mate_suffix
 from ..storage import numbered, written
 
@@ -15,7 +15,12 @@ from ..storage import numbered, written
 BROADCAST_KMERS = 2_000_000
 
 
-def keys_of(rows: DataFrame, own: str, k: int, step: int = 1) -> DataFrame:
+def found_keys(seq: bytes, k: int, step: int = 1, window: int = 0):
+    """Keys of the k-mers at every step-th place, piece by piece; with a window of the least k-mer of each window instead."""
+    return minimiser_pieces(seq, k, window) if window else key_pieces(seq, k, step)
+
+
+def keys_of(rows: DataFrame, own: str, k: int, step: int = 1, window: int = 0) -> DataFrame:
     """(own, key) for the keys of each row's k-mers, distinct in each piece of a sequence; rows: own (a long or int), seq."""
     kind = rows.schema[own].dataType.simpleString()
 
@@ -24,7 +29,7 @@ def keys_of(rows: DataFrame, own: str, k: int, step: int = 1) -> DataFrame:
             ids, keys = [], []
             held = 0
             for i, seq in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
-                for found in key_pieces(seq, k, step) if seq else ():
+                for found in found_keys(seq, k, step, window) if seq else ():
                     keys.append(distinct(found))
                     ids.append(np.full(len(keys[-1]), i))
                     held += len(keys[-1])
@@ -41,7 +46,7 @@ def keys_of(rows: DataFrame, own: str, k: int, step: int = 1) -> DataFrame:
     return rows.select(own, "seq").mapInArrow(run, f"{own} {kind}, key long")
 
 
-def near(rows: DataFrame, own: str, k: int, wanted: DataFrame) -> DataFrame:
+def near(rows: DataFrame, own: str, k: int, wanted: DataFrame, window: int = 0) -> DataFrame:
     """keys_of the rows, only those among the wanted (key), of which there are at most BROADCAST_KMERS: they are
     sent to all tasks as one sorted array, so that no other key leaves the kernel."""
     kind = rows.schema[own].dataType.simpleString()
@@ -53,7 +58,7 @@ def near(rows: DataFrame, own: str, k: int, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             ids, found = [], []
             for i, seq in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
-                for piece in key_pieces(seq, k) if seq and len(keys) else ():
+                for piece in found_keys(seq, k, window=window) if seq and len(keys) else ():
                     piece = piece.view(np.int64)
                     hit = distinct(piece[keys[np.minimum(np.searchsorted(keys, piece), len(keys) - 1)] == piece])
                     if len(hit):
@@ -65,17 +70,19 @@ def near(rows: DataFrame, own: str, k: int, wanted: DataFrame) -> DataFrame:
     return rows.select(own, "seq").mapInArrow(run, f"{own} {kind}, key long")
 
 
-def exact(targets: DataFrame, reads: DataFrame, k: int, step: int, keys: DataFrame | None = None) -> DataFrame:
+def exact(targets: DataFrame, reads: DataFrame, k: int, step: int, keys: DataFrame | None = None, window: int = 0) -> DataFrame:
     """(read_id, part), distinct: some sampled k-mer of the read is in a target of the partition.
 
-    targets: part, seq; reads: read_id, seq; keys: the targets' (key, part) where an index has them."""
-    wanted = written(keys_of(reads, "read_id", k, step), "read-kmers")
+    With a window the k-mers are the least ones of each window of so many k-mers, of the reads and of the targets alike:
+    some 2 / (window + 1) of all. A read that shares window + k - 1 bases with a target is then sent to its partition, one
+    that shares less may be. targets: part, seq; reads: read_id, seq; keys: the targets' (key, part) where an index has them."""
+    wanted = written(keys_of(reads, "read_id", k, step, window), "read-kmers")
     if wanted.count() <= BROADCAST_KMERS:
         # The k-mers of the targets are neither shuffled nor kept.
-        there = keys if keys is not None else near(targets, "part", k, wanted.select("key").distinct())
+        there = keys if keys is not None else near(targets, "part", k, wanted.select("key").distinct(), window)
         return there.join(F.broadcast(wanted), "key").select("read_id", "part").distinct()
     # A k-mer common to many targets is one row for each partition before it meets the reads.
-    there = keys if keys is not None else keys_of(targets, "part", k).distinct()
+    there = keys if keys is not None else keys_of(targets, "part", k, window=window).distinct()
     return there.join(wanted, "key").select("read_id", "part").distinct()
 
 

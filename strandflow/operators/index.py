@@ -1,8 +1,8 @@
 """An index of partitioned targets that outlives the run that made it.
 
 Two bucketed tables in the shared folder serve dispatch and the built-in aligner: `keys` (key, part), each k-mer key
-once in a partition, bucketed by key; `places` (code, part, target_id, position), bucketed by partition and code. A
-Bloom bank (block, part, bits) may stand beside them, bucketed by block. Joins with them shuffle only what is asked;
+once in a partition (with dispatch by minimisers those alone), bucketed by key; `places`, the seeds of the built-in
+aligner with the bases around them (part, target_id, align.SEED), bucketed by partition and code. A Bloom bank (block, part, bits) may stand beside them, bucketed by block. Joins with them shuffle only what is asked;
 the targets' text is read when the index is built and by programs outside alone. A manifest, written last, names the
 settings and a digest of the targets: `opened` gives the index only where both are as wanted, so that a build that
 died is done again and an index of other targets is never used.
@@ -17,14 +17,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import AlignConfig
-from ..functions.kmers import MOST_K
 from ..storage import digest, exists, shared_dir
 from . import bloom
-from .align import positioned
+from .align import SEED, positioned, seeds
 from .dispatch import keys_of
 
-MANIFEST = "k long, alen long, step long, ibits long, nhash long, parts long, dispatch string, digest string, buckets int, blocks long"
-TABLES = {"keys": ("key long, part int", "key"), "places": ("code long, part int, target_id long, position int", "part, code"), "bank": ("block long, part int, bits binary", "block")}
+#: Changes with the tables' columns: an index of another layout is built anew.
+LAYOUT = 2
+MANIFEST = "layout long, k long, alen long, step long, ibits long, nhash long, parts long, dispatch string, digest string, buckets int, blocks long"
+TABLES = {"keys": ("key long, part int", "key"), "places": ("part int, target_id long, " + ", ".join(f"{name} {kind}" for name, kind in SEED.items()), "part, code"), "bank": ("block long, part int, bits binary", "block")}
 
 
 @dataclass(frozen=True)
@@ -51,7 +52,7 @@ def typed(targets: DataFrame) -> DataFrame:
 
 
 def settings(config: AlignConfig) -> dict:
-    return {"k": config.bmer, "alen": config.alen, "step": config.step, "ibits": config.ibits, "nhash": config.nhash, "parts": config.partitions, "dispatch": config.dispatch}
+    return {"layout": LAYOUT, "k": config.bmer, "alen": config.alen, "step": config.step, "ibits": config.ibits, "nhash": config.nhash, "parts": config.partitions, "dispatch": config.dispatch}
 
 
 def table(spark: SparkSession, folder: str, kind: str, buckets: int) -> str:
@@ -81,8 +82,8 @@ def build(targets: DataFrame, config: AlignConfig, folder: str | None = None, bu
     own = typed(targets)
     own.write.mode("overwrite").parquet(f"{folder}/targets")
     own = spark.read.schema(own.schema).parquet(f"{folder}/targets")
-    keys = filled(keys_of(own, "part", config.bmer).distinct(), folder, "keys", buckets)
-    places = filled(positioned(own, ["part", "target_id"], min(config.bmer, MOST_K), False), folder, "places", buckets)
+    keys = filled(keys_of(own, "part", config.bmer, window=config.window).distinct(), folder, "keys", buckets)
+    places = filled(positioned(own, ["part", "target_id"], *seeds(config.bmer, config.alen), False), folder, "places", buckets)
     bank, blocks = None, 0
     if config.dispatch == "bloom":
         blocks = bloom.n_blocks(own, config.bmer, config.ibits)

@@ -32,8 +32,8 @@ def sent_to(reads: DataFrame, targets: DataFrame, config: AlignConfig, index: Ta
     """(read_id, part) by the run's way of dispatching; of a read by Bloom filters only what its k-mers confirm."""
     k, step = config.bmer, config.step
     keys = index.keys if index else None
-    if config.dispatch == "exact":
-        return exact(targets, reads, k, step, keys)
+    if config.dispatch != "bloom":
+        return exact(targets, reads, k, step, keys, config.window)
     blocks = index.blocks if index else bloom.n_blocks(targets, k, config.ibits)
     bank = index.bank if index else bloom.build(targets, k, blocks, config.nhash)
     found = written(bloom.probe(bank, reads, k, step, blocks, config.nhash), "candidates")
