@@ -126,6 +126,10 @@ def key_pieces(seq: bytes, k: int, step: int = 1, most: int = PIECE) -> Iterator
         yield piece_keys(piece, k, step, begin)
 
 
+#: Above the mixed key of any k-mer.
+NO_KMER = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
 def mixed(values: np.ndarray) -> np.ndarray:
     """The values in an order that has nothing to do with their letters (one to one)."""
     with np.errstate(over="ignore"):
@@ -135,7 +139,7 @@ def mixed(values: np.ndarray) -> np.ndarray:
 
 
 def minimiser_pieces(seq: bytes, k: int, window: int, most: int = PIECE) -> Iterator[np.ndarray]:
-    """Keys, as key_pieces has them, of the least k-mer (by `mixed`) of each window of `window` k-mers, piece by piece.
+    """The least of the `mixed` keys (of key_pieces) of each window of `window` k-mers, piece by piece.
 
     Two sequences that share window + k - 1 bases, on whichever strands, share such a key. A k-mer with an N is never
     the least: no window that is shared by its bases has one."""
@@ -150,12 +154,25 @@ def minimiser_pieces(seq: bytes, k: int, window: int, most: int = PIECE) -> Iter
             at = np.flatnonzero(unknown[k:] == unknown[:-k])
             forward, backward = kmer_windows(normal, k)
             keys[at] = murmur64a(canonical_windows(forward[at], backward[at]), 0) | np.uint64(1 << 63)
-        rank = np.full(len(keys), np.uint64(0xFFFFFFFFFFFFFFFF))
-        rank[at] = mixed(keys[at])
-        whole = np.zeros(len(keys), bool)
-        whole[at] = True
-        least = distinct(np.lib.stride_tricks.sliding_window_view(rank, window).argmin(axis=1) + np.arange(len(keys) - window + 1))
-        yield keys[least[whole[least]]]
+        least = np.full(len(keys), NO_KMER)
+        least[at] = np.minimum(mixed(keys[at]), NO_KMER - np.uint64(1))
+        # Windows of 1, 2, 4, ... k-mers, then two that overlap.
+        width = 1
+        while 2 * width <= window:
+            least = np.minimum(least[:-width], least[width:])
+            width *= 2
+        least = np.minimum(least[: len(keys) - window + 1], least[window - width :])
+        least = distinct(least)
+        yield least[least != NO_KMER]
+
+
+def codes_at(base: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Codes of the k-mers at the places, all of bases."""
+    base = base.astype(np.uint64)
+    out = np.zeros(len(at), np.uint64)
+    for i in range(k):
+        out = (out << np.uint64(2)) | base[at + i]
+    return out
 
 
 def around(base: np.ndarray, at: np.ndarray, k: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

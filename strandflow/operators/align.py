@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.kmers import CODE, COMPLEMENT, MOST_K, NORMAL, PIECE, around, codes
+from ..functions.kmers import CODE, COMPLEMENT, MOST_K, NORMAL, PIECE, around, codes_at
 from ..functions.records import FIELDS, parsed, tabbed
 from ..storage import written
 from .dispatch import BROADCAST_KMERS
@@ -85,11 +85,12 @@ def positioned(rows: DataFrame, columns: list[str], k: int, apart: int, both_str
         for begin in range(0, max(0, len(seq) - k + 1), PIECE):
             first = max(0, begin - apart + 1)
             piece = seq[first : begin + PIECE + k + apart - 2]
-            values, places = codes(piece, k)
-            own = (places >= begin - first) & (places < begin - first + PIECE)
-            own &= both_strands | ((first + places) % apart == 0)
-            places = places[own]
-            yield (first + places).astype(np.int32), values[own].view(np.int64), *around(CODE[np.frombuffer(piece, np.uint8)], places, k, apart - 1)
+            base = CODE[np.frombuffer(piece, np.uint8)]
+            step = 1 if both_strands else apart
+            places = np.arange(begin + -begin % step, min(begin + PIECE, len(seq) - k + 1), step) - first
+            bad = np.concatenate(([0], np.cumsum(base > 3)))
+            places = places[bad[places] == bad[places + k]]
+            yield (first + places).astype(np.int32), codes_at(base, places, k).view(np.int64), *around(base, places, k, apart - 1)
 
     def rows_of(batch, at, strands, found):
         rows_at = pa.array(np.concatenate(at))
