@@ -46,10 +46,10 @@ def distinct_rows(piece: bytes, k: int) -> np.ndarray:
     return np.concatenate(found)
 
 
-def bits_of(rows: np.ndarray, blocks: int, nhash: int) -> tuple[np.ndarray, np.ndarray]:
+def bits_of(rows: np.ndarray, blocks: int, nhash: int, block_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The block of each k-mer, and its bits there (a row of nhash)."""
     hashes = [murmur64a(rows, seed) for seed in range(nhash)]
-    bits = np.stack([(h >> np.uint64(32)) % np.uint64(BLOCK_BITS) for h in hashes], axis=1)
+    bits = np.stack([(h >> np.uint64(32)) % np.uint64(block_bits) for h in hashes], axis=1)
     return (hashes[0] % np.uint64(blocks)).astype(np.int64), bits.astype("<u4")
 
 
@@ -60,10 +60,10 @@ def build(targets: DataFrame, k: int, blocks: int, nhash: int) -> DataFrame:
     the bits' places, or the whole block where that is smaller. Blocks are then put together."""
 
     def partial_blocks(part: int, found: list[np.ndarray]) -> pa.RecordBatch:
-        block, bits = bits_of(np.concatenate(found), blocks, nhash)
+        block, bits = bits_of(np.concatenate(found), blocks, nhash, BLOCK_BITS)
         places = distinct((block[:, None] * BLOCK_BITS + bits).reshape(-1))
         begins = np.flatnonzero(np.diff(places // BLOCK_BITS, prepend=-1))
-        own = [packed((x % BLOCK_BITS).astype("<u4")) for x in np.split(places, begins[1:])]
+        own = [packed((x % BLOCK_BITS).astype("<u4"), BLOCK_BITS) for x in np.split(places, begins[1:])]
         return pa.RecordBatch.from_arrays([pa.array(places[begins] // BLOCK_BITS), pa.array(np.full(len(begins), part, np.int32)), pa.array(own, pa.binary())], names=["block", "part", "bits"])
 
     def partial(batches):
@@ -81,26 +81,26 @@ def build(targets: DataFrame, k: int, blocks: int, nhash: int) -> DataFrame:
     def whole(key, table):
         bits = np.zeros(BLOCK_BITS // 8, np.uint8)
         for own in table.column("bits").to_pylist():
-            bits |= unpacked(own)
+            bits |= unpacked(own, BLOCK_BITS)
         return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "part": pa.array([key[1].as_py()], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary())})
 
     found = targets.select(F.col("part").cast("int"), "seq").mapInArrow(partial, "block long, part int, bits binary")
     return found.groupBy("block", "part").applyInArrow(whole, "block long, part int, bits binary")
 
 
-def packed(places: np.ndarray) -> bytes:
+def packed(places: np.ndarray, block_bits: int) -> bytes:
     """Places of bits in a block, or the block itself where it is no longer than they are."""
-    if 4 * len(places) < BLOCK_BITS // 8:
+    if 4 * len(places) < block_bits // 8:
         return places.tobytes()
-    bits = np.zeros(BLOCK_BITS, bool)
+    bits = np.zeros(block_bits, bool)
     bits[places] = True
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def unpacked(own: bytes) -> np.ndarray:
-    if len(own) == BLOCK_BITS // 8:
+def unpacked(own: bytes, block_bits: int) -> np.ndarray:
+    if len(own) == block_bits // 8:
         return np.frombuffer(own, np.uint8)
-    bits = np.zeros(BLOCK_BITS, bool)
+    bits = np.zeros(block_bits, bool)
     bits[np.frombuffer(own, "<u4")] = True
     return np.packbits(bits, bitorder="little")
 
@@ -115,7 +115,7 @@ def probe(bank: DataFrame, reads: DataFrame, k: int, step: int, blocks: int, nha
             for read_id, seq in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 rows = canonical_rows(seq or b"", k, step)
                 for a in range(0, len(rows), ROUND_KMERS):
-                    block, bits = bits_of(rows[a : a + ROUND_KMERS], blocks, nhash)
+                    block, bits = bits_of(rows[a : a + ROUND_KMERS], blocks, nhash, BLOCK_BITS)
                     raw = np.ascontiguousarray(bits).tobytes()
                     width = 4 * nhash
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(block), read_id, np.int64)), pa.array(block), pa.array([raw[i : i + width] for i in range(0, len(raw), width)], pa.binary())], names=["read_id", "block", "bits"])
