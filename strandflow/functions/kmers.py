@@ -38,21 +38,23 @@ def codes(seq: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
     base = CODE[np.frombuffer(seq, np.uint8)]
     bad = np.concatenate(([0], np.cumsum(base > 3)))
     whole = np.flatnonzero(bad[k:] == bad[:-k])
-    base = base.astype(np.uint64)
-    out = np.zeros(n, np.uint64)
-    for i in range(k):
-        out = (out << np.uint64(2)) | (base[i : i + n] & np.uint64(3))
-    return out[whole], whole
+    # Codes of 1, 2, 4, ... bases, then two that overlap.
+    out, width = base.astype(np.uint64) & np.uint64(3), 1
+    while 2 * width <= k:
+        out = (out[:-width] << np.uint64(2 * width)) | out[width:]
+        width *= 2
+    if width < k:
+        more = k - width
+        out = (out[:n] << np.uint64(2 * more)) | (out[more:] & np.uint64((1 << 2 * more) - 1))
+    return (out, whole) if len(whole) == n else (out[whole], whole)
 
 
 def reverse_codes(values: np.ndarray, k: int) -> np.ndarray:
     """Codes of the reverse complements."""
-    out = np.zeros_like(values)
-    left = ~values
-    for _ in range(k):
-        out = (out << np.uint64(2)) | (left & np.uint64(3))
-        left = left >> np.uint64(2)
-    return out
+    out = ~values
+    for shift, mask in ((2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F)):
+        out = ((out >> np.uint64(shift)) & np.uint64(mask)) | ((out & np.uint64(mask)) << np.uint64(shift))
+    return out.byteswap() >> np.uint64(64 - 2 * k)
 
 
 def canonical_codes(seq: bytes, k: int, step: int = 1) -> np.ndarray:
@@ -104,17 +106,22 @@ def piece_keys(piece: bytes, k: int, step: int, begin: int) -> np.ndarray:
         exact = np.minimum(values, reverse_codes(values, k))
         left[at] = False
     at = np.flatnonzero(left)
-    if not len(at):
-        return exact
+    return np.concatenate((exact, hashed_keys(normal, k, at))) if len(at) else exact
+
+
+def hashed_keys(normal: bytes, k: int, at: np.ndarray) -> np.ndarray:
+    """Keys of the k-mers at those places that have no code: a hash with the top bit set."""
     # k-mers of N alone have one key between them, however many there are.
     unknown = np.concatenate(([0], np.cumsum(np.frombuffer(normal, np.uint8) == ord("N"))))
     empty = unknown[at + k] - unknown[at] == k
     forward, backward = kmer_windows(normal, k)
     own = at[~empty]
-    hashed = [murmur64a(canonical_windows(forward[own], backward[own]), 0)] if len(own) else []
+    hashed = [np.zeros(0, np.uint64)]
+    if len(own):
+        hashed.append(murmur64a(canonical_windows(forward[own], backward[own]), 0))
     if empty.any():
         hashed.append(np.repeat(murmur64a(np.full((1, k), ord("N"), np.uint8), 0), int(empty.sum())))
-    return np.concatenate((exact, np.concatenate(hashed) | np.uint64(1 << 63)))
+    return np.concatenate(hashed) | np.uint64(1 << 63)
 
 
 def key_pieces(seq: bytes, k: int, step: int = 1, most: int = PIECE) -> Iterator[np.ndarray]:
@@ -156,13 +163,7 @@ def minimiser_pieces(seq: bytes, k: int, window: int, most: int = PIECE) -> Iter
             keys[at] = murmur64a(canonical_windows(forward[at], backward[at]), 0) | np.uint64(1 << 63)
         least = np.full(len(keys), NO_KMER)
         least[at] = np.minimum(mixed(keys[at]), NO_KMER - np.uint64(1))
-        # Windows of 1, 2, 4, ... k-mers, then two that overlap.
-        width = 1
-        while 2 * width <= window:
-            least = np.minimum(least[:-width], least[width:])
-            width *= 2
-        least = np.minimum(least[: len(keys) - window + 1], least[window - width :])
-        least = distinct(least)
+        least = distinct(sliding(np.minimum, least, window))
         yield least[least != NO_KMER]
 
 
@@ -190,6 +191,74 @@ def around(base: np.ndarray, at: np.ndarray, k: int, most: int) -> tuple[np.ndar
     return before, behind, np.minimum(most, at - 1 - last[at]).astype(np.int8), np.minimum(most, following[at + k] - at - k).astype(np.int8)
 
 
+#: Bases of an anchor, and those beside it that a code holds.
+ANCHOR, BESIDE = 15, 31
+
+
+def anchor_length(k: int) -> int:
+    """Bases of the anchors of k-mers: odd, so that none is its own reverse complement; 0 where k-mers are too long for them."""
+    m = max(min(k, ANCHOR), k - BESIDE)
+    m += 0 if m % 2 else 1 if m < k else -1
+    return m if 0 < m <= MOST_K else 0
+
+
+def sliding(pick, values: np.ndarray, window: int) -> np.ndarray:
+    """pick (np.minimum or np.maximum) over each window of values: windows of 1, 2, 4, ... values, then two that overlap."""
+    n, width = len(values) - window + 1, 1
+    while 2 * width <= window:
+        values = pick(values[:-width], values[width:])
+        width *= 2
+    return pick(values[:n], values[window - width :])
+
+
+Anchors = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def anchors(piece: bytes, k: int, step: int = 0, begin: int = 0) -> Anchors:
+    """key, before, behind, n_before, n_behind of the anchors of a piece's k-mers, which begins at `begin` of its sequence.
+
+    The anchor of a k-mer is the shorter m-mer in it (on whichever strand) that is the least of the `mixed` canonical
+    codes. Neighbours share theirs, so that an anchor with the k - m bases on both sides stands for all the k-mers around
+    it. Without a step these are the places of all anchors, ties included; with one, the k-mers at multiples of step of the
+    sequence one by one, each with the bases that belong to it alone. Bases are those of the strand on which the anchor is
+    canonical, two bits each, the nearest lowest, and zero beyond n_before and n_behind. k-mers that have no anchor (with
+    an N, or too long) have their hashed key, and no bases beside it."""
+    m = anchor_length(k)
+    normal = piece.upper().translate(NORMAL)
+    n = len(normal) - k + 1
+    base = CODE[np.frombuffer(normal, np.uint8)]
+    bad = np.concatenate(([0], np.cumsum(base > 3)))
+    whole = bad[k:] == bad[:-k] if m else np.zeros(n, bool)
+    wanted = (begin + np.arange(n)) % step == 0 if step else np.ones(n, bool)
+    rest = hashed_keys(normal, k, np.flatnonzero(wanted & ~whole))
+    at, first = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if (wanted & whole).any():
+        # Letters that are no base stand for A here: k-mers with one take no part.
+        code, _ = codes(normal.replace(b"N", b"A"), m)
+        rank = np.minimum(mixed(np.minimum(code, reverse_codes(code, m))), NO_KMER - np.uint64(1)) + np.uint64(1)
+        least = sliding(np.minimum, rank, k - m + 1)
+        if step:
+            first = np.flatnonzero(wanted & whole)
+            at = first + (np.lib.stride_tricks.sliding_window_view(rank, k - m + 1)[first] == least[first][:, None]).argmax(axis=1)
+        else:
+            beside = np.zeros(k - m, np.uint64)
+            at = np.flatnonzero(sliding(np.maximum, np.concatenate((beside, np.where(whole, least, np.uint64(0)), beside)), k - m + 1) == rank)
+    if len(at):
+        before, behind, n_before, n_behind = around(base, at, m, k - m)
+        if step:
+            n_before, n_behind = (at - first).astype(np.int8), (first + k - m - at).astype(np.int8)
+        forward = code[at]
+        backward = reverse_codes(forward, m)
+        turned, all_bases = backward < forward, np.int64((1 << 2 * (k - m)) - 1)
+        before, behind = np.where(turned, behind ^ all_bases, before), np.where(turned, before ^ all_bases, behind)
+        n_before, n_behind = np.where(turned, n_behind, n_before), np.where(turned, n_before, n_behind)
+        cut = lambda bases, number: bases & ((np.int64(1) << 2 * number.astype(np.int64)) - 1)
+        found = (np.minimum(forward, backward), cut(before, n_before), cut(behind, n_behind), n_before, n_behind)
+    else:
+        found = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int8), np.zeros(0, np.int8))
+    return tuple(np.concatenate((x, rest if not i else np.zeros(len(rest), x.dtype))) for i, x in enumerate(found))
+
+
 def kmer_keys(seq: bytes, k: int, step: int = 1) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.uint64), *key_pieces(seq, k, step)])
 

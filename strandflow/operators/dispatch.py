@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kmers import distinct, key_pieces, minimiser_pieces
+from ..functions.kmers import anchors, distinct, key_pieces, minimiser_pieces, pieces
 from ..functions.sequences import mate_suffix
 from ..storage import numbered, written
 
@@ -46,6 +46,48 @@ def keys_of(rows: DataFrame, own: str, k: int, step: int = 1, window: int = 0) -
     return rows.select(own, "seq").mapInArrow(run, f"{own} {kind}, key long")
 
 
+#: What an anchor (see kmers.anchors) has besides its key.
+BESIDE = {"before": "long", "behind": "long", "n_before": "tinyint", "n_behind": "tinyint"}
+
+
+def anchors_of(rows: DataFrame, own: str, k: int, step: int = 0) -> DataFrame:
+    """(own, key, BESIDE): the anchors of each row's k-mers, or with a step those of the k-mers at every step-th place."""
+    kind = rows.schema[own].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            at, found, held = [], [], 0
+            for i, seq in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
+                for begin, piece in pieces(seq or b"", k):
+                    found.append(anchors(piece, k, step, begin))
+                    at.append(np.full(len(found[-1][0]), i))
+                    held += len(at[-1])
+                    if held > 1 << 18:
+                        yield rows_of(batch, at, found)
+                        at, found, held = [], [], 0
+            if held:
+                yield rows_of(batch, at, found)
+
+    def rows_of(batch, at, found):
+        key, *beside = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(at))), pa.array(key.view(np.int64)), *map(pa.array, beside)], names=[own, "key", *BESIDE])
+
+    return rows.select(own, "seq").mapInArrow(run, f"{own} {kind}, key long, " + ", ".join(f"{name} {kind}" for name, kind in BESIDE.items()))
+
+
+def at_anchors(there: DataFrame, wanted: DataFrame, *by: str) -> DataFrame:
+    """Rows of the targets' anchors (part, key, BESIDE) with those of the reads' k-mers (read_id, key, BESIDE) that lie in the bases
+    around them; by: what else must be equal. A few wanted ones are sent to all tasks."""
+    asked = wanted.withColumnsRenamed({name: f"read_{name}" for name in BESIDE})
+    asked = F.broadcast(asked) if wanted.count() <= BROADCAST_KMERS else asked
+    inside = F.lit(True)
+    for side in ("before", "behind"):
+        n = F.col(f"read_n_{side}").cast("int")
+        own = F.expr(f"shiftleft(1L, 2 * cast(read_n_{side} as int)) - 1")
+        inside = inside & (F.col(f"n_{side}") >= n) & (F.col(side).bitwiseAND(own) == F.col(f"read_{side}"))
+    return there.join(asked, ["key", *by]).where(inside)
+
+
 def near(rows: DataFrame, own: str, k: int, wanted: DataFrame, window: int = 0) -> DataFrame:
     """keys_of the rows, only those among the wanted (key), of which there are at most BROADCAST_KMERS: they are
     sent to all tasks as one sorted array, so that no other key leaves the kernel."""
@@ -75,7 +117,10 @@ def exact(targets: DataFrame, reads: DataFrame, k: int, step: int, keys: DataFra
 
     With a window the k-mers are the least ones of each window of so many k-mers, of the reads and of the targets alike:
     some 2 / (window + 1) of all. A read that shares window + k - 1 bases with a target is then sent to its partition, one
-    that shares less may be. targets: part, seq; reads: read_id, seq; keys: the targets' (key, part) where an index has them."""
+    that shares less may be. targets: part, seq; reads: read_id, seq; keys: where an index has them, the targets' anchors
+    (part, key, BESIDE), with a window their (key, part)."""
+    if keys is not None and not window:
+        return at_anchors(keys, written(anchors_of(reads, "read_id", k, step), "read-kmers")).select("read_id", "part").distinct()
     wanted = written(keys_of(reads, "read_id", k, step, window), "read-kmers")
     if wanted.count() <= BROADCAST_KMERS:
         # The k-mers of the targets are neither shuffled nor kept.

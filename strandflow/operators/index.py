@@ -1,7 +1,8 @@
 """An index of partitioned targets that outlives the run that made it.
 
-Two bucketed tables in the shared folder serve dispatch and the built-in aligner: `keys` (key, part), each k-mer key
-once in a partition (with dispatch by minimisers those alone), bucketed by key; `places`, the seeds of the built-in
+Two bucketed tables in the shared folder serve dispatch and the built-in aligner: `keys`, the anchors of the targets'
+k-mers with the bases beside them (part, key, dispatch.BESIDE), each once in a partition, which tell exactly what k-mers
+the partition holds in fewer rows than these are, bucketed by key (`minimisers` (key, part) with dispatch by them); `places`, the seeds of the built-in
 aligner with the bases around them (part, target_id, align.SEED), bucketed by partition and code. A Bloom bank (block, part, bits) may stand beside them, bucketed by block. Joins with them shuffle only what is asked;
 the targets' text is read when the index is built and by programs outside alone. A manifest, written last, names the
 settings and a digest of the targets: `opened` gives the index only where both are as wanted, so that a build that
@@ -20,12 +21,13 @@ from ..config import AlignConfig
 from ..storage import digest, exists, shared_dir
 from . import bloom
 from .align import SEED, positioned, seeds
-from .dispatch import keys_of
+from .dispatch import BESIDE, anchors_of, keys_of
 
 #: Changes with the tables' columns: an index of another layout is built anew.
-LAYOUT = 2
+LAYOUT = 3
 MANIFEST = "layout long, k long, alen long, step long, ibits long, nhash long, parts long, dispatch string, digest string, buckets int, blocks long"
-TABLES = {"keys": ("key long, part int", "key"), "places": ("part int, target_id long, " + ", ".join(f"{name} {kind}" for name, kind in SEED.items()), "part, code"), "bank": ("block long, part int, bits binary", "block")}
+columns_of = lambda kinds: ", ".join(f"{name} {kind}" for name, kind in kinds.items())
+TABLES = {"keys": ("part int, key long, " + columns_of(BESIDE), "key"), "minimisers": ("key long, part int", "key"), "places": ("part int, target_id long, " + columns_of(SEED), "part, code"), "bank": ("block long, part int, bits binary", "block")}
 
 
 @dataclass(frozen=True)
@@ -55,21 +57,26 @@ def settings(config: AlignConfig) -> dict:
     return {"layout": LAYOUT, "k": config.bmer, "alen": config.alen, "step": config.step, "ibits": config.ibits, "nhash": config.nhash, "parts": config.partitions, "dispatch": config.dispatch}
 
 
+def kind_of_keys(config: AlignConfig) -> str:
+    return "minimisers" if config.window else "keys"
+
+
 def table(spark: SparkSession, folder: str, kind: str, buckets: int) -> str:
     """The bucketed table of that kind in the folder, by a name of its own in the session's catalogue."""
     columns, by = TABLES[kind]
     name = f"strandflow_{kind}_{uuid.uuid4().hex}"
     place = f"{folder}/{kind}".replace("'", r"\'")
-    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS LOCATION '{place}'")
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet OPTIONS (compression 'zstd') CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS LOCATION '{place}'")
     return name
 
 
-def filled(rows: DataFrame, folder: str, kind: str, buckets: int) -> DataFrame:
-    """The rows in the bucketed table: one file a bucket."""
+def filled(rows: DataFrame, folder: str, kind: str, buckets: int, once: bool = False) -> DataFrame:
+    """The rows in the bucketed table: one file a bucket. once: equal rows only once, found where they were dealt to."""
     by = TABLES[kind][1].split(", ")
     name = table(rows.sparkSession, folder, kind, buckets)
     columns = [c.split(" ")[0] for c in TABLES[kind][0].split(", ")]
-    rows.select(*columns).repartition(buckets, *by).write.insertInto(name, overwrite=True)
+    dealt = rows.select(*columns).repartition(buckets, *by)
+    (dealt.distinct() if once else dealt).write.insertInto(name, overwrite=True)
     return rows.sparkSession.table(name)
 
 
@@ -80,9 +87,10 @@ def build(targets: DataFrame, config: AlignConfig, folder: str | None = None, bu
     folder = folder or f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = typed(targets)
-    own.write.mode("overwrite").parquet(f"{folder}/targets")
+    own.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/targets")
     own = spark.read.schema(own.schema).parquet(f"{folder}/targets")
-    keys = filled(keys_of(own, "part", config.bmer, window=config.window).distinct(), folder, "keys", buckets)
+    keys = keys_of(own, "part", config.bmer, window=config.window) if config.window else anchors_of(own, "part", config.bmer)
+    keys = filled(keys, folder, kind_of_keys(config), buckets, once=True)
     places = filled(positioned(own, ["part", "target_id"], *seeds(config.bmer, config.alen), False), folder, "places", buckets)
     bank, blocks = None, 0
     if config.dispatch == "bloom":
@@ -103,7 +111,7 @@ def opened(spark: SparkSession, folder: str, config: AlignConfig, source: str |
         return None
     own = lambda kind: spark.table(table(spark, folder, kind, made["buckets"]))
     targets = spark.read.schema("part int, target_id long, name string, seq string").parquet(f"{folder}/targets")
-    return TargetIndex(config, folder, own("keys"), own("places"), targets, own("bank") if config.dispatch == "bloom" else None, made["blocks"], made["digest"])
+    return TargetIndex(config, folder, own(kind_of_keys(config)), own("places"), targets, own("bank") if config.dispatch == "bloom" else None, made["blocks"], made["digest"])
 
 
 def opened_or_built(spark: SparkSession, folder: str, config: AlignConfig, source: str, partitioned, buckets: int | None = None) -> TargetIndex:
