@@ -59,6 +59,10 @@ def spread_out(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+#: Runs of equal values (of `within`, in the tasks) up to which they are sent to every executor.
+BROADCAST_RUNS = 100_000
+
+
 def numbered(df: DataFrame, *order: Column | str, name: str = "ordinal", within: str | None = None) -> DataFrame:
     """df with a dense number from 0 in the given order (in each value of `within`, by which it then sorts first).
 
@@ -67,10 +71,17 @@ def numbered(df: DataFrame, *order: Column | str, name: str = "ordinal", within:
     keys = [*([within] if within else []), *order]
     placed = written(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_place", F.monotonically_increasing_id()), "ranged")
     placed = placed.withColumn("_task", F.shiftright("_place", 33)).withColumn("_local", F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)))
-    tasks = placed.groupBy("_task").agg(F.count("*").alias("_n"))
-    before = tasks.select("_task", F.coalesce(F.sum("_n").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    out = placed.join(F.broadcast(before), "_task").withColumn(name, F.col("_before") + F.col("_local"))
-    if within:
-        first = out.groupBy(F.col(within).alias("_within")).agg(F.min(name).alias("_first"))
-        out = out.join(first, F.col(within).eqNullSafe(F.col("_within"))).withColumn(name, F.col(name) - F.col("_first")).drop("_within", "_first")
-    return out.drop("_place", "_task", "_local", "_before")
+    # The rows of a task that have one value of `within` stand together: a run of them begins at _first in its task.
+    own = [F.col(within).alias("_within")] if within else []
+    runs = placed.groupBy("_task", *own).agg(F.count("*").alias("_n"), F.min("_local").alias("_first"))
+    if not within:
+        before = F.sum("_n").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))  # a row for each task
+        runs = runs.select("_task", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_before"))
+        return placed.join(F.broadcast(runs), "_task").withColumn(name, F.col("_before") + F.col("_local")).drop("_place", "_task", "_local", "_before")
+    before = F.sum("_n").over(Window.partitionBy("_within").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))
+    runs = written(runs.select(F.col("_task").alias("_run"), "_within", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_before")), "runs")
+    # A row for each value and each task that it goes on in: few values are sent to all tasks, else both sides are dealt by task
+    # and value, so that no task has more than a range whatever a value's share.
+    runs = F.broadcast(runs) if runs.count() <= BROADCAST_RUNS else runs
+    out = placed.join(runs, (F.col("_task") == F.col("_run")) & F.col(within).eqNullSafe(F.col("_within")))
+    return out.withColumn(name, F.col("_before") + F.col("_local")).drop("_place", "_task", "_local", "_run", "_within", "_before")
