@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..storage import numbered, written
-from .graph import reach_components
+from .graph import dealt, reach_components
 
 #: (bin, how many of a run go there), one after another.
 Runs = list[tuple[int | None, int]]
@@ -149,7 +149,7 @@ def pack_components(vertices: DataFrame, edges: DataFrame, parts: int, fallback:
     Components longer than a bin come first, and so settle what room the others have; those go by their lengths as
     targets do, and their members join them."""
     vertices = written(vertices.select(F.col("id").cast("long"), F.col("len").cast("long")), "vertices")
-    comps = written(reach_components(vertices, edges).join(vertices, "id").select("id", "len", F.col("comp_id").cast("long")), "members")
+    comps = written(reach_components(vertices, edges).join(dealt(vertices), "id").select("id", "len", F.col("comp_id").cast("long")), "members")
     sizes = written(comps.groupBy("comp_id").agg(F.sum("len").cast("long").alias("length")), "component-lengths")
     total = vertices.agg(F.coalesce(F.sum("len"), F.lit(0)).cast("long")).first()[0]
     bins = Bins(total, parts, fallback)
@@ -162,7 +162,7 @@ def pack_components(vertices: DataFrame, edges: DataFrame, parts: int, fallback:
     small = sizes.where(F.col("length") <= bins.size)
     found = written(ranges(small.groupBy("length").agg(F.count("*").alias("n")), total, parts, fallback, bins.left), "ranges")
     whole = placed(ranked(small, "length", "comp_id"), found).select("comp_id", "part")
-    return out.unionByName(comps.join(whole, "comp_id").select("id", "part"))
+    return out.unionByName(comps.join(dealt(whole), "comp_id").select("id", "part"))
 
 
 #: A sequence is summed up in at most so many blocks, of at least so many rows.

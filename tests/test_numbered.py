@@ -26,3 +26,13 @@ def test_a_value_that_most_rows_have_is_not_dealt_to_one_task(spark, monkeypatch
     for value in (None, 1, 2):
         own = sorted((r.ordinal, r.v) for r in found if r.g == value)
         assert [n for n, _ in own] == list(range(len(own))) and [v for _, v in own] == sorted(v for _, v in own)
+
+
+def test_rounds_of_components_send_no_table_to_the_driver(spark):
+    from strandflow.operators import graph
+
+    labels = storage.written(spark.range(100).selectExpr("id", "id comp_id", "id up", "id down"), "labels")
+    edges = storage.written(spark.range(100).selectExpr("id src", "id dst"), "graph")
+    for df in (graph.shortened(labels, edges, labels.select("id", "comp_id")), graph.pointed(labels.select("id", "comp_id"), edges, 0)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "SortMergeJoin" in plan
