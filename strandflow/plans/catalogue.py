@@ -170,7 +170,7 @@ def q08(spark, d):
 def bloom_candidates(spark, d):
     own = targets(spark, d).select("part", "seq")
     blocks = bloom.n_blocks(own, K, CONFIG.ibits)
-    return bloom.probe(bloom.build(own, K, blocks, CONFIG.nhash), reads(spark, d), K, STEP, blocks, CONFIG.nhash)
+    return bloom.candidates(own, reads(spark, d), K, STEP, blocks, CONFIG.nhash)
 
 
 def q09(spark, d):
@@ -399,14 +399,15 @@ def q25_files(spark, d):
 
 
 def q28_sam(spark, d):
-    """Each partition's records as a file with a head, and read again."""
+    """Each partition's records as files with a head, in order over their names, and read again."""
     folder = new_folder(spark, "sam")
     own = written(records(spark, d), "records")
+    names = targets(spark, d).select(F.col("target_id").alias("place"), "name", F.length("seq").alias("len"))
+    head = written(header.header(names).select(F.lit(0).alias("body"), "ord", "line"), "head")
     out = None
     for part in range(PARTS):
-        head = header.header(targets(spark, d).select(F.col("target_id").alias("place"), "name", F.length("seq").alias("len"))).select(F.lit(0).alias("body"), "ord", "line")
         body = own.where(F.col("part") == part).select(F.lit(1).alias("body"), "ord", F.concat(F.col("read_id").cast("string"), F.lit(":"), "raw").alias("line"))
-        writers.lines_in_order(head.unionByName(body), f"{folder}/{part}", "body", "ord", compression="gzip" if part % 2 else "none", one_file=True)
+        writers.lines_in_order(head.unionByName(body), f"{folder}/{part}", "body", "ord", compression="gzip" if part % 2 else "none")
         found = readers.sam(spark, f"{folder}/{part}", part)
         out = found if out is None else out.unionByName(found)
     return out.select("read_id", "part", "ord", "flag", "rname", "pos", "mapq", "cigar", "tags", "raw")
