@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -263,28 +263,45 @@ def kmer_keys(seq: bytes, k: int, step: int = 1) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.uint64), *key_pieces(seq, k, step)])
 
 
+#: The four letters of each code of four bases, as a word.
+FOUR = np.frombuffer(bytes(b"ACGT"[code >> shift & 3] for code in range(256) for shift in (6, 4, 2, 0)), np.uint32)
+
+
 def letters(values: np.ndarray, k: int) -> np.ndarray:
     """The k-mers' letters, a row of k bytes each."""
-    shifts = np.arange(2 * (k - 1), -2, -2, dtype=np.uint64)
-    return np.frombuffer(b"ACGT", np.uint8)[(values[:, None] >> shifts & np.uint64(3)).astype(np.int64)]
+    words = -(-k // 4)
+    values = values << np.uint64(2 * (4 * words - k))
+    out = np.stack([FOUR[((values >> np.uint64(8 * (words - 1 - i))) & np.uint64(255)).astype(np.intp)] for i in range(words)], axis=1)
+    return np.ascontiguousarray(out.view(np.uint8)[:, :k])
 
 
 def murmur64a(rows: np.ndarray, seed: int) -> np.ndarray:
     """MurmurHash64A of each row of bytes."""
+    return next(murmurs(rows, (seed,)))
+
+
+def murmurs(rows: np.ndarray, seeds: Iterable[int]) -> Iterator[np.ndarray]:
+    """MurmurHash64A of each row of bytes by each seed; the rows' words are mixed once for all."""
     n, length = rows.shape
     shift = np.uint64(47)
+    whole = length // 8
+    words = []
     with np.errstate(over="ignore"):
-        h = np.full(n, np.uint64(seed) ^ (np.uint64(length) * M))
-        whole = length // 8
         if whole:
-            words = np.ascontiguousarray(rows[:, : 8 * whole]).view("<u8")
+            view = np.ascontiguousarray(rows[:, : 8 * whole]).view("<u8")
             for i in range(whole):
-                w = words[:, i] * M
+                w = view[:, i] * M
                 w ^= w >> shift
-                h = (h ^ w * M) * M
+                words.append(w * M)
         if length % 8:
             tail = np.zeros((n, 8), np.uint8)
             tail[:, : length % 8] = rows[:, 8 * whole :]
-            h = (h ^ tail.view("<u8")[:, 0]) * M
-        h = (h ^ (h >> shift)) * M
-        return h ^ (h >> shift)
+            words.append(tail.view("<u8")[:, 0])
+        for seed in seeds:
+            h = np.full(n, np.uint64(seed) ^ (np.uint64(length) * M))
+            for w in words:
+                h ^= w
+                h *= M
+            h ^= h >> shift
+            h *= M
+            yield h ^ (h >> shift)

@@ -35,8 +35,8 @@ def sent_to(reads: DataFrame, targets: DataFrame, config: AlignConfig, index: Ta
     if config.dispatch != "bloom":
         return exact(targets, reads, k, step, keys, config.window)
     blocks = index.blocks if index else bloom.n_blocks(targets, k, config.ibits)
-    bank = index.bank if index else bloom.build(targets, k, blocks, config.nhash)
-    found = written(bloom.probe(bank, reads, k, step, blocks, config.nhash), "candidates")
+    found = bloom.probe(index.bank, reads, k, step, blocks, config.nhash) if index else bloom.candidates(targets, reads, k, step, blocks, config.nhash)
+    found = written(found, "candidates")
     return bloom.verified(targets, reads, found, k, step, keys)
 
 

@@ -38,3 +38,31 @@ def test_anchors_tell_exactly_which_kmers_are_there(k, letters):
 def test_anchors_are_a_fraction_of_all_kmers():
     seq = np.random.default_rng(3).choice(np.frombuffer(b"ACGT", np.uint8), 100_000).tobytes()
     assert len(anchors(seq, 28)[0]) < 0.15 * len(seq)
+
+
+def test_candidates_of_a_few_reads_shuffle_no_bank(spark, monkeypatch):
+    from strandflow.operators import bloom
+
+    monkeypatch.setattr(bloom, "BLOCK_BITS", 1 << 10)
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("ACGTN") if rng.random() < 0.01 else rng.choice("ACGT") for _ in range(n))
+    seqs = [text(600) for _ in range(30)]
+    targets = spark.createDataFrame([(i % 3, s) for i, s in enumerate(seqs)] + [(0, None), (1, "")], "part int, seq string")
+    reads = spark.createDataFrame([(i, s[40:90]) for i, s in enumerate(seqs)] + [(50 + i, text(60)) for i in range(40)], "read_id long, seq string")
+    blocks = bloom.n_blocks(targets, 20, 4)
+    want = {tuple(r) for r in bloom.probe(bloom.build(targets, 20, blocks, 3), reads, 20, 2, blocks, 3).collect()}
+    with monkeypatch.context() as patch:
+        patch.setattr(bloom, "build", lambda *a: pytest.fail("a whole bank is built"))
+        assert {tuple(r) for r in bloom.candidates(targets, reads, 20, 2, blocks, 3).collect()} == want
+    monkeypatch.setattr(bloom, "BROADCAST_KMERS", 0)
+    assert {tuple(r) for r in bloom.candidates(targets, reads, 20, 2, blocks, 3).collect()} == want
+
+
+@pytest.mark.parametrize("n", [0, 1, 100, 30_000])
+def test_places_of_bits_are_packed_and_unpacked(n):
+    from strandflow.operators.bloom import packed, unpacked
+
+    size = 1 << 20
+    places = np.unique(np.random.default_rng(n).integers(0, size, n))
+    own = packed(places, size)
+    assert np.flatnonzero(np.unpackbits(unpacked(own, size), bitorder="little")).tolist() == places.tolist() and len(own) <= size // 8
