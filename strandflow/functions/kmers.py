@@ -167,28 +167,144 @@ def minimiser_pieces(seq: bytes, k: int, window: int, most: int = PIECE) -> Iter
         yield least[least != NO_KMER]
 
 
+def fours(base: np.ndarray, room: int, nearest_lowest: bool = False) -> np.ndarray:
+    """The code of the four bases from each place on, `room` places without bases before the first and behind the last."""
+    wide = np.concatenate((np.zeros(room, np.uint8), base & 3, np.zeros(room + 3, np.uint8)))
+    shifts = (0, 2, 4, 6) if nearest_lowest else (6, 4, 2, 0)
+    out = np.zeros(len(wide) - 3, np.uint8)
+    for i, shift in enumerate(shifts):
+        out |= wide[i : len(wide) - 3 + i] << np.uint8(shift)
+    return out
+
+
 def codes_at(base: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     """Codes of the k-mers at the places, all of bases."""
-    base = base.astype(np.uint64)
+    four = fours(base, 0)
     out = np.zeros(len(at), np.uint64)
-    for i in range(k):
-        out = (out << np.uint64(2)) | base[at + i]
+    for i in range(0, k, 4):
+        rest = min(4, k - i)
+        out = (out << np.uint64(2 * rest)) | (four[at + i] >> np.uint8(8 - 2 * rest))
     return out
 
 
+def whole_at(base: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Whether the k-mers at the places are of bases alone."""
+    bad = np.append(np.flatnonzero(base > 3), len(base))
+    return bad[np.searchsorted(bad, at)] >= at + k
+
+
 def around(base: np.ndarray, at: np.ndarray, k: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of the k-mers at the places: the up to `most` bases before and behind each, two bits a base with the nearest lowest,
     and how many there are up to a letter that is no base or the end. base: codes of letters, above 3 for others."""
-    places = np.arange(len(base))
-    bad = base > 3
-    last = np.concatenate(([-1], np.maximum.accumulate(np.where(bad, places, -1))))
-    following = np.concatenate((np.minimum.accumulate(np.where(bad, places, len(base))[::-1])[::-1], [len(base)]))
-    before, behind = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-    wide = np.concatenate((np.zeros(most, np.int64), base.astype(np.int64) & 3, np.zeros(most, np.int64)))
-    for i in range(most):
-        before |= wide[at + most - 1 - i] << (2 * i)
-        behind |= wide[at + most + k + i] << (2 * i)
-    return before, behind, np.minimum(most, at - 1 - last[at]).astype(np.int8), np.minimum(most, following[at + k] - at - k).astype(np.int8)
+    bad = np.concatenate(([-1], np.flatnonzero(base > 3), [len(base)]))
+    last, following = bad[np.searchsorted(bad, at) - 1], bad[np.searchsorted(bad, at + k)]
+    before, behind = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+    room = -(-most // 4) * 4
+    highest, lowest = fours(base, room), fours(base, room, nearest_lowest=True)
+    for i in range(0, room, 4):
+        before = (before << np.uint64(8)) | highest[at + i]
+        behind |= lowest[at + room + k + i].astype(np.uint64) << np.uint64(2 * i)
+    all_bases = np.uint64((1 << 2 * most) - 1)
+    before, behind = (before & all_bases).view(np.int64), (behind & all_bases).view(np.int64)
+    return before, behind, np.minimum(most, at - 1 - last).astype(np.int8), np.minimum(most, following - at - k).astype(np.int8)
+
+
+class Bundle:
+    """Pieces of sequences one behind another, an N between, so that array code runs over many short sequences at once.
+
+    Each piece has its sequence's number (own), the places in `text` of the k-mers that are its own (from `first` to below
+    `end`), and what a place in `text` lacks to the place in the sequence (shift)."""
+
+    def __init__(self, texts: list[bytes], own: list[int], first: list[int], end: list[int], shift: list[int]):
+        self.text = b"N".join(texts)
+        self.own, self.first, self.end, self.shift = (np.array(x, np.int64) for x in (own, first, end, shift))
+
+    def places(self, step: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the text of the own k-mers at multiples of step of their sequences, and the piece of each."""
+        first = self.first + -(self.first + self.shift) % step
+        n = np.maximum(0, -(-(self.end - first) // step))
+        piece = np.repeat(np.arange(len(n)), n)
+        return first[piece] + step * (np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)), piece
+
+    def pieces_of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The piece in which each place of the text (in order) lies, and whether a k-mer that is the piece's own begins there."""
+        piece = np.maximum(np.searchsorted(self.first, at, "right") - 1, 0)
+        return piece, (at >= self.first[piece]) & (at < self.end[piece])
+
+
+def bundles(seqs: Iterable[bytes], k: int, beside: int = 0, most: int = PIECE) -> Iterator[Bundle]:
+    """The sequences in bundles of some `most` k-mers; longer ones in pieces, each with up to `beside` bases around its own k-mers."""
+    found, length = ([], [], [], [], []), 0
+    for i, seq in enumerate(seqs):
+        n = len(seq) - k + 1
+        for begin in range(0, max(0, n), most):
+            left = max(0, begin - beside)
+            piece = seq[left : begin + most + k - 1 + beside]
+            for values, value in zip(found, (piece, i, length + begin - left, length + min(begin + most, n) - left, left - length), strict=True):
+                values.append(value)
+            length += len(piece) + 1
+            if length >= most:
+                yield Bundle(*found)
+                found, length = ([], [], [], [], []), 0
+    if length:
+        yield Bundle(*found)
+
+
+class Wanted:
+    """A sorted array of keys with a table of bits before it, by which nearly all other keys are told at once."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = distinct(keys.astype(np.uint64))
+        width = min(26, max(16, (32 * len(self.keys)).bit_length()))
+        self.shift = np.uint64(64 - width)
+        self.table = np.zeros(1 << width, bool)
+        self.table[self.slots(self.keys)] = True
+
+    def slots(self, values: np.ndarray) -> np.ndarray:
+        return ((values * M) >> self.shift).view(np.int64)
+
+    def among(self, values: np.ndarray) -> np.ndarray:
+        """Which of the values are wanted: their places in order."""
+        at = np.flatnonzero(self.table[self.slots(values)])
+        if not len(self.keys) or not len(at):
+            return at[:0]
+        found = values[at]
+        return at[self.keys[np.minimum(np.searchsorted(self.keys, found), len(self.keys) - 1)] == found]
+
+
+def core_length(k: int) -> int:
+    """Bases of the middle of a k-mer that a code holds: as many before as behind it, so that on both strands it is the same."""
+    return k if k <= MOST_K else MOST_K - (k - MOST_K) % 2
+
+
+def wanted_keys(bundle: Bundle, k: int, wanted: Wanted, cores: Wanted) -> tuple[np.ndarray, np.ndarray]:
+    """piece_keys of the bundle's k-mers that are wanted, and the piece of each. cores: canonical codes of the middles of the
+    wanted ones (the wanted ones themselves up to MOST_K bases), so that no other long k-mer is hashed."""
+    core = core_length(k)
+    text = bundle.text.upper().translate(NORMAL)
+    values, at = codes(text, core)
+    values = np.minimum(values, reverse_codes(values, core))
+    hit = cores.among(values)
+    at = at[hit] - (k - core) // 2
+    piece, own = bundle.pieces_of(at)
+    base = CODE[np.frombuffer(text, np.uint8)]
+    keys, pieces_at = [], []
+    if k <= MOST_K:
+        keys.append(values[hit][own])
+        pieces_at.append(piece[own])
+    else:
+        own[own] = whole_at(base, at[own], k)
+        keys.append(hashed_keys(text, k, at[own]))
+        pieces_at.append(piece[own])
+    if text.count(b"N") >= len(bundle.own):
+        # More than what stands between pieces: k-mers with an N have hashes of their own.
+        at, piece = bundle.places()
+        odd = ~whole_at(base, at, k)
+        keys.append(hashed_keys(text, k, at[odd]))
+        pieces_at.append(piece[odd])
+    keys, piece = np.concatenate(keys), np.concatenate(pieces_at)
+    hit = wanted.among(keys)
+    return keys[hit], piece[hit]
 
 
 #: Bases of an anchor, and those beside it that a code holds.

@@ -21,10 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.kmers import CODE, COMPLEMENT, MOST_K, NORMAL, PIECE, around, codes_at
+from ..functions.kmers import CODE, COMPLEMENT, MOST_K, NORMAL, PIECE, Wanted, around, bundles, codes_at, whole_at
 from ..functions.records import FIELDS, parsed, tabbed
 from ..storage import written
-from .dispatch import BROADCAST_KMERS
+from .dispatch import BROADCAST_KMERS, sorted_keys
 
 BUILT_IN = "longest-exact-match"
 ALIGNERS: dict[str, Callable[..., DataFrame]] = {}
@@ -58,49 +58,56 @@ def seeds(k: int, alen: int) -> tuple[int, int]:
     return seed, min(alen - seed + 1, seed)
 
 
-def positioned(rows: DataFrame, columns: list[str], k: int, apart: int, both_strands: bool) -> DataFrame:
+def positioned(rows: DataFrame, columns: list[str], k: int, apart: int, both_strands: bool, wanted: DataFrame | None = None) -> DataFrame:
     """The columns, strand (0; 1: reverse complement), position and code of every k-mer of bases in seq, and the apart - 1
-    bases around it (before, behind, n_before, n_behind: see kmers.around); of one strand alone those at multiples of apart."""
+    bases around it (before, behind, n_before, n_behind: see kmers.around); of one strand alone those at multiples of apart.
+    wanted: with it only those among these codes, at most some BROADCAST_KMERS, which are sent to all tasks."""
     kept = rows.select(*columns, "seq")
+    sent = None if wanted is None else rows.sparkSession.sparkContext.broadcast(sorted_keys(wanted, "code"))
+    strands, step = 1 + both_strands, 1 if both_strands else apart
 
     def run(batches):
+        own = Wanted(sent.value) if sent else None
         for batch in batches:
-            at, strands, found, held = [], [], [], 0
-            for i, seq in enumerate(batch.column(len(columns)).cast(pa.binary()).to_pylist()):
-                normal = (seq or b"").upper().translate(NORMAL)
-                for strand in range(1 + both_strands):
-                    for own in pieces_of(normal.translate(COMPLEMENT)[::-1] if strand else normal):
-                        at.append(np.full(len(own[0]), i))
-                        strands.append(np.full(len(own[0]), strand, np.int32))
-                        found.append(own)
-                        held += len(own[0])
-                        if held > 1 << 18:
-                            yield rows_of(batch, at, strands, found)
-                            at, strands, found, held = [], [], [], 0
-            if held:
-                yield rows_of(batch, at, strands, found)
-
-    def pieces_of(seq):
-        """position, code and the bases around, piece by piece; a piece brings the bases around its own k-mers."""
-        for begin in range(0, max(0, len(seq) - k + 1), PIECE):
-            first = max(0, begin - apart + 1)
-            piece = seq[first : begin + PIECE + k + apart - 2]
-            base = CODE[np.frombuffer(piece, np.uint8)]
-            step = 1 if both_strands else apart
-            places = np.arange(begin + -begin % step, min(begin + PIECE, len(seq) - k + 1), step) - first
-            bad = np.concatenate(([0], np.cumsum(base > 3)))
-            places = places[bad[places] == bad[places + k]]
-            yield (first + places).astype(np.int32), codes_at(base, places, k).view(np.int64), *around(base, places, k, apart - 1)
-
-    def rows_of(batch, at, strands, found):
-        rows_at = pa.array(np.concatenate(at))
-        own = [strands, *zip(*found, strict=True)]
-        return pa.RecordBatch.from_arrays([*(batch.column(j).take(rows_at) for j in range(len(columns))), *(pa.array(np.concatenate(x)) for x in own)], names=[*columns, "strand", *SEED])
+            for bundle in bundles(oriented(batch.column(len(columns)).cast(pa.binary()).to_pylist()), k, apart - 1, PIECE):
+                base = CODE[np.frombuffer(bundle.text, np.uint8)]
+                at, piece = bundle.places(step)
+                whole = whole_at(base, at, k)
+                at, piece = at[whole], piece[whole]
+                code = codes_at(base, at, k)
+                if own:
+                    hit = own.among(code)
+                    at, piece, code = at[hit], piece[hit], code[hit]
+                if len(at):
+                    row, strand = np.divmod(bundle.own[piece], strands)
+                    seed = ((at + bundle.shift[piece]).astype(np.int32), code.view(np.int64), *around(base, at, k, apart - 1))
+                    yield pa.RecordBatch.from_arrays([*(batch.column(j).take(pa.array(row)) for j in range(len(columns))), pa.array(strand.astype(np.int32)), *map(pa.array, seed)], names=[*columns, "strand", *SEED])
+
+    def oriented(seqs):
+        for seq in seqs:
+            yield seq or b""
+            if both_strands:
+                yield (seq or b"").upper().translate(NORMAL).translate(COMPLEMENT)[::-1]
 
     ddl = ", ".join(f"{c} {kept.schema[c].dataType.simpleString()}" for c in columns)
     return kept.mapInArrow(run, f"{ddl}, strand int, " + ", ".join(f"{name} {kind}" for name, kind in SEED.items()))
 
 
+def seeded(reads: DataFrame, places: DataFrame, k: int, alen: int) -> DataFrame:
+    """(read_id, part), distinct: some seed of the read is among the places (part, code, ...) of an index. A read that shares
+    alen bases with a target is sent to its partition, one that shares less may be."""
+    own = positioned(reads.select("read_id", "seq"), ["read_id"], *seeds(k, alen), True)
+    wanted = written(own.select("read_id", "code").distinct(), "read-seeds")
+    there = places.select("part", "code")
+    if wanted.count() <= BROADCAST_KMERS:
+        # A seed that is frequent in the targets is one row for each partition before it meets the reads.
+        there = there.join(F.broadcast(wanted.select("code").distinct()), "code", "left_semi").distinct()
+        return there.join(F.broadcast(wanted), "code").select("read_id", "part").distinct()
+    # Both sides by part and code, as the places are dealt already.
+    asked = wanted.crossJoin(F.broadcast(places.select("part").distinct()))
+    return there.distinct().join(asked, ["part", "code"]).select("read_id", "part").distinct()
+
+
 def alike(here: str, there: str, n_here: str, n_there: str) -> Column:
     """How many bases beside two seeds are equal: up to the first bit that differs, or the end of either's."""
     differ = F.col(here).bitwiseXOR(F.col(there))
@@ -118,9 +125,11 @@ def matches(reads: DataFrame, targets: DataFrame, k: int, places: DataFrame | No
     own = positioned(reads.select("read_id", "seq").dropDuplicates(["read_id"]), ["read_id"], seed, apart, True)
     own = own.withColumnsRenamed({name: f"read_{name}" for name in SEED if name != "code"})
     wanted = written(own.join(reads.select("read_id", "part").distinct(), "read_id"), "seeds")
-    there = positioned(targets, ["part", "target_id"], seed, apart, False).drop("strand") if places is None else places
-    there = there.withColumnRenamed("position", "target_position")
     small = wanted.count() <= BROADCAST_KMERS
+    if places is None:
+        # Few seeds of reads go to all tasks, and of the targets' no others leave the kernel.
+        places = positioned(targets, ["part", "target_id"], seed, apart, False, wanted if small else None).drop("strand")
+    there = places.withColumnRenamed("position", "target_position")
     hits = there.join(F.broadcast(wanted) if small else wanted, ["part", "code"])
     line = ["read_id", "part", "target_id", "strand", "diagonal"]
     sides = [alike(side, f"read_{side}", f"n_{side}", f"read_n_{side}") for side in ("before", "behind")]

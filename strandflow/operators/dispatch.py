@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kmers import anchors, distinct, key_pieces, minimiser_pieces, pieces
+from ..functions.kmers import MOST_K, Wanted, anchors, bundles, core_length, distinct, key_pieces, minimiser_pieces, pieces, wanted_keys
 from ..functions.sequences import mate_suffix
 from ..storage import numbered, written
 
@@ -88,30 +88,51 @@ def at_anchors(there: DataFrame, wanted: DataFrame, *by: str) -> DataFrame:
     return there.join(asked, ["key", *by]).where(inside)
 
 
-def near(rows: DataFrame, own: str, k: int, wanted: DataFrame, window: int = 0) -> DataFrame:
+def sorted_keys(wanted: DataFrame, column: str = "key") -> np.ndarray:
+    """The column of longs, at most some BROADCAST_KMERS, as a sorted array in the driver."""
+    return distinct(np.asarray(wanted.select(column).distinct().toArrow().column(column).combine_chunks(), np.int64).view(np.uint64))
+
+
+def near(rows: DataFrame, own: str, k: int, wanted: DataFrame, window: int = 0, cores: DataFrame | None = None) -> DataFrame:
     """keys_of the rows, only those among the wanted (key), of which there are at most BROADCAST_KMERS: they are
-    sent to all tasks as one sorted array, so that no other key leaves the kernel."""
+    sent to all tasks as one sorted array, so that no other key leaves the kernel. cores: keys of the middles (kmers.core_length)
+    of the wanted k-mers, needed where k is more than MOST_K and there is no window."""
     kind = rows.schema[own].dataType.simpleString()
-    keys = np.sort(np.asarray(wanted.select("key").toArrow().column("key").combine_chunks(), np.int64))
-    sent = rows.sparkSession.sparkContext.broadcast(keys)
+    keys = sorted_keys(wanted)
+    middles = keys if k <= MOST_K else sorted_keys(cores) if cores is not None else keys[:0]
+    sent = rows.sparkSession.sparkContext.broadcast((keys, middles))
 
     def run(batches):
-        keys = sent.value
+        wanted, cores = map(Wanted, sent.value)
         for batch in batches:
             ids, found = [], []
-            for i, seq in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
-                for piece in found_keys(seq, k, window=window) if seq and len(keys) else ():
-                    piece = piece.view(np.int64)
-                    hit = distinct(piece[keys[np.minimum(np.searchsorted(keys, piece), len(keys) - 1)] == piece])
-                    if len(hit):
-                        found.append(hit)
-                        ids.append(np.full(len(hit), i))
+            seqs = (seq or b"" for seq in batch.column(1).cast(pa.binary()).to_pylist())
+            if not window:
+                for bundle in bundles(seqs, k):
+                    hit, piece = wanted_keys(bundle, k, wanted, cores)
+                    at = bundle.own[piece]
+                    order = np.lexsort((hit, at))
+                    hit, at = hit[order], at[order]
+                    once = np.append(True, (hit[1:] != hit[:-1]) | (at[1:] != at[:-1])) if len(hit) else np.zeros(0, bool)
+                    found.append(hit[once])
+                    ids.append(at[once])
+            else:
+                for i, seq in enumerate(seqs):
+                    for piece in minimiser_pieces(seq, k, window):
+                        found.append(distinct(piece[wanted.among(piece)]))
+                        ids.append(np.full(len(found[-1]), i))
             if found:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(ids))), pa.array(np.concatenate(found))], names=[own, "key"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(ids))), pa.array(np.concatenate(found).view(np.int64))], names=[own, "key"])
 
     return rows.select(own, "seq").mapInArrow(run, f"{own} {kind}, key long")
 
 
+def cores_of(reads: DataFrame, k: int, step: int) -> DataFrame:
+    """(read_id, key): the middles of the reads' k-mers at every step-th place (and of what would be one behind the last)."""
+    core = core_length(k)
+    return keys_of(reads.select("read_id", F.expr(f"substring(seq, {(k - core) // 2 + 1})").alias("seq")), "read_id", core, step)
+
+
 def exact(targets: DataFrame, reads: DataFrame, k: int, step: int, keys: DataFrame | None = None, window: int = 0) -> DataFrame:
     """(read_id, part), distinct: some sampled k-mer of the read is in a target of the partition.
 
@@ -124,7 +145,8 @@ def exact(targets: DataFrame, reads: DataFrame, k: int, step: int, keys: DataFra
     wanted = written(keys_of(reads, "read_id", k, step, window), "read-kmers")
     if wanted.count() <= BROADCAST_KMERS:
         # The k-mers of the targets are neither shuffled nor kept.
-        there = keys if keys is not None else near(targets, "part", k, wanted.select("key").distinct(), window)
+        cores = cores_of(reads, k, step) if k > MOST_K and not window else None
+        there = keys if keys is not None else near(targets, "part", k, wanted, window, cores)
         return there.join(F.broadcast(wanted), "key").select("read_id", "part").distinct()
     # A k-mer common to many targets is one row for each partition before it meets the reads.
     there = keys if keys is not None else keys_of(targets, "part", k, window=window).distinct()
