@@ -139,17 +139,17 @@ def exact(targets: DataFrame, reads: DataFrame, k: int, step: int, keys: DataFra
     With a window the k-mers are the least ones of each window of so many k-mers, of the reads and of the targets alike:
     some 2 / (window + 1) of all. A read that shares window + k - 1 bases with a target is then sent to its partition, one
     that shares less may be. targets: part, seq; reads: read_id, seq; keys: where an index has them, the targets' anchors
-    (part, key, BESIDE), with a window their (key, part)."""
-    if keys is not None and not window:
+    (part, key, BESIDE); an index has no minimisers (see align.seeded)."""
+    if keys is not None:
         return at_anchors(keys, written(anchors_of(reads, "read_id", k, step), "read-kmers")).select("read_id", "part").distinct()
     wanted = written(keys_of(reads, "read_id", k, step, window), "read-kmers")
     if wanted.count() <= BROADCAST_KMERS:
         # The k-mers of the targets are neither shuffled nor kept.
         cores = cores_of(reads, k, step) if k > MOST_K and not window else None
-        there = keys if keys is not None else near(targets, "part", k, wanted, window, cores)
+        there = near(targets, "part", k, wanted, window, cores)
         return there.join(F.broadcast(wanted), "key").select("read_id", "part").distinct()
     # A k-mer common to many targets is one row for each partition before it meets the reads.
-    there = keys if keys is not None else keys_of(targets, "part", k, window=window).distinct()
+    there = keys_of(targets, "part", k, window=window).distinct()
     return there.join(wanted, "key").select("read_id", "part").distinct()
 
 

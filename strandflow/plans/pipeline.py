@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import AlignConfig
 from ..operators import bloom
-from ..operators.align import align, align_indexed
+from ..operators.align import align, align_indexed, seeded
 from ..operators.dispatch import exact, rendered
 from ..operators.header import header
 from ..operators.index import TargetIndex, opened_or_built
@@ -31,6 +31,8 @@ def partitioned(targets: DataFrame, config: AlignConfig, edges: DataFrame | None
 def sent_to(reads: DataFrame, targets: DataFrame, config: AlignConfig, index: TargetIndex | None = None) -> DataFrame:
     """(read_id, part) by the run's way of dispatching; of a read by Bloom filters only what its k-mers confirm."""
     k, step = config.bmer, config.step
+    if index and config.window:
+        return seeded(reads, index.places, k, config.alen)
     keys = index.keys if index else None
     if config.dispatch != "bloom":
         return exact(targets, reads, k, step, keys, config.window)
@@ -57,6 +59,7 @@ def run(reads: DataFrame, targets: DataFrame | None, config: AlignConfig, edges:
 
     Targets with their parts are written once; dispatch and alignment read them from there. With an index (of targets
     partitioned before) no target is partitioned, and no k-mer of a target made, again."""
+    index = index and index.for_reads(reads)
     own = index.targets if index else written(partitioned(targets, config, edges), "targets")
     records = written(aligned(dispatched(reads, own, config, index), own, config, index), "records")
     return merged(records, reads, config.merge_mode, config.max_rec, config.paired)

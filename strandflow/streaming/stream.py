@@ -24,7 +24,7 @@ from ..storage import written
 
 def merge_batch(reads: DataFrame, index: TargetIndex, before: int = 0) -> tuple[DataFrame, int]:
     """One micro-batch: read_id, place, line for every read; and how many of its reads no partition can hold (`before`: of earlier batches)."""
-    config = index.config
+    config, index = index.config, index.for_reads(reads)
     hits = written(sent_to(reads, index.targets, config, index), "hits")
     lost = written(undispatched(reads, hits).select("read_id"), "lost")
     turns = round_robin(lost, config.partitions, before).withColumn("part", F.col("part") - 1)
