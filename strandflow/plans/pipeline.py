@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import AlignConfig
+from ..functions.kmers import MOST_K
+from ..functions.sequences import n_kmers
 from ..operators import bloom
 from ..operators.align import align, align_indexed, seeded
-from ..operators.dispatch import exact, rendered
+from ..operators.dispatch import BROADCAST_KMERS, exact, rendered
 from ..operators.header import header
-from ..operators.index import TargetIndex, opened_or_built
+from ..operators.index import TargetIndex, opened, opened_or_built, typed
 from ..operators.merge import merged
 from ..operators.packing import pack_components, pack_targets
 from ..operators.stats import run_metadata
@@ -68,8 +70,19 @@ def run(reads: DataFrame, targets: DataFrame | None, config: AlignConfig, edges:
 def indexed(targets: DataFrame, config: AlignConfig, folder: str, edges: DataFrame | None = None) -> TargetIndex:
     """The index in the folder of these targets (target_id, name, seq), partitioned; built there if it is of others, of other
     settings, or not finished."""
-    source = digest(targets, "target_id", "name", "seq") + (" " + digest(edges, "src", "dst") if edges is not None else "") + " " + config.fallback
-    return opened_or_built(targets.sparkSession, folder, config, source, lambda: partitioned(targets, config, edges))
+    return opened_or_built(targets.sparkSession, folder, config, source_of(targets, config, edges), lambda: partitioned(targets, config, edges))
+
+
+def source_of(targets: DataFrame, config: AlignConfig, edges: DataFrame | None = None) -> str:
+    """The digest of what the targets (target_id, name, seq) with their parts are made of."""
+    return digest(targets, "target_id", "name", "seq") + (" " + digest(edges, "src", "dst") if edges is not None else "") + " " + config.fallback
+
+
+def few(reads: DataFrame, config: AlignConfig) -> bool:
+    """Whether all that the reads (read_id, seq) may ask of the targets goes to all tasks, in dispatch as in the built-in aligner: the
+    k-mers of both strands for each partition, or all bits of each."""
+    n = reads.agg(F.sum(n_kmers(F.length("seq"), min(config.bmer, MOST_K)))).first()[0] or 0
+    return n * max(2 * config.partitions, config.nhash) <= BROADCAST_KMERS
 
 
 def run_to_files(reads: DataFrame, targets: DataFrame, config: AlignConfig, folder: str, edges: DataFrame | None = None, compression: str = "none") -> None:
@@ -77,15 +90,21 @@ def run_to_files(reads: DataFrame, targets: DataFrame, config: AlignConfig, fold
     of each part as FASTA, or FASTQ with keep_qual), folder/result (header, then the merged lines in order).
 
     folder/index and folder/stages keep what was computed, under digests of inputs and settings: a run that died goes on where
-    it was, and one on the same inputs makes no k-mer again."""
+    it was, and one on the same inputs makes no k-mer again. An index takes several times the targets' room, and more while it
+    is built: few reads look through the targets instead, but for dispatch by minimisers, which goes by an index's places. One that
+    is in folder/index already is used."""
     spark = reads.sparkSession
     run_metadata(targets, reads).write.mode("overwrite").json(f"{folder}/counts")
-    index = indexed(targets, config, f"{folder}/index", edges)
+    source = source_of(targets, config, edges)
+    index = opened(spark, f"{folder}/index", config, source)
+    if not index and (config.window or not few(reads, config)):
+        index = opened_or_built(spark, f"{folder}/index", config, source, lambda: partitioned(targets, config, edges))
+    own = index.targets if index else stage(spark, f"{folder}/stages", "targets", f"{source} {config.partitions}", lambda: typed(partitioned(targets, config, edges)))
     columns = [c for c in ("read_id", "name", "seq", "qual") if c in reads.columns]
-    key = f"{index.digest} {config} {digest(reads, *columns)}"
-    hits = stage(spark, f"{folder}/stages", "hits", key, lambda: sent_to(reads, index.targets, config, index))
+    key = f"{source} {config} {digest(reads, *columns)}"
+    hits = stage(spark, f"{folder}/stages", "hits", key, lambda: sent_to(reads, own, config, index))
     writers.partitioned(rendered(reads, hits, config.keep_qual), f"{folder}/dispatched", compression, mode="overwrite")
-    records = stage(spark, f"{folder}/stages", "records", key, lambda: aligned(reads.join(hits, "read_id"), index.targets, config, index))
+    records = stage(spark, f"{folder}/stages", "records", key, lambda: aligned(reads.join(hits, "read_id"), own, config, index))
     lines = merged(records, reads, config.merge_mode, config.max_rec, config.paired)
     if config.merge_mode == "fast":
         lines = lines.select(F.col("ordinal").alias("read_id"), F.lit(0).alias("place"), "line")

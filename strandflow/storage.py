@@ -47,7 +47,7 @@ def stage(spark: SparkSession, folder: str, name: str, key: str, make) -> DataFr
     earlier run has finished is read instead. A table counts as finished by the file that its commit writes last."""
     path = f"{folder}/{name}-{hashlib.sha256(key.encode()).hexdigest()[:24]}"
     if not exists(spark, f"{path}/_SUCCESS"):
-        make().write.mode("overwrite").parquet(path)
+        make().write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)
 
 
