@@ -134,14 +134,42 @@ def placed(rows: DataFrame, found: DataFrame) -> DataFrame:
     return own.join(cells, inside).drop("_length", "cell", "_cell", "first", "until")
 
 
-def pack_targets(targets: DataFrame, parts: int, fallback: str = "last") -> DataFrame:
-    """(id, part) for targets (id, len); a target longer than a bin is an error."""
+def target_ranges(targets: DataFrame, parts: int, fallback: str) -> tuple[DataFrame, DataFrame]:
+    """The targets' sizes (id, length), and the ranges of ranks (length, first, part) that best fit gives them. targets: id, len."""
     sizes = written(targets.select(F.col("id").cast("long"), F.col("len").cast("long").alias("length")), "sizes")
     total = sizes.agg(F.coalesce(F.sum("length"), F.lit(0)).cast("long")).first()[0]
-    found = written(ranges(sizes.groupBy("length").agg(F.count("*").alias("n")), total, parts, fallback), "ranges")
+    return sizes, written(ranges(sizes.groupBy("length").agg(F.count("*").alias("n")), total, parts, fallback), "ranges")
+
+
+def pack_targets(targets: DataFrame, parts: int, fallback: str = "last") -> DataFrame:
+    """(id, part) for targets (id, len); a target longer than a bin is an error."""
+    sizes, found = target_ranges(targets, parts, fallback)
     return placed(ranked(sizes, "length", "id"), found).select("id", "part")
 
 
+#: Ranges up to which they are sent to all tasks.
+BROADCAST_RANGES = 250_000
+
+
+def with_parts(targets: DataFrame, parts: int, fallback: str = "last") -> DataFrame:
+    """targets (target_id, seq, ...) with the part that pack_targets gives them.
+
+    Their text is not shuffled where it need not be: a length alone tells the part, or where it begins in several bins, the
+    length and the ids at which they change. Such ranges are few and go to all tasks; more of them are joined by id."""
+    own = targets.select(F.col("target_id").alias("id"), F.length("seq").cast("long").alias("len"))
+    sizes, found = target_ranges(own, parts, fallback)
+    if found.count() > BROADCAST_RANGES:
+        placed_ids = written(placed(ranked(sizes, "length", "id"), found).select("id", "part"), "parts")
+        return targets.join(placed_ids.withColumnRenamed("id", "target_id"), "target_id")
+    several = found.groupBy("length").agg(F.count("*").alias("n")).where("n > 1").select("length")
+    begins = ranked(sizes.join(several, "length", "left_semi"), "length", "id").select("length", F.col("rank").alias("first"), F.col("id").alias("_from"))
+    bounds = found.join(begins, ["length", "first"], "left")
+    until = F.lead("_from").over(Window.partitionBy("length").orderBy("first"))
+    rule = written(bounds.select(F.col("length").alias("_length"), "_from", until.alias("_until"), "part"), "rule")
+    inside = (F.coalesce(F.col("target_id") >= F.col("_from"), F.col("target_id").isNotNull())) & (F.col("_until").isNull() | (F.col("target_id") < F.col("_until")))
+    return targets.join(F.broadcast(rule), (F.length("seq").cast("long") == F.col("_length")) & inside).drop("_length", "_from", "_until")
+
+
 def pack_components(vertices: DataFrame, edges: DataFrame, parts: int, fallback: str = "last") -> DataFrame:
     """(id, part) for all vertices: components stay together; one longer than a bin is split over the first bins
     that hold its members in order of id, and a member that fits nowhere has part null, as have vertices of length zero.

@@ -14,7 +14,7 @@ from ..operators.dispatch import BROADCAST_KMERS, exact, rendered
 from ..operators.header import header
 from ..operators.index import TargetIndex, opened, opened_or_built, typed
 from ..operators.merge import merged
-from ..operators.packing import pack_components, pack_targets
+from ..operators.packing import pack_components, with_parts
 from ..operators.stats import run_metadata
 from ..sources import writers
 from ..storage import digest, stage, written
@@ -24,8 +24,10 @@ def partitioned(targets: DataFrame, config: AlignConfig, edges: DataFrame | None
     """Targets (target_id, name, seq) with their part; with a graph's edges its components stay together.
 
     Vertices that the graph has and the targets lack take no room; targets that fit nowhere are left out."""
+    if edges is None:
+        return with_parts(targets, config.partitions, config.fallback)
     sizes = targets.select(F.col("target_id").alias("id"), F.length("seq").cast("long").alias("len"))
-    parts = pack_targets(sizes, config.partitions, config.fallback) if edges is None else pack_components(sizes, edges, config.partitions, config.fallback)
+    parts = pack_components(sizes, edges, config.partitions, config.fallback)
     parts = written(parts.where("part is not null"), "parts")
     return targets.join(parts.withColumnRenamed("id", "target_id"), "target_id")
 

@@ -8,7 +8,7 @@ import pytest
 
 from helpers import rows
 from strandflow.config import AlignConfig
-from strandflow.operators import align, bloom, dispatch, index
+from strandflow.operators import align, bloom, dispatch, index, packing
 from strandflow.plans import pipeline
 
 CONFIG = AlignConfig(partitions=3, alen=24, bmer=15, paired=False)
@@ -82,3 +82,31 @@ def test_how_many_reads_are_few(spark, monkeypatch, partitions, nhash, most, wan
     reads = spark.createDataFrame([(0, "A" * 16), (1, "C" * 15), (2, "A" * 14), (3, None)], "read_id long, seq string")
     assert pipeline.few(reads, replace(CONFIG, partitions=partitions, nhash=nhash)) == want
     assert pipeline.few(reads.where("read_id < 0"), CONFIG)
+
+
+@pytest.mark.parametrize("most", [250_000, 0])
+@pytest.mark.parametrize("fallback", ["last", "max"])
+def test_targets_get_their_parts_as_best_fit_has_them(spark, monkeypatch, most, fallback):
+    monkeypatch.setattr(packing, "BROADCAST_RANGES", most)
+    rng = random.Random(8)
+    # Lengths that begin in several bins, that nearly all targets have, that none other has, and none at all; ids far apart.
+    lengths = [400] * 60 + [37] * 40 + [rng.randrange(1, 900) for _ in range(50)] + [0] * 5
+    ids = rng.sample(range(-1000, 1 << 40), len(lengths))
+    targets = spark.createDataFrame([(i, str(i), "A" * n) for i, n in zip(ids, lengths, strict=True)], "target_id long, name string, seq string").repartition(7)
+    for parts in (1, 3, 7):
+        want = {r.id: r.part for r in packing.pack_targets(targets.selectExpr("target_id id", "length(seq) len"), parts, fallback).collect()}
+        found = packing.with_parts(targets, parts, fallback)
+        got = found.collect()
+        assert {r.target_id: r.part for r in got} == want and len(got) == len(lengths) and len(set(want.values())) == parts
+        assert found.columns == ["target_id", "name", "seq", "part"] or not most
+        assert all(len(r.seq) == lengths[ids.index(r.target_id)] and r.name == str(r.target_id) for r in got)
+
+
+def test_the_targets_text_is_not_shuffled_to_find_its_part(spark):
+    targets = spark.range(3000).selectExpr("id target_id", "cast(id as string) name", "repeat('ACGT', cast(id % 50 + 1 as int)) seq")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = pipeline.partitioned(targets, CONFIG)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
